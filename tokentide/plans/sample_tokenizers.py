@@ -1,0 +1,27 @@
+"""Small tokenizer files for the registered queries."""
+
+from __future__ import annotations
+
+from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+# Merge rules of the small byte-pair tokenizer, in rank order.
+_MERGES = [
+    ("t", "h"), ("th", "e"), ("i", "n"), ("e", "r"), ("a", "n"), ("r", "e"), ("o", "n"), ("e", "n"),
+    ("Ġ", "the"), ("in", "g"), ("an", "d"), ("Ġ", "and"), ("i", "e"), ("c", "h"), ("d", "e"), ("u", "n"),
+]
+
+
+def word_file() -> str:
+    """A tokenizer with one token per run of characters other than blanks."""
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(r"[ \t\r\n]+"), "removed")
+    return tokenizer.to_str()
+
+
+def byte_pair_file(merges: bool = True) -> str:
+    """A byte-level byte-pair tokenizer; without merges it gives one token per byte."""
+    chosen = _MERGES if merges else []
+    tokens = sorted(pre_tokenizers.ByteLevel.alphabet()) + ["".join(pair) for pair in chosen]
+    tokenizer = Tokenizer(models.BPE({token: i for i, token in enumerate(tokens)}, chosen))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    return tokenizer.to_str()
