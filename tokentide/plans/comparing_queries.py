@@ -92,10 +92,10 @@ _QUANTILES_SQL = ", ".join(f"('{label}', {q}::DOUBLE)" for label, q in compare.Q
     + f""", probes(label, quantile) AS (VALUES {_QUANTILES_SQL}),
 sorted AS (SELECT tokenizer, list_sort(list((n - base)::DOUBLE)) AS d, list_sort(list(n::DOUBLE / base)) AS r, count(*) AS c
   FROM long WHERE tokenizer <> 'pieces' GROUP BY tokenizer),
-placed AS (SELECT *, quantile * (c - 1) AS at, floor(quantile * (c - 1))::BIGINT + 1 AS lo,
+placed AS (SELECT *, quantile * (c - 1) AS exact, floor(quantile * (c - 1))::BIGINT + 1 AS lo,
   ceil(quantile * (c - 1))::BIGINT + 1 AS hi FROM sorted, probes)
-SELECT tokenizer, label, quantile, round(d[lo] + (d[hi] - d[lo]) * (at - floor(at)), 6) AS difference,
-  round(r[lo] + (r[hi] - r[lo]) * (at - floor(at)), 6) AS ratio FROM placed"""
+SELECT tokenizer, label, quantile, round(d[lo] + (d[hi] - d[lo]) * (exact - floor(exact)), 6) AS difference,
+  round(r[lo] + (r[hi] - r[lo]) * (exact - floor(exact)), 6) AS ratio FROM placed"""
 )
 def compare_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(compare.quantiles(items(spark, sf_dir), COMPARED), "difference", "ratio")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tokentide.functions.answers import final_answer
 from tokentide.functions.numbers import per_second
@@ -168,9 +169,10 @@ _RESULT_FILE_SQL = (
 )
 
 
-def read_result_file(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_result_file(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A written result file with its own column types and empty text for nulls."""
-    return spark.read.option("escape", '"').option("header", True).schema(schema).csv(path).na.fill("")
+    nullable = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
+    return spark.read.option("escape", '"').option("header", True).schema(nullable).csv(path).na.fill("")
 
 
 @query(_RESULT_FILE_SQL)

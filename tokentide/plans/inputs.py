@@ -194,7 +194,8 @@ def ticks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) ->
     return table.select(
         F.col("user_id").alias("sample_index"),
         F.col("event_id").alias("seq"),
-        "ts",
+        # The stored times have no zone; read them as UTC whatever the session's zone.
+        F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")).alias("ts"),
         F.when(typed, amount).otherwise(F.lit(0)).alias("content_delta_chars"),
         F.when(~typed, amount).otherwise(F.lit(0)).alias("reasoning_delta_chars"),
     )

@@ -67,7 +67,8 @@ def assemble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ASSEMBLED_SQL)
 def assemble_lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _as_stream(stream_lines(spark, sf_dir), "lines")
+    timed = stream_lines(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
+    lines = _as_stream(timed, "lines")
     return _shown(_drain(assemble_stream(lines), "assembled"))
 
 
@@ -98,7 +99,7 @@ def live_rates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain(rates, "rates")
 
 
-_FINISHED_SQL = "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup'"
+_FINISHED_SQL = "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value >= 300"
 
 
 @query(
@@ -108,7 +109,7 @@ FROM rates WHERE sample_index NOT IN ({_FINISHED_SQL}) GROUP BY sample_index"""
 )
 def active_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    finished = events.where(F.col("event_type") == "signup").select(F.col("user_id").alias("sample_index")).distinct()
+    finished = events.where((F.col("event_type") == "purchase") & (F.col("value") >= 300)).select(F.col("user_id").alias("sample_index")).distinct()
     return active_requests(live_rate(ticks(spark, sf_dir), RATE_WINDOW), finished)
 
 

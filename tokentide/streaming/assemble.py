@@ -18,8 +18,8 @@ USAGE_FIELDS = (
 _SEGMENT = 4096  # lines of one sample that are joined in one group
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """(sample_index, seq, done, content, reasoning, usage) of each line."""
+def parse_lines(lines: DataFrame, *kept: str) -> DataFrame:
+    """(sample_index, seq, done, content, reasoning, usage) of each line, and ``kept`` columns."""
     parsed = lines.withColumn("_data", stream_data(F.col("line"))).withColumn(
         "_chunk", parsed_chunk(F.col("_data"))
     )
@@ -27,6 +27,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return parsed.select(
         "sample_index",
         "seq",
+        *kept,
         F.coalesce(F.col("_data") == DONE, F.lit(False)).alias("done"),
         chunk_text(chunk, "content").alias("content"),
         chunk_text(chunk, "reasoning_content").alias("reasoning"),
@@ -99,12 +100,13 @@ _STATE = (
 )
 
 
-def assemble_stream(lines: DataFrame, idle: str = "1 hour") -> DataFrame:
+def assemble_stream(lines: DataFrame, late: str = "10 minutes", idle: str = "1 hour") -> DataFrame:
     """Streaming form of :func:`assemble`: a sample is emitted once it is complete.
 
-    ``seq`` numbers the lines of a sample from 0, so a sample is complete when the end
-    marker and all lines before it have arrived, in whatever order. A sample that gets
-    no line for ``idle`` is emitted as it is. Either way its state is dropped.
+    Lines also carry their event time ``ts``. ``seq`` numbers the lines of a sample from
+    0, so a sample is complete when the end marker and all lines before it have arrived,
+    in whatever order. A sample whose last line lies more than ``idle`` behind the
+    watermark is emitted as it is. Either way its state is dropped.
     JSON is parsed by Spark; the function only keeps and orders pieces of text.
     """
     ship_package(lines.sparkSession)
@@ -133,8 +135,10 @@ def assemble_stream(lines: DataFrame, idle: str = "1 hour") -> DataFrame:
         held = state.get if state.exists else ([], [], [], 0, None, None, [])
         seqs, contents, reasonings, lines_seen, end, usage_seq, usage = held
         seqs, contents, reasonings, usage = list(seqs), list(contents), list(reasonings), list(usage)
+        latest = state.getCurrentWatermarkMs()
         for batch in batches:
             lines_seen += len(batch)
+            latest = max(latest, int(batch["millis"].max()))
             for row in batch.itertuples(index=False):
                 if row.done:
                     end = row.seq if end is None else min(end, row.seq)
@@ -151,16 +155,17 @@ def assemble_stream(lines: DataFrame, idle: str = "1 hour") -> DataFrame:
                 state.remove()
             return
         state.update(held)
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(latest + idle_ms)
 
-    pieces = parse_lines(lines)
+    pieces = parse_lines(lines.withWatermark("ts", late), "ts")
     usage = F.when(
         F.col("usage").isNotNull(), F.array(*[F.col(f"usage.{name}") for name in fields])
     )
     return (
         pieces.withColumn("usage", usage)
+        .withColumn("millis", F.unix_millis("ts"))
         .groupBy("sample_index")
         .applyInPandasWithState(
-            advance, _OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+            advance, _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
