@@ -46,7 +46,11 @@ def with_position(
     groups: Sequence[str] = (),
     name: str = "position",
 ) -> DataFrame:
-    """Add the 0-based position of each row in its group under a total order."""
+    """Add the 0-based position of each row in its group under a total order.
+
+    Sorting samples its input first, so ``df`` is read twice: materialize it before if
+    it is costly to compute (token counts, say).
+    """
     rows = _sorted_blocks(df, groups, order)
     blocks = rows.groupBy(*groups, "_block").agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")

@@ -43,7 +43,7 @@ def token_profile(
         .agg(*_states(F.col("_tokens"), ranges, limit))
     )
     # An empty table still has an overall row.
-    nothing = df.sparkSession.range(1).select(
+    nothing = df.sparkSession.range(0, 1, 1, 1).select(
         F.lit(None).cast(states.schema["input_id"].dataType).alias("input_id"),
         F.lit(None).cast(states.schema["group"].dataType).alias("group"),
         *[

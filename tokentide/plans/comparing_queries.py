@@ -9,6 +9,7 @@ from tokentide.operators.align import align
 from tokentide.operators.counting import count_with_all
 from tokentide.plans.inputs import BOUNDS, COMPARED, ITEMS_SQL, LIMITS, TOKENIZERS, documents, items
 from tokentide.plans.registry import query
+from tokentide.session import materialize
 
 _NAMES = COMPARED.names
 _LONG_SQL = ITEMS_SQL + ", long AS (" + " UNION ALL ".join(
@@ -50,7 +51,7 @@ SELECT tokenizer, position, count(*) AS items, sum(n)::BIGINT AS sum_tokens, sum
 FROM long, base GROUP BY tokenizer, position, b"""
 )
 def compare_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.overall(items(spark, sf_dir), COMPARED)
+    return compare.overall(materialize(items(spark, sf_dir)), COMPARED)
 
 
 def _groups_sql(column: str) -> str:

@@ -11,7 +11,7 @@ from tokentide.plans.inputs import (
     FILE_COMPARED, FILE_TOKENIZERS, FILES_SQL, documents, file_items, files,
 )
 from tokentide.plans.registry import query
-from tokentide.session import scratch_path
+from tokentide.session import materialize, scratch_path
 from tokentide.sources.text_files import read_text_files
 
 CHUNK = 50
@@ -45,12 +45,12 @@ SELECT "group", chunk, substr(f, length("group") + 2) AS first, substr(l, length
   {_COLUMNS_SQL}, {_RATIOS_SQL} FROM chunked"""
 )
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.chunk_totals(file_items(spark, sf_dir), FILE_COMPARED, CHUNK)
+    return corpus.chunk_totals(materialize(file_items(spark, sf_dir)), FILE_COMPARED, CHUNK)
 
 
 @query(FILES_SQL + f'SELECT "group", path, chars, {_COLUMNS_SQL}, {_RATIOS_SQL} FROM files')
 def corpus_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.details(file_items(spark, sf_dir), FILE_COMPARED)
+    return corpus.details(materialize(file_items(spark, sf_dir)), FILE_COMPARED)
 
 
 @query(

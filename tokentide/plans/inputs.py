@@ -20,11 +20,11 @@ BOUNDS = (250, 500, 1_000, 2_000, 4_000)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/documents.parquet", spread_by="doc_id")
+    return read_table(spark, f"{sf_dir}/documents.parquet", spread_by=["doc_id"])
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/conversations.parquet")
+    return read_table(spark, f"{sf_dir}/conversations.parquet", spread_by=["conv_id", "turn"])
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

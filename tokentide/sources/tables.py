@@ -10,26 +10,27 @@ from tokentide.schema import checked_count, checked_label, require_type
 from tokentide.session import materialize
 
 
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, spread_by: Sequence[str] = ()) -> DataFrame:
     """A parquet table with all its columns.
 
     With ``spread_by``, an input of fewer splits than there are cores is spread over
-    the cores by that (unique) column before heavy per-row work; a larger one is read
-    as it lies, without a shuffle.
+    the cores by these columns (a unique key) before heavy per-row work; a larger one
+    is read as it lies, without a shuffle.
     """
     table = spark.read.parquet(path)
-    return table if spread_by is None else spread(table, spread_by)
+    return spread(table, *spread_by) if spread_by else table
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
+def spread(table: DataFrame, *key: str) -> DataFrame:
     """Repartition a scan by a unique key, but only when it cannot occupy the cores.
 
-    Called on a plain scan, where asking for the number of splits runs no job.
+    Two partitions per core even out long and short texts. Called on a plain scan,
+    where asking for the number of splits runs no job.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     if table.rdd.getNumPartitions() >= cores:
         return table
-    return table.repartition(cores, key)
+    return table.repartition(2 * cores, *key)
 
 
 # Up to this many files the per-file offsets (path and one number) are broadcast.
