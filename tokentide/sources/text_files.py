@@ -6,7 +6,6 @@ import os
 import re
 from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
-from urllib.parse import urlsplit
 
 import pandas as pd
 from pyarrow import fs
@@ -27,12 +26,19 @@ def normal_path(path: str) -> str:
     return "/".join(part for part in parts if part not in ("/", ".", ".."))
 
 
+_LOCATED = re.compile(r"(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/]*)?(.*)", re.DOTALL)
+
+
+def _located(root: str) -> tuple[str, str, str]:
+    """Scheme, authority (with its slashes) and path of a root; a local path is made absolute."""
+    scheme, authority, path = _LOCATED.fullmatch(root).groups(default="")
+    return scheme, authority, (path if scheme else os.path.abspath(root)).rstrip("/")
+
+
 def relative_path(path: Column, root: str) -> Column:
     """``path`` of a scanned file below ``root``, with the scheme and authority removed."""
-    located = urlsplit(root)
-    base = located.path if located.scheme else os.path.abspath(root)
-    prefix = rf"^(?:[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?)?{re.escape(base.rstrip('/'))}/+"
-    return F.regexp_replace(path, prefix, "")
+    base = re.escape(_located(root)[2])
+    return F.regexp_replace(path, rf"^(?:[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?)?{base}/+", "")
 
 
 def keep_path(path: Column, extensions: Sequence[str], excludes: Sequence[str]) -> Column:
@@ -92,15 +98,17 @@ def read_text_files(
 
 def _open_root(root: str) -> tuple[fs.FileSystem, str]:
     """File system and base path of a root given as a URI or a local path."""
-    if urlsplit(root).scheme:
-        return fs.FileSystem.from_uri(root)
-    return fs.LocalFileSystem(), os.path.abspath(root)
+    scheme, authority, path = _located(root)
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem(), path
+    system, base = fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}:{authority or '//'}/")
+    return system, f"{base.rstrip('/')}{path}"
 
 
 def _hidden_files(root: str) -> list[str]:
     """Relative paths with a component that Spark's listing skips."""
     system, base = _open_root(root)
-    below = len(base.rstrip("/")) + 1
+    below = len(base) + 1
     found = []
     for info in system.get_file_info(fs.FileSelector(base, recursive=True)):
         relative = info.path[below:]
@@ -126,7 +134,7 @@ def _read_listed(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
         system, base = _open_root(root)
         for batch in batches:
             for path in batch["path"]:
-                with system.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
+                with system.open_input_stream(f"{base}/{path}") as stream:
                     yield pd.DataFrame({"path": [path], "content": [stream.read()]})
 
     listed = spark.createDataFrame([(path,) for path in paths], "path string")
