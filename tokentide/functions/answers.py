@@ -34,13 +34,14 @@ def final_answer(response: Column) -> Column:
         F.split(listed, ","),
         lambda item: F.btrim(F.btrim(item, F.lit(WHITE_SPACE)), F.lit(QUOTES)),
     )
-    return F.array_sort(F.array_distinct(F.filter(items, lambda item: item != "")))
+    return F.sort_array(F.array_distinct(F.filter(items, lambda item: item != "")))
 
 
 def as_set(items: Column) -> Column:
-    """Distinct sorted items; a null list is the empty set."""
+    """Distinct sorted items; a null list is the empty set, a null item the empty text."""
+    filled = F.transform(items, lambda item: F.coalesce(item, F.lit("")))
     empty = F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.coalesce(items, empty)))
+    return F.sort_array(F.array_distinct(F.coalesce(filled, empty)))
 
 
 def set_score(predicted: Column, truth: Column) -> Column:

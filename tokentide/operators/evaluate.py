@@ -186,7 +186,7 @@ def result_rows(results: DataFrame) -> DataFrame:
         return F.replace(name, F.lit("\n"), F.lit(" "))
 
     def joined(name: str):
-        return F.nullif(F.array_join(F.array_sort(name), ";"), F.lit(""))
+        return F.nullif(F.array_join(F.sort_array(name), ";"), F.lit(""))
 
     zero = F.lit(0).cast("long")
     usage = {

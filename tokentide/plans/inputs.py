@@ -186,6 +186,13 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionByName(ends)
 
 
+def _utc_micros(stored: Column) -> Column:
+    """Microseconds of a time stored without a zone, read as UTC whatever the session's zone."""
+    second = F.extract(F.lit("SECOND"), stored) * 1_000_000
+    minutes = F.unix_date(stored.cast("date")) * F.lit(1440).cast("long") + F.hour(stored) * 60 + F.minute(stored)
+    return minutes * 60_000_000 + second.cast("long")
+
+
 def ticks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as ticks of their user's request; the value's whole part is the characters."""
     table = events if events is not None else read_table(spark, f"{sf_dir}/events.parquet")
@@ -194,8 +201,7 @@ def ticks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) ->
     return table.select(
         F.col("user_id").alias("sample_index"),
         F.col("event_id").alias("seq"),
-        # The stored times have no zone; read them as UTC whatever the session's zone.
-        F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")).alias("ts"),
+        F.timestamp_micros(_utc_micros(F.col("ts"))).alias("ts"),
         F.when(typed, amount).otherwise(F.lit(0)).alias("content_delta_chars"),
         F.when(~typed, amount).otherwise(F.lit(0)).alias("reasoning_delta_chars"),
     )

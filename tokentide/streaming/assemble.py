@@ -35,8 +35,13 @@ def parse_lines(lines: DataFrame, *kept: str) -> DataFrame:
     )
 
 
-def _in_order(pieces: Column, name: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(pieces), lambda piece: piece[name]), "")
+def _joined(pieces: str, name: str) -> Column:
+    """One text field of sorted pieces, joined."""
+    return F.array_join(F.transform(pieces, lambda piece: piece[name]), "")
+
+
+def _last_usage(pieces: str | Column) -> Column:
+    return F.get(pieces, F.size(pieces) - 1)["usage"]
 
 
 def assemble(lines: DataFrame) -> DataFrame:
@@ -58,37 +63,30 @@ def assemble(lines: DataFrame) -> DataFrame:
     )
 
     def before_end(name: str) -> Column:
-        return F.filter(name, lambda piece: F.col("end").isNull() | (piece["seq"] < F.col("end")))
+        kept = F.filter(name, lambda piece: F.col("end").isNull() | (piece["seq"] < F.col("end")))
+        return F.sort_array(kept).alias(name)
 
     joined = segments.select(
-        "sample_index",
-        "segment",
-        "end",
-        before_end("texts").alias("texts"),
-        F.array_sort(before_end("usages")).alias("usages"),
+        "sample_index", "segment", "end", before_end("texts"), before_end("usages")
     ).select(
         "sample_index",
         "segment",
         "end",
-        _in_order(F.col("texts"), "content").alias("content"),
-        _in_order(F.col("texts"), "reasoning").alias("reasoning"),
-        F.get("usages", F.size("usages") - 1)["usage"].alias("usage"),
+        _joined("texts", "content").alias("content"),
+        _joined("texts", "reasoning").alias("reasoning"),
+        _last_usage("usages").alias("usage"),
     )
     samples = joined.groupBy("sample_index").agg(
         F.collect_list(F.struct("segment", "content", "reasoning", "usage")).alias("parts"),
         F.min(F.when(F.col("end").isNotNull(), F.col("segment"))).alias("last"),
-    ).select(
-        "sample_index",
-        F.array_sort(
-            F.filter("parts", lambda part: F.col("last").isNull() | (part["segment"] <= F.col("last")))
-        ).alias("parts"),
     )
-    used = F.filter("parts", lambda part: part["usage"].isNotNull())
-    return samples.select(
+    kept = F.filter("parts", lambda part: F.col("last").isNull() | (part["segment"] <= F.col("last")))
+    ordered = samples.select("sample_index", F.sort_array(kept).alias("parts"))
+    return ordered.select(
         "sample_index",
-        _in_order(F.col("parts"), "content").alias("content"),
-        F.nullif(_in_order(F.col("parts"), "reasoning"), F.lit("")).alias("reasoning"),
-        F.get(used, F.size(used) - 1)["usage"].alias("usage"),
+        _joined("parts", "content").alias("content"),
+        F.nullif(_joined("parts", "reasoning"), F.lit("")).alias("reasoning"),
+        _last_usage(F.filter("parts", lambda part: part["usage"].isNotNull())).alias("usage"),
     )
 
 
