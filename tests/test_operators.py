@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tokentide.functions.tokenizers import WORDS, Chars
-from tokentide.operators import compare, split
+from tokentide.functions.tokenizers import WORDS, Chars, Pattern
+from tokentide.operators import compare, corpus, split
 from tokentide.operators.align import TokenizerSet, align, dataset_paths
 from tokentide.operators.counting import count_tokens
 from tokentide.operators.ordering import exact_quantiles, with_position
@@ -212,5 +212,19 @@ def test_group_totals_with_grand_total(rows):
     assert math.isnan(zero.first().B_ratio)
 
 
-def test_char_tokenizer_name_is_its_column(rows):
-    assert Chars().name == "chars"
+def test_names_with_spaces_and_dots(rows):
+    named = TokenizerSet.of(["A 4.1=a", "B 5.2=b"])
+    a = rows([(0, 5), (1, 7)], "row_id long, tokens long")
+    aligned = align({"d": {"A 4.1": a, "B 5.2": a.withColumn("tokens", F.col("tokens") * 2)}}, named)
+    totals = compare.comparison_totals(aligned, named)
+    assert compare.fits(totals, named).first().slope == pytest.approx(2)
+    assert {r.tokenizer: r.sum_tokens for r in compare.overall(aligned, named, totals).collect()} == {"A 4.1": 12, "B 5.2": 24}
+    assert compare.group_totals(aligned, named, "dataset").where("is_total").first()["B 5.2_ratio"] == 2.0
+    assert compare.by_length(aligned, named).first()["A 4.1_mean"] == 6.0
+    assert compare.quantiles(aligned, named).count() == 8
+    files = rows([("a/1.md", "x y"), ("a/2.md", "z")], "path string, text string")
+    tokenizers = [Pattern("A 4.1", "[a-z]", None), Chars("B 5.2")]
+    items = corpus.count_files(files, tokenizers)
+    chunk = corpus.chunk_totals(items, named, 5).first()
+    assert (chunk["A 4.1"], chunk["B 5.2"]) == (3, 4)
+    assert corpus.details(items, named).count() == 2 and corpus.file_groups(items, named).count() == 1

@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_queries import database, differences
+from tests.plans import plan_text
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -17,7 +18,10 @@ def connection():
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_agrees_with_sql(spark, connection, name):
-    found = queries()[name](spark, SF_DIR).toPandas()
+    frame = queries()[name](spark, SF_DIR)
+    found = frame.toPandas()
+    plan = plan_text(frame)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     if name in oracle_sql():
         assert differences(found, connection.execute(oracle_sql()[name]).df()) == []
     else:

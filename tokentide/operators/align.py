@@ -107,7 +107,7 @@ def align(
         complete.alias("_complete"),
     )
     checked = [
-        F.when(F.col("_complete"), F.col(name)).otherwise(gap.cast("long")).alias(name)
+        F.when(F.col("_complete"), F.col(f"`{name}`")).otherwise(gap.cast("long")).alias(name)
         for name in tokenizers.names
     ]
     return joined.select("dataset", "row_id", *(["group"] if grouped else []), *checked)
