@@ -16,30 +16,34 @@ def ascii_lower(text: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """Sort key with digit runs compared as numbers.
+    """Text key that sorts paths with their digit runs compared as numbers.
 
     Runs of text come before numbers, numbers go by value and then by written length,
-    and values beyond 128 bits all count as the largest one. A number is held as
-    (digit count, digits) without leading zeros, so it needs no wide integer type.
+    and values beyond 128 bits all count as the largest one. A number is written as a
+    zero character, its digit count, its digits without leading zeros and its written
+    length, so it sorts below any longer text run and needs no wide integer. One text
+    compares faster than an array of parts. Put the key in a column of its own before
+    sorting, since a sort evaluates its expressions at every comparison.
     """
-
-    def part(run: Column) -> Column:
-        number = run.rlike("^[0-9]")
-        digits = F.ltrim(run, F.lit("0"))
-        width = F.char_length(digits)
-        too_large = (width > len(LARGEST_NUMBER)) | (
-            (width == len(LARGEST_NUMBER)) & (digits > LARGEST_NUMBER)
-        )
-        digits = F.when(too_large, LARGEST_NUMBER).otherwise(digits)
-        none = F.lit(0)
-        return F.struct(
-            F.when(number, F.lit(1)).otherwise(none).alias("kind"),
-            F.when(number, F.least(width, F.lit(len(LARGEST_NUMBER)))).otherwise(none).alias("width"),
-            F.when(number, digits).otherwise(run).alias("text"),
-            F.when(number, F.char_length(run)).otherwise(none).alias("written"),
-        )
-
-    return F.transform(F.regexp_extract_all(ascii_lower(path), F.lit("[0-9]+|[^0-9]+"), F.lit(0)), part)
+    lowered = ascii_lower(path)
+    starts_with_number = F.when(lowered.rlike("^[0-9]"), F.lit("1")).otherwise(F.lit("0"))
+    runs = F.regexp_extract_all(lowered, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.concat(starts_with_number, F.array_join(F.transform(runs, _key_part), ""))
+
+
+def _key_part(run: Column) -> Column:
+    """Key text of one run of digits or of other characters."""
+    digits = F.ltrim(run, F.lit("0"))
+    width = F.char_length(digits)
+    widest = len(LARGEST_NUMBER)
+    beyond = (width > widest) | ((width == widest) & (digits > LARGEST_NUMBER))
+    value = F.when(beyond, F.lit(LARGEST_NUMBER)).otherwise(digits)
+    count = F.lpad(F.char_length(value).cast("string"), 2, "0")
+    written = F.lpad(F.char_length(run).cast("string"), 10, "0")
+    number = F.concat(F.lit("\0"), count, value, written)
+    # Zero characters inside text are kept apart from the mark of a number.
+    text = F.replace(F.replace(run, F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1"))
+    return F.when(run.rlike("^[0-9]"), number).otherwise(text)
 
 
 def top_level(path: Column) -> Column:

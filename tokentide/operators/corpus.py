@@ -37,7 +37,8 @@ def count_files(
 
 def in_natural_order(items: DataFrame) -> DataFrame:
     """Items sorted by group and, inside a group, by natural path order."""
-    return items.orderBy("group", natural_key(F.col("path")), "path")
+    keyed = items.withColumn("_key", natural_key(F.col("path")))
+    return keyed.orderBy("group", "_key", "path").drop("_key")
 
 
 def details(items: DataFrame, tokenizers: TokenizerSet) -> DataFrame:

@@ -20,9 +20,18 @@ _FIRST_BITS = 33  # monotonically_increasing_id keeps the partition above these
 def _sorted_blocks(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """``df`` sorted over range partitions, with ``_at`` (increasing) and its ``_block``.
 
-    Written out, since range bounds are sampled anew each time a sort is planned.
+    Order expressions get columns of their own, or the sort would evaluate them at every
+    comparison. The result is written out, since range bounds are sampled anew each
+    time a sort is planned.
     """
-    ordered = df.orderBy(*groups, *order).withColumn("_at", F.monotonically_increasing_id())
+    named = [F.col(key) if isinstance(key, str) else key for key in order]
+    keys = {f"_order_{i}": key for i, key in enumerate(named)}
+    ordered = (
+        df.withColumns(keys)
+        .orderBy(*groups, *keys)
+        .drop(*keys)
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
     return materialize(ordered, "sorted").withColumn("_block", F.shiftright("_at", _FIRST_BITS))
 
 
