@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tokentide.session import ship_package
+from tokentide.session import materialize, ship_package
 
 # The trailing window and the least time a rate is taken over, in seconds.
 WINDOW_SECONDS = 5.0
@@ -53,24 +53,51 @@ def live_rate(
             ),
         )
     )
+    # A range frame would visit every tick of a window again for every tick. Instead each
+    # tick sends a mark to the instant its window opens; marks and ticks sort together,
+    # and running sums tell the mark what came before it. Marks keep the order of their
+    # ticks, so the n-th mark belongs to the n-th tick.
+    events = cut.repartition("sample_index", "slice").withColumn(
+        "event",
+        F.explode(
+            F.array(
+                F.struct(F.col("micros").alias("at"), F.lit(1).alias("tick")),
+                F.struct((F.col("micros") - span).alias("at"), F.lit(0).alias("tick")),
+            )
+        ),
+    ).select("sample_index", "slice", "seq", "own", "delta", "event.*")
     part = W.partitionBy("sample_index", "slice")
-    so_far = part.orderBy("micros", "seq").rowsBetween(W.unboundedPreceding, 0)
-    trailing = part.orderBy("micros").rangeBetween(-span, 0)
-    # Ticks of the same instant are one peer group of the range frame, so the window's
-    # sum is taken as the running sum less what came before the window's first tick.
+    onward = part.orderBy("at", "tick", "seq").rowsBetween(W.unboundedPreceding, 0)
+    back = part.orderBy(F.desc("at"), F.desc("tick"), F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
+    is_tick = F.col("tick") == 1
+    summed = (
+        events.withColumn("running", F.sum(F.col("delta") * F.col("tick")).over(onward))
+        .withColumn("place", F.sum("tick").over(onward))
+        .withColumn("number", F.when(is_tick, F.col("place")).otherwise(F.sum(1 - F.col("tick")).over(onward)))
+        .withColumn("next", F.last(F.when(is_tick, F.col("at")), ignorenulls=True).over(back))
+    )
+
+    def of_tick(name: str, alias: str | None = None) -> Column:
+        return F.max(F.when(is_tick, F.col(name))).alias(alias or name)
+
+    def of_mark(name: str, alias: str) -> Column:
+        return F.max(F.when(~is_tick, F.col(name))).alias(alias)
+
     windowed = (
-        cut.withColumn("running", F.sum("delta").over(so_far))
-        .withColumn("place", F.count(F.lit(1)).over(so_far))
-        .withColumn("_before", F.min(F.col("running") - F.col("delta")).over(trailing))
-        .withColumn("_first_place", F.min("place").over(trailing))
-        .withColumn("_first", F.min("micros").over(trailing))
+        summed.groupBy("sample_index", "slice", "number")
+        .agg(
+            of_tick("seq"), of_tick("own"), of_tick("delta"), of_tick("running"), of_tick("at", "micros"),
+            of_mark("running", "_before"), of_mark("place", "_earlier"), of_mark("next", "_first"),
+        )
         .where(F.col("slice") == F.col("own"))
     )
     seconds = (F.col("micros") - F.col("_first")) / 1_000_000
-    moving = (F.col("place") > F.col("_first_place")) & (seconds > LEAST_SECONDS)
+    moving = (F.col("number") > F.col("_earlier") + 1) & (seconds > LEAST_SECONDS)
     rate = F.floor((F.col("running") - F.col("_before")) / seconds)
-    rated = windowed.select(
-        "sample_index", "seq", "micros", "slice", "delta", F.when(moving, rate).alias("rate")
+    # Read twice below, so the sorts are not repeated.
+    rated = materialize(
+        windowed.select("sample_index", "seq", "micros", "slice", "delta", F.when(moving, rate).alias("rate")),
+        "rates",
     )
     slices = rated.groupBy("sample_index", "slice").agg(
         F.sum("delta").alias("_chars"),
@@ -83,6 +110,7 @@ def live_rate(
         F.coalesce(F.sum("_chars").over(earlier), F.lit(0)).alias("_chars"),
         F.last("_rate", ignorenulls=True).over(earlier).alias("_rate"),
     )
+    so_far = part.orderBy("micros", "seq").rowsBetween(W.unboundedPreceding, 0)
     return rated.join(carried, ["sample_index", "slice"]).select(
         "sample_index",
         "seq",
