@@ -104,6 +104,13 @@ def test_defects_only_up_to_the_limit(samples, responses):
     results = evaluate.score_responses(samples, evaluate.parse_responses(responses))
     assert evaluate.defects(results, most=4).count() == 4
     assert evaluate.defects(results, most=3).count() == 0
+    assert [r.row_id for r in evaluate.defects(results, most=1_000_000).collect()] == [1, 2, 3, 4]
+    with_small_top = evaluate.TOP_ROWS
+    evaluate.TOP_ROWS = 2
+    try:
+        assert evaluate.defects(results, most=4).count() == 4 and evaluate.defects(results, most=3).count() == 0
+    finally:
+        evaluate.TOP_ROWS = with_small_top
 
 
 def test_summaries_of_nothing(samples, responses):

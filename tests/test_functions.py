@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tokentide.functions import answers, buckets, numbers, paths
 from tokentide.functions.tokenizers import (
-    PIECES, PRETOKENS, WORDS, Bytes, Chars, FileTokenizer, Pattern, special_token_total,
+    _CJK_PUNCTUATION, PIECES, PRETOKENS, WORDS, Bytes, Chars, FileTokenizer, Pattern, special_token_total,
 )
 from tokentide.operators.counting import token_count
 from tokentide.plans.sample_tokenizers import byte_pair_file, word_file
@@ -40,7 +40,7 @@ def test_counts_of_known_texts(rows):
 
 
 # The pre-token split in the notation of the regex module.
-_PUNCTUATION = "[" + "".join(map(regex.escape, __import__("tokentide.functions.tokenizers", fromlist=["x"])._CJK_PUNCTUATION[1:-1])) + "]"
+_PUNCTUATION = "[" + "".join(map(regex.escape, _CJK_PUNCTUATION[1:-1])) + "]"
 _PRETOKEN = regex.compile(
     r"'(?i:[sdmt]|ll|ve|re)| (?=\p{Han}|" + _PUNCTUATION + ")|" + _PUNCTUATION
     + r"+[\r\n]*|[^\r\n\p{L}\p{N}]?+[\p{L}\p{M}]+|\p{N}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"

@@ -17,7 +17,7 @@ from tokentide.plans import jobs
 from tokentide.session import materialize, scratch_path
 from tokentide.sinks.results import write_results
 from tokentide.sinks.tables import counted_path, read_band, write_split
-from tokentide.sources.samples import as_samples, read_samples
+from tokentide.sources.samples import as_samples, first_samples, read_samples
 from tokentide.sources.tables import read_counts, with_row_id
 from tokentide.sources.text_files import read_text_files
 
@@ -63,6 +63,8 @@ def tree(tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text, encoding="utf-8")
     os.symlink(root / "top.md", root / "_link.md")
+    os.symlink(root / "top.md", root / "link.md")
+    os.symlink(root / "b", root / "linked")
     return str(root)
 
 
@@ -144,6 +146,9 @@ def test_samples(spark, rows, tmp_path):
     found = [tuple(r) for r in read_samples(spark, path, tokens="n").collect()]
     assert found == [(0, "p0", ["a", "b"], "x", 1), (1, "", [], "", None)]
     assert [tuple(r)[0] for r in read_samples(spark, path, 1).collect()] == [0]
+    many = spark.range(30_000).select(F.col("id").alias("row_id"), F.lit("x").alias("problem_type")).where("row_id % 2 = 1")
+    picked = first_samples(many, 12_000).agg(F.count("*"), F.max("row_id")).first()
+    assert tuple(picked) == (12_000, 23_999)
     with pytest.raises(ValueError):
         as_samples(spark.read.parquet(path).drop("prompt").withColumn("row_id", F.lit(0)))
 

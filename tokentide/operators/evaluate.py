@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tokentide.functions.answers import EXACT_F1, final_answer, set_score
 from tokentide.functions.chat import chat_request, parsed_response, read_response
 from tokentide.functions.numbers import fixed4
+from tokentide.operators.ordering import TOP_ROWS
 from tokentide.session import ship_package
 
 # The F1 ranges by their exclusive upper bound, and the most defects shown.
@@ -156,6 +157,9 @@ def f1_by_type(results: DataFrame) -> DataFrame:
 def defects(results: DataFrame, most: int = MOST_DEFECTS) -> DataFrame:
     """Errors and inexact results in row order, or none at all if there are more than ``most``."""
     wrong = results.where(F.col("error").isNotNull() | (F.col("f1") < EXACT_F1))
+    if most > TOP_ROWS:
+        total = wrong.agg(F.count(F.lit(1))).scalar()
+        return wrong.where(total <= most).orderBy("row_id")
     # One row more than is shown tells whether there are too many.
     head = wrong.orderBy("row_id").limit(most + 1)
     counted = head.withColumn("_shown", F.count(F.lit(1)).over(W.partitionBy()))
@@ -182,6 +186,7 @@ def with_average(totals: DataFrame) -> DataFrame:
 
 def result_rows(results: DataFrame) -> DataFrame:
     """The 17 columns of the result file: formatted scores, joined sets, defaults filled in."""
+
     def one_line(name: str):
         return F.replace(name, F.lit("\n"), F.lit(" "))
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tokentide.session import materialize
 
+# Up to this many first rows are picked by a top-k, which gathers them in one task.
+TOP_ROWS = 10_000
 _FIRST_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 

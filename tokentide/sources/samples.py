@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tokentide.functions.answers import as_set
+from tokentide.operators.ordering import TOP_ROWS, with_position
 from tokentide.schema import require_type
 from tokentide.sources.tables import with_row_id
 
@@ -18,7 +19,8 @@ def read_samples(
 ) -> DataFrame:
     """Samples of a table in file order, cut to the first ``max_samples`` if given."""
     samples = as_samples(with_row_id(spark.read.parquet(path)), tokens=tokens)
-    return samples if max_samples is None else first_samples(samples, max_samples)
+    # Row ids are positions, so the first rows are a filter.
+    return samples if max_samples is None else samples.where(F.col("row_id") < max_samples)
 
 
 def as_samples(table: DataFrame, row_id: str = "row_id", tokens: str = INPUT_TOKENS) -> DataFrame:
@@ -51,5 +53,9 @@ def of_type(samples: DataFrame, problem_type: str = "all") -> DataFrame:
 
 
 def first_samples(samples: DataFrame, count: int) -> DataFrame:
-    """The first ``count`` samples in row order."""
-    return samples.orderBy("row_id").limit(count)
+    """The first ``count`` samples in row order, of samples that may be filtered."""
+    if count <= TOP_ROWS:
+        return samples.orderBy("row_id").limit(count)
+    placed = with_position(samples.select("row_id"), ["row_id"])
+    chosen = placed.where(F.col("position") < count).select("row_id")
+    return samples.join(chosen, "row_id", "left_semi")

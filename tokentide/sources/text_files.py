@@ -72,26 +72,22 @@ def decoded(content: Column, path: Column) -> Column:
 
 
 def read_text_files(
-    spark: SparkSession,
-    root: str,
-    extensions: Sequence[str] = (),
-    excludes: Sequence[str] = (),
-    hidden: bool = True,
+    spark: SparkSession, root: str, extensions: Sequence[str] = (), excludes: Sequence[str] = ()
 ) -> DataFrame:
     """All files below ``root`` as (path relative to it, text).
 
-    Spark's file source never lists names that start with ``.`` or ``_``. With
-    ``hidden`` those files (``__init__.py``, say) are listed apart and read in tasks.
+    Spark's file source never lists names that start with ``.`` or ``_`` and follows
+    links. Files with such names (``__init__.py``, say) are listed apart and read in
+    tasks; links of a local tree are left out.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
         reader = reader.option("pathGlobFilter", _name_filter(extensions))
     files = reader.load(root).select(relative_path(F.col("path"), root).alias("path"), "content")
+    hidden, links = _unlisted(root)
     if hidden:
-        found = _hidden_files(root)
-        if found:
-            files = files.unionByName(_read_listed(spark, root, found))
-    return files.where(keep_path(F.col("path"), extensions, excludes)).select(
+        files = files.unionByName(_read_listed(spark, root, hidden))
+    return files.where(keep_path(F.col("path"), extensions, [*excludes, *links])).select(
         "path", decoded(F.col("content"), F.col("path")).alias("text")
     )
 
@@ -105,17 +101,23 @@ def _open_root(root: str) -> tuple[fs.FileSystem, str]:
     return system, f"{base.rstrip('/')}{path}"
 
 
-def _hidden_files(root: str) -> list[str]:
-    """Relative paths with a component that Spark's listing skips."""
+def _unlisted(root: str) -> tuple[list[str], list[str]]:
+    """Relative paths of the files Spark's listing skips, and of the links of a local tree."""
     system, base = _open_root(root)
     below = len(base) + 1
-    found = []
-    for info in system.get_file_info(fs.FileSelector(base, recursive=True)):
-        relative = info.path[below:]
-        linked = isinstance(system, fs.LocalFileSystem) and os.path.islink(info.path)
-        if info.is_file and not linked and any(map(_skipped, relative.split("/"))):
-            found.append(relative)
-    return found
+    if not isinstance(system, fs.LocalFileSystem):
+        found = system.get_file_info(fs.FileSelector(base, recursive=True))
+        files, links = [info.path[below:] for info in found if info.is_file], []
+    else:
+        files, links = [], []
+        for folder, folders, names in os.walk(base):
+            for name in (*folders, *names):
+                path = os.path.join(folder, name)
+                if os.path.islink(path):
+                    links.append(path[below:])
+                elif name in names:
+                    files.append(path[below:])
+    return [path for path in files if any(map(_skipped, path.split("/")))], links
 
 
 def _skipped(name: str) -> bool:
