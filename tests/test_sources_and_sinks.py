@@ -83,7 +83,9 @@ def test_invalid_utf8_names_the_file(spark, tmp_path):
         read_text_files(spark, str(tmp_path)).collect()
 
 
-def test_compare_text_files(spark, tree):
+@pytest.mark.parametrize("small", [-1, 1_000_000])
+def test_compare_text_files(spark, tree, monkeypatch, small):
+    monkeypatch.setattr("tokentide.operators.ordering.SMALL_ROWS", small)
     sections = jobs.compare_text_files(
         spark, tree, [WORDS, Bytes()], extensions=["md"], excludes=["out"], chunk_size=2
     )

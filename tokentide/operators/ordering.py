@@ -1,9 +1,10 @@
 """Positions and exact quantiles that never gather a group in one task.
 
 A plain ``row_number`` over a group, or ``percentile`` over a column, puts a whole
-group in one task. Here the rows are sorted over range partitions instead, one small
-row per partition and group carries the running total, and only those are summed in
-a window. A group holding most of the table is spread like any other.
+group in one task. That is only done for a table counted to have few rows. Otherwise
+the rows are sorted over range partitions, one small row per partition and group
+carries the running total, and only those are summed in a window. A group holding
+most of the table is spread like any other.
 """
 
 from __future__ import annotations
@@ -14,26 +15,27 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tokentide.session import materialize
 
+# Up to this many rows a whole table may be one group of a task.
+SMALL_ROWS = 1_000_000
 # Up to this many first rows are picked by a top-k, which gathers them in one task.
 TOP_ROWS = 10_000
 _FIRST_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
+def _with_keys(df: DataFrame, order: Sequence[str | Column]) -> tuple[DataFrame, list[str]]:
+    """Order expressions as columns, or a sort would evaluate them at every comparison."""
+    named = [F.col(key) if isinstance(key, str) else key for key in order]
+    keys = {f"_order_{i}": key for i, key in enumerate(named)}
+    return df.withColumns(keys), list(keys)
+
+
 def _sorted_blocks(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """``df`` sorted over range partitions, with ``_at`` (increasing) and its ``_block``.
 
-    Order expressions get columns of their own, or the sort would evaluate them at every
-    comparison. The result is written out, since range bounds are sampled anew each
-    time a sort is planned.
+    Written out, since range bounds are sampled anew each time a sort is planned.
     """
-    named = [F.col(key) if isinstance(key, str) else key for key in order]
-    keys = {f"_order_{i}": key for i, key in enumerate(named)}
-    ordered = (
-        df.withColumns(keys)
-        .orderBy(*groups, *keys)
-        .drop(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())
-    )
+    keyed, keys = _with_keys(df, order)
+    ordered = keyed.orderBy(*groups, *keys).drop(*keys).withColumn("_at", F.monotonically_increasing_id())
     return materialize(ordered, "sorted").withColumn("_block", F.shiftright("_at", _FIRST_BITS))
 
 
@@ -59,9 +61,13 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row in its group under a total order.
 
-    Sorting samples its input first, so ``df`` is read twice: materialize it before if
-    it is costly to compute (token counts, say).
+    Rows are counted and sorting samples its input, so ``df`` is read more than once:
+    materialize it before if it is costly to compute (token counts, say).
     """
+    if df.count() <= SMALL_ROWS:
+        keyed, keys = _with_keys(df, order)
+        number = F.row_number().over(W.partitionBy(*groups).orderBy(*keys))
+        return keyed.withColumn(name, number.cast("long") - 1).drop(*keys)
     rows = _sorted_blocks(df, groups, order)
     blocks = rows.groupBy(*groups, "_block").agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")
@@ -85,6 +91,8 @@ def exact_quantiles(
     Equal values are counted before the sort, and only the blocks that hold a wanted
     rank are read again.
     """
+    if df.count() <= SMALL_ROWS:
+        return _small_quantiles(df, measures)
     stacked = df.select(
         F.explode(
             F.array(
@@ -120,11 +128,13 @@ def exact_quantiles(
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_rows")))
         .drop("_rows", "_all")
     )
+    # At most two ranks per measure and quantile, whatever the table's size.
+    wanted = F.broadcast(wanted)
     in_block = W.partitionBy("measure", "_block").orderBy("value")
-    ranked = rows.join(wanted.select("measure", "_block").distinct(), ["measure", "_block"], "left_semi").select(
+    ranked = rows.join(wanted, ["measure", "_block"], "left_semi").select(
         "measure", "_block", "value", "n", F.sum("n").over(in_block).alias("_through")
     )
-    hits = wanted.join(ranked, ["measure", "_block"]).where(
+    hits = ranked.join(wanted, ["measure", "_block"]).where(
         (F.col("_rank") < F.col("_before") + F.col("_through"))
         & (F.col("_rank") >= F.col("_before") + F.col("_through") - F.col("n"))
     )
@@ -140,3 +150,27 @@ def exact_quantiles(
             (F.col("_low") + (F.col("_high") - F.col("_low")) * (exact - F.floor(exact))).alias("value"),
         )
     )
+
+
+def _small_quantiles(
+    df: DataFrame, measures: Mapping[str, tuple[Column, Sequence[float]]]
+) -> DataFrame:
+    """The same quantiles from one aggregate, for a table of few rows."""
+    found = df.agg(
+        *[
+            F.percentile(column.cast("double"), [float(q) for q in quantiles]).alias(f"_{i}")
+            for i, (column, quantiles) in enumerate(measures.values())
+        ]
+    )
+    entries = [
+        F.struct(
+            F.lit(name).alias("measure"),
+            F.lit(float(q)).alias("quantile"),
+            F.get(f"_{i}", F.lit(at)).alias("value"),
+        )
+        for i, (name, (_, quantiles)) in enumerate(measures.items())
+        for at, q in enumerate(quantiles)
+    ]
+    return (
+        found.select(F.explode(F.array(*entries)).alias("q")).select("q.*").where(F.col("value").isNotNull())
+    )
