@@ -101,8 +101,10 @@ def align(
     gap = F.raise_error(
         F.concat_ws(" ", F.lit("row not counted once by every tokenizer:"), F.col("dataset"), F.col("row_id"))
     )
+    # A text aggregate sorts its input, so the group takes part only if there is one.
+    labels = [F.max("group").alias("group")] if grouped else []
     joined = stacked.groupBy("dataset", "row_id").agg(
-        F.max("group").alias("group"),
+        *labels,
         *[F.max(of(name)).alias(name) for name in tokenizers.names],
         complete.alias("_complete"),
     )

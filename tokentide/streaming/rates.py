@@ -96,12 +96,14 @@ def live_rate(
     rate = F.floor((F.col("running") - F.col("_before")) / seconds)
     # Read twice below, so the sorts are not repeated.
     rated = materialize(
-        windowed.select("sample_index", "seq", "micros", "slice", "delta", F.when(moving, rate).alias("rate")),
+        windowed.select(
+            "sample_index", "seq", "micros", "slice", "number", "delta", F.when(moving, rate).alias("rate")
+        ),
         "rates",
     )
     slices = rated.groupBy("sample_index", "slice").agg(
         F.sum("delta").alias("_chars"),
-        F.max_by("rate", F.when(F.col("rate").isNotNull(), F.struct("micros", "seq"))).alias("_rate"),
+        F.max_by("rate", F.when(F.col("rate").isNotNull(), F.col("number"))).alias("_rate"),
     )
     earlier = W.partitionBy("sample_index").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     carried = slices.select(
@@ -110,7 +112,7 @@ def live_rate(
         F.coalesce(F.sum("_chars").over(earlier), F.lit(0)).alias("_chars"),
         F.last("_rate", ignorenulls=True).over(earlier).alias("_rate"),
     )
-    so_far = part.orderBy("micros", "seq").rowsBetween(W.unboundedPreceding, 0)
+    so_far = part.orderBy("number").rowsBetween(W.unboundedPreceding, 0)
     return rated.join(carried, ["sample_index", "slice"]).select(
         "sample_index",
         "seq",
