@@ -201,7 +201,7 @@ def test_set_score(rows, predicted, truth, scores):
 
 
 def test_spec_texts():
-    assert parse_named("GLM 5=dir/a=b.json") == ("GLM 5", "dir/a=b.json")
+    assert parse_named("Model 5=dir/a=b.json") == ("Model 5", "dir/a=b.json")
     assert parse_dataset(" short =a,b") == ("short", ["a", "b"])
     for bad in ("x", "=a", " =a", "a="):
         with pytest.raises(ValueError):

@@ -14,12 +14,12 @@ from tokentide.operators import corpus
 from tokentide.operators.align import TokenizerSet
 from tokentide.operators.evaluate import parse_responses, score_responses
 from tokentide.plans import jobs
-from tokentide.session import materialize, scratch_path
+from tokentide.session import materialize, scratch_path, start
 from tokentide.sinks.results import write_results
 from tokentide.sinks.tables import counted_path, read_band, write_split
 from tokentide.sources.samples import as_samples, first_samples, read_samples
 from tokentide.sources.tables import read_counts, with_row_id
-from tokentide.sources.text_files import read_text_files
+from tokentide.sources.text_files import normal_extensions, normal_path, read_text_files
 
 
 def test_row_ids_across_part_files(spark, tmp_path):
@@ -178,6 +178,17 @@ def test_result_file_text(spark, rows, tmp_path):
     ]
 
 
+def test_session_settings(spark):
+    session = start("tests", spark__sql__shuffle__partitions="4")
+    assert session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "256"
+    assert session.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_extensions_fold_ascii_letters_only():
+    assert normal_extensions(["..MD", "tXt", "É"]) == ["md", "txt", "É"]
+    assert normal_path("./a/../b//c/") == "a/b/c"
+
+
 def test_materialize_uses_the_named_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     frame = materialize(spark.range(5), "five")

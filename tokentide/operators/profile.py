@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tokentide.functions.buckets import LONG_CONTEXT, PROFILE_RANGES, Range
 from tokentide.functions.numbers import mean, share
@@ -98,7 +98,7 @@ def token_profile(
     )
 
 
-def _states(count, ranges: Sequence[Range], limit: int) -> list:
+def _states(count: Column, ranges: Sequence[Range], limit: int) -> list[Column]:
     """Mergeable aggregates of a profile."""
     return [
         F.count(F.lit(1)).alias("total"),

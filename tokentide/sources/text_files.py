@@ -17,7 +17,9 @@ from tokentide.session import ship_package
 
 def normal_extensions(extensions: Sequence[str]) -> list[str]:
     """Extensions without leading dots, in ASCII lowercase."""
-    return [extension.lstrip(".").lower() for extension in extensions]
+    return [
+        "".join(c.lower() if c.isascii() else c for c in extension.lstrip(".")) for extension in extensions
+    ]
 
 
 def normal_path(path: str) -> str:
