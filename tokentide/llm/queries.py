@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokentide.llm import bpe, token_counts
+from tokentide.llm import bpe, mix, token_counts
 from tokentide.llm.registry import query
 from tokentide.session import scratch_path
 
@@ -14,6 +14,98 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MIX_WEIGHTS = (5, 2, 1)
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT)
+           % (floor(sqrt((SELECT count(*) FROM documents)))::BIGINT + 1) AS shard
+  FROM documents),
+sums AS (SELECT src, shard, sum(size)::BIGINT AS words FROM sized GROUP BY ALL),
+sources AS (
+  SELECT src, sum(words)::BIGINT AS words, row_number() OVER (ORDER BY src) - 1 AS rank FROM sums GROUP BY src),
+weighed AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * words AS cap,
+         (sum(words) OVER ())::DOUBLE * 1.5::DOUBLE AS pool FROM sources),
+roomy AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier,
+         sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM weighed),
+flagged AS (
+  SELECT *, min((cap * rest)::DOUBLE <= (pool - earlier::DOUBLE) * weight) OVER (
+    ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped FROM roomy),
+targets AS (
+  SELECT src, words, rank, CASE WHEN stopped THEN cap::DOUBLE ELSE
+           (pool - coalesce(sum(CASE WHEN stopped THEN cap END) OVER (), 0)::DOUBLE) * weight
+           / (sum(CASE WHEN NOT stopped THEN weight END) OVER ())::DOUBLE END AS target,
+         pool AS total, floor(pool / 16 + 0.5)::BIGINT AS seats, (words + 15) // 16 AS blocks FROM flagged),
+started AS (
+  SELECT *, floor(coalesce(seats * target / nullif(total, 0), 0) + 0.5)::BIGINT AS start FROM targets),
+gaps AS (SELECT *, seats - (sum(start) OVER ())::BIGINT AS gap FROM started),
+tried AS (
+  SELECT *, CASE WHEN gap >= 0 THEN true ELSE j < start END AS able,
+         CASE WHEN gap >= 0 THEN -(target / (2 * (start + j) + 1)) ELSE target / (2 * (start - 1 - j) + 1) END AS quotient
+  FROM gaps, range(1000) AS r(j) WHERE j <= abs(gap)),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY able DESC, quotient, CASE WHEN gap >= 0 THEN rank ELSE -rank END, j) AS place FROM tried),
+seated AS (
+  SELECT src, any_value(words) AS source_size, any_value(target) AS target, any_value(blocks) AS source_blocks,
+         least(any_value(start) + any_value(sign(gap)) * count(*) FILTER (able AND place <= abs(gap)),
+               2 * any_value(blocks))::BIGINT AS seats
+  FROM placed GROUP BY src),
+streams AS (
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY src ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
+           AS before FROM sums),
+cut AS (
+  SELECT *, (before + 15) // 16 AS first, (before + words + 15) // 16 - (before + 15) // 16 AS n
+  FROM streams JOIN seated USING (src)),
+started2 AS (
+  SELECT *, floor(coalesce((seats * n)::DOUBLE / nullif(source_blocks, 0), 0) + 0.5)::BIGINT AS start FROM cut),
+gaps2 AS (SELECT *, seats - (sum(start) OVER (PARTITION BY src))::BIGINT AS gap FROM started2),
+tried2 AS (
+  SELECT *, CASE WHEN gap >= 0 THEN true ELSE j < start END AS able,
+         CASE WHEN gap >= 0 THEN -(n / (2 * (start + j) + 1)) ELSE n / (2 * (start - 1 - j) + 1) END AS quotient
+  FROM gaps2, range(1000) AS r(j) WHERE j <= abs(gap)),
+placed2 AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY able DESC, quotient,
+                               CASE WHEN gap >= 0 THEN shard ELSE -shard END, j) AS place FROM tried2),
+quotas AS (
+  SELECT src, shard, any_value(source_size) AS source_size, any_value(target) AS target, any_value(before) AS before,
+         any_value(first) AS first, any_value(n) AS n,
+         any_value(start) + any_value(sign(gap))::BIGINT * count(*) FILTER (able AND place <= abs(gap)) AS quota
+  FROM placed2 GROUP BY src, shard),
+documents_at AS (
+  SELECT doc_id, size, s.src, source_size, target,
+         before + coalesce(sum(size) OVER (PARTITION BY s.src, s.shard ORDER BY doc_id NULLS FIRST, size
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized s JOIN quotas q ON s.src = q.src AND s.shard = q.shard),
+pieces AS (
+  SELECT doc_id, size, src, source_size, target, start, unnest(range(start // 16, (start + size - 1) // 16 + 1)) AS blk
+  FROM documents_at WHERE size > 0),
+owners AS (
+  SELECT src, first, n, quota,
+         CAST('0x' || substr(md5('0|' || src || '|' || shard::VARCHAR), 1, 8) AS BIGINT) % n AS shift
+  FROM quotas WHERE n > 0),
+counted AS (
+  SELECT p.doc_id, p.size, p.source_size, p.target, p.start,
+         sum((least(start + size, (blk + 1) * 16) - greatest(start, blk * 16))
+             * (quota // n + (((blk - first) * (2654435761 % n) + shift) % n < quota % n)::BIGINT))::BIGINT AS taken
+  FROM pieces p ASOF JOIN owners o ON p.src = o.src AND p.blk >= o.first
+  GROUP BY ALL)
+SELECT doc_id, size, source_size, target, taken FROM counted
+UNION ALL
+SELECT doc_id, size, source_size, target, 0::BIGINT FROM documents_at WHERE size = 0
+"""
+
+
+@query(MIX_SQL)
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources to target weights takes of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix.mix(docs, MIX_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query()
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text they decode to, as counts and digests."""
