@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokentide.llm import bpe, chat_format, mix, token_counts
+from tokentide.llm import bpe, chat_format, fingerprints, mix, token_counts
 from tokentide.llm.registry import query
 from tokentide.session import scratch_path
 
@@ -176,3 +178,42 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def edited_text(text: str, following: str) -> str:
+    """``text`` with its last half replaced by the beginning of the following text."""
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
+def _edited(text: str, own: str, following: str, next_print: str) -> tuple:
+    edited = edited_text(text, following)
+    print_ = fingerprints.fingerprint(edited)
+    return (
+        len(text),
+        hashlib.sha256(edited.encode()).hexdigest(),
+        own,
+        print_,
+        fingerprints.likeness(own, print_),
+        fingerprints.likeness(own, next_print),
+    )
+
+
+@query()
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of an edit of it, with their likeness and the next document's."""
+    return fingerprints.beside_next(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        "doc_id",
+        "text",
+        fingerprints.fingerprint,
+        _edited,
+        {
+            "n_chars": "long",
+            "edited_sha256": "string",
+            "fingerprint": "string",
+            "edited_fingerprint": "string",
+            "near_edited": "double",
+            "near_next": "double",
+        },
+    )
