@@ -73,8 +73,8 @@ def tree(text: str) -> list[list[tuple[bytes, list[bytes]]]]:
 def fingerprint(text: str) -> str:
     """Root (32 hex digits), then sections after ``|``, their paragraphs between ``/``, pieces as hex digits.
 
-    Digests within the tree are shortened to 32 bits for comparison; the root is made of
-    the full ones, so it alone decides equality.
+    Digests within the tree are shortened to ``DIGITS`` digits for comparison; the root is
+    made of the full ones, so it alone decides equality.
     """
     sections = tree(text)
     digests = [_digest(b"section", b"".join(digest for digest, _ in section)) for section in sections]
