@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tokentide.llm.frames import column, packed, slices, unpacked
-from tokentide.session import ship_package
+from tokentide.session import materialize, ship_package
 
 # Words a worker remembers in each of two generations, and the longest it remembers.
 REMEMBERED, LONGEST = 300_000, 48
@@ -191,7 +191,8 @@ def count_tokens(
         F.octet_length(F.coalesce(column(text), F.lit(""))).cast("long").alias("n_bytes"),
         digest.alias("content"),
     )
-    counted = rows.join(_stored(spark, folder), "content")
+    # Written out, so that the join reads two plain shuffles, of which Spark can split a hot text.
+    counted = rows.join(materialize(_stored(spark, folder), "counts"), "content")
     return counted.select(
         *unpacked(counted), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
