@@ -14,9 +14,9 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tokentide.llm.frames import column, slices
+from tokentide.llm.frames import column, range_of, slices
 from tokentide.session import ship_package
 
 # One byte position in so many ends a piece, one paragraph in so many ends a section.
@@ -130,15 +130,6 @@ def add_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*map(column, kept), of(F.coalesce(column(text), F.lit(""))).alias("fingerprint"))
 
 
-def _range_of(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most ``value``: 64 of them are compared after a coarse step."""
-    step = 64
-    number = lambda part, low: F.size(F.filter(part, lambda bound: bound <= low))
-    array = lambda values: F.array(*map(F.lit, values)).cast("array<long>")
-    coarse = number(array(bounds[step - 1 :: step]), value) * step
-    return coarse + number(F.slice(array(bounds), coarse + 1, F.lit(step)), value)
-
-
 def beside_next(
     docs: DataFrame,
     key: str,
@@ -167,7 +158,7 @@ def beside_next(
         F.min(F.struct(F.col("_key").isNotNull(), F.col("_key").alias("key"))),
     ).first()
     bounds = sorted(set(cuts or []))
-    part = F.coalesce(_range_of(F.col("_key"), bounds), F.lit(0))
+    part = F.coalesce(range_of(F.col("_key"), bounds), F.lit(0))
     begins = F.array_contains(F.array(*map(F.lit, bounds)).cast("array<long>"), F.col("_key"))
     place = lambda number, extra: F.array(F.struct(number.alias("part"), F.lit(extra).alias("extra")))
     nowhere = F.array().cast("array<struct<part:int,extra:int>>")

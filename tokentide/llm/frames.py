@@ -40,3 +40,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most ``value``: 64 of them are compared after a coarse step."""
+    step = 64
+    number = lambda part, low: F.size(F.filter(part, lambda bound: bound <= low))
+    array = lambda values: F.array(*map(F.lit, values)).cast("array<long>")
+    coarse = number(array(bounds[step - 1 :: step]), value) * step
+    return coarse + number(F.slice(array(bounds), coarse + 1, F.lit(step)), value)

@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokentide.llm import bpe, chat_format, fingerprints, mix, token_counts, top_k
+from tokentide.llm import bpe, chat_format, fingerprints, mix, token_counts, top_k, warc
 from tokentide.llm.registry import query
 from tokentide.session import scratch_path
 
@@ -237,3 +237,33 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other vectors of every fiftieth vector."""
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+d AS (SELECT page_id, payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000
+                 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes >= 1000) END AS target FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN target <> page_id THEN target END AS refers_to
+FROM m
+"""
+
+
+@query(WARC_SQL)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
+    folder = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    read = warc.read_warc(spark, folder, payloads=False)
+    wrong = F.raise_error(F.concat(F.lit("digests differ in "), F.col("file")))
+    return read.select(
+        "page_id",
+        F.when(F.col("verified"), F.col("payload_bytes")).otherwise(wrong.cast("long")).alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        "refers_to",
+    )
