@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokentide.llm import bpe, chat_format, fingerprints, mix, token_counts, top_k, warc
+from tokentide.llm import bpe, chat_format, fingerprints, language, mix, token_counts, top_k, warc
 from tokentide.llm.registry import query
 from tokentide.session import scratch_path
 
@@ -121,6 +121,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from three quarters of the labelled documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.learn(docs.where(~held_out))
+    asked = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language.identify(asked, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query()
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text through a digest cache that starts empty."""
