@@ -16,9 +16,9 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tokentide.llm.frames import column, packed, slices, unpacked
+from tokentide.llm.frames import carried, column, slices
 from tokentide.llm.token_counts import LONGEST, Memory, read_tokenizer
 from tokentide.session import ship_package
 
@@ -206,26 +206,20 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", decoded: bool =
     spark = ship_package(docs.sparkSession)
     data, _, version = read_tokenizer(tokenizer)
     shared = spark.sparkContext.broadcast(data)
-    rows = docs.select(packed(docs, ["ids", "decoded"]), F.coalesce(column(text), F.lit("")).alias("_text"))
+    away, back = carried(docs, ["ids", "decoded"])
+    rows = docs.select(*away, column(text).alias("_text"))
+    fields = [*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _shared(shared.value, version)
         for batch in slices(batches):
-            ids = [bpe.encode(value) for value in batch.column("_text").to_pylist()]
+            ids = [bpe.encode(value or "") for value in batch.column("_text").to_pylist()]
             texts = [bpe.decode(row) for row in ids] if decoded else [None] * len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())],
-                ["_row", "ids", "decoded"],
-            )
-
-    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, decoded string"
-    if rows.schema["_row"].dataType.simpleString() == "void":
-        rows = rows.withColumn("_row", F.struct(F.lit(0).alias("none")))
-        schema = "_row struct<none:int>, ids array<int>, decoded string"
-        found = rows.mapInArrow(run, schema)
-        return found.select("ids", *(["decoded"] if decoded else []))
-    found = rows.mapInArrow(run, schema)
-    return found.select(*unpacked(found), "ids", *(["decoded"] if decoded else []))
+            made = [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "ids", "decoded"])
+
+    found = rows.mapInArrow(run, T.StructType(fields))
+    return found.select(*back, "ids", *(["decoded"] if decoded else []))
 
 
 def decode(frame: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:

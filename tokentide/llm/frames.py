@@ -16,23 +16,16 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def others(df: DataFrame, added: Iterable[str]) -> list[Column]:
-    """The columns of ``df`` that no added one replaces; names compare without case."""
-    taken = {name.lower() for name in added}
-    return [column(name) for name in df.columns if name.lower() not in taken]
-
-
-def packed(df: DataFrame, added: Iterable[str], name: str = "_row") -> Column:
-    """The columns of ``df`` that no added one replaces, as one struct (null if there are none)."""
-    kept = others(df, added)
-    return (F.struct(*kept) if kept else F.lit(None)).alias(name)
+def carried(df: DataFrame, added: Iterable[str]) -> tuple[list[Column], list[Column]]:
+    """The columns of ``df`` that no added one replaces, under names nobody uses, and back again.
 
-
-def unpacked(df: DataFrame, name: str = "_row") -> list[Column]:
-    """The fields that ``packed`` put away, as columns again."""
-    kind = df.schema[name].dataType
-    fields = kind.fieldNames() if hasattr(kind, "fieldNames") else []
-    return [F.col(name).getField(field).alias(field) for field in fields]
+    Names compare without case. The columns stay columns, so those that the caller of an
+    operator never reads are pruned before any shuffle.
+    """
+    taken = {name.lower() for name in added}
+    kept = [name for name in df.columns if name.lower() not in taken]
+    away = [column(name).alias(f"_in{at}") for at, name in enumerate(kept)]
+    return away, [F.col(f"_in{at}").alias(name) for at, name in enumerate(kept)]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -18,9 +18,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tokentide.llm.frames import column, packed, slices, unpacked
+from tokentide.llm.frames import carried, column, slices
 from tokentide.session import ship_package
 
 BUCKETS = 1 << 16
@@ -207,9 +207,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     spark = ship_package(docs.sparkSession)
     shared = spark.sparkContext.broadcast((model.languages, model.logs))
     added = ["lang_pred", "score", "languages"]
-    rows = docs.select(packed(docs, added), F.coalesce(column(text), F.lit("")).alias("_text"))
-    if rows.schema["_row"].dataType.simpleString() == "void":
-        rows = rows.withColumn("_row", F.struct(F.lit(0).alias("_none")))
+    away, back = carried(docs, added)
+    rows = docs.select(*away, F.coalesce(column(text), F.lit("")).alias("_text"))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +221,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 order = [at for at in np.argsort(-row, kind="stable").tolist() if row[at] > 0]
                 told.append([{"lang": learned.languages[at], "share": float(row[at])} for at in order])
             arrays = [
-                batch.column("_row"),
+                *batch.columns[:-1],
                 pa.array([row[0]["lang"] if row else UNDETERMINED for row in told], pa.string()),
                 pa.array([min(row[0]["share"], 1.0) if row else 0.0 for row in told], pa.float64()),
                 pa.array(told, kind),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["_row", *added])
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], *added])
 
-    schema = (
-        f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double,"
-        " languages array<struct<lang:string,share:double>>"
-    )
-    found = rows.mapInArrow(run, schema)
-    return found.select(*[field for field in unpacked(found)], *added).drop("_none")
+    languages = T.ArrayType(T.StructType().add("lang", "string").add("share", "double"))
+    made = T.StructType().add("lang_pred", "string").add("score", "double").add("languages", languages)
+    found = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *made.fields]))
+    return found.select(*back, *added)

@@ -16,7 +16,7 @@ from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tokentide.llm.frames import column, packed, unpacked
+from tokentide.llm.frames import carried, column
 
 WHITE = r"\x20\x09-\x0D"
 # Fixed odd primes; a shard of fewer blocks than the prime is walked once by its multiples.
@@ -202,8 +202,9 @@ def mix(
     # A key with an order: "0" before each name puts null, "1", last.
     src = F.when(column(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), column(source).cast("string")))
     added = [*ADDED, *(["texts"] if texts else [])]
+    away, back = carried(docs, added)
     rows = docs.select(
-        packed(docs, added),
+        *away,
         column(key).alias("_key"),
         src.alias("_src"),
         (_number(key_text) % shards).alias("_shard"),
@@ -243,4 +244,4 @@ def mix(
         result = result.withColumn(
             "texts", F.when(F.col("taken") == 0, none).otherwise(F.filter(copies, lambda one: one != ""))
         )
-    return result.select(*unpacked(result), *[F.col(name) for name in added])
+    return result.select(*back, *added)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokentide.llm.frames import column, packed, slices, unpacked
+from tokentide.llm.frames import carried, column, slices
 from tokentide.session import materialize, ship_package
 
 # Words a worker remembers in each of two generations, and the longest it remembers.
@@ -186,13 +186,15 @@ def count_tokens(
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(folder)
 
     added = ["n_bytes", "n_tokens", "over_limit"]
+    away, back = carried(docs, added)
     rows = docs.select(
-        packed(docs, added),
+        *away,
         F.octet_length(F.coalesce(column(text), F.lit(""))).cast("long").alias("n_bytes"),
-        digest.alias("content"),
+        digest.alias("_content"),
     )
     # Written out, so that the join reads two plain shuffles, of which Spark can split a hot text.
-    counted = rows.join(materialize(_stored(spark, folder), "counts"), "content")
+    counts = materialize(_stored(spark, folder), "counts").withColumnRenamed("content", "_content")
+    counted = rows.join(counts, "_content")
     return counted.select(
-        *unpacked(counted), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
+        *back, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
