@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokentide.llm import bpe, chat_format, fingerprints, language, mix, token_counts, top_k, warc
+from tokentide.llm import bpe, chat_format, fingerprints, language, mix, near_dedup, token_counts, top_k, warc
 from tokentide.llm.registry import query
 from tokentide.session import scratch_path
 
@@ -108,6 +108,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(docs, MIX_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents, confirmed on full shingle sets."""
+    return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text they decode to, as counts and digests."""
