@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokentide.llm import bpe, chat_format, fingerprints, language, mix, near_dedup, token_counts, top_k, warc
+from tokentide.llm import bpe, chat_format, fingerprints, language, licenses, mix, near_dedup, token_counts, top_k, warc
 from tokentide.llm.registry import query
 from tokentide.session import scratch_path
 
@@ -127,6 +127,80 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_path() -> Column:
+    """A place for each document in a tree by source; every fiftieth is a licence file."""
+    number = F.coalesce(F.col("doc_id"), F.lit(-1))
+    folder = F.concat(F.coalesce(F.col("source"), F.lit("none")), F.lit("/part"), F.pmod(number, F.lit(7)))
+    top = F.coalesce(F.col("source"), F.lit("none"))
+    return (
+        F.when(F.pmod(number, F.lit(100)) == 0, F.concat(top, F.lit("/LICENSE."), number))
+        .when(F.pmod(number, F.lit(50)) == 0, F.concat(folder, F.lit("/LICENSE."), number))
+        .otherwise(F.concat(folder, F.lit("/"), number, F.lit(".txt")))
+    )
+
+
+def _license_sql() -> str:
+    names, weights, idf, other = licenses.template_weights(licenses.TEMPLATES)
+    entries = ",\n".join(
+        f"({at}, '{name}', '{term}', {weight!r}::DOUBLE)"
+        for at, (name, own) in enumerate(zip(names, weights, strict=True))
+        for term, weight in own.items()
+    )
+    common = ",\n".join(f"('{term}', {value!r}::DOUBLE)" for term, value in idf.items())
+    return rf"""
+WITH t(template, name, term, weight) AS (VALUES {entries}),
+idf(term, value) AS (VALUES {common}),
+placed AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'none') AS top,
+         coalesce(source, 'none') || '/part' || (((coalesce(doc_id, -1) % 7) + 7) % 7)::VARCHAR AS folder,
+         coalesce(doc_id, -1) AS number FROM documents),
+files AS (
+  SELECT doc_id, text,
+         CASE WHEN number % 100 = 0 THEN top || '/LICENSE.' || number
+              WHEN number % 50 = 0 THEN folder || '/LICENSE.' || number
+              ELSE folder || '/' || number || '.txt' END AS path,
+         CASE WHEN number % 100 = 0 THEN top ELSE folder END AS dir, number % 50 = 0 AS holder FROM placed),
+lines AS (SELECT doc_id, unnest(regexp_split_to_array(text, '
+||
+')) AS unit FROM files),
+units AS (
+  SELECT doc_id, row_number() OVER () AS id, unit FROM (
+    SELECT doc_id, unit FROM lines WHERE regexp_matches(unit, '(?i)licen[sc]e|copyright|spdx|all rights reserved')
+    UNION ALL SELECT doc_id, text FROM files WHERE holder)),
+terms AS (SELECT doc_id, id, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS term FROM units),
+counted AS (
+  SELECT doc_id, id, term, count(*) * coalesce(any_value(value), {other!r}::DOUBLE) AS weight
+  FROM terms LEFT JOIN idf USING (term) GROUP BY doc_id, id, term),
+lengths AS (SELECT doc_id, id, sqrt(sum(weight * weight)) AS length FROM counted GROUP BY doc_id, id),
+dots AS (
+  SELECT c.doc_id, c.id, t.template, any_value(t.name) AS name, sum(c.weight * t.weight) AS dot
+  FROM counted c JOIN t USING (term) GROUP BY c.doc_id, c.id, t.template),
+scored AS (SELECT doc_id, name, round(dot / length, 6) AS score FROM dots JOIN lengths USING (doc_id, id)),
+own AS (
+  SELECT doc_id, name, score FROM scored WHERE score >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name DESC) = 1),
+granted AS (
+  SELECT dir, name, score FROM own JOIN files USING (doc_id) WHERE holder
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, name DESC) = 1),
+inherited AS (
+  SELECT f.doc_id, g.dir, g.name, g.score FROM files f JOIN granted g ON f.dir = g.dir OR starts_with(f.dir, g.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(g.dir) DESC) = 1)
+SELECT f.doc_id, f.path, coalesce(o.name, i.name) AS license,
+       CASE WHEN o.name IS NOT NULL THEN 'file' ELSE i.dir END AS license_from,
+       coalesce(o.score, i.score) AS license_score
+FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN inherited i USING (doc_id)
+"""
+
+
+@query(_license_sql())
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files of a tree, their own or inherited."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    files = docs.select("doc_id", document_path().alias("path"), "text")
+    scanned = licenses.scan_licenses(files)
+    return scanned.select("doc_id", "path", "license", "license_from", "license_score")
+
+
 @query()
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from three quarters of the labelled documents."""
