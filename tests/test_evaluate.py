@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 import pytest
 
 from tokentide.operators import evaluate
@@ -104,13 +103,17 @@ def test_defects_only_up_to_the_limit(samples, responses):
     results = evaluate.score_responses(samples, evaluate.parse_responses(responses))
     assert evaluate.defects(results, most=4).count() == 4
     assert evaluate.defects(results, most=3).count() == 0
-    assert [r.row_id for r in evaluate.defects(results, most=1_000_000).collect()] == [1, 2, 3, 4]
-    with_small_top = evaluate.TOP_ROWS
-    evaluate.TOP_ROWS = 2
-    try:
-        assert evaluate.defects(results, most=4).count() == 4 and evaluate.defects(results, most=3).count() == 0
-    finally:
-        evaluate.TOP_ROWS = with_small_top
+    assert [r.row_id for r in evaluate.defects(results).collect()] == [1, 2, 3, 4]
+
+
+def test_one_result_per_sample(samples, rows):
+    again = rows(
+        [(0, 500, "busy"), (0, 200, body("Final Answer: [b]")), (0, 200, body("Final Answer: [a, b]")), (1, 500, "x"), (1, 429, "y")],
+        "row_id long, status int, body string",
+    )
+    results = {r.row_id: r for r in evaluate.score_responses(samples, evaluate.parse_responses(again)).collect()}
+    assert len(results) == 5 and results[0].predicted == ["a", "b"] and results[0].error is None
+    assert results[1].error == "status 429: y"
 
 
 def test_summaries_of_nothing(samples, responses):
@@ -125,11 +128,3 @@ def test_summaries_of_nothing(samples, responses):
 def test_type_filter_keeps_row_ids(samples):
     assert sorted(r.row_id for r in of_type(samples, "x").collect()) == [1, 3]
     assert of_type(samples).count() == 5
-
-
-def test_infer_runs_the_given_function(samples):
-    def call(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row_id": batch["row_id"], "status": 200, "body": "{}"})
-
-    found = evaluate.infer(evaluate.build_requests(samples, "m"), call, concurrency=3)
-    assert found.rdd.getNumPartitions() == 3 and found.count() == 5

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from tokentide.functions import answers, buckets, numbers, paths
 from tokentide.functions.tokenizers import (
-    _CJK_PUNCTUATION, PIECES, PRETOKENS, WORDS, Bytes, Chars, FileTokenizer, Pattern, special_token_total,
+    _CJK_PUNCTUATION, PIECES, PRETOKENS, WORDS, Bytes, Chars, Pattern, special_token_total,
 )
 from tokentide.operators.counting import token_count
-from tokentide.plans.sample_tokenizers import byte_pair_file, word_file
 from tokentide.schema import parse_dataset, parse_named, valid_tag
 
 
@@ -65,35 +64,6 @@ def test_pattern_without_declared_gaps(rows):
     assert values(frame, Pattern("x", "X|b+").count(F.col("t"))) == [3]
 
 
-@pytest.mark.parametrize("json", [word_file(), byte_pair_file(), byte_pair_file(merges=False)])
-def test_file_tokenizer_equals_direct_encoding(rows, json):
-    from tokenizers import Tokenizer
-
-    direct = Tokenizer.from_str(json)
-    texts = ["", "the thing and then", "  a\nb ", "你好 😀", "x " * 5000]
-    frame = rows([(text,) for text in texts], "t string").repartition(3)
-    found = dict(frame.select("t", FileTokenizer("f", json=json, step=2).count(F.col("t"))).collect())
-    assert found == {text: len(direct.encode(text, add_special_tokens=False).ids) for text in texts}
-
-
-def test_file_tokenizer_from_path_and_shipped_file(rows, tmp_path, monkeypatch):
-    path = tmp_path / "words.json"
-    path.write_text(word_file(), encoding="utf-8")
-    frame = rows([("a b c",), (None,)], "t string")
-    assert values(frame, token_count(F.col("t"), FileTokenizer("w", str(path)))) == [3, 0]
-    monkeypatch.setattr("tokentide.functions.tokenizers.BROADCAST_LIMIT", 10)
-    assert values(frame, token_count(F.col("t"), FileTokenizer("w", str(path)))) == [3, 0]
-
-
-def test_refused_text_counts_minus_one(rows):
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    strict = Tokenizer(models.WordLevel({"a": 0}, unk_token="missing"))
-    strict.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-    frame = rows([("a a",), ("a zzz",), ("a",)], "t string").coalesce(1)
-    assert values(frame, token_count(F.col("t"), FileTokenizer("s", json=strict.to_str()))) == [2, -1, 1]
-
-
 def test_special_tokens(rows):
     frame = rows([(10, 4)], "a int, b int")
     a, b = F.col("a"), F.col("b")

@@ -86,14 +86,6 @@ def test_category_frequency_and_ends(rows):
     ]
 
 
-@pytest.fixture(params=["small", "large"])
-def size(request, monkeypatch):
-    """Run a test in the way for small tables and in the way for large ones."""
-    if request.param == "large":
-        monkeypatch.setattr("tokentide.operators.ordering.SMALL_ROWS", -1)
-
-
-@pytest.mark.usefixtures("size")
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_position_with_one_group_holding_most_rows(rows, partitions):
     random.seed(partitions)
@@ -109,7 +101,6 @@ def test_position_with_one_group_holding_most_rows(rows, partitions):
     assert positions == list(range(3000))
 
 
-@pytest.mark.usefixtures("size")
 def test_exact_quantiles_equal_numpy(rows):
     random.seed(5)
     data = [(0.0 if random.random() < 0.4 else random.random(), random.randrange(10)) for _ in range(4000)]
@@ -123,7 +114,6 @@ def test_exact_quantiles_equal_numpy(rows):
     assert by_measure[("k", 0.5)] == np.median([k for _, k in data])
 
 
-@pytest.mark.usefixtures("size")
 def test_quantiles_of_known_values_and_nan_last(rows):
     frame = rows([(1.0,), (2.0,), (4.0,), (9.0,)], "x double")
     found = exact_quantiles(frame, {"x": (F.col("x"), [0.1, 0.25, 0.5])}).collect()
@@ -183,7 +173,6 @@ def test_fit_recovers_a_line_and_degenerate_inputs(rows):
     assert (slope, intercept) == (0, 4) and math.isnan(r2)
 
 
-@pytest.mark.usefixtures("size")
 def test_comparison_sections(rows):
     frame = items(rows, [(100, 120), (100, 90), (0, 0), (2000, 2000)])
     totals = compare.comparison_totals(frame, PAIR, [99, 100])
@@ -223,7 +212,6 @@ def test_group_totals_with_grand_total(rows):
     assert math.isnan(zero.first().B_ratio)
 
 
-@pytest.mark.usefixtures("size")
 def test_names_with_spaces_and_dots(rows):
     named = TokenizerSet.of(["A 4.1=a", "B 5.2=b"])
     a = rows([(0, 5), (1, 7)], "row_id long, tokens long")
@@ -240,3 +228,10 @@ def test_names_with_spaces_and_dots(rows):
     chunk = corpus.chunk_totals(items, named, 5).first()
     assert (chunk["A 4.1"], chunk["B 5.2"]) == (3, 4)
     assert corpus.details(items, named).count() == 2 and corpus.file_groups(items, named).count() == 1
+
+
+def test_quantiles_skip_nulls(rows):
+    frame = rows([(1.0,), (None,), (3.0,), (None,)], "x double")
+    found = {r.quantile: r.value for r in exact_quantiles(frame, {"x": (F.col("x"), [0.0, 0.5, 1.0])}).collect()}
+    assert found == {0.0: 1.0, 0.5: 2.0, 1.0: 3.0}
+    assert exact_quantiles(frame.where("x IS NULL"), {"x": (F.col("x"), [0.5])}).count() == 0

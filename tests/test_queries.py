@@ -28,19 +28,6 @@ def test_query_agrees_with_sql(spark, connection, name):
         assert len(found) > 0
 
 
-def test_rows_only_queries_equal_direct_encoding(spark):
-    from tokenizers import Tokenizer
-
-    from tokentide.plans.sample_tokenizers import byte_pair_file
-
-    direct = Tokenizer.from_str(byte_pair_file())
-    texts = dict(spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect())
-    found = queries()["count_by_pair_file"](spark, SF_DIR).collect()
-    assert {r.doc_id: r.pairs_input_tokens for r in found} == {
-        key: len(direct.encode(text, add_special_tokens=False).ids) for key, text in texts.items()
-    }
-
-
 def test_entry_has_rows(spark):
     assert entry(spark).count() > 0
 

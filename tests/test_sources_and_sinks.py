@@ -12,13 +12,14 @@ from tokentide.functions.paths import parent
 from tokentide.functions.tokenizers import WORDS, Bytes, Chars
 from tokentide.operators import corpus
 from tokentide.operators.align import TokenizerSet
-from tokentide.operators.evaluate import parse_responses, score_responses
+from tokentide.operators.evaluate import parse_responses, result_rows, score_responses
+from tokentide.operators.ordering import with_position
 from tokentide.plans import jobs
 from tokentide.session import materialize, scratch_path, start
 from tokentide.sinks.results import write_results
 from tokentide.sinks.tables import counted_path, read_band, write_split
 from tokentide.sources.samples import as_samples, first_samples, read_samples
-from tokentide.sources.tables import read_counts, with_row_id
+from tokentide.sources.tables import read_counts, tag_inputs, with_row_id
 from tokentide.sources.text_files import normal_extensions, normal_path, read_text_files
 
 
@@ -83,9 +84,7 @@ def test_invalid_utf8_names_the_file(spark, tmp_path):
         read_text_files(spark, str(tmp_path)).collect()
 
 
-@pytest.mark.parametrize("small", [-1, 1_000_000])
-def test_compare_text_files(spark, tree, monkeypatch, small):
-    monkeypatch.setattr("tokentide.operators.ordering.SMALL_ROWS", small)
+def test_compare_text_files(spark, tree):
     sections = jobs.compare_text_files(
         spark, tree, [WORDS, Bytes()], extensions=["md"], excludes=["out"], chunk_size=2
     )
@@ -129,6 +128,32 @@ def test_count_profile_compare_tables(spark, rows, tmp_path):
     assert [r.row_id for r in check["rows"].collect()] == [0, 1, 2, 3, 4, 45, 46, 47, 48, 49]
 
 
+def test_no_input_column_is_overwritten(spark, rows, tmp_path):
+    frame = rows([(1, "a"), (9, "c")], "n int, band string")
+    output = str(tmp_path / "s")
+    write_split(frame, "n", output, 5)
+    assert [tuple(r) for r in read_band(spark, output, "high").collect()] == [(9, "c")]
+    for taken in ("Row_Id", "input_id", "position", "split_side"):
+        table = rows([(1,)], f"{taken} int")
+        with pytest.raises(ValueError, match="already has"):
+            if taken == "Row_Id":
+                with_row_id(table)
+            elif taken == "input_id":
+                tag_inputs([table])
+            elif taken == "position":
+                with_position(table, ["position"])
+            else:
+                write_split(table, taken, output)
+
+
+def test_result_text_stays_on_one_line(rows):
+    samples = as_samples(rows([(0, "p", ["a"], "x\ny"), (1, "p", ["a"], "y")], "row_id long, prompt string, answer_nodes array<string>, problem_type string"))
+    broken = rows([(0, 200, '{"choices":[{"message":{"content":"a\\r\\nb\\rc"}}]}'), (1, 502, "<html>\r\n<body>\n")], "row_id long, status int, body string")
+    found = {r["index"]: r for r in result_rows(score_responses(samples, parse_responses(broken))).collect()}
+    assert found[0].response == "a b c" and found[0].problem_type == "x y"
+    assert found[1].error == "status 502: <html> <body> "
+
+
 def test_written_split(spark, rows, tmp_path):
     frame = rows([(1, "a"), (None, "b"), (9, "c")], "n int, x string")
     output = str(tmp_path / "s")

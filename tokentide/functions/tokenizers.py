@@ -119,70 +119,3 @@ def special_token_total(
         return count + markers
     return count + second + markers * (2 if wrap_second else 1)
 
-
-# Up to this size a tokenizer JSON is broadcast; a larger one is shipped as a file.
-BROADCAST_LIMIT = 64 << 20
-
-
-@lru_cache(maxsize=8)
-def _load(key: str, text: str | None) -> object:
-    """The tokenizer of one JSON, built once per Python worker."""
-    from tokenizers import Tokenizer as Encoder
-
-    return Encoder.from_str(text) if text is not None else Encoder.from_file(SparkFiles.get(key))
-
-
-def _encoded_lengths(encoder: object, texts: list[str]) -> list[int]:
-    """Token counts; a text the encoder refuses counts -1 and does not affect others."""
-    try:
-        return [len(encoding.ids) for encoding in encoder.encode_batch_fast(texts, add_special_tokens=False)]
-    except Exception:
-        if len(texts) == 1:
-            return [-1]
-        return [length for text in texts for length in _encoded_lengths(encoder, [text])]
-
-
-@dataclass(frozen=True)
-class FileTokenizer:
-    """A tokenizer JSON, applied with no special tokens added.
-
-    The encoder runs in a pandas UDF. Spark supplies the parallelism, so the encoder's
-    own threads are off; texts are encoded ``step`` at a time to bound the memory of
-    one call. Several file tokenizers on one column share one pass to Python.
-    """
-
-    name: str
-    path: str | None = None
-    json: str | None = field(default=None, repr=False)
-    step: int = 32
-
-    def __post_init__(self) -> None:
-        if (self.path is None) == (self.json is None):
-            raise ValueError("give either the path or the JSON text of a tokenizer")
-
-    def count(self, text: Column) -> Column:
-        spark = ship_package(SparkSession.active())
-        step, shared, key = self.step, None, ""
-        if self.path is not None and os.path.getsize(self.path) > BROADCAST_LIMIT:
-            spark.sparkContext.addFile(self.path)
-            key = os.path.basename(self.path)
-        else:
-            content = self.json
-            if content is None:
-                with open(self.path, encoding="utf-8") as source:
-                    content = source.read()
-            if len(content) > BROADCAST_LIMIT:
-                raise ValueError("pass a tokenizer of this size by path")
-            key = f"{self.name}:{hash(content)}"
-            shared = spark.sparkContext.broadcast(content)
-
-        @F.pandas_udf("int")
-        def encoded_length(texts: pd.Series) -> pd.Series:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            encoder = _load(key, shared.value if shared is not None else None)
-            lengths: list[int] = []
-            for start in range(0, len(texts), step):
-                lengths += _encoded_lengths(encoder, texts.iloc[start : start + step].tolist())
-            return pd.Series(lengths, dtype="int32")
-
-        return encoded_length(text)

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tokentide.functions.answers import EXACT_F1, final_answer, set_score
 from tokentide.functions.chat import chat_request, parsed_response, read_response
 from tokentide.functions.numbers import fixed4
-from tokentide.operators.ordering import TOP_ROWS
-from tokentide.session import ship_package
 
-# The F1 ranges by their exclusive upper bound, and the most defects shown.
+# The F1 ranges by their exclusive upper bound.
 F1_RANGES = (("= 0", 0.001), ("(0, 0.5)", 0.5), ("[0.5, 0.8)", 0.8), ("[0.8, 1.0)", EXACT_F1), ("= 1.0", None))
-MOST_DEFECTS = 50
 
 
 def build_requests(
@@ -25,26 +19,6 @@ def build_requests(
     return samples.select("row_id", chat_request(F.col("prompt"), model, effort, stream).alias("request"))
 
 
-def infer(
-    requests: DataFrame,
-    call: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: str = "row_id long, status int, body string",
-    concurrency: int | None = None,
-) -> DataFrame:
-    """Run the caller's model function over batches of requests.
-
-    As many calls run at once as there are partitions, set by ``concurrency``.
-    """
-    ship_package(requests.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield call(batch)
-
-    spread = requests if concurrency is None else requests.repartition(concurrency, "row_id")
-    return spread.mapInPandas(run, schema)
-
-
 def parse_responses(responses: DataFrame) -> DataFrame:
     """(row_id, content, reasoning, usage, error) of rows (row_id, status, body)."""
     parsed = responses.withColumn("_parsed", parsed_response(F.col("body")))
@@ -56,13 +30,20 @@ def score_responses(samples: DataFrame, parsed: DataFrame) -> DataFrame:
     """Evaluation results: every sample with its response, extracted set and scores.
 
     A sample without a response, or with a failed one, has an error, an empty
-    prediction and zero scores. The prompt takes no part, so it is not shuffled.
+    prediction and zero scores. Of several responses to one sample one counts: a good
+    one before a failed one, then the first by its content. The prompt takes no part,
+    so it is not shuffled.
     """
-    return _scored(_unprompted(samples).join(parsed, "row_id", "left"))
+    first = W.partitionBy("row_id").orderBy(F.col("error").isNotNull(), "content", "error", "reasoning")
+    chosen = parsed.withColumn("_choice", F.row_number().over(first)).where("_choice = 1").drop("_choice")
+    return _scored(_unprompted(samples).join(chosen, "row_id", "left"))
 
 
 def score_arrivals(samples: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Evaluation results of the responses that have arrived, for a stream of them."""
+    """Evaluation results of the responses that have arrived, for a stream of them.
+
+    Every response that arrives is a result, a second one to the same sample too.
+    """
     return _scored(parsed.join(_unprompted(samples), "row_id"))
 
 
@@ -154,12 +135,14 @@ def f1_by_type(results: DataFrame) -> DataFrame:
     )
 
 
-def defects(results: DataFrame, most: int = MOST_DEFECTS) -> DataFrame:
-    """Errors and inexact results in row order, or none at all if there are more than ``most``."""
+def defects(results: DataFrame, most: int | None = None) -> DataFrame:
+    """Errors and inexact results in row order.
+
+    With ``most``, a limit of a short listing, none at all if there are more than that.
+    """
     wrong = results.where(F.col("error").isNotNull() | (F.col("f1") < EXACT_F1))
-    if most > TOP_ROWS:
-        total = wrong.agg(F.count(F.lit(1))).scalar()
-        return wrong.where(total <= most).orderBy("row_id")
+    if most is None:
+        return wrong.orderBy("row_id")
     # One row more than is shown tells whether there are too many.
     head = wrong.orderBy("row_id").limit(most + 1)
     counted = head.withColumn("_shown", F.count(F.lit(1)).over(W.partitionBy()))
@@ -187,11 +170,11 @@ def with_average(totals: DataFrame) -> DataFrame:
 def result_rows(results: DataFrame) -> DataFrame:
     """The 17 columns of the result file: formatted scores, joined sets, defaults filled in."""
 
-    def one_line(name: str):
-        return F.replace(name, F.lit("\n"), F.lit(" "))
+    def one_line(text: str | Column):
+        return F.regexp_replace(text, "\r\n|\r|\n", " ")
 
     def joined(name: str):
-        return F.nullif(F.array_join(F.sort_array(name), ";"), F.lit(""))
+        return one_line(F.nullif(F.array_join(F.sort_array(name), ";"), F.lit("")))
 
     zero = F.lit(0).cast("long")
     usage = {
@@ -204,9 +187,9 @@ def result_rows(results: DataFrame) -> DataFrame:
     }
     return results.select(
         F.col("row_id").alias("index"),
-        "problem_type",
+        one_line("problem_type").alias("problem_type"),
         *[fixed4(F.col(name)).alias(name) for name in ("recall", "precision", "f1")],
-        "error",
+        one_line("error").alias("error"),
         one_line("response").alias("response"),
         one_line("reasoning").alias("reasoning_content"),
         joined("predicted").alias("predicted"),

@@ -1,10 +1,10 @@
 """Positions and exact quantiles that never gather a group in one task.
 
 A plain ``row_number`` over a group, or ``percentile`` over a column, puts a whole
-group in one task. That is only done for a table counted to have few rows. Otherwise
-the rows are sorted over range partitions, one small row per partition and group
-carries the running total, and only those are summed in a window. A group holding
-most of the table is spread like any other.
+group in one task. Here rows are sorted over range partitions, one small row per
+partition and group carries the running total, and only those are summed in a window.
+A group holding most of the table is spread like any other, and a table of any size
+takes the same way.
 """
 
 from __future__ import annotations
@@ -13,12 +13,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tokentide.schema import require_absent
 from tokentide.session import materialize
 
-# Up to this many rows a whole table may be one group of a task.
-SMALL_ROWS = 1_000_000
-# Up to this many first rows are picked by a top-k, which gathers them in one task.
-TOP_ROWS = 10_000
 _FIRST_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -61,13 +58,10 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row in its group under a total order.
 
-    Rows are counted and sorting samples its input, so ``df`` is read more than once:
-    materialize it before if it is costly to compute (token counts, say).
+    All columns of ``df`` are sorted and written once, so pass keys rather than texts.
+    Sorting samples its input: materialize ``df`` before if it is costly to compute.
     """
-    if df.count() <= SMALL_ROWS:
-        keyed, keys = _with_keys(df, order)
-        number = F.row_number().over(W.partitionBy(*groups).orderBy(*keys))
-        return keyed.withColumn(name, number.cast("long") - 1).drop(*keys)
+    require_absent(df, [name])
     rows = _sorted_blocks(df, groups, order)
     blocks = rows.groupBy(*groups, "_block").agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")
@@ -87,12 +81,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles of several measures as (measure, quantile, value).
 
-    The value at ``q`` interpolates linearly at rank ``q * (n - 1)``; NaN sorts last.
-    Equal values are counted before the sort, and only the blocks that hold a wanted
-    rank are read again.
+    The value at ``q`` interpolates linearly at rank ``q * (n - 1)`` of the values that
+    are not null; NaN sorts last. Equal values are counted before the sort, and only the
+    blocks that hold a wanted rank are read again. A measure without values has no row.
     """
-    if df.count() <= SMALL_ROWS:
-        return _small_quantiles(df, measures)
     stacked = df.select(
         F.explode(
             F.array(
@@ -103,7 +95,7 @@ def exact_quantiles(
             )
         ).alias("m")
     ).select("m.*")
-    counted = stacked.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = stacked.where(F.col("value").isNotNull()).groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n"))
     rows = _sorted_blocks(counted, ["measure"], ["value"])
     totals = rows.groupBy("measure", "_block").agg(F.sum("n").alias("_rows"))
     earlier = W.partitionBy("measure").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
@@ -151,26 +143,3 @@ def exact_quantiles(
         )
     )
 
-
-def _small_quantiles(
-    df: DataFrame, measures: Mapping[str, tuple[Column, Sequence[float]]]
-) -> DataFrame:
-    """The same quantiles from one aggregate, for a table of few rows."""
-    found = df.agg(
-        *[
-            F.percentile(column.cast("double"), [float(q) for q in quantiles]).alias(f"_{i}")
-            for i, (column, quantiles) in enumerate(measures.values())
-        ]
-    )
-    entries = [
-        F.struct(
-            F.lit(name).alias("measure"),
-            F.lit(float(q)).alias("quantile"),
-            F.get(f"_{i}", F.lit(at)).alias("value"),
-        )
-        for i, (name, (_, quantiles)) in enumerate(measures.items())
-        for at, q in enumerate(quantiles)
-    ]
-    return (
-        found.select(F.explode(F.array(*entries)).alias("q")).select("q.*").where(F.col("value").isNotNull())
-    )

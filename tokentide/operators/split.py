@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tokentide.functions.buckets import LONG_CONTEXT
-from tokentide.schema import require_columns
+from tokentide.schema import require_absent, require_columns
 
 LOW, HIGH = "low", "high"
 
@@ -20,6 +20,7 @@ def with_band(
 ) -> DataFrame:
     """All columns plus the side of the split."""
     require_columns(df, [tokens])
+    require_absent(df, [name])
     return df.withColumn(name, F.when(within(F.col(tokens), threshold), LOW).otherwise(HIGH))
 
 

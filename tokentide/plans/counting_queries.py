@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokentide.functions.buckets import Range
-from tokentide.functions.tokenizers import PIECES, PRETOKENS, FileTokenizer, special_token_total
+from tokentide.functions.tokenizers import PIECES, PRETOKENS, special_token_total
 from tokentide.operators.counting import count_tokens, count_with_all
 from tokentide.operators.profile import category_frequency, head_and_tail, token_histogram, token_profile
 from tokentide.operators.split import split, with_band
@@ -13,7 +13,6 @@ from tokentide.plans.inputs import (
     COUNTS_SQL, ITEMS_SQL, TOKENIZERS, conversations, documents, items,
 )
 from tokentide.plans.registry import query
-from tokentide.plans.sample_tokenizers import byte_pair_file, word_file
 from tokentide.session import scratch_path
 from tokentide.sinks.tables import read_band, write_split
 from tokentide.sources.tables import read_counts, tag_inputs, with_row_id
@@ -58,10 +57,10 @@ FROM rows GROUP BY GROUPING SETS ((), (input_id), ("group"), (input_id, "group")
 @query(
     f"""WITH counted AS (SELECT *, {COUNTS_SQL} FROM documents)
 SELECT doc_id, lang, source, n_chars, CAST(pieces AS INTEGER) AS pieces_input_tokens,
-  pieces > 1000000 AS pieces_over_1m FROM counted"""
+  pieces > 400 AS pieces_over_1m FROM counted"""
 )
 def count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(documents(spark, sf_dir), "text", PIECES, "pieces").drop("text")
+    return count_tokens(documents(spark, sf_dir), "text", PIECES, "pieces", limit=400).drop("text")
 
 
 @query(f"SELECT doc_id, {COUNTS_SQL} FROM documents")
@@ -74,27 +73,6 @@ def count_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_with_all(conversations(spark, sf_dir), "text", TOKENIZERS).drop("text")
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS INTEGER) AS words_input_tokens,"
-       " len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 1000 AS words_over_1m FROM documents")
-def count_by_word_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = FileTokenizer("words", json=word_file())
-    rows = documents(spark, sf_dir).select("doc_id", "text")
-    return count_tokens(rows, "text", tokenizer, "words", limit=1_000).drop("text")
-
-
-@query("SELECT doc_id, CAST(strlen(text) AS INTEGER) AS bytes_input_tokens, strlen(text) > 1000000 AS bytes_over_1m"
-       " FROM documents")
-def count_by_byte_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = FileTokenizer("bytes", json=byte_pair_file(merges=False))
-    return count_tokens(documents(spark, sf_dir).select("doc_id", "text"), "text", tokenizer, "bytes").drop("text")
-
-
-@query()
-def count_by_pair_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = FileTokenizer("pairs", json=byte_pair_file())
-    return count_tokens(documents(spark, sf_dir).select("doc_id", "text"), "text", tokenizer, "pairs").drop("text")
-
-
 @query()
 def count_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", "text")

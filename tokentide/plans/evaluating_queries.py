@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tokentide.functions.answers import final_answer
-from tokentide.functions.numbers import per_second
 from tokentide.operators import evaluate
 from tokentide.plans.inputs import RESPONSES_SQL, documents, response_text, responses, samples
 from tokentide.plans.registry import query
@@ -130,30 +128,24 @@ def f1_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.f1_by_type(results(spark, sf_dir)).withColumn("mean_f1", F.round("mean_f1", 6))
 
 
-def _defects_sql(most: int) -> str:
-    return RESPONSES_SQL + f""", wrong AS (SELECT row_id, f1, coalesce(error, '') AS error FROM results WHERE failed OR f1 < 0.999)
-SELECT * FROM wrong WHERE (SELECT count(*) FROM wrong) <= {most}"""
+_DEFECTS_SQL = RESPONSES_SQL + """, wrong AS (SELECT row_id, f1, coalesce(error, '') AS error FROM results WHERE failed OR f1 < 0.999)
+SELECT * FROM wrong"""
 
 
-@query(_defects_sql(50))
-def eval_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluate.defects(results(spark, sf_dir))
+def _listed(found: DataFrame) -> DataFrame:
     return found.select("row_id", "f1", F.coalesce("error", F.lit("")).alias("error"))
 
 
-@query(_defects_sql(1_000_000))
-def eval_defects_raised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listing with its limit raised above the number of defects."""
-    found = evaluate.defects(results(spark, sf_dir), most=1_000_000)
-    return found.select("row_id", "f1", F.coalesce("error", F.lit("")).alias("error"))
+@query(_DEFECTS_SQL)
+def eval_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect, in row order."""
+    return _listed(evaluate.defects(results(spark, sf_dir)))
 
 
-@query(_defects_sql(1_000_000))
-def eval_all_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluate.failed(results(spark, sf_dir)).unionByName(
-        evaluate.succeeded(results(spark, sf_dir)).where(F.col("f1") < 0.999)
-    )
-    return found.select("row_id", "f1", F.coalesce("error", F.lit("")).alias("error"))
+@query(_DEFECTS_SQL + " WHERE (SELECT count(*) FROM wrong) <= 1000000")
+def eval_defects_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short listing, with a limit above the number of defects."""
+    return _listed(evaluate.defects(results(spark, sf_dir), most=1_000_000))
 
 
 @query(
@@ -189,31 +181,3 @@ def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = results(spark, sf_dir)
     write_results(scored, output)
     return read_result_file(spark, output, evaluate.result_rows(scored).schema)
-
-
-@query(
-    """SELECT doc_id AS row_id, text AS content, CAST(length(text) AS BIGINT) AS completion_tokens,
-  length(text)::DOUBLE / 4 AS tokens_per_second FROM documents"""
-)
-def infer_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests answered by a caller's function, here one that echoes the prompt."""
-
-    def echo(batch: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        bodies = []
-        for request in batch["request"]:
-            prompt = json.loads(request)["messages"][0]["content"]
-            usage = {"prompt_tokens": 1, "completion_tokens": len(prompt), "total_tokens": len(prompt) + 1}
-            bodies.append(json.dumps({"choices": [{"message": {"content": prompt}}], "usage": usage}))
-        return pd.DataFrame({"row_id": batch["row_id"], "status": 200, "body": bodies})
-
-    requests = evaluate.build_requests(_samples(spark, sf_dir), "echo")
-    parsed = evaluate.parse_responses(evaluate.infer(requests, echo))
-    tokens = F.col("usage.completion_tokens")
-    return parsed.select(
-        "row_id",
-        "content",
-        tokens.alias("completion_tokens"),
-        per_second(tokens, F.lit(4.0)).alias("tokens_per_second"),
-    )

@@ -19,12 +19,22 @@ LIMITS = (250, 500, 1_000, 2_000)
 BOUNDS = (250, 500, 1_000, 2_000, 4_000)
 
 
+# Session setting by which a caller asks for text tables to be dealt to so many partitions.
+PARTITIONS = "tokentide.input.partitions"
+
+
+def dealt(spark: SparkSession) -> int | None:
+    """The number of partitions the caller asked for; none means as the files lie."""
+    number = spark.conf.get(PARTITIONS, None)
+    return None if number is None else int(number)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/documents.parquet", spread_by=["doc_id"])
+    return read_table(spark, f"{sf_dir}/documents.parquet", dealt(spark), ["doc_id"])
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/conversations.parquet", spread_by=["conv_id", "turn"])
+    return read_table(spark, f"{sf_dir}/conversations.parquet", dealt(spark), ["conv_id", "turn"])
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
 
 def require_absent(df: DataFrame, columns: Iterable[str]) -> None:
     """Fail when a column that is about to be added exists."""
-    present = [name for name in columns if name in df.columns]
+    held = {name.lower() for name in df.columns}
+    present = [name for name in columns if name.lower() in held]
     if present:
         raise ValueError(f"input already has columns {present}")
 

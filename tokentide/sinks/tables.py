@@ -12,6 +12,8 @@ from tokentide.operators.counting import count_tokens
 from tokentide.operators.split import HIGH, LOW, with_band
 from tokentide.schema import valid_tag
 
+SIDE = "split_side"  # partition column of a written split
+
 
 def counted_path(path: str, tag: str) -> str:
     """``{stem}.{tag}_tokens.parquet`` beside the input."""
@@ -33,19 +35,19 @@ def write_split(
 ) -> dict[str, int]:
     """Write both sides of a split below ``output`` in one pass; returns rows per side.
 
-    The sides are ``band=low`` and ``band=high`` with the input's columns. A side
-    without rows is an empty table. The counts come from the written files' footers.
+    The sides are ``split_side=low`` and ``split_side=high`` with the input's columns,
+    none of which may be called split_side. A side without rows is an empty table. The counts come from the written files' footers.
     """
     spark = df.sparkSession
-    with_band(df, tokens, threshold).write.partitionBy("band").parquet(output)
-    found = spark.read.schema("band string").parquet(output).groupBy("band").count()
-    rows = {LOW: 0, HIGH: 0} | {row["band"]: row["count"] for row in found.collect()}
-    for band, count in rows.items():
+    with_band(df, tokens, threshold, SIDE).write.partitionBy(SIDE).parquet(output)
+    found = spark.read.schema(f"{SIDE} string").parquet(output).groupBy(SIDE).count()
+    rows = {LOW: 0, HIGH: 0} | {row[SIDE]: row["count"] for row in found.collect()}
+    for side, count in rows.items():
         if count == 0:
-            df.where(F.lit(False)).write.parquet(f"{output}/band={band}")
+            df.where(F.lit(False)).write.parquet(f"{output}/{SIDE}={side}")
     return rows
 
 
 def read_band(spark: SparkSession, output: str, band: str) -> DataFrame:
     """One side of a written split, with the input's columns only."""
-    return spark.read.parquet(f"{output}/band={band}")
+    return spark.read.parquet(f"{output}/{SIDE}={band}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tokentide.functions.answers import as_set
-from tokentide.operators.ordering import TOP_ROWS, with_position
+from tokentide.operators.ordering import with_position
 from tokentide.schema import require_type
 from tokentide.sources.tables import with_row_id
 
@@ -53,9 +53,10 @@ def of_type(samples: DataFrame, problem_type: str = "all") -> DataFrame:
 
 
 def first_samples(samples: DataFrame, count: int) -> DataFrame:
-    """The first ``count`` samples in row order, of samples that may be filtered."""
-    if count <= TOP_ROWS:
-        return samples.orderBy("row_id").limit(count)
+    """The first ``count`` samples in row order, of samples that may be filtered.
+
+    Row ids alone are placed and chosen; prompts join them without being gathered.
+    """
     placed = with_position(samples.select("row_id"), ["row_id"])
     chosen = placed.where(F.col("position") < count).select("row_id")
     return samples.join(chosen, "row_id", "left_semi")

@@ -6,35 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from tokentide.schema import checked_count, checked_label, require_type
+from tokentide.schema import checked_count, checked_label, require_absent, require_type
 from tokentide.session import materialize
 
 
-def read_table(spark: SparkSession, path: str, spread_by: Sequence[str] = ()) -> DataFrame:
-    """A parquet table with all its columns.
+def read_table(
+    spark: SparkSession, path: str, partitions: int | None = None, key: Sequence[str] = ()
+) -> DataFrame:
+    """A parquet table with all its columns, read as it lies.
 
-    With ``spread_by``, an input of fewer splits than there are cores is spread over
-    the cores by these columns (a unique key) before heavy per-row work; a larger one
-    is read as it lies, without a shuffle.
+    Only if the caller gives a number of ``partitions`` are its rows dealt to so many by
+    ``key`` (a unique key): for files of fewer splits than there are cores. Splits
+    themselves are set by ``spark.sql.files.maxPartitionBytes``.
     """
     table = spark.read.parquet(path)
-    return spread(table, *spread_by) if spread_by else table
-
-
-def spread(table: DataFrame, *key: str) -> DataFrame:
-    """Repartition a scan by a unique key, but only when it cannot occupy the cores.
-
-    Two partitions per core even out long and short texts. Called on a plain scan,
-    where asking for the number of splits runs no job.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
-        return table
-    return table.repartition(2 * cores, *key)
+    return table if partitions is None else table.repartition(partitions, *key)
 
 
-# Up to this many files the per-file offsets (path and one number) are broadcast.
-BROADCAST_FILES = 500_000
+# One (hash, offset) of 16 bytes per file is broadcast; beyond so many files use a carried key.
+MOST_FILES = 20_000_000
 
 
 def with_row_id(table: DataFrame, name: str = "row_id") -> DataFrame:
@@ -42,23 +32,29 @@ def with_row_id(table: DataFrame, name: str = "row_id") -> DataFrame:
 
     The position is the row's index in its own file plus the rows of the files before
     it by path. Counting rows per file reads no column data, and only one number per
-    file goes through the running sum.
+    file goes through the running sum. Files are matched by a 64-bit hash of their path,
+    whose uniqueness is checked.
     """
-    file, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    require_absent(table, [name])
+    file, index = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
     counts = materialize(
-        table.select(file.alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_rows")),
+        table.select(F.col("_metadata.file_path").alias("_path"))
+        .groupBy("_path")
+        .agg(F.count(F.lit(1)).alias("_rows")),
         "file-rows",
     )
-    files = counts.count()
-    if files <= 1:
-        return table.select("*", index.alias(name))
-    before = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    if files <= BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
+    files, hashes = counts.agg(F.count(F.lit(1)), F.count_distinct(F.xxhash64("_path"))).first()
+    if files != hashes:
+        raise ValueError("two file paths have the same hash; use a carried key")
+    if files > MOST_FILES:
+        raise ValueError(f"{files} files are too many to number; use a carried key")
+    before = W.orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.xxhash64("_path").alias("_file"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    )
     return (
         table.select("*", file.alias("_file"), index.alias("_index"))
-        .join(offsets, "_file")
+        .join(F.broadcast(offsets), "_file")
         .withColumn(name, F.col("_before") + F.col("_index"))
         .drop("_file", "_index", "_before")
     )
@@ -71,6 +67,8 @@ def tag_inputs(inputs: Sequence[DataFrame], name: str = "input_id") -> DataFrame
     """
     if not inputs:
         raise ValueError("no inputs")
+    for frame in inputs:
+        require_absent(frame, [name])
     tagged = [frame.withColumn(name, F.lit(index)) for index, frame in enumerate(inputs)]
     union = tagged[0]
     for frame in tagged[1:]:
