@@ -65,6 +65,11 @@ def test_request_json(samples):
         (200, '{"choices": [{}]}', "no choices"),
         (200, body("x", {"prompt_tokens": 1, "total_tokens": 2}), "usage"),
         (200, body("x", {**USAGE, "prompt_tokens": "many"}), "not valid"),
+        (200, body("x") + " trailing", "not valid"),
+        (200, body("x") + body("y"), "not valid"),
+        (200, "{'choices': [{'message': {'content': 'x'}}]}", "not valid"),
+        (200, body(3), "not valid"),
+        (200, body("x", reasoning_content=["y"]), "not valid"),
     ],
 )
 def test_response_errors(rows, status, text, error):

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tokentide.plans.stream_queries import _drain, _flat
 from tokentide.session import scratch_path
-from tokentide.streaming.assemble import assemble, assemble_stream
-from tokentide.streaming.rates import active_requests, live_rate, live_rate_stream
+from tokentide.streaming.assemble import _see, as_responses, assemble, assemble_stream
+from tokentide.streaming.rates import active_requests, active_states, live_rate, live_rate_stream, request_states
 from tokentide.streaming.totals import running_totals
 
 
@@ -97,6 +97,52 @@ def test_idle_sample_is_emitted_as_it_is(spark, rows):
     assert found == {1: ("part", None, None), 2: ("", None, None)}
 
 
+def timed(rows, data, start=1_700_000_000):
+    """Lines (sample, seq, line) with a second between them."""
+    frame = rows(data, "sample_index long, seq long, line string")
+    return frame.withColumn("ts", F.timestamp_seconds(F.lit(start) + F.col("seq")))
+
+
+def test_lines_after_the_end_do_not_begin_a_sample_anew(spark, rows):
+    frames = [
+        timed(rows, [(1, 0, chunk({"content": "a"})), (1, 1, "data: [DONE]")]),
+        timed(rows, [(1, 2, "")]),
+        timed(rows, [(1, 2, ""), (2, 0, "data: [DONE]")], 1_700_009_000),
+        timed(rows, [(3, 0, "data: [DONE]")], 1_700_099_000),
+    ]
+    found = _drain(assemble_stream(stream_of(spark, frames), late="1 minute", idle="1 hour"), "after").collect()
+    assert sorted((r.sample_index, r.content) for r in found) == [(1, "a"), (2, ""), (3, "")]
+
+
+def test_a_line_that_comes_again_does_not_complete_a_sample(spark, rows):
+    frames = [
+        timed(rows, [(1, 0, chunk({"content": "a"})), (1, 2, "data: [DONE]"), (1, 0, chunk({"content": "a"}))]),
+        timed(rows, [(1, 0, chunk({"content": "a"}))]),
+        timed(rows, [(1, 1, chunk({"content": "b"}))]),
+    ]
+    assert shown(_drain(assemble_stream(stream_of(spark, frames)), "again")) == {1: ("ab", None, None)}
+
+
+def test_seen_ranges_join():
+    seen, order = [], list(range(40)) * 2
+    random.Random(5).shuffle(order)
+    assert sum(_see(seen, seq) for seq in order) == 40 and seen == [0, 40]
+
+
+def test_bad_usage_is_an_error_row(spark, rows):
+    bad = {"total_tokens": 5, "completion_tokens": 1}
+    data = {
+        1: [chunk({"content": "x"}, usage=bad), "data: [DONE]"],
+        2: [chunk({"content": "y"}, usage=total(3)), "data: [DONE]", chunk({}, usage=bad)],
+    }
+    batch = as_responses(assemble(lines_of(rows, data)))
+    stream = assemble_stream(stream_of(spark, [timed(rows, [(k, i, x) for k, ls in data.items() for i, x in enumerate(ls)])]))
+    for frame in (batch, as_responses(_drain(stream, "bad-usage"))):
+        found = {r.row_id: r for r in frame.collect()}
+        assert found[1].content is None and "usage" in found[1].error
+        assert found[2].content == "y" and found[2].error is None and found[2].usage.total_tokens == 3
+
+
 TICKS = [(0, 10), (200_000, 10), (2_000_000, 20), (7_000_000, 5), (20_000_000, 5)]
 
 
@@ -168,6 +214,23 @@ def test_finished_request_starts_afresh(spark, rows):
     assert found == {(1, 0): (5, 0), (1, 1): (10, 10), (1, 2): (7, 0)}
 
 
+def test_an_empty_tick_finishes_a_request(spark, rows):
+    def part(data):
+        return ticks_of(rows, [d[:4] for d in data]).join(
+            rows([(d[1], d[4]) for d in data], "seq long, finished boolean"), "seq"
+        ).select("sample_index", "seq", "ts", "content_delta_chars", "reasoning_delta_chars", "finished")
+
+    first = part([(1, 0, 0, 5, False), (1, 1, 1_000_000, 5, False)])
+    second = part([(1, 2, 2_000_000, 0, True)])
+    third = part([(1, 3, 3_000_000, 7, False), (1, 4, 4_000_000, 0, True), (1, 5, 5_000_000, 3, False)])
+    stream = stream_of(spark, [first, second, third])
+    assert rated(_drain(live_rate_stream(stream), "empty-finish")) == {
+        (1, 0): (5, 0), (1, 1): (10, 10), (1, 3): (7, 0), (1, 5): (3, 0),
+    }
+    states = _drain(request_states(stream_of(spark, [first, second])), "finished-states")
+    assert active_states(states).count() == 0
+
+
 def test_active_requests(rows):
     rates = rows([(1, 0, 5, 3, 1), (1, 1, 6, 9, 2), (2, 0, 1, 4, 0)], "sample_index long, seq long, micros long, chars long, chars_per_sec long")
     finished = rows([(2,)], "sample_index long")

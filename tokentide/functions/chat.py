@@ -13,8 +13,8 @@ _USAGE = (
     " completion_tokens_details:struct<reasoning_tokens:bigint>>"
 )
 _RESPONSE = (
-    "choices array<struct<message:struct<content:string, reasoning_content:string>>>,"
-    f" usage {_USAGE}, _malformed string"
+    "body struct<choices:array<struct<message:struct<content:variant, reasoning_content:variant>>>,"
+    f" usage:{_USAGE}>, _malformed string"
 )
 _CHUNK = (
     "choices array<struct<delta:struct<content:string, reasoning_content:string>>>,"
@@ -22,6 +22,7 @@ _CHUNK = (
 )
 DATA_PREFIX = "data: "
 DONE = "[DONE]"
+BAD_USAGE = "response usage is not valid"
 
 
 def chat_request(
@@ -59,24 +60,42 @@ def _usage(raw: Column) -> Column:
     return F.when(raw.isNotNull(), flat)
 
 
+def _incomplete(raw: Column) -> Column:
+    return raw["prompt_tokens"].isNull() | raw["completion_tokens"].isNull()
+
+
 def parsed_response(body: Column) -> Column:
-    """Response body as a struct, to be kept in a column of its own before reading it."""
-    return F.from_json(body, _RESPONSE, {"columnNameOfCorruptRecord": "_malformed"})
+    """Response body as a struct, to be kept in a column of its own before reading it.
+
+    It is parsed as the value of a field, so text after it makes it unreadable.
+    """
+    options = {"columnNameOfCorruptRecord": "_malformed", "allowSingleQuotes": "false"}
+    return F.from_json(F.concat(F.lit('{"body":'), body, F.lit("}")), _RESPONSE, options)
+
+
+def _is_text(value: Column) -> Column:
+    """Whether a value is a text, null or absent."""
+    return value.isNull() | F.schema_of_variant(value).isin("STRING", "VOID")
+
+
+def _text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
 
 def read_response(status: Column, body: Column, parsed: Column) -> Column:
     """Struct of content, reasoning, usage and error of one parsed response.
 
-    A status outside 200-299, unreadable JSON, no choices, or usage without its
-    required counts gives an error and no content.
+    A status outside 200-299, unreadable JSON, a content that is not a text, no choices,
+    or usage without its required counts gives an error and no content.
     """
-    message = F.get(parsed["choices"], F.lit(0))["message"]
-    raw = parsed["usage"]
-    incomplete = raw.isNotNull() & (
-        raw["prompt_tokens"].isNull()
-        | raw["completion_tokens"].isNull()
-        | raw["total_tokens"].isNull()
+    choices = parsed["body"]["choices"]
+    message = F.get(choices, F.lit(0))["message"]
+    raw = parsed["body"]["usage"]
+    texts = F.forall(
+        choices,
+        lambda c: _is_text(c["message"]["content"]) & _is_text(c["message"]["reasoning_content"]),
     )
+    incomplete = raw.isNotNull() & (_incomplete(raw) | raw["total_tokens"].isNull())
     refused = F.concat(
         F.lit("status "), status.cast("string"), F.lit(": "), F.coalesce(body, F.lit(""))
     )
@@ -84,13 +103,14 @@ def read_response(status: Column, body: Column, parsed: Column) -> Column:
         F.when(status.isNull(), F.lit("no response"))
         .when(~status.between(200, 299), refused)
         .when(body.isNull() | parsed["_malformed"].isNotNull(), F.lit("response is not valid"))
+        .when(~texts, F.lit("response is not valid"))
         .when(message.isNull(), F.lit("response has no choices"))
-        .when(incomplete, F.lit("response usage is not valid"))
+        .when(incomplete, F.lit(BAD_USAGE))
     )
     good = error.isNull()
     return F.struct(
-        F.when(good, F.coalesce(message["content"], F.lit(""))).alias("content"),
-        F.when(good, message["reasoning_content"]).alias("reasoning"),
+        F.when(good, F.coalesce(_text(message["content"]), F.lit(""))).alias("content"),
+        F.when(good, _text(message["reasoning_content"])).alias("reasoning"),
         F.when(good, _usage(raw)).alias("usage"),
         error.alias("error"),
     )
@@ -117,5 +137,12 @@ def chunk_text(parsed: Column, name: str) -> Column:
 
 
 def chunk_usage(parsed: Column) -> Column:
-    """Usage of a chunk, null unless its total is positive."""
-    return F.when(parsed["usage"]["total_tokens"] > 0, _usage(parsed["usage"]))
+    """Usage of a chunk, null unless its total is positive and its counts are there."""
+    raw = parsed["usage"]
+    return F.when((raw["total_tokens"] > 0) & ~_incomplete(raw), _usage(raw))
+
+
+def bad_chunk_usage(parsed: Column) -> Column:
+    """Whether a chunk has usage with a positive total but without its counts."""
+    raw = parsed["usage"]
+    return F.coalesce((raw["total_tokens"] > 0) & _incomplete(raw), F.lit(False))

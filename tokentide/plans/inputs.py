@@ -174,7 +174,7 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as event-stream lines (sample_index, seq, line).
 
     One line per turn, user turns as content and assistant turns as reasoning, with the
-    number of turns so far as usage, and an end marker after the last turn.
+    number of turns so far as usage, an end marker after the last turn and a blank line.
     """
     turns = conversations(spark, sf_dir)
     user = F.col("role") == "user"
@@ -190,10 +190,46 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = turns.select(
         F.col("conv_id").alias("sample_index"), F.col("turn").alias("seq"), F.concat(F.lit("data: "), chunk).alias("line")
     )
-    ends = turns.groupBy(F.col("conv_id").alias("sample_index")).agg(
-        (F.max("turn") + 1).alias("seq"), F.lit("data: [DONE]\r").alias("line")
+    last = turns.groupBy(F.col("conv_id").alias("sample_index")).agg(F.max("turn").alias("turn"))
+    tail = [(1, "data: [DONE]\r"), (2, "")]
+    ends = last.select(
+        "sample_index",
+        F.explode(
+            F.array(*[F.struct((F.col("turn") + after).alias("seq"), F.lit(line).alias("line")) for after, line in tail])
+        ).alias("end"),
     )
-    return lines.unionByName(ends)
+    return lines.unionByName(ends.select("sample_index", "end.*"))
+
+
+def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The successful responses to the documents as event-stream lines.
+
+    A line with the reasoning, two with the halves of the content, one with the usage,
+    which lacks a count where the response has no answer, an end marker, a blank line.
+    """
+    content, half = F.col("content"), F.floor(F.char_length("content") / 2).cast("int")
+
+    def chunk(reasoning: Column, text: Column) -> Column:
+        delta = F.struct(text.alias("content"), reasoning.alias("reasoning_content"))
+        return F.to_json(F.struct(F.array(F.struct(delta.alias("delta"))).alias("choices")))
+
+    none = F.lit(None).cast("string")
+    prompt, completion = F.char_length("text").cast("long"), F.octet_length("text").cast("long")
+    usage = F.struct(
+        F.when(F.col("doc_id") % 6 != 2, prompt).alias("prompt_tokens"),
+        completion.alias("completion_tokens"),
+        (prompt + completion).alias("total_tokens"),
+    )
+    told = F.to_json(F.struct(F.array().cast("array<string>").alias("choices"), usage.alias("usage")))
+    parts = [
+        chunk(F.col("lang"), none), chunk(none, F.substr(content, F.lit(1), half)), chunk(none, F.substr(content, half + 1)),
+        told, F.lit("[DONE]"),
+    ]
+    lines = [*[F.concat(F.lit("data: "), part) for part in parts], F.lit("")]
+    answered = documents(spark, sf_dir).withColumn("content", response_text()).where("content IS NOT NULL")
+    return answered.select(
+        F.col("doc_id").alias("sample_index"), F.posexplode(F.array(*lines)).alias("position", "line")
+    ).select("sample_index", F.col("position").cast("long").alias("seq"), "line")
 
 
 def _utc_micros(stored: Column) -> Column:

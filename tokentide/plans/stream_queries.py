@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokentide.operators.evaluate import parse_responses, result_rows, score_arrivals
+from tokentide.operators.evaluate import parse_responses, result_rows, score_arrivals, score_responses
 from tokentide.plans.evaluating_queries import _RESULT_FILE_SQL, _samples, read_result_file, results
-from tokentide.plans.inputs import responses, stream_lines, ticks
+from tokentide.plans.inputs import RESPONSES_SQL, response_lines, responses, stream_lines, ticks
 from tokentide.plans.registry import query
 from tokentide.session import materialize, scratch_path
 from tokentide.sinks.results import stream_results
-from tokentide.streaming.assemble import USAGE_FIELDS, assemble, assemble_stream
-from tokentide.streaming.rates import active_requests, live_rate, live_rate_stream
+from tokentide.streaming.assemble import USAGE_FIELDS, as_responses, assemble, assemble_stream
+from tokentide.streaming.rates import (
+    active_requests, active_states, live_rate, live_rate_stream, request_states,
+)
 from tokentide.streaming.totals import running_totals
 
 RATE_WINDOW = 6 * 3600.0  # the events are sparse
@@ -34,6 +34,21 @@ def _drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(output)
 
 
+def _drain_latest(stream: DataFrame, label: str) -> DataFrame:
+    """Run a streaming query whose whole result is anew in every batch; the last one of them."""
+    output = scratch_path(stream.sparkSession, label)
+    written: list[str] = []
+
+    def keep(result: DataFrame, batch: int) -> None:
+        written.append(f"{output}/{batch}")
+        result.write.mode("overwrite").parquet(written[-1])
+
+    progress = scratch_path(stream.sparkSession, f"{label}-progress")
+    writer = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", progress)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(written[-1])
+
+
 def _as_stream(table: DataFrame, label: str) -> DataFrame:
     """A table as a file stream."""
     spark = table.sparkSession
@@ -93,26 +108,93 @@ def live_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_rate(ticks(spark, sf_dir), RATE_WINDOW)
 
 
+def _big_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bought = events.where((F.col("event_type") == "purchase") & (F.col("value") >= 300))
+    return bought.select(F.col("user_id").alias("sample_index")).distinct()
+
+
+def _finishing_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ticks as a stream, with a last one without characters for the samples that finish."""
+    ticked = ticks(spark, sf_dir).withColumn("finished", F.lit(False))
+    last = ticked.groupBy("sample_index").agg(F.max(F.struct("ts", "seq")).alias("last"))
+    zero = F.lit(0)
+    ends = last.join(_big_buyers(spark, sf_dir), "sample_index").select(
+        "sample_index",
+        (F.col("last.seq") + 1).alias("seq"),
+        F.col("last.ts").alias("ts"),
+        zero.alias("content_delta_chars"),
+        zero.alias("reasoning_delta_chars"),
+        F.lit(True).alias("finished"),
+    )
+    return _as_stream(ticked.unionByName(ends), "ticks")
+
+
 @query(_RATE_SQL + "SELECT * FROM rates")
 def live_rates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rates = live_rate_stream(ticks(spark, sf_dir, events), RATE_WINDOW, idle="3650 days")
+    rates = live_rate_stream(_finishing_ticks(spark, sf_dir), RATE_WINDOW, idle="3650 days")
     return _drain(rates, "rates")
 
 
 _FINISHED_SQL = "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value >= 300"
 
 
-@query(
-    _RATE_SQL
-    + f"""SELECT sample_index, arg_max(chars, (micros, seq)) AS chars, arg_max(chars_per_sec, (micros, seq)) AS chars_per_sec
+_ACTIVE_SQL = _RATE_SQL + f"""SELECT sample_index, arg_max(chars, (micros, seq)) AS chars, arg_max(chars_per_sec, (micros, seq)) AS chars_per_sec
 FROM rates WHERE sample_index NOT IN ({_FINISHED_SQL}) GROUP BY sample_index"""
-)
+
+
+@query(_ACTIVE_SQL)
 def active_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    finished = events.where((F.col("event_type") == "purchase") & (F.col("value") >= 300)).select(F.col("user_id").alias("sample_index")).distinct()
-    return active_requests(live_rate(ticks(spark, sf_dir), RATE_WINDOW), finished)
+    return active_requests(live_rate(ticks(spark, sf_dir), RATE_WINDOW), _big_buyers(spark, sf_dir))
+
+
+@query(_ACTIVE_SQL)
+def active_samples_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing kept up by a stream of request states."""
+    states = _drain(request_states(_finishing_ticks(spark, sf_dir), RATE_WINDOW, idle="3650 days"), "states")
+    return _drain_latest(active_states(_as_stream(states, "state-rows")), "active")
+
+
+_STREAMED_SQL = (
+    RESPONSES_SQL
+    + """, streamed AS (SELECT *, row_id % 6 = 2 AS bad FROM results)
+SELECT row_id, problem_type, array_to_string(predicted, ';') AS predicted, CASE WHEN bad THEN 0.0::DOUBLE ELSE recall END AS recall,
+  CASE WHEN bad THEN 0.0::DOUBLE ELSE "precision" END AS "precision", CASE WHEN bad THEN 0.0::DOUBLE ELSE f1 END AS f1,
+  CASE WHEN failed OR bad THEN '' ELSE response END AS response, CASE WHEN failed OR bad THEN '' ELSE lang END AS reasoning,
+  CASE WHEN failed OR bad THEN 0 ELSE completion_tokens END AS completion_tokens,
+  CASE WHEN bad THEN 'response usage is not valid' WHEN failed THEN 'no response' ELSE '' END AS error FROM streamed"""
+)
+
+
+def _scores(scored: DataFrame) -> DataFrame:
+    return scored.select(
+        "row_id",
+        "problem_type",
+        F.array_join("predicted", ";").alias("predicted"),
+        "recall",
+        "precision",
+        "f1",
+        "response",
+        F.coalesce("reasoning", F.lit("")).alias("reasoning"),
+        F.coalesce("usage.completion_tokens", F.lit(0)).alias("completion_tokens"),
+        F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
+@query(_STREAMED_SQL)
+def score_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines assembled into responses and scored."""
+    streamed = as_responses(assemble(response_lines(spark, sf_dir)))
+    return _scores(score_responses(_samples(spark, sf_dir), streamed))
+
+
+@query(_STREAMED_SQL + " WHERE NOT failed")
+def score_streamed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream: each sample is scored once its lines are complete."""
+    timed = response_lines(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
+    assembled = assemble_stream(_as_stream(timed, "response-lines"))
+    known = materialize(_samples(spark, sf_dir).drop("prompt"), "samples")
+    return _scores(_drain(score_arrivals(known, as_responses(assembled)), "streamed-scores"))
 
 
 _TOTALS_SQL = """SELECT count(*) AS completed, sum(l_linenumber)::BIGINT AS prompt_tokens,
@@ -141,17 +223,7 @@ def totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals of a stream, whose whole state and result is one row."""
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
     lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    table = f"totals_{uuid.uuid4().hex}"
-    running = (
-        running_totals(_finished(lines))
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(table)
-        .trigger(availableNow=True)
-        .start()
-    )
-    running.awaitTermination()
-    return spark.table(table)
+    return _drain_latest(running_totals(_finished(lines)), "totals")
 
 
 @query(_RESULT_FILE_SQL)

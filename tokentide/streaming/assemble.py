@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tokentide.functions.chat import DONE, chunk_text, chunk_usage, parsed_chunk, stream_data
+from tokentide.functions.chat import (
+    BAD_USAGE, DONE, bad_chunk_usage, chunk_text, chunk_usage, parsed_chunk, stream_data,
+)
 from tokentide.session import ship_package
 
 USAGE_FIELDS = (
@@ -19,7 +22,7 @@ _SEGMENT = 4096  # lines of one sample that are joined in one group
 
 
 def parse_lines(lines: DataFrame, *kept: str) -> DataFrame:
-    """(sample_index, seq, done, content, reasoning, usage) of each line, and ``kept`` columns."""
+    """(sample_index, seq, done, content, reasoning, usage, bad) of each line, and ``kept`` columns."""
     parsed = lines.withColumn("_data", stream_data(F.col("line"))).withColumn(
         "_chunk", parsed_chunk(F.col("_data"))
     )
@@ -32,6 +35,7 @@ def parse_lines(lines: DataFrame, *kept: str) -> DataFrame:
         chunk_text(chunk, "content").alias("content"),
         chunk_text(chunk, "reasoning_content").alias("reasoning"),
         chunk_usage(chunk).alias("usage"),
+        bad_chunk_usage(chunk).alias("bad"),
     )
 
 
@@ -45,10 +49,11 @@ def _last_usage(pieces: str | Column) -> Column:
 
 
 def assemble(lines: DataFrame) -> DataFrame:
-    """(sample_index, content, reasoning, usage) of each sample's lines in seq order.
+    """(sample_index, content, reasoning, usage, error) of each sample's lines in seq order.
 
     The first end marker ends a sample, later lines are ignored; the usage is the last
-    one before it; no reasoning text is null. Lines are joined in segments first, so a
+    one before it; no reasoning text is null. Usage with a total but without its counts
+    makes the sample an error without texts. Lines are joined in segments first, so a
     sample with very many of them is spread over tasks, and only texts meet again.
     """
     pieces = parse_lines(lines)
@@ -59,6 +64,7 @@ def assemble(lines: DataFrame) -> DataFrame:
             F.collect_list(F.when(spoken, F.struct("seq", "content", "reasoning"))).alias("texts"),
             F.collect_list(F.when(F.col("usage").isNotNull(), F.struct("seq", "usage"))).alias("usages"),
             F.min(F.when(F.col("done"), seq)).alias("end"),
+            F.min(F.when(F.col("bad"), seq)).alias("bad"),
         )
     )
 
@@ -67,11 +73,12 @@ def assemble(lines: DataFrame) -> DataFrame:
         return F.sort_array(kept).alias(name)
 
     joined = segments.select(
-        "sample_index", "segment", "end", before_end("texts"), before_end("usages")
+        "sample_index", "segment", "end", "bad", before_end("texts"), before_end("usages")
     ).select(
         "sample_index",
         "segment",
         "end",
+        "bad",
         _joined("texts", "content").alias("content"),
         _joined("texts", "reasoning").alias("reasoning"),
         _last_usage("usages").alias("usage"),
@@ -79,32 +86,64 @@ def assemble(lines: DataFrame) -> DataFrame:
     samples = joined.groupBy("sample_index").agg(
         F.collect_list(F.struct("segment", "content", "reasoning", "usage")).alias("parts"),
         F.min(F.when(F.col("end").isNotNull(), F.col("segment"))).alias("last"),
+        (F.min("bad") < F.coalesce(F.min("end"), F.lit((1 << 63) - 1))).alias("bad"),
     )
     kept = F.filter("parts", lambda part: F.col("last").isNull() | (part["segment"] <= F.col("last")))
-    ordered = samples.select("sample_index", F.sort_array(kept).alias("parts"))
+    ordered = samples.select("sample_index", "bad", F.sort_array(kept).alias("parts"))
+    good = ~F.coalesce("bad", F.lit(False))
     return ordered.select(
         "sample_index",
-        _joined("parts", "content").alias("content"),
-        F.nullif(_joined("parts", "reasoning"), F.lit("")).alias("reasoning"),
-        _last_usage(F.filter("parts", lambda part: part["usage"].isNotNull())).alias("usage"),
+        F.when(good, _joined("parts", "content")).alias("content"),
+        F.when(good, F.nullif(_joined("parts", "reasoning"), F.lit(""))).alias("reasoning"),
+        F.when(good, _last_usage(F.filter("parts", lambda part: part["usage"].isNotNull()))).alias("usage"),
+        F.when(~good, F.lit(BAD_USAGE)).alias("error"),
     )
 
 
+def as_responses(assembled: DataFrame) -> DataFrame:
+    """Assembled samples, of the batch or the stream form, as responses to be scored.
+
+    (row_id, content, reasoning, usage, error), as parsed response bodies give them.
+    """
+    usage = F.col("usage")
+    if "usage" not in assembled.columns:
+        usage = F.when(F.col("total_tokens").isNotNull(), F.struct(*USAGE_FIELDS)).alias("usage")
+    return assembled.select(F.col("sample_index").alias("row_id"), "content", "reasoning", usage, "error")
+
+
 _USAGE_COLUMNS = ", ".join(f"{name} long" for name in USAGE_FIELDS)
-_OUTPUT = f"sample_index long, content string, reasoning string, {_USAGE_COLUMNS}"
+_OUTPUT = f"sample_index long, content string, reasoning string, {_USAGE_COLUMNS}, error string"
 _STATE = (
-    "seqs array<long>, contents array<string>, reasonings array<string>,"
-    " lines long, first_end long, usage_seq long, usage array<long>"
+    "seqs array<long>, contents array<string>, reasonings array<string>, seen array<long>,"
+    " first_end long, bad long, usage_seq long, usage array<long>, finished boolean"
 )
 
 
+def _see(seen: list[int], seq: int) -> bool:
+    """Whether ``seq`` is new to ``seen``, the flat ranges [start, end, ...) it is then added to."""
+    at = bisect_right(seen, seq)
+    if at % 2:
+        return False
+    joins_left, joins_right = at > 0 and seen[at - 1] == seq, at < len(seen) and seen[at] == seq + 1
+    if joins_left and joins_right:
+        del seen[at - 1 : at + 1]
+    elif joins_left:
+        seen[at - 1] = seq + 1
+    elif joins_right:
+        seen[at] = seq
+    else:
+        seen[at:at] = [seq, seq + 1]
+    return True
+
+
 def assemble_stream(lines: DataFrame, late: str = "10 minutes", idle: str = "1 hour") -> DataFrame:
     """Streaming form of :func:`assemble`: a sample is emitted once it is complete.
 
     Lines also carry their event time ``ts``. ``seq`` numbers the lines of a sample from
     0, so a sample is complete when the end marker and all lines before it have arrived,
-    in whatever order. A sample whose last line lies more than ``idle`` behind the
-    watermark is emitted as it is. Either way its state is dropped.
+    in whatever order; a line that comes again is ignored. A sample whose last line lies
+    more than ``idle`` behind the watermark is emitted as it is. A sample that was emitted
+    leaves a mark for ``idle``, so that lines after its end do not begin it anew.
     JSON is parsed by Spark; the function only keeps and orders pieces of text.
     """
     ship_package(lines.sparkSession)
@@ -112,46 +151,50 @@ def assemble_stream(lines: DataFrame, late: str = "10 minutes", idle: str = "1 h
     fields = USAGE_FIELDS
 
     def emit(key: tuple, held: tuple) -> pd.DataFrame:
-        seqs, contents, reasonings, _, end, _, usage = held
+        seqs, contents, reasonings, _, end, bad, _, usage, _ = held
+        good = bad is None or (end is not None and bad > end)
         kept = sorted(
             (s, c, r) for s, c, r in zip(seqs, contents, reasonings) if end is None or s < end
         )
         row = {
             "sample_index": key[0],
-            "content": "".join(c for _, c, _ in kept),
-            "reasoning": "".join(r for _, _, r in kept) or None,
+            "content": "".join(c for _, c, _ in kept) if good else None,
+            "reasoning": "".join(r for _, _, r in kept) or None if good else None,
         }
-        row.update(dict(zip(fields, usage if usage else [None] * len(fields))))
-        frame = pd.DataFrame([row])
+        row.update(dict(zip(fields, usage if usage and good else [None] * len(fields))))
+        frame = pd.DataFrame([{**row, "error": None if good else BAD_USAGE}])
         return frame.astype({name: "Int64" for name in fields})
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else ([], [], [], [], None, None, None, [], False)
+        seqs, contents, reasonings, seen, end, bad, usage_seq, usage, finished = held
         if state.hasTimedOut:
-            yield emit(key, state.get)
+            if not finished:
+                yield emit(key, held)
             state.remove()
             return
-        held = state.get if state.exists else ([], [], [], 0, None, None, [])
-        seqs, contents, reasonings, lines_seen, end, usage_seq, usage = held
-        seqs, contents, reasonings, usage = list(seqs), list(contents), list(reasonings), list(usage)
+        seqs, contents, reasonings, seen, usage = (list(x) for x in (seqs, contents, reasonings, seen, usage))
         latest = state.getCurrentWatermarkMs()
         for batch in batches:
-            lines_seen += len(batch)
             latest = max(latest, int(batch["millis"].max()))
-            for row in batch.itertuples(index=False):
+            for row in batch.itertuples(index=False) if not finished else ():
+                seq = int(row.seq)
+                if not _see(seen, seq):
+                    continue
                 if row.done:
-                    end = row.seq if end is None else min(end, row.seq)
+                    end = seq if end is None else min(end, seq)
+                if row.bad:
+                    bad = seq if bad is None else min(bad, seq)
                 if row.content or row.reasoning:
-                    seqs.append(int(row.seq))
+                    seqs.append(seq)
                     contents.append(row.content)
                     reasonings.append(row.reasoning)
-                if row.usage is not None and (usage_seq is None or row.seq > usage_seq):
-                    usage_seq, usage = int(row.seq), [int(number) for number in row.usage]
-        held = (seqs, contents, reasonings, lines_seen, None if end is None else int(end), usage_seq, usage)
-        if end is not None and lines_seen > end:
+                if row.usage is not None and (usage_seq is None or seq > usage_seq) and (end is None or seq < end):
+                    usage_seq, usage = seq, [int(number) for number in row.usage]
+        held = (seqs, contents, reasonings, seen, end, bad, usage_seq, usage, finished)
+        if not finished and end is not None and seen[:1] == [0] and seen[1] > end:
             yield emit(key, held)
-            if state.exists:
-                state.remove()
-            return
+            held = ([], [], [], [], None, None, None, [], True)
         state.update(held)
         state.setTimeoutTimestamp(latest + idle_ms)
 

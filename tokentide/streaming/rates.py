@@ -22,9 +22,12 @@ WINDOW_SECONDS = 5.0
 LEAST_SECONDS = 0.3
 
 
+def _delta() -> Column:
+    return (F.col("content_delta_chars") + F.col("reasoning_delta_chars")).cast("long")
+
+
 def _counted(ticks: DataFrame) -> DataFrame:
-    delta = F.col("content_delta_chars") + F.col("reasoning_delta_chars")
-    return ticks.withColumn("delta", delta.cast("long")).where(F.col("delta") > 0)
+    return ticks.withColumn("delta", _delta()).where(F.col("delta") > 0)
 
 
 def live_rate(
@@ -122,21 +125,25 @@ def live_rate(
     )
 
 
-_OUTPUT = "sample_index long, seq long, micros long, chars long, chars_per_sec long"
+_OUTPUT = (
+    "sample_index long, seq long, micros long, chars long, chars_per_sec long, delta long, finished boolean"
+)
 _STATE = "chars long, rate long, times array<long>, deltas array<long>"
 
 
-def live_rate_stream(
+def request_states(
     ticks: DataFrame,
     window_seconds: float = WINDOW_SECONDS,
     late: str = "10 minutes",
     idle: str = "1 hour",
 ) -> DataFrame:
-    """Streaming form of :func:`live_rate`.
+    """State of a request after each tick that has characters or finishes it, of a stream.
 
-    An optional boolean column ``finished`` marks a request's last tick and drops its
-    state; so does event time passing ``idle`` beyond its last tick. A tick older than
-    one already seen counts at the newer time, as it would on arrival.
+    (sample_index, seq, micros, chars, chars_per_sec, delta, finished). A tick whose
+    optional boolean column ``finished`` is true ends its request, with characters or
+    without; the next tick of that sample begins a new one. State is dropped then, or when
+    event time passes ``idle`` beyond the last tick. A tick older than one already seen
+    counts at the newer time, as it would on arrival.
     """
     ship_package(ticks.sparkSession)
     span, least = int(window_seconds * 1_000_000), LEAST_SECONDS
@@ -150,30 +157,34 @@ def live_rate_stream(
         times, deltas = list(times), list(deltas)
         new = pd.concat(list(batches)).sort_values(["micros", "seq"])
         rows, first, held = [], 0, sum(deltas)
-        for micros, seq, delta in zip(new["micros"].tolist(), new["seq"].tolist(), new["delta"].tolist()):
-            now = max(micros, times[-1]) if times else micros
-            chars, held = chars + delta, held + delta
-            times.append(now)
-            deltas.append(delta)
-            while now - times[first] > span:
-                held -= deltas[first]
-                first += 1
-            seconds = (now - times[first]) / 1_000_000
-            if len(times) - first >= 2 and seconds > least:
-                rate = int(held / seconds)
-            rows.append((key[0], seq, micros, chars, rate))
-        if new["finished"].any():
-            if state.exists:
-                state.remove()
-        else:
+        columns = (new[name].tolist() for name in ("micros", "seq", "delta", "finished"))
+        for micros, seq, delta, finished in zip(*columns):
+            if delta > 0:
+                now = max(micros, times[-1]) if times else micros
+                chars, held = chars + delta, held + delta
+                times.append(now)
+                deltas.append(delta)
+                while now - times[first] > span:
+                    held -= deltas[first]
+                    first += 1
+                seconds = (now - times[first]) / 1_000_000
+                if len(times) - first >= 2 and seconds > least:
+                    rate = int(held / seconds)
+            rows.append((key[0], seq, micros, chars, rate, delta, finished))
+            if finished:
+                chars, rate, times, deltas, first, held = 0, 0, [], [], 0, 0
+        if times:
             state.update((chars, rate, times[first:], deltas[first:]))
             latest = max(times[-1] // 1000, state.getCurrentWatermarkMs())
             state.setTimeoutTimestamp(latest + idle_ms)
-        yield pd.DataFrame(rows, columns=["sample_index", "seq", "micros", "chars", "chars_per_sec"])
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=[field.split()[0] for field in _OUTPUT.split(", ")])
 
     finished = F.col("finished") if "finished" in ticks.columns else F.lit(False)
+    marked = ticks.withColumns({"delta": _delta(), "finished": F.coalesce(finished, F.lit(False))})
     return (
-        _counted(ticks.withColumn("finished", F.coalesce(finished, F.lit(False))))
+        marked.where("delta > 0 OR finished")
         .withWatermark("ts", late)
         .select("sample_index", "seq", "ts", F.unix_micros("ts").alias("micros"), "delta", "finished")
         .groupBy("sample_index")
@@ -183,6 +194,29 @@ def live_rate_stream(
     )
 
 
+def live_rate_stream(
+    ticks: DataFrame,
+    window_seconds: float = WINDOW_SECONDS,
+    late: str = "10 minutes",
+    idle: str = "1 hour",
+) -> DataFrame:
+    """Streaming form of :func:`live_rate`, with requests that may finish and begin again."""
+    states = request_states(ticks, window_seconds, late, idle).where("delta > 0")
+    return states.select("sample_index", "seq", "micros", "chars", "chars_per_sec")
+
+
+def active_states(states: DataFrame) -> DataFrame:
+    """Characters and rate of each sample whose latest state is not a finish.
+
+    For :func:`request_states` rows as a table, or as a stream in complete mode, where the
+    state is one row per sample.
+    """
+    latest = states.groupBy("sample_index").agg(
+        F.max_by(F.struct("chars", "chars_per_sec", "finished"), F.struct("micros", "seq")).alias("r")
+    )
+    return latest.where("NOT r.finished").select("sample_index", "r.chars", "r.chars_per_sec")
+
+
 def active_requests(rates: DataFrame, finished: DataFrame) -> DataFrame:
     """Characters and rate of each sample that has ticks and is not finished."""
     latest = rates.groupBy("sample_index").agg(
