@@ -1,0 +1,65 @@
+"""Language identification: held-out accuracy, mixtures, edge cases."""
+
+from __future__ import annotations
+
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from __spark_entry__ import queries
+from tokentide.llm import language
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return language.learn(spark.read.parquet(f"{SF_DIR}/documents.parquet"))
+
+
+def test_held_out_accuracy(spark):
+    found = {r.doc_id: r for r in queries()["op5_language"](spark, SF_DIR).collect()}
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang").collect()
+    assert len(found) == len(docs)
+    assert all(found[d.doc_id].held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2) for d in docs)
+    held = [d for d in docs if found[d.doc_id].held_out]
+    right = sum(found[d.doc_id].lang_pred == d.lang for d in held)
+    assert right / len(held) > 0.97 and all(0 <= r.score <= 1 for r in found.values())
+
+
+def test_edge_cases(rows, model):
+    texts = [None, "", " 12 !? ́", "é", "The thing and the other", "x" * 300_000, "the " * 200_000]
+    data = [(i, t, 5.0) for i, t in enumerate(texts)] + [(4, texts[4], 5.0)]
+    frame = rows(data, "doc_id long, text string, Score double")
+    found = language.identify(frame, model)
+    assert found.columns == ["doc_id", "text", "lang_pred", "score", "languages"]
+    told = {r.doc_id: r for r in found.collect()}
+    assert found.count() == 8
+    assert [(told[i].lang_pred, told[i].score) for i in range(3)] == [("und", 0.0)] * 3
+    assert all(told[i].lang_pred in model.languages for i in (3, 4, 5, 6)) and told[6].lang_pred == "en"
+    assert language.identify(frame.where("false"), model).count() == 0
+    assert {r.lang_pred for r in language.identify(frame, language.Model([], model.logs[:, :0])).collect()} == {"und"}
+
+
+def test_mixture_of_two_languages(spark, rows, model):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where(F.length("text").between(1500, 4000))
+    own = {lang: docs.where(F.col("lang") == lang).orderBy("doc_id").first().text[:1500] for lang in ("en", "de")}
+    [share] = language.mixtures(model, [own["en"] + "\n" + own["de"]])
+    told = dict(zip(model.languages, share.tolist(), strict=True))
+    assert 0.3 < told["en"] < 0.7 and 0.3 < told["de"] < 0.7 and told["fr"] < 0.1
+    single = language.mixtures(model, [own["en"], own["de"]])
+    assert single.max(axis=1).min() > 0.9
+
+
+def test_long_and_short_texts_do_not_depend_on_their_neighbours(model):
+    texts = ["le chat et la maison", "", "das ist ein Haus " * 50, "1", "the cat and the house"]
+    together = language.mixtures(model, texts)
+    for text, row in zip(texts, together, strict=True):
+        assert abs(language.mixtures(model, [text])[0] - row).max() < 1e-4
+
+
+def test_learning_ignores_null_labels_and_texts(rows):
+    frame = rows([("abc abc", "x"), (None, "y"), ("def", None), ("", "z")], "text string, lang string")
+    assert language.learn(frame).languages == ["x"]
+    assert language.learn(frame.where("false")).languages == []

@@ -1,0 +1,114 @@
+"""Near duplicates against all pairs by brute force, and connected components."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from tokentide.llm import near_dedup
+from tokentide.llm.components import components
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_force(data):
+    sets = [(key, shingles(text)) for key, text in data]
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, left) in enumerate(sets):
+        for j in range(i):
+            right = sets[j][1]
+            if left and right and 100 * len(left & right) >= 75 * len(left | right):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (key, own) in enumerate(sets):
+        if own and key is not None:
+            least[find(i)] = min(key, least.get(find(i), key))
+    return sorted(
+        (str(key), len(own), str(least.get(find(i)) if own else key)) for i, (key, own) in enumerate(sets)
+    )
+
+
+def changed(dice, words, share):
+    return [dice.choice("uvwxyz") + str(dice.randrange(999)) if dice.random() < share else w for w in words]
+
+
+@pytest.fixture(scope="module")
+def planted():
+    dice = random.Random(1)
+    word = lambda: "w" + str(dice.randrange(4000))
+    passage = [word() for _ in range(60)]
+    data = []
+    for group in range(25):
+        base = [word() for _ in range(dice.choice([6, 30, 200]))]
+        for share in (0, 0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08):
+            data.append(" ".join(changed(dice, base, share)))
+        # A chain: each copy changes the one before a little more.
+        for _ in range(4):
+            base = changed(dice, base, 0.02)
+            data.append(" ".join(base).upper())
+    for _ in range(60):  # documents that share a passage are not alike
+        data.append(" ".join([*[word() for _ in range(80)], *passage, *[word() for _ in range(40)]]))
+    data += ["", "   \n", "one", "one", "ONE", "one two", "two one", "a b c d", "a b c d e", "a b c d e f"]
+    data += ["same words here again and again " * 400, "same words here again and again " * 401]
+    dice.shuffle(data)
+    rows_ = [(i * 3 % 1009, text) for i, text in enumerate(data)]
+    return [*rows_, rows_[0], (2001, None), (2002, None), (None, "one"), (None, "alone in the world of null ids")]
+
+
+def test_groups_equal_brute_force(rows, planted):
+    frame = rows(planted, "doc_id long, text string")
+    found = near_dedup.near_groups(frame).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_force(planted)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_hot_groups_and_clashing_columns(rows):
+    dice = random.Random(2)
+    base = [f"w{dice.randrange(10_000)}" for _ in range(120)]
+    near = [" ".join(changed(dice, base, 0.01)) for _ in range(150)]
+    data = [(i, "exact copy of one text in many rows", 1, "x") for i in range(300)]
+    data += [(1000 + i, text, 1, "y") for i, text in enumerate(near)]
+    frame = rows(data, "doc_id long, text string, n long, bucket string")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_groups(frame).collect()}
+    assert sorted((str(k), str(v)) for k, v in found.items()) == sorted(
+        (key, root) for key, _, root in brute_force([row[:2] for row in data])
+    )
+
+
+def test_empty_table(rows):
+    assert near_dedup.near_groups(rows([], "doc_id long, text string")).count() == 0
+    assert near_dedup.near_groups(rows([(1, None), (2, "")], "doc_id long, text string")).count() == 2
+
+
+def test_signature_is_circulant_and_estimates_similarity():
+    chance = np.random.default_rng(3)
+    common = chance.integers(0, 1 << 63, 3000, np.uint64)
+    left, right = common[:2600], common[400:]
+    one, two = near_dedup.signature(left), near_dedup.signature(right)
+    assert abs((one == two).mean() - 2200 / 3000) < 0.1
+    assert (near_dedup.bands(one) == near_dedup.bands(one.copy())).all()
+    assert len(near_dedup.sketch(one)) == near_dedup.LONGS
+
+
+def test_components_of_chains_stars_and_loops(rows):
+    dice = random.Random(4)
+    chain = [(i, i + 1) for i in range(0, 300)]
+    star = [(1000, 1000 + i) for i in range(1, 200)]
+    ring = [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)]
+    data = [(a, b) if dice.random() < 0.5 else (b, a) for a, b in [*chain, *star, *ring, *ring, (7, 7), (9000, 9000)]]
+    dice.shuffle(data)
+    found = {r.node: r.root for r in components(rows(data, "a long, b long")).collect()}
+    wanted = {n: 0 for n in range(1, 301)} | {1000 + i: 1000 for i in range(1, 200)} | {2000 + i: 2000 for i in range(1, 50)}
+    assert found == wanted
+    assert components(rows([], "a long, b long")).count() == 0
