@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tokentide.llm import bpe, language, mix, near_dedup
 from tokentide.llm.frames import column
@@ -22,6 +22,13 @@ WEIGHTS, BLOCK_WORDS = (5, 2, 1), 512
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all but the ``used`` columns under names no operator adds, and the way back."""
+    away = {name: f"_own{at}" for at, name in enumerate(docs.columns) if name not in used}
+    renamed = docs.select(*[column(name).alias(away.get(name, name)) for name in docs.columns])
+    return renamed, [F.col(away.get(name, name)).alias(name) for name in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; those without letters go.
 
@@ -31,8 +38,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.learn(docs)
     if not model.languages:
         return docs
-    found = language.identify(docs, model)
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*map(column, docs.columns))
+    renamed, back = aside(docs, "text")
+    found = language.identify(renamed, model)
+    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +60,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars becomes the length of the text. A document of which nothing is taken goes.
     """
-    mixed = mix.mix(docs, WEIGHTS, block=BLOCK_WORDS, texts=True).withColumn("_copy", F.explode("texts"))
-    new = {"text": F.col("_copy"), "n_chars": F.length("_copy").cast("long")}
-    return mixed.select(*[new[name].alias(name) if name in new else column(name) for name in docs.columns])
+    renamed, back = aside(docs, "doc_id", "source", "text")
+    mixed = mix.mix(renamed, WEIGHTS, block=BLOCK_WORDS, texts=True).withColumn("_copy", F.explode("texts"))
+    new = {"text": F.col("_copy").alias("text"), "n_chars": F.length("_copy").cast("long").alias("n_chars")}
+    return mixed.select(*[new.get(name, own) for name, own in zip(docs.columns, back, strict=True)])
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
