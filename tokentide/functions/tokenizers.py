@@ -80,10 +80,11 @@ PIECES = Pattern("pieces", r"\p{L}+|\p{N}|[^ \t\r\n\p{L}\p{N}]+", BLANKS)
 # before Han or CJK punctuation, CJK punctuation runs, words, single digits, other
 # punctuation, line breaks, blanks), written for Java: (?U) makes \s Unicode and
 # Han is \p{IsHan}.
-_CJK_PUNCTUATION = (
-    "[＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､　、〃〈〉《》「」『』【】〔〕〖〗〘〙〚〛"
-    "〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏﹑﹔·．！？｡。]"
+CJK_PUNCTUATION = (
+    "＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､　、〃〈〉《》「」『』【】〔〕〖〗〘〙〚〛"
+    "〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏﹑﹔·．！？｡。"
 )
+_CJK_PUNCTUATION = f"[{CJK_PUNCTUATION}]"
 # Every Han character and every character of the class above is matched by this range.
 # Asking for it first spares other characters the long class: four times as fast.
 _CJK_RANGE = r"(?=[\xB7\x{2013}-\x{10FFFF}])"

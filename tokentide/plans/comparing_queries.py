@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokentide.operators import compare
-from tokentide.operators.align import align
+from tokentide.operators.align import TokenizerSet, align, align_files
 from tokentide.operators.counting import count_with_all
 from tokentide.plans.inputs import BOUNDS, COMPARED, ITEMS_SQL, LIMITS, TOKENIZERS, documents, items
 from tokentide.plans.registry import query
-from tokentide.session import materialize
+from tokentide.session import materialize, scratch_path
 
 _NAMES = COMPARED.names
 _LONG_SQL = ITEMS_SQL + ", long AS (" + " UNION ALL ".join(
@@ -42,6 +42,31 @@ def align_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    ITEMS_SQL
+    + """SELECT 'documents' AS dataset, row_number() OVER (ORDER BY row_id) - 1 AS row_id, dataset || '/' || "group" AS "group",
+  pieces, words FROM items"""
+)
+def align_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two count tables of several files each, aligned by position, with a label column."""
+    counted = materialize(
+        count_with_all(documents(spark, sf_dir), "text", TOKENIZERS[:2]).select(
+            "doc_id",
+            F.concat_ws("/", "source", "lang").alias("kind"),
+            *[F.col(t.name).cast("int").alias(t.name) for t in TOKENIZERS[:2]],
+        ),
+        "counted",
+    )
+    paths = []
+    for files, tokenizer in zip((3, 5), TOKENIZERS):
+        paths.append(scratch_path(spark, f"counts-{tokenizer.name}"))
+        columns = ["kind", tokenizer.name] if not paths[1:] else [tokenizer.name]
+        ordered = counted.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+        ordered.select(*columns).write.parquet(paths[-1])
+    both = TokenizerSet.of([t.name for t in TOKENIZERS[:2]])
+    return align_files(spark, {"documents": paths}, both, group="kind")
+
+
 @query(
     _LONG_SQL
     + """, base AS (SELECT sum(pieces)::BIGINT AS b FROM items)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokentide.functions.buckets import Range
-from tokentide.functions.tokenizers import PIECES, PRETOKENS, special_token_total
+from tokentide.functions.tokenizers import CJK_PUNCTUATION, PIECES, PRETOKENS, special_token_total
 from tokentide.operators.counting import count_tokens, count_with_all
 from tokentide.operators.profile import category_frequency, head_and_tail, token_histogram, token_profile
 from tokentide.operators.split import split, with_band
@@ -14,7 +14,7 @@ from tokentide.plans.inputs import (
 )
 from tokentide.plans.registry import query
 from tokentide.session import scratch_path
-from tokentide.sinks.tables import read_band, write_split
+from tokentide.sinks.tables import read_band, write_counted, write_split
 from tokentide.sources.tables import read_counts, tag_inputs, with_row_id
 
 RANGES = (
@@ -63,6 +63,17 @@ def count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), "text", PIECES, "pieces", limit=400).drop("text")
 
 
+@query(
+    f"""WITH counted AS (SELECT *, {COUNTS_SQL} FROM documents)
+SELECT doc_id, CAST(pieces AS INTEGER) AS p_input_tokens, pieces > 1000000 AS p_over_1m FROM counted"""
+)
+def count_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table counted, written beside its input and read back."""
+    source = scratch_path(spark, "uncounted")
+    documents(spark, sf_dir).select("doc_id", "text").write.parquet(source)
+    return spark.read.parquet(write_counted(spark, source, "text", PIECES, "p")).drop("text")
+
+
 @query(f"SELECT doc_id, {COUNTS_SQL} FROM documents")
 def count_several(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_with_all(documents(spark, sf_dir).select("doc_id", "text"), "text", TOKENIZERS).drop("text")
@@ -73,7 +84,28 @@ def count_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_with_all(conversations(spark, sf_dir), "text", TOKENIZERS).drop("text")
 
 
-@query()
+# The pre-token pattern without looking ahead: a control character after a blank marks what
+# the pattern would have looked for, and takes part in the match.
+_ASIDE = "[" + "".join(f"\\x{{{ord(mark):x}}}" for mark in CJK_PUNCTUATION) + "]"
+_BLANK = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
+_PRETOKEN_SQL = (
+    r"'(?i:[sdmt]|ll|ve|re)"
+    r"| \x{2}"
+    rf"|{_ASIDE}+[\r\n]*"
+    r"|[^\r\n\p{L}\p{N}\p{M}\x{1}\x{2}][\p{L}\p{M}]+|\p{M}[\p{L}\p{M}]+|\p{L}[\p{L}\p{M}]*"
+    r"|\p{N}"
+    r"| ?[^\s\x0b\x{1}\x{2}\x{1c}-\x{1f}\x{85}\p{Z}\p{L}\p{N}]+[\r\n]*"
+    rf"|{_BLANK}*[\r\n]"
+    rf"|{_BLANK}+\x{{1}}?"
+).replace("'", "''")
+_MARKED_SQL = (
+    rf"regexp_replace(regexp_replace(text, ' (\p{{Han}}|{_ASIDE})', ' ' || chr(2) || '\1', 'g'),"
+    rf" '({_BLANK})({_BLANK}[^\x{{2}}\s\p{{Z}}])', '\1' || chr(1) || '\2', 'g')"
+)
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all({_MARKED_SQL}, '{_PRETOKEN_SQL}')) AS INTEGER) AS pretokens_input_tokens,"
+       f" len(regexp_extract_all({_MARKED_SQL}, '{_PRETOKEN_SQL}')) > 1000000 AS pretokens_over_1m FROM documents")
 def count_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", "text")
     return count_tokens(rows, "text", PRETOKENS, "pretokens").drop("text")

@@ -11,7 +11,7 @@ from tokentide.plans.inputs import RESPONSES_SQL, documents, response_text, resp
 from tokentide.plans.registry import query
 from tokentide.session import scratch_path
 from tokentide.sinks.results import write_results
-from tokentide.sources.samples import as_samples, first_samples, of_type
+from tokentide.sources.samples import as_samples, first_samples, of_type, read_samples
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,15 @@ def load_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(_samples(spark, sf_dir), "truth")
 
 
+@query(RESPONSES_SQL + "SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, array_to_string(truth, ';') AS truth,"
+       " problem_type FROM results ORDER BY row_id LIMIT 150")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first samples of a table of several files, cut by their position in it."""
+    path = scratch_path(spark, "samples")
+    samples(spark, sf_dir).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(path)
+    return _joined(read_samples(spark, path, max_samples=150), "truth").select("row_id", "truth", "problem_type")
+
+
 @query(RESPONSES_SQL + "SELECT row_id, problem_type FROM results WHERE problem_type = 'fr' ORDER BY row_id LIMIT 20")
 def first_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_samples(of_type(_samples(spark, sf_dir), "fr"), 20).select("row_id", "problem_type")

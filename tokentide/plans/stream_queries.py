@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tokentide.functions.numbers import per_second
 from tokentide.operators.evaluate import parse_responses, result_rows, score_arrivals, score_responses
 from tokentide.plans.evaluating_queries import _RESULT_FILE_SQL, _samples, read_result_file, results
 from tokentide.plans.inputs import RESPONSES_SQL, response_lines, responses, stream_lines, ticks
@@ -155,6 +156,21 @@ def active_samples_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain_latest(active_states(_as_stream(states, "state-rows")), "active")
 
 
+@query(
+    """SELECT user_id AS sample_index, CASE WHEN max(epoch_us(ts)) = min(epoch_us(ts)) THEN 0.0::DOUBLE
+  ELSE sum(floor(coalesce(value, 0)))::BIGINT::DOUBLE / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::DOUBLE) END AS chars_per_second
+FROM events GROUP BY user_id"""
+)
+def mean_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters per second of each request's whole time, zero where no time has passed."""
+    micros = F.unix_micros("ts")
+    chars = (F.col("content_delta_chars") + F.col("reasoning_delta_chars")).cast("long")
+    spans = ticks(spark, sf_dir).groupBy("sample_index").agg(
+        F.sum(chars).alias("chars"), ((F.max(micros) - F.min(micros)) / 1_000_000).alias("seconds")
+    )
+    return spans.select("sample_index", per_second(F.col("chars"), F.col("seconds")).alias("chars_per_second"))
+
+
 _STREAMED_SQL = (
     RESPONSES_SQL
     + """, streamed AS (SELECT *, row_id % 6 = 2 AS bad FROM results)
