@@ -8,6 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tests.plans import plan_text
 from tokentide.functions.paths import parent
 from tokentide.functions.tokenizers import WORDS, Bytes, Chars
 from tokentide.operators import corpus
@@ -78,6 +79,16 @@ def test_text_tree(spark, tree):
     assert len(read_text_files(spark, "file:" + tree).collect()) == 10
 
 
+def test_tree_plan_does_not_grow_with_the_tree(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f".h{i}").mkdir()
+        (tmp_path / f".h{i}" / "_x.md").write_text(str(i))
+        os.symlink(tmp_path / f".h{i}", tmp_path / f"l{i}")
+    frame = read_text_files(spark, str(tmp_path), ["md"])
+    assert sorted(int(r.text) for r in frame.collect()) == list(range(60))
+    assert len(plan_text(frame)) < 20_000
+
+
 def test_invalid_utf8_names_the_file(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
     with pytest.raises(Exception, match="not valid UTF-8: bad.txt"):

@@ -7,12 +7,12 @@ import re
 from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tokentide.functions.paths import ascii_lower
-from tokentide.session import ship_package
+from tokentide.session import materialize, ship_package
 
 
 def normal_extensions(extensions: Sequence[str]) -> list[str]:
@@ -58,15 +58,6 @@ def keep_path(path: Column, extensions: Sequence[str], excludes: Sequence[str])
     return kept
 
 
-def _name_filter(extensions: Sequence[str]) -> str:
-    """File-name glob for the extensions, so that other files are not even listed."""
-    globs = [
-        "*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() and c.isascii() else c for c in extension)
-        for extension in normal_extensions(extensions)
-    ]
-    return "{" + ",".join(globs) + "}"
-
-
 def decoded(content: Column, path: Column) -> Column:
     """File content as text; invalid UTF-8 fails the job and names the file."""
     bad = F.raise_error(F.concat(F.lit("not valid UTF-8: "), path)).cast("string")
@@ -78,20 +69,21 @@ def read_text_files(
 ) -> DataFrame:
     """All files below ``root`` as (path relative to it, text).
 
-    Spark's file source never lists names that start with ``.`` or ``_`` and follows
-    links. Files with such names (``__init__.py``, say) are listed apart and read in
-    tasks; links of a local tree are left out.
+    Folders are listed in tasks, level by level, and files are read in tasks, so the driver
+    holds neither paths nor contents. Names that start with ``.`` or ``_`` (``__init__.py``,
+    say) are files like others; links of a local tree are left out. A root of a scheme that
+    only Spark can open is read by its file source, which leaves such names out.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if extensions:
-        reader = reader.option("pathGlobFilter", _name_filter(extensions))
-    files = reader.load(root).select(relative_path(F.col("path"), root).alias("path"), "content")
-    hidden, links = _unlisted(root)
-    if hidden:
-        files = files.unionByName(_read_listed(spark, root, hidden))
-    return files.where(keep_path(F.col("path"), extensions, [*excludes, *links])).select(
-        "path", decoded(F.col("content"), F.col("path")).alias("text")
-    )
+    try:
+        _open_root(root)
+    except pa.ArrowInvalid:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        found = reader.load(root).select(relative_path(F.col("path"), root).alias("path"), "content")
+        kept = found.where(keep_path(F.col("path"), extensions, excludes))
+    else:
+        listed = list_tree(spark, root).where(keep_path(F.col("path"), extensions, excludes))
+        kept = _read_listed(listed, root)
+    return kept.select("path", decoded(F.col("content"), F.col("path")).alias("text"))
 
 
 def _open_root(root: str) -> tuple[fs.FileSystem, str]:
@@ -103,46 +95,64 @@ def _open_root(root: str) -> tuple[fs.FileSystem, str]:
     return system, f"{base.rstrip('/')}{path}"
 
 
-def _unlisted(root: str) -> tuple[list[str], list[str]]:
-    """Relative paths of the files Spark's listing skips, and of the links of a local tree."""
-    system, base = _open_root(root)
-    below = len(base) + 1
-    if not isinstance(system, fs.LocalFileSystem):
-        found = system.get_file_info(fs.FileSelector(base, recursive=True))
-        files, links = [info.path[below:] for info in found if info.is_file], []
-    else:
-        files, links = [], []
-        for folder, folders, names in os.walk(base):
-            for name in (*folders, *names):
-                path = os.path.join(folder, name)
-                if os.path.islink(path):
-                    links.append(path[below:])
-                elif name in names:
-                    files.append(path[below:])
-    return [path for path in files if any(map(_skipped, path.split("/")))], links
-
-
-def _skipped(name: str) -> bool:
-    """Whether Spark's file listing leaves out a file or directory of this name."""
-    if name.startswith(("_common_metadata", "_metadata")):
-        return False
-    hidden = name.startswith(".") or (name.startswith("_") and "=" not in name)
-    return hidden or name.endswith("._COPYING_")
-
-
-def _read_listed(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """Contents of listed files, read in tasks."""
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(name, size, whether a folder) of what lies in a folder; links of a local one are skipped."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for entry in found:
+                if not entry.is_symlink():
+                    yield entry.name, entry.stat().st_size, entry.is_dir()
+        return
+    for info in system.get_file_info(fs.FileSelector(folder)):
+        yield info.base_name, info.size or 0, info.type == fs.FileType.Directory
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path relative to ``root``, size) of every file below it, one job per level of folders."""
     ship_package(spark)
+    tasks = 4 * spark.sparkContext.defaultParallelism
 
-    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open_root(root)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = list(_entries(system, f"{base}/{folder}"))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f"{folder}/{name}".lstrip("/") for name, _, _ in found], pa.string()),
+                        pa.array([size for _, size, _ in found], pa.int64()),
+                        pa.array([is_folder for _, _, is_folder in found], pa.bool_()),
+                    ],
+                    ["path", "size", "folder"],
+                )
+
+    folders, files = spark.range(1).select(F.lit("").alias("path")), None
+    while files is None or not folders.isEmpty():
+        dealt = folders.repartition(tasks, "path")
+        level = materialize(dealt.mapInArrow(children, "path string, size long, folder boolean"), "folders")
+        here = level.where("NOT folder").select("path", "size")
+        files = here if files is None else files.unionByName(here)
+        folders = level.where("folder").select("path")
+    return files
+
+
+# Bytes of files that one task reads, beside what the cores call for.
+TASK_BYTES = 128 << 20
+
+
+def _read_listed(listed: DataFrame, root: str) -> DataFrame:
+    """(path, content) of listed files, read in tasks of about equal numbers of files."""
+    spark = listed.sparkSession
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open_root(root)
         for batch in batches:
-            for path in batch["path"]:
-                with system.open_input_stream(f"{base}/{path}") as stream:
-                    yield pd.DataFrame({"path": [path], "content": [stream.read()]})
-
-    listed = spark.createDataFrame([(path,) for path in paths], "path string")
-    cores = spark.sparkContext.defaultParallelism
-    return listed.repartition(min(len(paths), cores), "path").mapInPandas(
-        contents, "path string, content binary"
-    )
+            for path in batch.column("path").to_pylist():
+                with system.open_input_stream(f"{base}/{path}", compression=None) as stream:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path], pa.string()), pa.array([stream.read()], pa.binary())], ["path", "content"]
+                    )
+
+    size = listed.agg(F.sum("size")).first()[0] or 0
+    tasks = max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return listed.select("path").repartition(tasks, "path").mapInArrow(contents, "path string, content binary")
