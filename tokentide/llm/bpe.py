@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tokentide.llm.frames import carried, column, slices
 from tokentide.llm.token_counts import LONGEST, Memory, read_tokenizer
+from tokentide.llm.worker import kept
 from tokentide.session import ship_package
 
 SCANNED = 256
 _NONE = 1 << 60
 # White space for Python's split but not for the pattern.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
-_WORKER: dict[str, WordBpe] = {}
 
 
 def byte_letters() -> list[str]:
@@ -190,10 +190,7 @@ class WordBpe:
 
 
 def _shared(data: bytes, version: str) -> WordBpe:
-    if version not in _WORKER:
-        _WORKER.clear()
-        _WORKER[version] = WordBpe(data)
-    return _WORKER[version]
+    return kept(f"bpe {version}", lambda: WordBpe(data))
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", decoded: bool = True) -> DataFrame:

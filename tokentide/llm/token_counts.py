@@ -18,13 +18,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tokentide.llm.frames import carried, column, slices
+from tokentide.llm.worker import kept
 from tokentide.session import materialize, ship_package
 
 # Words a worker remembers in each of two generations, and the longest it remembers.
 REMEMBERED, LONGEST = 300_000, 48
 CACHE_SCHEMA = "content binary, n_tokens long"
 _UNEVEN = re.compile(r" (?=\s|$)")
-_WORKER: dict[str, Callable[[list[str]], list[int]]] = {}
 
 
 class Memory:
@@ -118,10 +118,7 @@ def _piece_counter(data: bytes) -> Callable[[list[str]], list[int]]:
 
 def counter(data: bytes, kind: str, version: str) -> Callable[[list[str]], list[int]]:
     """The counting function of a tokenizer file, made once per worker."""
-    if version not in _WORKER:
-        _WORKER.clear()
-        _WORKER[version] = _piece_counter(data) if kind == "model" else _json_counter(data)
-    return _WORKER[version]
+    return kept(f"counter {version}", lambda: _piece_counter(data) if kind == "model" else _json_counter(data))
 
 
 def read_tokenizer(path: str) -> tuple[bytes, str, str]:
