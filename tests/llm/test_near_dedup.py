@@ -98,7 +98,9 @@ def test_signature_is_circulant_and_estimates_similarity():
     one, two = near_dedup.signature(left), near_dedup.signature(right)
     assert abs((one == two).mean() - 2200 / 3000) < 0.1
     assert (near_dedup.bands(one) == near_dedup.bands(one.copy())).all()
-    assert len(near_dedup.sketch(one)) == near_dedup.LONGS
+    assert (near_dedup.signature(left, 2048)[: len(one)] == one).all()
+    differing = int(np.bitwise_count((near_dedup.sketch(left) ^ near_dedup.sketch(right)).view(np.uint64)).sum())
+    assert abs(differing / near_dedup.BITS - (1 - 2200 / 3000) / 2) < 0.03
 
 
 def test_components_of_chains_stars_and_loops(rows):

@@ -5,10 +5,10 @@ the second, shifted by k, gives coordinate k its minimum. Coordinates are banded
 that share a band are candidates, and a link needs a Jaccard similarity of full sets.
 
 Documents with equal sets are one class, and one document stands for it. In each bucket
-every class is first compared with the least one, which joins large groups without
+every class is first compared with its leader, which joins large groups without
 expanding them into pairs; only classes of a bucket that are still apart are then compared
-with each other. So the work grows with rows, not with the square of a group's size, and no
-pair that shares a bucket is left undecided.
+with each other, where long sketches do not tell them apart. So the work does not grow with
+the square of a group's size, and every pair that shares a bucket is decided.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tokentide.llm.components import components
 from tokentide.llm.frames import column, slices
 from tokentide.llm.token_counts import LONGEST, Memory
+from tokentide.llm.worker import kept
 from tokentide.session import materialize, ship_package
 
 WORDS = 5  # words of a shingle
 BANDS, ROWS = 48, 5  # a pair at 0.75 shares no band with probability 2e-6
 RING = 1 << 20
 PERCENT = 75
-# One bit of each coordinate is kept as a sketch. Of two sets at 0.75 an eighth of the bits
-# differs on average; this many is seven deviations more, so such pairs need no full look.
-DIFFERENT = 66
+# Where groups stay apart, one bit of so many coordinates tells which pairs need a full look.
+# Of two sets at 0.75 an eighth of the bits differs on average, 256; the limit lies more than
+# five deviations above, which a pair that must be linked passes with probability 1e-7.
+BITS, DIFFERENT = 2048, 340
 _NO_ID = -(1 << 63)
 
 
@@ -65,22 +67,21 @@ class Shingler:
 
 
 @cache
-def _rings() -> tuple[np.ndarray, np.ndarray]:
-    """The scattering permutation, and every window of the circulated one."""
+def _rings(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The scattering permutation, and every window of ``size`` of the circulated one."""
     chance = np.random.default_rng(7)
     scatter = chance.permutation(RING).astype(np.int64)
     turned = chance.permutation(RING).astype(np.int32)
-    size = BANDS * ROWS
     return scatter, np.lib.stride_tricks.sliding_window_view(np.concatenate((turned, turned[: size - 1])), size)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """All coordinates: the minimum over the set of the second permutation shifted by k."""
-    scatter, windows = _rings()
+def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+    """Coordinates 0 to size - 1: the minimum over the set of the second permutation shifted by k."""
+    scatter, windows = _rings(size)
     at = scatter[(shingles >> np.uint64(44)).astype(np.int64)]
-    least = windows[at[:2048]].min(axis=0)
-    for start in range(2048, len(at), 2048):
-        least = np.minimum(least, windows[at[start : start + 2048]].min(axis=0))
+    least = windows[at[:512]].min(axis=0)
+    for start in range(512, len(at), 512):
+        least = np.minimum(least, windows[at[start : start + 512]].min(axis=0))
     return least
 
 
@@ -93,23 +94,16 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketch(coordinates: np.ndarray) -> np.ndarray:
-    """The last bit of every coordinate, packed into longs."""
-    bits = np.packbits(coordinates.astype(np.uint8) & 1)
-    return np.concatenate((bits, np.zeros(-len(bits) % 8, np.uint8))).view(np.int64)
-
-
-LONGS = -(-BANDS * ROWS // 64)
-_SHINGLER: list[Shingler] = []
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The last bit of ``BITS`` coordinates, packed into longs."""
+    return np.packbits(signature(shingles, BITS).astype(np.uint8) & 1).view(np.int64)
 
 
 def _shingler() -> Shingler:
-    if not _SHINGLER:
-        _SHINGLER.append(Shingler())
-    return _SHINGLER[0]
+    return kept("shingler", Shingler)
 
 
-_FEATURES = "doc_id long, text_hash long, n long, class binary, bands array<long>, sketch array<long>"
+_FEATURES = "doc_id long, text_hash long, n long, class binary, bands array<long>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,26 +113,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             found = shingle(text)
             if len(found):
-                coordinates = signature(found)
                 name = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                rows.append((len(found), name, bands(coordinates), sketch(coordinates)))
+                rows.append((len(found), name, bands(signature(found))))
             else:
-                rows.append((0, None, None, None))
-        sizes, names, keys, bits = zip(*rows, strict=True)
-        longs = pa.list_(pa.int64())
+                rows.append((0, None, None))
+        sizes, names, keys = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("text_hash"),
                 pa.array(sizes, pa.int64()),
                 pa.array(names, pa.binary()),
-                pa.array(keys, longs),
-                pa.array(bits, longs),
+                pa.array(keys, pa.list_(pa.int64())),
             ],
-            ["doc_id", "text_hash", "n", "class", "bands", "sketch"],
+            ["doc_id", "text_hash", "n", "class", "bands"],
         )
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingle = _shingler()
+    for batch in slices(batches):
+        bits = [sketch(shingle(text)) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.list_(pa.int64()))], ["node", "bits"])
+
+
 def _alike(left: Column, right: Column) -> Column:
     """Whether set sizes allow the similarity."""
     return F.least(left, right) * 100 >= F.greatest(left, right) * PERCENT
@@ -199,25 +197,27 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     # Every class in its buckets; buckets of one class are done.
     shown = held.join(classes.select("row"), "row", "left_semi")
-    places = shown.select(F.col("row").alias("node"), "n", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(
-        F.min(F.struct("node", "n")).alias("leader"), F.count(F.lit(1)).alias("size")
-    )
-    shared = materialize(shared.where("size > 1").select("bucket", "leader"), "shared-buckets")
-    crowded = materialize(
-        places.join(shared, "bucket").select(
-            "bucket", "node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")
-        ),
-        "crowded",
-    )
+    places = shown.select(F.col("row").alias("node"), "n", F.posexplode("bands").alias("band", "bucket"))
+    shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    shared = materialize(shared.where("size > 1"), "shared-buckets")
+    crowded = materialize(places.join(shared, "bucket"), "crowded")
     needed = crowded.select("node").distinct().join(nodes, "node")
     match = (F.coalesce(rows["doc_id"], F.lit(_NO_ID)) == F.coalesce(needed["doc_id"], F.lit(_NO_ID))) & (
         rows["text_hash"] == needed["text_hash"]
     )
     texts = materialize(rows.join(needed, match).select("node", "text"), "texts")
 
-    # First round: each class and the leader it shares most buckets with.
-    led = crowded.where((F.col("node") != F.col("leader")) & _alike(F.col("n"), F.col("leader_n")))
+    # First round: each class and the leader it shares most buckets with. A bucket is led by
+    # the class with the most company over all its buckets: the text that copies vary.
+    company = materialize(crowded.groupBy("node").agg(F.sum("size").alias("company")), "company")
+    leaders = crowded.join(company, "node").groupBy("bucket").agg(
+        F.max(F.struct("company", -F.col("node"), "node", "n")).alias("leader")
+    )
+    leaders = materialize(
+        leaders.select("bucket", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")), "leaders"
+    )
+    led = crowded.join(leaders, "bucket")
+    led = led.where((F.col("node") != F.col("leader")) & _alike(F.col("n"), F.col("leader_n")))
     counted = led.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("buckets"))
     best = counted.groupBy("node").agg(F.max(F.struct("buckets", -F.col("leader"))).alias("best"))
     tried = materialize(best.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b")), "tried")
@@ -226,25 +226,32 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     # Second round: all pairs of a bucket that are still apart, at least one of them outside
     # the bucket's largest component.
-    labelled = crowded.select("bucket", "node", "n").join(found, "node", "left")
+    labelled = crowded.select("bucket", "band", "node", "n").join(found, "node", "left")
     labelled = materialize(labelled.withColumn("root", F.coalesce("root", "node")), "labelled")
     parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts"))
     mixed = materialize(mixed.where("parts > 1").select("bucket", F.col("main.root").alias("main")), "mixed-buckets")
-    apart = labelled.join(mixed, "bucket")
-    sketches = features.select(F.col("row").alias("node"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS)])
-    apart = materialize(apart.join(sketches, "node"), "apart")
-    s, r = apart.where("root != main").alias("s"), apart.alias("r")
-    distance = sum(
-        (F.bit_count(F.col(f"s.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(1, LONGS)),
-        F.bit_count(F.col("s.s0").bitwiseXOR(F.col("r.s0"))),
+    apart = materialize(labelled.join(mixed, "bucket"), "apart")
+    asked = apart.select("node").distinct()
+    sketched = materialize(
+        texts.join(asked, "node", "left_semi").mapInArrow(_sketches, "node long, bits array<long>"), "sketches"
     )
+    words = [F.col("bits")[i].alias(f"s{i}") for i in range(BITS // 64)]
+    # 31 bits of each band key tell the first band that two classes share.
+    keys = features.select(F.col("row").alias("node"), F.transform("bands", lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"))
+    apart = materialize(apart.join(sketched.select("node", *words), "node").join(keys, "node"), "apart-sketches")
+    s, r = apart.where("root != main").alias("s"), apart.alias("r")
+    distance = F.lit(0)
+    for i in range(BITS // 64):
+        distance = distance + F.bit_count(F.col(f"s.s{i}").bitwiseXOR(F.col(f"r.s{i}")))
+    same = F.zip_with("s.keys", "r.keys", lambda one, other: one == other)
     close = (
         (F.col("s.bucket") == F.col("r.bucket"))
         & (F.col("s.root") != F.col("r.root"))
         & ((F.col("r.root") == F.col("r.main")) | (F.col("s.node") < F.col("r.node")))
         & _alike(F.col("s.n"), F.col("r.n"))
         & (distance <= DIFFERENT)
+        & (F.array_position(same, True) == F.col("s.band") + 1)
     )
     pairs = s.join(r, close).select(F.least("s.node", "r.node").alias("a"), F.greatest("s.node", "r.node").alias("b"))
     fresh = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
