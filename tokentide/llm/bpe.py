@@ -151,7 +151,7 @@ class WordBpe:
         for word in words:
             ids = young.get(word) or old.get(word)
             if ids is None:
-                ids = self.word(word)
+                ids = tuple(self.word(word))
             if len(word) <= LONGEST:
                 young[word] = ids
             out.extend(ids)

@@ -29,7 +29,7 @@ UNDETERMINED = "und"
 FLOOR = 0.01
 FULL_STEPS, STEPS = 10, 6
 # Words of a slice that are inferred at once, which bounds memory for long texts.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 19
 
 
 @cache
