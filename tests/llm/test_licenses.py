@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tests.plans import plan_text
+from tokentide.llm.license_blocks import block_templates
 from tokentide.llm.licenses import scan_licenses
 
 
@@ -62,3 +63,71 @@ def test_root_ties_repeats_and_clashes(rows):
 def test_long_licence_file(rows):
     long = ("filler words " * 30_000) + "\nLicensed under CC BY-NC 4.0.\n"
     assert scan(rows, [("p/NOTICE", long), ("p/q", "x")]) == {"p/NOTICE": ("CC-BY-NC-4.0", "file"), "p/q": ("CC-BY-NC-4.0", "p")}
+
+
+GPL_HEADER = """# This file is part of Frobnicate.
+#
+# Frobnicate is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {kind}General Public License as published by
+# the Free Software Foundation, either version {version} of the License, or
+# (at your option) any later version.
+#
+# Frobnicate is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU {kind}General Public License for more details.
+import os
+"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+   License, v. 2.0. If a copy of the MPL was not distributed with this
+   file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+int x;
+"""
+APACHE_HEADER = """\"\"\"A module.
+
+Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");\r
+you may not use this file except in compliance with the License.
+\"\"\"
+"""
+
+
+def test_wrapped_headers(rows):
+    found = scan(
+        rows,
+        [
+            ("h/gpl3.py", GPL_HEADER.format(kind="", version=3)),
+            ("h/gpl2.py", GPL_HEADER.format(kind="", version=2)),
+            ("h/lgpl.py", GPL_HEADER.format(kind="Lesser ", version="2.1")),
+            ("h/agpl.py", GPL_HEADER.format(kind="Affero ", version=3)),
+            ("h/mpl.c", MPL_HEADER),
+            ("h/mpl.js", MPL_HEADER.replace("\n   ", "\n * ")),
+            ("h/bsd.go", "// Copyright 2009 Some Authors.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\npackage x\n"),
+            ("h/apache.py", APACHE_HEADER),
+            ("h/prose.txt", "Words before.\nThis work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International\nLicense.\nwords after\n"),
+            ("h/none.py", "# The licence server asks for a copyright notice\n# of any kind, see below.\n" * 3000),
+        ],
+    )
+    assert {path: license for path, (license, _) in found.items()} == {
+        "h/gpl3.py": "GPL-3.0",
+        "h/gpl2.py": "GPL-2.0",
+        "h/lgpl.py": "LGPL-2.1",
+        "h/agpl.py": "AGPL-3.0",
+        "h/mpl.c": "MPL-2.0",
+        "h/mpl.js": "MPL-2.0",
+        "h/bsd.go": "BSD-3-Clause",
+        "h/apache.py": "Apache-2.0",
+        "h/prose.txt": "CC-BY-NC-4.0",
+        "h/none.py": None,
+    }
+
+
+def test_whole_licence_files(rows):
+    texts = {name: full[-1] for name, full in block_templates().items()} | {"MIT": block_templates()["MIT"][0]}
+    data = [(f"{name}/LICENSE", f"Some Project\n\nCopyright (c) 2001 Jane Doe\n\n{text}") for name, text in texts.items()]
+    found = scan(rows, [*data, *((f"{name}/src/x", "code") for name in texts)])
+    assert len(data) >= 16
+    for name in texts:
+        assert found[f"{name}/LICENSE"] == (name, "file")
+        assert found[f"{name}/src/x"] == (name, name)

@@ -2,8 +2,10 @@
 
 The units of a file are its lines with a licence word and, for a licence file, its whole
 text as well. A unit is compared with every template as bags of words weighed by inverse
-document frequency over the templates, which are few and fixed. A file without a licence
-of its own gets that of the nearest directory above it that holds a licence file.
+document frequency over the templates, which are few and fixed. Where no line is a notice
+word for word, headers over several lines and full licence texts are compared as well
+(``license_blocks``). A file without a licence of its own gets that of the nearest directory
+above it that holds a licence file.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tokentide.llm.frames import carried, column
+from tokentide.llm.license_blocks import block_templates, found_in_blocks
 from tokentide.session import materialize
 
 # Names of licences and the notices that public licence texts ask for.
@@ -111,17 +114,29 @@ def _own(files: DataFrame, templates: Mapping[str, Sequence[str]], least: float)
     return best.where(F.col("best.score") >= least).select("_key", "_hash", "best.own", "best.score")
 
 
+def _with_blocks(files: DataFrame, lines: DataFrame, blocks: Mapping[str, Sequence[str]], least: float) -> DataFrame:
+    """The better of a file's notice line and its blocks; the line where they are equal."""
+    open_ = files.join(lines.where("score >= 1"), ["_key", "_hash"], "left_anti").dropDuplicates(["_key", "_hash"])
+    found = found_in_blocks(open_, template_weights(blocks), F.col("_path").rlike(LICENCE_FILE), least)
+    both = lines.withColumn("line", F.lit(1)).unionByName(found.withColumn("line", F.lit(0)))
+    best = both.groupBy("_key", "_hash").agg(F.max(F.struct("score", "line", "own")).alias("best"))
+    return best.select("_key", "_hash", "best.own", "best.score")
+
+
 def scan_licenses(
     files: DataFrame,
     path: str = "path",
     text: str = "text",
     templates: Mapping[str, Sequence[str]] = TEMPLATES,
     least: float = 0.6,
+    blocks: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """``files`` with license, license_from ('file' or the directory inherited from) and license_score.
 
     A file's own licence is the template with the largest cosine over its units, if that is
-    ``least`` or more; equal cosines go to the later name. Otherwise the licence comes from
+    ``least`` or more; equal cosines go to the later name. Unless a line has the cosine 1,
+    headers, paragraphs and licence files are compared with ``blocks`` (the standard headers
+    and full texts, if not given) too, and count where their cosine is larger. Otherwise the licence comes from
     the nearest directory above with a licence file that has one; of several such files in
     a directory the one with the largest cosine counts, then the later name. Without
     either all three columns are null. Cosines are rounded to six places.
@@ -134,7 +149,8 @@ def scan_licenses(
     given = F.coalesce(column(path), F.lit(""))
     content = F.coalesce(column(text), F.lit(""))
     rows = files.select(*away, given.alias("_path"), F.xxhash64(given).alias("_key"), F.xxhash64(content).alias("_hash"), content.alias("_text"))
-    own = materialize(_own(rows, templates, least), "own-licences")
+    lines = materialize(_own(rows, templates, least), "notice-lines")
+    own = materialize(_with_blocks(rows, lines, blocks or block_templates(), least), "own-licences")
     known = rows.drop("_text").join(own, ["_key", "_hash"], "left").withColumn("_dir", parent(F.col("_path")))
     # Paths and own licences only: what the directories need.
     narrow = materialize(known.select("_path", "_dir", "own", "score"), "licence-paths")
