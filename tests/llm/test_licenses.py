@@ -131,3 +131,25 @@ def test_whole_licence_files(rows):
     for name in texts:
         assert found[f"{name}/LICENSE"] == (name, "file")
         assert found[f"{name}/src/x"] == (name, name)
+
+
+def test_reserved_rights_block_inheritance(rows):
+    data = [
+        ("a/LICENSE", "Released under the MIT License."),
+        ("a/x.py", "# Copyright 2020 Someone. All rights reserved.\ncode"),
+        ("a/y.py", "# Copyright 2020 Someone. All rights\n# reserved.\n# SPDX-License-Identifier: Apache-2.0"),
+        ("a/w.py", "# all rights\n# reserved"),
+        ("a/z.py", "code"),
+        ("a/b/LICENSE", "All Rights Reserved."),
+        ("a/b/z.py", "code"),
+    ]
+    found = scan_licenses(rows(data, "path string, text string"), reserved=True).collect()
+    assert {r.path: (r.license, r.license_from, r.license_score is None) for r in found} == {
+        "a/LICENSE": ("MIT", "file", False),
+        "a/x.py": ("reserved", "file", True),
+        "a/y.py": ("Apache-2.0", "file", False),
+        "a/w.py": ("reserved", "file", True),
+        "a/z.py": ("MIT", "a", False),
+        "a/b/LICENSE": ("reserved", "file", True),
+        "a/b/z.py": ("reserved", "a/b", True),
+    }

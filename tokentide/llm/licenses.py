@@ -54,6 +54,9 @@ TEMPLATES: Mapping[str, Sequence[str]] = {
 }
 CUE = r"(?i)licen[sc]e|copyright|spdx|all rights reserved"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)([.-][^/]*)?$"
+# Notices that grant nothing; words may be parted by line ends and comment marks.
+RESERVED = r"(?i)all[\s#*/;%-]+rights[\s#*/;%-]+reserved|proprietary[\s#*/;%-]+and[\s#*/;%-]+confidential"
+RESERVED_NAME = "reserved"
 TERM = "[a-z0-9]+"
 ADDED = ("license", "license_from", "license_score")
 
@@ -130,6 +133,7 @@ def scan_licenses(
     templates: Mapping[str, Sequence[str]] = TEMPLATES,
     least: float = 0.6,
     blocks: Mapping[str, Sequence[str]] | None = None,
+    reserved: bool = False,
 ) -> DataFrame:
     """``files`` with license, license_from ('file' or the directory inherited from) and license_score.
 
@@ -141,6 +145,10 @@ def scan_licenses(
     a directory the one with the largest cosine counts, then the later name. Without
     either all three columns are null. Cosines are rounded to six places.
 
+    With ``reserved`` a file that has no licence of its own but a notice that all rights are
+    reserved has the license 'reserved' from the file, without a score; as a licence file it
+    gives that to its directory, where any other licence file outranks it.
+
     A null text has no units. A null path is the empty root's, and no licence file. Rows
     that repeat path and text are one file, each keeping its row. An empty table gives an
     empty result; input columns named like added ones are replaced. ``files`` is read twice.
@@ -151,6 +159,10 @@ def scan_licenses(
     rows = files.select(*away, given.alias("_path"), F.xxhash64(given).alias("_key"), F.xxhash64(content).alias("_hash"), content.alias("_text"))
     lines = materialize(_own(rows, templates, least), "notice-lines")
     own = materialize(_with_blocks(rows, lines, blocks or block_templates(), least), "own-licences")
+    if reserved:
+        bare = rows.where(F.col("_text").rlike(RESERVED)).select("_key", "_hash").distinct().join(own, ["_key", "_hash"], "left_anti")
+        none = F.lit(None).cast("double").alias("score")
+        own = own.unionByName(bare.select("_key", "_hash", F.lit(RESERVED_NAME).alias("own"), none))
     known = rows.drop("_text").join(own, ["_key", "_hash"], "left").withColumn("_dir", parent(F.col("_path")))
     # Paths and own licences only: what the directories need.
     narrow = materialize(known.select("_path", "_dir", "own", "score"), "licence-paths")
@@ -168,5 +180,5 @@ def scan_licenses(
         *back,
         F.coalesce("own", "nearest.grant.own").alias("license"),
         F.when(mine, F.lit("file")).otherwise(F.col("nearest.source")).alias("license_from"),
-        F.coalesce("score", "nearest.grant.score").alias("license_score"),
+        F.when(mine, F.col("score")).otherwise(F.col("nearest.grant.score")).alias("license_score"),
     )
