@@ -44,15 +44,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id.
+    """One row of each group of near duplicates, the one of the smallest id.
 
-    Rows that repeat id and text become one. A row without id cannot be named by a group
-    and stays.
+    Of several texts of that id the one with the smallest hash stays; a row without id only
+    where its group has no id. Rows that repeat id and text become one. Texts without words
+    are no one's duplicates.
     """
-    groups = near_dedup.near_groups(docs)
-    kept = groups.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*map(column, docs.columns))
+    groups = near_dedup.near_groups(docs, roots=True)
+    alone = [F.when(F.col("root").isNull(), F.col(name)) for name in ("doc_id", "text_hash")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("first")
+    kept = groups.groupBy("root", *alone).agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    match = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"])
+    return docs.join(kept, match, "left_semi").dropDuplicates(["doc_id", "text"]).select(*map(column, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,16 @@ def test_empty_documents(spark, documents):
 def test_unlabelled_documents_stay(spark, documents):
     bare = documents.selectExpr("doc_id", "text", "cast(null as string) AS lang", "source", "n_chars", "score")
     assert corpus_pipeline.identify_language(spark, bare, "").count() == documents.count()
+
+
+def test_one_row_of_each_component(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, other, third = " ".join(words), " ".join(reversed(words)), " ".join(words[::2])
+    data = [(1, one), (2, one + " more"), (2, other), (3, third), (3, third + " x"), (3, third), (None, other + " y"), (5, ""), (5, " ")]
+    data += [(None, "only rows without id"), (None, "only rows without id"), (4, "a b c d e f"), (4, "g h i j k l")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    third_left = [row for row in left if row[0] == 3]
+    assert len(third_left) == 1 and third_left[0][1].startswith(third)
+    rest = [(1, one), (2, other), (5, ""), (5, " "), (None, "only rows without id"), (4, "a b c d e f"), (4, "g h i j k l")]
+    assert sorted(map(str, left)) == sorted(map(str, [*rest, *third_left]))

@@ -166,7 +166,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "confirmed")
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``, by an integer key.
 
     A set holds the distinct shingles of five words, or the whole sequence of fewer; a text
@@ -178,6 +178,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     component of each in its own row. A row without id gets the smallest id of its
     component, or null if there is none, and is kept then. An empty table gives an empty
     result. Other columns are left out. ``docs`` is read twice.
+
+    ``roots`` adds text_hash (xxhash64 of the text) and root, which tells components apart
+    whose smallest ids are equal or null; it is null for a text without words.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(
@@ -260,13 +263,15 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     joined = nodes.select("node", "class", "doc").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     joined = materialize(joined, "joined")
+    more = ["text_hash", "root"] if roots else []
     least = materialize(joined.groupBy("root").agg(F.min("doc").alias("component")), "least-ids")
-    named = materialize(joined.join(least, "root").select("class", "component"), "named")
-    told = features.select("doc_id", "n", "class").join(named, "class", "left")
+    named = materialize(joined.join(least, "root").select("class", "component", *more[1:]), "named")
+    told = features.select("doc_id", "n", "class", *more[:1]).join(named, "class", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return told.select(
         F.col("doc_id").alias(key),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        *more,
     )
