@@ -1,4 +1,4 @@
-"""A corpus from documents: language, near duplicates, mixing, encoding.
+"""A corpus from documents: language, near duplicates, mixing, encoding and decoding.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame whose result is written as
 parquet and read again as the docs of the next one. All but the last return the columns
@@ -70,9 +70,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text and their number."""
-    coded = bpe.encode(docs, TOKENIZER, decoded=False)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every text, their number and the digest of the text they decode to."""
+    coded = bpe.encode(docs, TOKENIZER)
+    digest = F.sha2("decoded", 256).alias("decoded_sha256")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", digest)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import corpus_pipeline
@@ -79,3 +80,10 @@ def test_one_row_of_each_component(spark):
     assert len(third_left) == 1 and third_left[0][1].startswith(third)
     rest = [(1, one), (2, other), (5, ""), (5, " "), (None, "only rows without id"), (4, "a b c d e f"), (4, "g h i j k l")]
     assert sorted(map(str, left)) == sorted(map(str, [*rest, *third_left]))
+
+
+def test_ids_are_decoded(spark, documents):
+    coded = corpus_pipeline.encode_texts(spark, documents, "").collect()
+    bpe = WordBpe(open(corpus_pipeline.TOKENIZER, "rb").read())
+    assert len(coded) == documents.count()
+    assert all(r.decoded_sha256 == hashlib.sha256(bpe.decode(list(r.ids)).encode()).hexdigest() for r in coded)
