@@ -196,7 +196,9 @@ def top_k(
     than k. Only vectors of the same length are compared; an empty vector takes no part.
 
     Vectors without id, null ones and those with a null or non-finite component take no
-    part. Rows with a query's id are not its candidates; other repeated rows are candidates
+    part, nor do those with a finite component beyond 1.7e308 / 256. Scaled components stop at
+    9e18, so scores are not those of the formula where a component is beyond 9e18 / ``scale``
+    (3.5e16 at 256). Rows with a query's id are not its candidates; other repeated rows are candidates
     of their own, as are equal vectors. A score beyond a long stops at its ends. Other
     columns are left out. An empty table gives an empty result.
     """
