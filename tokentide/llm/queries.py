@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tokentide.llm import bpe, chat_format, fingerprints, language, licenses, mix, near_dedup, token_counts, top_k, warc
+from tokentide.llm import text_queries as _texts  # noqa: F401  (importing registers its queries)
 from tokentide.llm.registry import query
 from tokentide.session import scratch_path
 
@@ -160,8 +161,9 @@ files AS (
               WHEN number % 50 = 0 THEN folder || '/LICENSE.' || number
               ELSE folder || '/' || number || '.txt' END AS path,
          CASE WHEN number % 100 = 0 THEN top ELSE folder END AS dir, number % 50 = 0 AS holder FROM placed),
-lines AS (SELECT doc_id, unnest(regexp_split_to_array(text, '
-||
+lines AS (SELECT doc_id, unnest(regexp_split_to_array(text, '
+|
+|
 ')) AS unit FROM files),
 units AS (
   SELECT doc_id, row_number() OVER () AS id, unit FROM (
