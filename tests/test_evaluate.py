@@ -7,7 +7,9 @@ import json
 import pytest
 
 from tokentide.operators import evaluate
+from tests.plans import plan_text
 from tokentide.plans.jobs import evaluate_responses
+from tokentide.session import materialize
 from tokentide.sources.samples import as_samples, of_type
 
 USAGE = {"prompt_tokens": 5, "completion_tokens": 7, "total_tokens": 12}
@@ -70,6 +72,20 @@ def test_request_json(samples):
         (200, "{'choices': [{'message': {'content': 'x'}}]}", "not valid"),
         (200, body(3), "not valid"),
         (200, body("x", reasoning_content=["y"]), "not valid"),
+        (200, body("x") + ',"extra":1', "not valid"),
+        (200, body("x")[:-1] + '},"body":' + body("EVIL"), "not valid"),
+        (200, body("x") + "]", "not valid"),
+        (200, body("x") + '] {"more": 1}', "not valid"),
+        (200, " " + body("x") + "\n", None),
+        (200, "[" + body("x") + "]", "not valid"),
+        (200, '{"choices": [{"message": {"content": "x"}}, {}]}', "not valid"),
+        (200, '{"choices": [{"message": {"content": "x"}}, {"message": {"content": 4}}]}', "not valid"),
+        (200, '{"choices": [{"message": {"content": "x"}, "message": {"content": "y"}}]}', "not valid"),
+        (200, body("x", {**USAGE, "total_tokens": 12.0}), "usage"),
+        (200, body("x", {**USAGE, "total_tokens": -1}), "usage"),
+        (200, body("x", {**USAGE, "prompt_cache_hit_tokens": None}), "usage"),
+        (200, body("x", {**USAGE, "completion_tokens_details": None}), None),
+        (200, body("x", 5), "usage"),
     ],
 )
 def test_response_errors(rows, status, text, error):
@@ -111,6 +127,14 @@ def test_defects_only_up_to_the_limit(samples, responses):
     assert [r.row_id for r in evaluate.defects(results).collect()] == [1, 2, 3, 4]
 
 
+def test_a_capped_listing_orders_ids_alone(samples, responses):
+    results = materialize(evaluate.score_responses(samples, evaluate.parse_responses(responses)))
+    plan = plan_text(evaluate.defects(results, most=4))
+    windows = [line for line in plan.splitlines() if "Window" in line or "TakeOrdered" in line or "GlobalLimit" in line]
+    assert windows and all("response" not in line and "reasoning" not in line for line in windows)
+    assert [r.response for r in evaluate.defects(results, most=4).collect()][0] == "Final Answer: [a]"
+
+
 def test_one_result_per_sample(samples, rows):
     again = rows(
         [(0, 500, "busy"), (0, 200, body("Final Answer: [b]")), (0, 200, body("Final Answer: [a, b]")), (1, 500, "x"), (1, 429, "y")],

@@ -8,13 +8,29 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tokentide.plans.stream_queries import _drain, _flat
-from tokentide.session import scratch_path
-from tokentide.streaming.assemble import _see, as_responses, assemble, assemble_stream
-from tokentide.streaming.rates import active_requests, active_states, live_rate, live_rate_stream, request_states
+from tokentide.plans.jobs import evaluate_line_stream, evaluate_lines
+from tokentide.plans.stream_queries import _drain, _drain_batches, _flat
+from tokentide.session import scratch_path, state_settings
+from tokentide.sinks.results import once_per_sample, untimed_responses
+from tokentide.sources.samples import as_samples
+from tokentide.streaming.assemble import (
+    _see, as_responses, assemble, assemble_stream, ticks_from_lines, unplaced_lines,
+)
+from tokentide.streaming.rates import (
+    active_requests, active_states, live_rate, live_rate_stream, merge_active, request_states, unplaced_ticks,
+)
 from tokentide.streaming.totals import running_totals
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Two tasks of state are enough for a handful of keys."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def chunk(*deltas, usage=None):
     value = {"choices": [{"delta": delta} for delta in deltas]}
     if usage is not None:
@@ -129,6 +145,118 @@ def test_seen_ranges_join():
     assert sum(_see(seen, seq) for seq in order) == 40 and seen == [0, 40]
 
 
+STRANGE = {
+    # Parts that are no texts are none; what is not one JSON document is no chunk.
+    1: [
+        'data: {"choices":[{"delta":{"content":5}}]}',
+        'data: {"choices":[{"delta":{"content":{"x":1}}}]}',
+        "data: {'choices':[{'delta':{'content':'q'}}]}",
+        'data: {"choices":[{"delta":{"content":"t"}}]} junk',
+        'data: {"choices":[{"delta":{"content":"t"}}]}{"choices":[]}',
+        'data: {"choices":[{"delta":{"content":"t"}}]},"sha":1',
+        chunk({"content": "z"}),
+        'data: {"choices":[5,[1],null,{"delta":3},{"delta":null},{"delta":{"content":"a","reasoning_content":7}}]}',
+        'data: {"choices":{"delta":{"content":"n"}}}',
+        "data: 7",
+        'data: {"usage":7}',
+        "data:" + chunk({"content": "no blank"})[6:],
+        chunk({}, usage=total(3)),
+        "data: [DONE]",
+    ],
+    2: [chunk({}, usage={"prompt_tokens": 1, "completion_tokens": 1.5, "total_tokens": 2}), "data: [DONE]"],
+    3: [chunk({"content": "x"}, usage={"prompt_tokens": 1, "completion_tokens": 1, "total_tokens": 1 << 40}), "data: [DONE]"],
+    4: [chunk({"content": "x"}, usage={"prompt_tokens": 1, "completion_tokens": 1, "total_tokens": "9"}), "data: [DONE]"],
+}
+
+
+def test_strange_lines_in_batch_and_stream(spark, rows):
+    listed = [(key, seq, line) for key, lines in STRANGE.items() for seq, line in enumerate(lines)]
+    listed += [(1, None, chunk({"content": "nowhere"})), (None, 0, chunk({"content": "nobody"}))]
+    listed += listed[:9] + [(5, 0, None), (5, 1, chunk({"content": "y"})), (5, 1, chunk({"content": "y"})), (5, 2, "data: [DONE]")]
+    random.Random(8).shuffle(listed)
+    lines = timed(rows, listed)
+    batch = as_responses(assemble(lines))
+    # Every third line has no time.
+    untimed = lines.withColumn("ts", F.when(F.col("seq") % 3 != 1, F.col("ts"))).collect()
+    frames = [rows(untimed[i::3], lines.schema) for i in range(3)]
+    stream = as_responses(_drain(assemble_stream(stream_of(spark, frames)), "strange"))
+    for frame in (batch, stream):
+        found = {r.row_id: r for r in frame.collect()}
+        assert sorted(found) == [1, 2, 3, 4, 5]
+        assert found[1].content == "za" and found[1].reasoning is None and found[1].usage.total_tokens == 3
+        assert found[2].error and found[3].error and found[2].content is None and found[3].usage is None
+        assert found[4].content == "x" and found[4].usage is None and found[4].error is None
+        assert found[5].content == "y"
+    assert unplaced_lines(lines).count() == 2
+
+
+def test_lines_over_three_batches_again_and_out_of_order(spark, rows):
+    dice = random.Random(6)
+    data = {
+        key: [chunk({"content": f"{key}.{n},", "reasoning_content": "r" * (n % 3)}, usage=total(n + 2)) for n in range(40 * key)] + ["data: [DONE]"]
+        for key in range(1, 6)
+    }
+    lines = lines_of(rows, data).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+    listed = lines.collect()
+    listed += dice.sample(listed, 200)
+    dice.shuffle(listed)
+    frames = [rows(listed[i::3], lines.schema) for i in range(3)]
+    assert shown(_drain(assemble_stream(stream_of(spark, frames)), "shuffled")) == shown(_flat(assemble(rows(listed, lines.schema))))
+
+
+def test_state_written_does_not_grow_with_a_response(spark, rows):
+    frames = [timed(rows, [(1, 500 * b + n, chunk({"content": "abcdefgh" * 8 + str(n)})) for n in range(500)]) for b in range(5)]
+    told = scratch_path(spark, "growth")
+    stream = assemble_stream(stream_of(spark, frames))
+    with state_settings(spark):
+        query = stream.writeStream.format("parquet").option("path", told).option("checkpointLocation", told + "-progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = [p["stateOperators"][0]["customMetrics"]["rocksdbTotalBytesWritten"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(written) == 5 and max(written) < 1.2 * min(written)
+
+
+def test_ticks_of_lines_in_batch_and_stream(spark, rows):
+    lines = timed(rows, [(key, seq, line) for key, own in LINES.items() for seq, line in enumerate(own)])
+    expected = {(1, 0, 2, 1, False), (1, 4, 0, 1, False), (1, 5, 2, 0, False), (1, 6, 0, 0, True), (1, 7, 4, 0, False), (2, 0, 1, 0, False), (2, 2, 0, 0, True), (3, 0, 0, 0, True)}
+    names = ("sample_index", "seq", "content_delta_chars", "reasoning_delta_chars", "finished")
+    stream = ticks_from_lines(stream_of(spark, [lines]))
+    for ticks in (ticks_from_lines(lines), _drain(stream, "line-ticks")):
+        assert {tuple(r[n] for n in names) for r in ticks.collect()} == expected
+    states = _drain(request_states(ticks_from_lines(stream_of(spark, [lines]))), "line-states")
+    # Characters after the end of sample 1 begin it anew.
+    assert [tuple(r) for r in active_states(states).collect()] == [(1, 4, 0)]
+
+
+def test_lines_to_results(spark, rows):
+    schema = "row_id long, prompt string, answer_nodes array<string>, problem_type string"
+    samples = as_samples(rows([(i, "p", ["a", "b"], "x") for i in range(4)], schema))
+    answer = lambda text: [chunk({"content": "Final Answer: "}), chunk({"content": text}, usage=total(3)), "data: [DONE]"]
+    data = {0: answer("[a, b]"), 1: answer("[a]"), 2: [chunk({}, usage={"total_tokens": 4}), "data: [DONE]"]}
+    lines = timed(rows, [(key, seq, line) for key, own in data.items() for seq, line in enumerate(own)])
+    sections = evaluate_lines(samples, lines)
+    found = {r.row_id: r for r in sections["results"].collect()}
+    assert [found[i].f1 for i in range(4)] == [1.0, pytest.approx(2 / 3), 0.0, 0.0]
+    assert found[2].error == "response usage is not valid" and found[3].error == "no response"
+    assert sections["summary"].first().exact_matches == 1
+    output = scratch_path(spark, "line-results")
+    listed = lines.collect()
+    query = evaluate_line_stream(samples, stream_of(spark, [rows(listed[i::3], lines.schema) for i in range(3)]), output, output + "-progress")
+    query.processAllAvailable()
+    query.stop()
+    written = {int(r["index"]): r for r in spark.read.option("header", True).csv(output).collect()}
+    assert {i: r.f1 for i, r in written.items()} == {0: "1.0000", 1: "0.6667", 2: "0.0000"}
+
+
+def test_a_repeated_response_counts_once(spark, rows):
+    schema = "row_id long, status int, body string, ts long"
+    frames = [rows(part, schema).withColumn("ts", F.timestamp_seconds("ts")) for part in (
+        [(1, 200, "a", 100), (2, 200, "b", 100), (1, 200, "a", 100)], [(1, 200, "a", 160), (None, 200, "x", 100)], [(2, 200, "b", 200), (3, 200, "c", None), (4, 200, "d", 300)],
+    )]
+    found = _drain(once_per_sample(stream_of(spark, frames)), "once")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 200, "a"), (2, 200, "b"), (4, 200, "d")]
+    assert untimed_responses(frames[1].unionByName(frames[2])).count() == 2
+
+
 def test_bad_usage_is_an_error_row(spark, rows):
     bad = {"total_tokens": 5, "completion_tokens": 1}
     data = {
@@ -231,6 +359,65 @@ def test_an_empty_tick_finishes_a_request(spark, rows):
     assert active_states(states).count() == 0
 
 
+def test_ticks_without_a_place_or_a_part(spark, rows):
+    ticks = rows(
+        [(1, 0, 0, 5, None), (1, 1, 1_000_000, None, 5), (1, 2, 2_000_000, None, None), (1, 3, None, 9, 9), (1, None, 2_500_000, 9, 9), (None, 4, 0, 9, 9), (1, 5, 3_000_000, 3, 2)],
+        "sample_index long, seq long, micros long, content_delta_chars int, reasoning_delta_chars int",
+    ).withColumn("ts", F.timestamp_micros(F.col("micros") + 1_700_000_000_000_000)).drop("micros")
+    expected = {(1, 0): (5, 0), (1, 1): (10, 10), (1, 5): (15, 5)}
+    assert rated(live_rate(ticks)) == expected
+    listed = ticks.collect()
+    frames = [rows(listed[:4], ticks.schema), rows(listed[4:], ticks.schema)]
+    assert rated(_drain(live_rate_stream(stream_of(spark, frames)), "placed")) == expected
+    assert unplaced_ticks(ticks).count() == 3
+
+
+def test_listing_of_active_samples_by_batches(spark, rows):
+    def part(data):
+        base = 1_700_000_000
+        return rows(data, "sample_index long, seq long, second long, content_delta_chars int, finished boolean").select(
+            "sample_index", "seq", F.timestamp_seconds(F.col("second") + base).alias("ts"), "content_delta_chars",
+            F.lit(0).alias("reasoning_delta_chars"), "finished",
+        )
+
+    frames = [
+        part([(1, 0, 0, 5, False), (2, 0, 0, 7, False), (3, 0, 0, 1, False), (3, 1, 1, 0, True)]),
+        part([(1, 1, 2, 5, False), (2, 1, 2, 0, True)]),
+        part([(4, 0, 5, 2, False), (2, 2, 6, 3, False), (3, 2, 6, 0, True)]),
+    ]
+    folder, kept = scratch_path(spark, "listing"), []
+    merge = merge_active(folder)
+
+    def twice(states, batch):
+        # A batch that is run again changes nothing.
+        merge(states, batch)
+        once = sorted(map(tuple, spark.read.parquet(f"{folder}/{batch}").collect()))
+        merge(states, batch)
+        assert sorted(map(tuple, spark.read.parquet(f"{folder}/{batch}").collect())) == once
+        kept.append(once)
+
+    stream = request_states(stream_of(spark, frames), last_only=True)
+    progress = scratch_path(spark, "listing-progress")
+    writer = stream.writeStream.outputMode("update").foreachBatch(twice).option("checkpointLocation", progress).trigger(availableNow=True)
+    with state_settings(spark):
+        query = writer.start()
+    query.awaitTermination()
+    assert kept[:3] == [[(1, 5, 0), (2, 7, 0)], [(1, 10, 5)], [(1, 10, 5), (2, 3, 0), (4, 2, 0)]]
+    # State is kept of the active samples and of no others.
+    with state_settings(spark):
+        for name, column in (("head", "key"), ("ring", "key")):
+            state = spark.read.format("statestore").option("path", progress).option("stateVarName", name).load()
+            assert {r[0].sample_index for r in state.select(column).collect()} == {1, 2, 4}, name
+
+
+def test_idle_requests_leave_the_listing(spark, rows):
+    frames = [ticks_of(rows, [(1, 0, 0, 5)]), ticks_of(rows, [(2, 1, 20_000_000_000, 4)]), ticks_of(rows, [(2, 2, 20_001_000_000, 4)])]
+    folder = scratch_path(spark, "idle-listing")
+    stream = request_states(stream_of(spark, frames), late="1 minute", idle="1 hour", last_only=True)
+    last = _drain_batches(stream, "idle-listing", "update", merge_active(folder))
+    assert [tuple(r) for r in spark.read.parquet(f"{folder}/{last}").collect()] == [(2, 8, 8 // 1)]
+
+
 def test_active_requests(rows):
     rates = rows([(1, 0, 5, 3, 1), (1, 1, 6, 9, 2), (2, 0, 1, 4, 0)], "sample_index long, seq long, micros long, chars long, chars_per_sec long")
     finished = rows([(2,)], "sample_index long")

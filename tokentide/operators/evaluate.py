@@ -42,7 +42,8 @@ def score_responses(samples: DataFrame, parsed: DataFrame) -> DataFrame:
 def score_arrivals(samples: DataFrame, parsed: DataFrame) -> DataFrame:
     """Evaluation results of the responses that have arrived, for a stream of them.
 
-    Every response that arrives is a result, a second one to the same sample too.
+    Every response that arrives is a result, a second one to the same sample too, unless
+    :func:`tokentide.sinks.results.once_per_sample` stands before.
     """
     return _scored(parsed.join(_unprompted(samples), "row_id"))
 
@@ -139,14 +140,16 @@ def defects(results: DataFrame, most: int | None = None) -> DataFrame:
     """Errors and inexact results in row order.
 
     With ``most``, a limit of a short listing, none at all if there are more than that.
+    ``results`` is then read twice: write it before if it is costly to compute.
     """
     wrong = results.where(F.col("error").isNotNull() | (F.col("f1") < EXACT_F1))
     if most is None:
         return wrong.orderBy("row_id")
-    # One row more than is shown tells whether there are too many.
-    head = wrong.orderBy("row_id").limit(most + 1)
-    counted = head.withColumn("_shown", F.count(F.lit(1)).over(W.partitionBy()))
-    return counted.where(F.col("_shown") <= most).drop("_shown").orderBy("row_id")
+    # One row more than is shown tells whether there are too many. Only ids are ordered and
+    # counted; the rows with their texts are fetched by them.
+    head = wrong.select("row_id").orderBy("row_id").limit(most + 1)
+    shown = head.withColumn("_shown", F.count(F.lit(1)).over(W.partitionBy())).where(F.col("_shown") <= most)
+    return wrong.join(shown.select("row_id"), "row_id", "left_semi").orderBy("row_id")
 
 
 def usage_totals(results: DataFrame) -> DataFrame:

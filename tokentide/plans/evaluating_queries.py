@@ -9,7 +9,7 @@ from tokentide.functions.answers import final_answer
 from tokentide.operators import evaluate
 from tokentide.plans.inputs import RESPONSES_SQL, documents, response_text, responses, samples
 from tokentide.plans.registry import query
-from tokentide.session import scratch_path
+from tokentide.session import materialize, scratch_path
 from tokentide.sinks.results import write_results
 from tokentide.sources.samples import as_samples, first_samples, of_type, read_samples
 
@@ -151,10 +151,17 @@ def eval_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(evaluate.defects(results(spark, sf_dir)))
 
 
-@query(_DEFECTS_SQL + " WHERE (SELECT count(*) FROM wrong) <= 1000000")
+@query(_DEFECTS_SQL + " WHERE (SELECT count(*) FROM wrong) <= (SELECT count(*) FROM documents)")
 def eval_defects_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The short listing, with a limit above the number of defects."""
-    return _listed(evaluate.defects(results(spark, sf_dir), most=1_000_000))
+    """The short listing with a limit that the defects keep: as many as there are samples."""
+    scored = materialize(results(spark, sf_dir), "scored")
+    return _listed(evaluate.defects(scored, most=scored.count()))
+
+
+@query(_DEFECTS_SQL + " WHERE (SELECT count(*) FROM wrong) <= 50")
+def eval_defects_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short listing with the usual limit, which more defects than that leave empty."""
+    return _listed(evaluate.defects(materialize(results(spark, sf_dir), "scored"), most=50))
 
 
 @query(

@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tokentide.functions.paths import top_level
 from tokentide.functions.tokenizers import Tokenizer
 from tokentide.operators import compare, corpus, evaluate
 from tokentide.operators.align import TokenizerSet, align_files
 from tokentide.operators.profile import category_frequency, head_and_tail, token_histogram, token_profile
-from tokentide.session import materialize
+from tokentide.session import materialize, state_settings
+from tokentide.sinks.results import stream_results
 from tokentide.sinks.tables import write_counted
 from tokentide.sources.tables import tag_inputs, with_row_id
 from tokentide.sources.text_files import read_text_files
+from tokentide.streaming.assemble import as_responses, assemble, assemble_stream
 
 
 def count_tables(
@@ -103,11 +106,9 @@ def compare_text_files(
     return sections
 
 
-def evaluate_responses(samples: DataFrame, responses: DataFrame) -> dict[str, DataFrame]:
-    """Scored results of a response table (row_id, status, body) and their summaries."""
-    results = materialize(
-        evaluate.score_responses(samples, evaluate.parse_responses(responses)), "results"
-    )
+def _evaluation(scored: DataFrame) -> dict[str, DataFrame]:
+    """Results and their summaries."""
+    results = materialize(scored, "results")
     return {
         "results": results,
         "summary": evaluate.evaluation_summary(results),
@@ -116,3 +117,25 @@ def evaluate_responses(samples: DataFrame, responses: DataFrame) -> dict[str, Da
         "usage": evaluate.usage_totals(results),
         "defects": evaluate.defects(results),
     }
+
+
+def evaluate_responses(samples: DataFrame, responses: DataFrame) -> dict[str, DataFrame]:
+    """Scored results of a response table (row_id, status, body) and their summaries."""
+    return _evaluation(evaluate.score_responses(samples, evaluate.parse_responses(responses)))
+
+
+def evaluate_lines(samples: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
+    """Scored results of streamed responses (sample_index, seq, line) and their summaries."""
+    return _evaluation(evaluate.score_responses(samples, as_responses(assemble(lines))))
+
+
+def evaluate_line_stream(
+    samples: DataFrame, lines: DataFrame, output: str, checkpoint: str, late: str = "10 minutes", idle: str = "1 hour"
+) -> StreamingQuery:
+    """A started query that appends the result of each sample once its lines (with ts) are complete.
+
+    ``samples`` is a table; ``output`` gets the result file, see :func:`stream_results`.
+    """
+    scored = evaluate.score_arrivals(samples, as_responses(assemble_stream(lines, late, idle)))
+    with state_settings(lines.sparkSession):
+        return stream_results(scored, output, checkpoint).start()

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tokentide.functions.numbers import per_second
-from tokentide.operators.evaluate import parse_responses, result_rows, score_arrivals, score_responses
+from tokentide.operators.evaluate import parse_responses, result_rows, score_arrivals
 from tokentide.plans.evaluating_queries import _RESULT_FILE_SQL, _samples, read_result_file, results
 from tokentide.plans.inputs import RESPONSES_SQL, response_lines, responses, stream_lines, ticks
+from tokentide.plans.jobs import evaluate_lines
 from tokentide.plans.registry import query
-from tokentide.session import materialize, scratch_path
-from tokentide.sinks.results import stream_results
-from tokentide.streaming.assemble import USAGE_FIELDS, as_responses, assemble, assemble_stream
+from tokentide.session import materialize, scratch_path, state_settings
+from tokentide.sinks.results import once_per_sample, stream_results
+from tokentide.streaming.assemble import USAGE_FIELDS, as_responses, assemble, assemble_stream, ticks_from_lines
 from tokentide.streaming.rates import (
-    active_requests, active_states, live_rate, live_rate_stream, request_states,
+    WINDOW_SECONDS, active_requests, live_rate, live_rate_stream, merge_active, request_states,
 )
 from tokentide.streaming.totals import running_totals
 
@@ -24,38 +27,63 @@ def _drain(stream: DataFrame, label: str) -> DataFrame:
     """Run a streaming query over everything there is, into a table."""
     spark = stream.sparkSession
     output = scratch_path(spark, label)
-    running = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", output)
         .option("checkpointLocation", scratch_path(spark, f"{label}-progress"))
         .trigger(availableNow=True)
-        .start()
     )
+    with state_settings(spark):
+        running = writer.start()
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(output)
 
 
+def _drain_batches(stream: DataFrame, label: str, mode: str, each: Callable[[DataFrame, int], None]) -> int:
+    """Run a streaming query over everything there is, a function for each batch; the number of the last."""
+    progress = scratch_path(stream.sparkSession, f"{label}-progress")
+    last = -1
+
+    def keep(result: DataFrame, batch: int) -> None:
+        nonlocal last
+        each(result, batch)
+        last = batch
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", progress)
+    with state_settings(stream.sparkSession):
+        running = writer.trigger(availableNow=True).start()
+    running.awaitTermination()
+    return last
+
+
 def _drain_latest(stream: DataFrame, label: str) -> DataFrame:
     """Run a streaming query whose whole result is anew in every batch; the last one of them."""
     output = scratch_path(stream.sparkSession, label)
-    written: list[str] = []
+    last = _drain_batches(
+        stream, label, "complete", lambda result, batch: result.write.mode("overwrite").parquet(f"{output}/{batch}")
+    )
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{output}/{last}")
 
-    def keep(result: DataFrame, batch: int) -> None:
-        written.append(f"{output}/{batch}")
-        result.write.mode("overwrite").parquet(written[-1])
 
-    progress = scratch_path(stream.sparkSession, f"{label}-progress")
-    writer = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", progress)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(written[-1])
+BATCHES = 3
 
 
-def _as_stream(table: DataFrame, label: str) -> DataFrame:
-    """A table as a file stream."""
+def _as_stream(table: DataFrame, label: str, batch: Column | None = None) -> DataFrame:
+    """A table as a file stream of three micro-batches, by a number from 0 to 2 of each row."""
     spark = table.sparkSession
     path = scratch_path(spark, label)
-    table.write.parquet(path)
-    return spark.readStream.schema(table.schema).parquet(path)
+    held = materialize(table.withColumn("_batch", F.lit(0) if batch is None else batch), f"{label}-rows")
+    # A task writes one file, and a micro-batch takes one; files are taken in the order they were written.
+    for number in range(BATCHES):
+        held.where(F.col("_batch") == number).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _third(table: DataFrame, name: str) -> Column:
+    """Which third of a column's span a row lies in, for streams whose batches follow its order."""
+    low, high = table.agg(F.min(name), F.max(name)).first()
+    share = (F.col(name).cast("double") - F.lit(low).cast("double")) / F.nullif(F.lit(high).cast("double") - F.lit(low).cast("double"), F.lit(0.0))
+    return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BATCHES), F.lit(BATCHES - 1))
 
 
 _ASSEMBLED_SQL = """WITH turns AS (SELECT * FROM conversations)
@@ -85,18 +113,17 @@ def assemble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ASSEMBLED_SQL)
 def assemble_lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = stream_lines(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
-    lines = _as_stream(timed, "lines")
+    lines = _as_stream(_timed_lines(spark, sf_dir), "lines", F.pmod(F.col("seq") * 2, F.lit(BATCHES)))
     return _shown(_drain(assemble_stream(lines), "assembled"))
 
 
-_SPAN = f"{int(RATE_WINDOW)} SECONDS"
-_RATE_SQL = f"""WITH ticks AS (SELECT user_id AS sample_index, event_id AS seq, epoch_us(ts) AS micros,
-    CAST(floor(coalesce(value, 0)) AS BIGINT) AS delta FROM events WHERE floor(coalesce(value, 0)) > 0),
+def _rate_sql(ticks: str, window: float) -> str:
+    """Rates of ticks (sample_index, seq, micros, delta)."""
+    return f"""WITH ticks AS ({ticks}),
 windowed AS (SELECT *, sum(delta) OVER past AS chars, sum(delta) OVER recent AS recent_chars, count(*) OVER recent AS recent_ticks,
     min(micros) OVER recent AS first FROM ticks
   WINDOW past AS (PARTITION BY sample_index ORDER BY micros, seq ROWS UNBOUNDED PRECEDING),
-    recent AS (PARTITION BY sample_index ORDER BY micros RANGE BETWEEN {int(RATE_WINDOW * 1_000_000)} PRECEDING AND CURRENT ROW)),
+    recent AS (PARTITION BY sample_index ORDER BY micros RANGE BETWEEN {int(window * 1_000_000)} PRECEDING AND CURRENT ROW)),
 fresh AS (SELECT *, CASE WHEN recent_ticks >= 2 AND (micros - first) / 1000000.0::DOUBLE > 0.3
     THEN CAST(floor(recent_chars / ((micros - first) / 1000000.0::DOUBLE)) AS BIGINT) END AS rate FROM windowed),
 rates AS (SELECT sample_index, seq, micros, CAST(chars AS BIGINT) AS chars, coalesce(last_value(rate IGNORE NULLS) OVER (
@@ -104,6 +131,13 @@ rates AS (SELECT sample_index, seq, micros, CAST(chars AS BIGINT) AS chars, coal
 """
 
 
+_RATE_SQL = _rate_sql(
+    """SELECT user_id AS sample_index, event_id AS seq, epoch_us(ts) AS micros,
+    CAST(floor(coalesce(value, 0)) AS BIGINT) AS delta FROM events WHERE floor(coalesce(value, 0)) > 0""",
+    RATE_WINDOW,
+)
+
+
 @query(_RATE_SQL + "SELECT * FROM rates")
 def live_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_rate(ticks(spark, sf_dir), RATE_WINDOW)
@@ -128,7 +162,8 @@ def _finishing_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         zero.alias("reasoning_delta_chars"),
         F.lit(True).alias("finished"),
     )
-    return _as_stream(ticked.unionByName(ends), "ticks")
+    both = ticked.unionByName(ends)
+    return _as_stream(both, "ticks", _third(both, "ts"))
 
 
 @query(_RATE_SQL + "SELECT * FROM rates")
@@ -137,6 +172,49 @@ def live_rates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain(rates, "rates")
 
 
+def _timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the conversations, a second apart."""
+    return stream_lines(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
+
+
+_LINE_TICKS_SQL = """SELECT conv_id AS sample_index, turn AS seq, CASE WHEN role = 'user' THEN length(text) ELSE 0 END AS content_delta_chars,
+  CASE WHEN role = 'user' THEN 0 ELSE length(text) END AS reasoning_delta_chars, false AS finished FROM conversations WHERE length(text) > 0
+UNION ALL SELECT conv_id, max(turn) + 1, 0, 0, true FROM conversations GROUP BY conv_id"""
+
+
+@query(_LINE_TICKS_SQL)
+def line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of response lines."""
+    return ticks_from_lines(_timed_lines(spark, sf_dir)).drop("ts")
+
+
+@query(_LINE_TICKS_SQL)
+def line_ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _timed_lines(spark, sf_dir)
+    return _drain(ticks_from_lines(_as_stream(lines, "tick-lines", F.pmod("seq", F.lit(BATCHES)))).drop("ts"), "line-ticks")
+
+
+_LINE_RATES_SQL = _rate_sql(
+    """SELECT conv_id AS sample_index, turn AS seq, (turn + 1700000000) * 1000000 AS micros,
+    length(text) AS delta FROM conversations WHERE length(text) > 0""",
+    WINDOW_SECONDS,
+) + "SELECT * FROM rates"
+
+
+@query(_LINE_RATES_SQL)
+def line_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From lines to ticks to live rates."""
+    return live_rate(ticks_from_lines(_timed_lines(spark, sf_dir)))
+
+
+@query(_LINE_RATES_SQL)
+def line_rates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _timed_lines(spark, sf_dir)
+    # Batches follow the time, as ticks that come late count when they come.
+    arriving = _as_stream(lines, "rate-lines", _third(lines, "ts"))
+    return _drain(live_rate_stream(ticks_from_lines(arriving)), "line-rates")
+
+
 _FINISHED_SQL = "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value >= 300"
 
 
@@ -151,9 +229,11 @@ def active_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ACTIVE_SQL)
 def active_samples_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listing kept up by a stream of request states."""
-    states = _drain(request_states(_finishing_ticks(spark, sf_dir), RATE_WINDOW, idle="3650 days"), "states")
-    return _drain_latest(active_states(_as_stream(states, "state-rows")), "active")
+    """The listing kept up by a stream of request states, batch by batch."""
+    folder = scratch_path(spark, "active")
+    states = request_states(_finishing_ticks(spark, sf_dir), RATE_WINDOW, idle="3650 days", last_only=True)
+    last = _drain_batches(states, "active", "update", merge_active(folder))
+    return spark.read.parquet(f"{folder}/{last}")
 
 
 @query(
@@ -199,16 +279,15 @@ def _scores(scored: DataFrame) -> DataFrame:
 
 @query(_STREAMED_SQL)
 def score_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines assembled into responses and scored."""
-    streamed = as_responses(assemble(response_lines(spark, sf_dir)))
-    return _scores(score_responses(_samples(spark, sf_dir), streamed))
+    """Lines assembled into responses and scored, by the job from lines to results."""
+    return _scores(evaluate_lines(_samples(spark, sf_dir), response_lines(spark, sf_dir))["results"])
 
 
 @query(_STREAMED_SQL + " WHERE NOT failed")
 def score_streamed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream: each sample is scored once its lines are complete."""
     timed = response_lines(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
-    assembled = assemble_stream(_as_stream(timed, "response-lines"))
+    assembled = assemble_stream(_as_stream(timed, "response-lines", F.pmod(F.col("seq") * 2, F.lit(BATCHES))))
     known = materialize(_samples(spark, sf_dir).drop("prompt"), "samples")
     return _scores(_drain(score_arrivals(known, as_responses(assembled)), "streamed-scores"))
 
@@ -244,11 +323,17 @@ def totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RESULT_FILE_SQL)
 def result_file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result file, appended to as responses arrive."""
-    arriving = _as_stream(responses(spark, sf_dir), "responses")
+    """The result file, appended to as responses arrive, some of them again in a later batch."""
+    first = responses(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.pmod("row_id", F.lit(600)) + 1_700_000_000))
+    number = F.pmod("row_id", F.lit(BATCHES - 1))
+    again = first.where(F.col("row_id") % 3 == 0).select("*", (number + 1).alias("_number"))
+    arriving = first.select("*", number.alias("_number")).unionByName(again)
     known = materialize(_samples(spark, sf_dir).drop("prompt"), "samples")
-    scored = score_arrivals(known, parse_responses(arriving))
+    stream = _as_stream(arriving, "responses", F.col("_number")).drop("_number")
+    scored = score_arrivals(known, parse_responses(once_per_sample(stream)))
     output = scratch_path(spark, "result-stream")
-    writer = stream_results(scored, output, scratch_path(spark, "result-stream-progress"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+    writer = stream_results(scored, output, scratch_path(spark, "result-stream-progress")).trigger(availableNow=True)
+    with state_settings(spark):
+        running = writer.start()
+    running.awaitTermination()
     return read_result_file(spark, output, result_rows(results(spark, sf_dir)).schema)

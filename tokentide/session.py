@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +20,20 @@ JOB_SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
 
+# Keyed stream state: only this store holds lists, maps and timers, and with a changelog a
+# micro-batch writes what it changed and no more.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def start(app_name: str = "tokentide", **settings: str) -> SparkSession:
     """A session with the settings above; keyword names use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)
-    for key, value in JOB_SETTINGS.items():
+    for key, value in (JOB_SETTINGS | STATE_SETTINGS).items():
         builder = builder.config(key, value)
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -43,6 +54,19 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """The settings of stateful streams while they start; a started query keeps them."""
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokentide.functions.chat import (
-    BAD_USAGE, DONE, bad_chunk_usage, chunk_text, chunk_usage, parsed_chunk, stream_data,
+    BAD_USAGE, DONE, bad_chunk_usage, chunk_deltas, chunk_text, chunk_usage, parsed_chunk, stream_data,
 )
 from tokentide.session import ship_package
 
@@ -21,6 +22,16 @@ USAGE_FIELDS = (
 _SEGMENT = 4096  # lines of one sample that are joined in one group
 
 
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """The lines that name their sample and their place in it; no others take part."""
+    return lines.where("sample_index IS NOT NULL AND seq IS NOT NULL")
+
+
+def unplaced_lines(lines: DataFrame) -> DataFrame:
+    """The lines that take no part, for a table or a stream of their own."""
+    return lines.where("sample_index IS NULL OR seq IS NULL")
+
+
 def parse_lines(lines: DataFrame, *kept: str) -> DataFrame:
     """(sample_index, seq, done, content, reasoning, usage, bad) of each line, and ``kept`` columns."""
     parsed = lines.withColumn("_data", stream_data(F.col("line"))).withColumn(
@@ -39,6 +50,29 @@ def parse_lines(lines: DataFrame, *kept: str) -> DataFrame:
     )
 
 
+def ticks_from_lines(lines: DataFrame) -> DataFrame:
+    """Ticks of the lines (sample_index, seq, ts, line) of streams, for the live rate.
+
+    (sample_index, seq, ts, content_delta_chars, reasoning_delta_chars, finished): one tick
+    for each line with characters, those of all its choices, and one without characters that
+    finishes the request for each end marker. The same for a table and for a stream.
+    """
+    parsed = placed_lines(lines).withColumn("_data", stream_data(F.col("line"))).withColumn(
+        "_deltas", chunk_deltas(parsed_chunk(F.col("_data")))
+    )
+    zero = F.lit(0).cast("long")
+
+    def chars(name: str) -> Column:
+        summed = F.aggregate("_deltas", zero, lambda sum_, one: sum_ + one[name])
+        return F.coalesce(summed, zero).alias(name)
+
+    done = F.coalesce(F.col("_data") == DONE, F.lit(False))
+    ticked = parsed.select(
+        "sample_index", "seq", "ts", chars("content_delta_chars"), chars("reasoning_delta_chars"), done.alias("finished")
+    )
+    return ticked.where("content_delta_chars + reasoning_delta_chars > 0 OR finished")
+
+
 def _joined(pieces: str, name: str) -> Column:
     """One text field of sorted pieces, joined."""
     return F.array_join(F.transform(pieces, lambda piece: piece[name]), "")
@@ -53,35 +87,38 @@ def assemble(lines: DataFrame) -> DataFrame:
 
     The first end marker ends a sample, later lines are ignored; the usage is the last
     one before it; no reasoning text is null. Usage with a total but without its counts
-    makes the sample an error without texts. Lines are joined in segments first, so a
-    sample with very many of them is spread over tasks, and only texts meet again.
+    makes the sample an error without texts. Lines without a sample or a seq are ignored,
+    see :func:`unplaced_lines`. A line that comes again counts once; where lines of one seq
+    differ, the first by its parsed parts counts.
+
+    Lines are joined in segments first, so a sample with very many of them is spread over
+    tasks, and only texts meet again.
     """
-    pieces = parse_lines(lines)
-    seq, spoken = F.col("seq"), (F.col("content") != "") | (F.col("reasoning") != "")
-    segments = (
-        pieces.groupBy("sample_index", F.floor(seq / _SEGMENT).alias("segment"))
-        .agg(
-            F.collect_list(F.when(spoken, F.struct("seq", "content", "reasoning"))).alias("texts"),
-            F.collect_list(F.when(F.col("usage").isNotNull(), F.struct("seq", "usage"))).alias("usages"),
-            F.min(F.when(F.col("done"), seq)).alias("end"),
-            F.min(F.when(F.col("bad"), seq)).alias("bad"),
-        )
+    seq = F.col("seq")
+    telling = F.col("done") | F.col("bad") | (F.col("content") != "") | (F.col("reasoning") != "") | F.col("usage").isNotNull()
+    # A sample all of whose lines are silent is there all the same.
+    line = F.when(telling, F.struct("seq", "done", "bad", "content", "reasoning", "usage"))
+    gathered = (
+        parse_lines(placed_lines(lines))
+        .groupBy("sample_index", F.floor(seq / _SEGMENT).alias("segment"))
+        .agg(F.sort_array(F.collect_list(line)).alias("sorted"))
     )
-
-    def before_end(name: str) -> Column:
-        kept = F.filter(name, lambda piece: F.col("end").isNull() | (piece["seq"] < F.col("end")))
-        return F.sort_array(kept).alias(name)
-
-    joined = segments.select(
-        "sample_index", "segment", "end", "bad", before_end("texts"), before_end("usages")
-    ).select(
+    once = F.filter("sorted", lambda one, at: (at == 0) | (one["seq"] != F.get("sorted", at - 1)["seq"]))
+    marked = gathered.select("sample_index", "segment", once.alias("lines")).withColumns(
+        {
+            "end": F.get(F.filter("lines", lambda one: one["done"]), F.lit(0))["seq"],
+            "bad": F.get(F.filter("lines", lambda one: one["bad"]), F.lit(0))["seq"],
+        }
+    )
+    kept = F.filter("lines", lambda one: F.col("end").isNull() | (one["seq"] < F.col("end")))
+    joined = marked.select("sample_index", "segment", "end", "bad", kept.alias("lines")).select(
         "sample_index",
         "segment",
         "end",
         "bad",
-        _joined("texts", "content").alias("content"),
-        _joined("texts", "reasoning").alias("reasoning"),
-        _last_usage("usages").alias("usage"),
+        _joined("lines", "content").alias("content"),
+        _joined("lines", "reasoning").alias("reasoning"),
+        _last_usage(F.filter("lines", lambda one: one["usage"].isNotNull())).alias("usage"),
     )
     samples = joined.groupBy("sample_index").agg(
         F.collect_list(F.struct("segment", "content", "reasoning", "usage")).alias("parts"),
@@ -113,10 +150,8 @@ def as_responses(assembled: DataFrame) -> DataFrame:
 
 _USAGE_COLUMNS = ", ".join(f"{name} long" for name in USAGE_FIELDS)
 _OUTPUT = f"sample_index long, content string, reasoning string, {_USAGE_COLUMNS}, error string"
-_STATE = (
-    "seqs array<long>, contents array<string>, reasonings array<string>, seen array<long>,"
-    " first_end long, bad long, usage_seq long, usage array<long>, finished boolean"
-)
+_PIECE = "seq long, content string, reasoning string"
+_HEAD = "seen array<long>, end long, bad long, usage_seq long, usage array<long>, finished boolean, latest long"
 
 
 def _see(seen: list[int], seq: int) -> bool:
@@ -136,47 +171,39 @@ def _see(seen: list[int], seq: int) -> bool:
     return True
 
 
-def assemble_stream(lines: DataFrame, late: str = "10 minutes", idle: str = "1 hour") -> DataFrame:
-    """Streaming form of :func:`assemble`: a sample is emitted once it is complete.
+class _Assembler(StatefulProcessor):
+    """Pieces of text of a sample as a list that is only appended to, beside a head of a few numbers."""
 
-    Lines also carry their event time ``ts``. ``seq`` numbers the lines of a sample from
-    0, so a sample is complete when the end marker and all lines before it have arrived,
-    in whatever order; a line that comes again is ignored. A sample whose last line lies
-    more than ``idle`` behind the watermark is emitted as it is. A sample that was emitted
-    leaves a mark for ``idle``, so that lines after its end do not begin it anew.
-    JSON is parsed by Spark; the function only keeps and orders pieces of text.
-    """
-    ship_package(lines.sparkSession)
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    fields = USAGE_FIELDS
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
 
-    def emit(key: tuple, held: tuple) -> pd.DataFrame:
-        seqs, contents, reasonings, _, end, bad, _, usage, _ = held
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getListState("pieces", _PIECE)
+        self.head = handle.getValueState("head", _HEAD)
+
+    def _told(self, key: tuple, head: tuple) -> pd.DataFrame:
+        """The sample as far as its lines have come."""
+        _, end, bad, _, usage, _, _ = head
         good = bad is None or (end is not None and bad > end)
-        kept = sorted(
-            (s, c, r) for s, c, r in zip(seqs, contents, reasonings) if end is None or s < end
-        )
+        kept = sorted(piece for piece in self.pieces.get() if end is None or piece[0] < end) if good else []
         row = {
             "sample_index": key[0],
-            "content": "".join(c for _, c, _ in kept) if good else None,
-            "reasoning": "".join(r for _, _, r in kept) or None if good else None,
+            "content": "".join(content for _, content, _ in kept) if good else None,
+            "reasoning": "".join(reasoning for _, _, reasoning in kept) or None if good else None,
         }
-        row.update(dict(zip(fields, usage if usage and good else [None] * len(fields))))
+        row.update(dict(zip(USAGE_FIELDS, usage if usage and good else [None] * len(USAGE_FIELDS))))
         frame = pd.DataFrame([{**row, "error": None if good else BAD_USAGE}])
-        return frame.astype({name: "Int64" for name in fields})
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else ([], [], [], [], None, None, None, [], False)
-        seqs, contents, reasonings, seen, end, bad, usage_seq, usage, finished = held
-        if state.hasTimedOut:
-            if not finished:
-                yield emit(key, held)
-            state.remove()
-            return
-        seqs, contents, reasonings, seen, usage = (list(x) for x in (seqs, contents, reasonings, seen, usage))
-        latest = state.getCurrentWatermarkMs()
-        for batch in batches:
-            latest = max(latest, int(batch["millis"].max()))
+        return frame.astype({name: "Int64" for name in USAGE_FIELDS})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = self.head.exists()
+        seen, end, bad, usage_seq, usage, finished, latest = self.head.get() if known else ([], None, None, None, [], False, 0)
+        seen, usage, new = list(seen), list(usage or []), []
+        latest = max(latest, timerValues.getCurrentWatermarkInMs())
+        for batch in rows:
+            # A line without a time is a line like others; it only tells nothing of the time.
+            latest = max(latest, int(batch["millis"].fillna(0).max()))
             for row in batch.itertuples(index=False) if not finished else ():
                 seq = int(row.seq)
                 if not _see(seen, seq):
@@ -186,27 +213,56 @@ def assemble_stream(lines: DataFrame, late: str = "10 minutes", idle: str = "1 h
                 if row.bad:
                     bad = seq if bad is None else min(bad, seq)
                 if row.content or row.reasoning:
-                    seqs.append(seq)
-                    contents.append(row.content)
-                    reasonings.append(row.reasoning)
+                    new.append((seq, row.content, row.reasoning))
                 if row.usage is not None and (usage_seq is None or seq > usage_seq) and (end is None or seq < end):
                     usage_seq, usage = seq, [int(number) for number in row.usage]
-        held = (seqs, contents, reasonings, seen, end, bad, usage_seq, usage, finished)
+        if new:
+            self.pieces.appendList(new)
+        head = (seen, end, bad, usage_seq, usage, finished, latest)
         if not finished and end is not None and seen[:1] == [0] and seen[1] > end:
-            yield emit(key, held)
-            held = ([], [], [], [], None, None, None, [], True)
-        state.update(held)
-        state.setTimeoutTimestamp(latest + idle_ms)
+            yield self._told(key, head)
+            self.pieces.clear()
+            head = ([], None, None, None, [], True, latest)
+        self.head.update(head)
+        if not known:
+            self.handle.registerTimer(latest + self.idle_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        head = self.head.get()
+        if head[-1] + self.idle_ms > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(head[-1] + self.idle_ms)  # lines have come since it was set
+            return
+        if not head[-2]:
+            yield self._told(key, head)
+        self.pieces.clear()
+        self.head.clear()
+
+
+def assemble_stream(lines: DataFrame, late: str = "10 minutes", idle: str = "1 hour") -> DataFrame:
+    """Streaming form of :func:`assemble`: a sample is emitted once it is complete.
 
-    pieces = parse_lines(lines.withWatermark("ts", late), "ts")
+    Lines also carry their event time ``ts``. ``seq`` numbers the lines of a sample from
+    0, so a sample is complete when the end marker and all lines before it have arrived,
+    in whatever order; a line that comes again is ignored, and of lines of one seq that differ
+    the first to come counts. A sample whose last line lies more than ``idle`` behind the
+    watermark is emitted as it is. A sample that was emitted leaves a mark for ``idle``, so that
+    lines after its end do not begin it anew. Lines without a sample or a seq are ignored; a line
+    without a time is taken.
+
+    JSON is parsed by Spark; the state appends pieces of text and never writes one again. It
+    needs the state store of :data:`tokentide.session.STATE_SETTINGS` when the query starts.
+    """
+    ship_package(lines.sparkSession)
+    pieces = parse_lines(placed_lines(lines).withWatermark("ts", late), "ts")
     usage = F.when(
-        F.col("usage").isNotNull(), F.array(*[F.col(f"usage.{name}") for name in fields])
+        F.col("usage").isNotNull(), F.array(*[F.col(f"usage.{name}") for name in USAGE_FIELDS])
     )
     return (
         pieces.withColumn("usage", usage)
         .withColumn("millis", F.unix_millis("ts"))
+        .drop("ts")
         .groupBy("sample_index")
-        .applyInPandasWithState(
-            advance, _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+        .transformWithStateInPandas(
+            _Assembler(int(pd.Timedelta(idle).total_seconds() * 1000)), _OUTPUT, "append", "EventTime"
         )
     )

@@ -4,16 +4,18 @@ Ticks are rows (sample_index, seq, ts, content_delta_chars, reasoning_delta_char
 The rate after a tick is the characters of the trailing window divided by the time
 since its first tick, cut to an integer. It needs two ticks more than 0.3 s apart and
 otherwise stays as it was, 0 at first. A tick exactly one window old still counts, and
-ticks without characters are ignored.
+ticks without characters are ignored. A null delta is 0. Ticks without a sample, a time or a
+seq have no place in a request: they take no part, and :func:`unplaced_ticks` gives them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokentide.session import materialize, ship_package
 
@@ -23,11 +25,20 @@ LEAST_SECONDS = 0.3
 
 
 def _delta() -> Column:
-    return (F.col("content_delta_chars") + F.col("reasoning_delta_chars")).cast("long")
+    parts = [F.coalesce(name, F.lit(0)).cast("long") for name in ("content_delta_chars", "reasoning_delta_chars")]
+    return parts[0] + parts[1]
+
+
+_PLACED = "sample_index IS NOT NULL AND ts IS NOT NULL AND seq IS NOT NULL"
+
+
+def unplaced_ticks(ticks: DataFrame) -> DataFrame:
+    """The ticks that take no part, for a table or a stream of their own."""
+    return ticks.where(f"NOT ({_PLACED})")
 
 
 def _counted(ticks: DataFrame) -> DataFrame:
-    return ticks.withColumn("delta", _delta()).where(F.col("delta") > 0)
+    return ticks.where(_PLACED).withColumn("delta", _delta()).where(F.col("delta") > 0)
 
 
 def live_rate(
@@ -128,7 +139,78 @@ def live_rate(
 _OUTPUT = (
     "sample_index long, seq long, micros long, chars long, chars_per_sec long, delta long, finished boolean"
 )
-_STATE = "chars long, rate long, times array<long>, deltas array<long>"
+
+
+class _Requests(StatefulProcessor):
+    """The ticks of a request's last window by their time, beside its characters and rate.
+
+    A micro-batch reads the window of a request once and writes the times that came or went.
+    """
+
+    def __init__(self, span: int, idle_ms: int, last_only: bool) -> None:
+        self.span, self.idle_ms, self.last_only = span, idle_ms, last_only
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ring = handle.getMapState("ring", "micros long", "chars long, ticks long")
+        self.head = handle.getValueState("head", "chars long, rate long, latest long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = self.head.exists()
+        chars, rate, latest = self.head.get() if known else (0, 0, 0)
+        before = {at[0]: tuple(value) for at, value in self.ring.iterator()} if known else {}
+        ring = dict(sorted(before.items()))  # stays in the order of time, as ticks never go back
+        held, ticks = (sum(value[i] for value in ring.values()) for i in (0, 1))
+        new = pd.concat(list(rows)).sort_values(["micros", "seq"])
+        told, alive = [], known
+        columns = (new[name].tolist() for name in ("micros", "seq", "delta", "finished"))
+        for micros, seq, delta, finished in zip(*columns):
+            if delta > 0:
+                alive = True
+                now = max(micros, latest)
+                latest, chars, held, ticks = now, chars + delta, held + delta, ticks + 1
+                sum_, count = ring.get(now, (0, 0))
+                ring[now] = (sum_ + delta, count + 1)
+                first = next(iter(ring))
+                while now - first > self.span:
+                    gone, count = ring.pop(first)
+                    held, ticks = held - gone, ticks - count
+                    first = next(iter(ring))
+                seconds = (now - first) / 1_000_000
+                if ticks >= 2 and seconds > LEAST_SECONDS:
+                    rate = int(held / seconds)
+            told.append((key[0], seq, micros, chars, rate, delta, finished))
+            if finished:
+                chars, rate, latest, held, ticks, alive = 0, 0, 0, 0, 0, False
+                ring = {}
+        if alive:
+            for at in before.keys() - ring.keys():
+                self.ring.removeKey((at,))
+            for at, value in ring.items():
+                if before.get(at) != value:
+                    self.ring.updateValue((at,), value)
+            self.head.update((chars, rate, latest))
+            if not list(self.handle.listTimers()):
+                self.handle.registerTimer(max(latest // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        elif known:
+            self._forget()
+        yield pd.DataFrame(told[-1:] if self.last_only else told, columns=[field.split()[0] for field in _OUTPUT.split(", ")])
+
+    def _forget(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.ring.clear()
+        self.head.clear()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        chars, rate, latest = self.head.get()
+        if latest // 1000 + self.idle_ms > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(latest // 1000 + self.idle_ms)  # ticks have come since it was set
+            return
+        self.ring.clear()
+        self.head.clear()
+        if self.last_only:
+            yield pd.DataFrame([(key[0], None, latest, chars, rate, 0, True)], columns=[field.split()[0] for field in _OUTPUT.split(", ")])
 
 
 def request_states(
@@ -136,6 +218,7 @@ def request_states(
     window_seconds: float = WINDOW_SECONDS,
     late: str = "10 minutes",
     idle: str = "1 hour",
+    last_only: bool = False,
 ) -> DataFrame:
     """State of a request after each tick that has characters or finishes it, of a stream.
 
@@ -144,53 +227,21 @@ def request_states(
     without; the next tick of that sample begins a new one. State is dropped then, or when
     event time passes ``idle`` beyond the last tick. A tick older than one already seen
     counts at the newer time, as it would on arrival.
+
+    With ``last_only`` there is one row for each request and micro-batch, its last state, and a
+    request dropped for being idle is told as finished, without a seq. The query needs the
+    state store of :data:`tokentide.session.STATE_SETTINGS` when it starts.
     """
     ship_package(ticks.sparkSession)
-    span, least = int(window_seconds * 1_000_000), LEAST_SECONDS
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        chars, rate, times, deltas = state.get if state.exists else (0, 0, [], [])
-        times, deltas = list(times), list(deltas)
-        new = pd.concat(list(batches)).sort_values(["micros", "seq"])
-        rows, first, held = [], 0, sum(deltas)
-        columns = (new[name].tolist() for name in ("micros", "seq", "delta", "finished"))
-        for micros, seq, delta, finished in zip(*columns):
-            if delta > 0:
-                now = max(micros, times[-1]) if times else micros
-                chars, held = chars + delta, held + delta
-                times.append(now)
-                deltas.append(delta)
-                while now - times[first] > span:
-                    held -= deltas[first]
-                    first += 1
-                seconds = (now - times[first]) / 1_000_000
-                if len(times) - first >= 2 and seconds > least:
-                    rate = int(held / seconds)
-            rows.append((key[0], seq, micros, chars, rate, delta, finished))
-            if finished:
-                chars, rate, times, deltas, first, held = 0, 0, [], [], 0, 0
-        if times:
-            state.update((chars, rate, times[first:], deltas[first:]))
-            latest = max(times[-1] // 1000, state.getCurrentWatermarkMs())
-            state.setTimeoutTimestamp(latest + idle_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(rows, columns=[field.split()[0] for field in _OUTPUT.split(", ")])
-
+    processor = _Requests(int(window_seconds * 1_000_000), int(pd.Timedelta(idle).total_seconds() * 1000), last_only)
     finished = F.col("finished") if "finished" in ticks.columns else F.lit(False)
-    marked = ticks.withColumns({"delta": _delta(), "finished": F.coalesce(finished, F.lit(False))})
+    marked = ticks.where(_PLACED).withColumns({"delta": _delta(), "finished": F.coalesce(finished, F.lit(False))})
     return (
         marked.where("delta > 0 OR finished")
         .withWatermark("ts", late)
         .select("sample_index", "seq", "ts", F.unix_micros("ts").alias("micros"), "delta", "finished")
         .groupBy("sample_index")
-        .applyInPandasWithState(
-            advance, _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(processor, _OUTPUT, "append" if not last_only else "update", "EventTime")
     )
 
 
@@ -206,17 +257,34 @@ def live_rate_stream(
 
 
 def active_states(states: DataFrame) -> DataFrame:
-    """Characters and rate of each sample whose latest state is not a finish.
-
-    For :func:`request_states` rows as a table, or as a stream in complete mode, where the
-    state is one row per sample.
-    """
+    """Characters and rate of each sample whose latest state, of a table of states, is not a finish."""
     latest = states.groupBy("sample_index").agg(
         F.max_by(F.struct("chars", "chars_per_sec", "finished"), F.struct("micros", "seq")).alias("r")
     )
     return latest.where("NOT r.finished").select("sample_index", "r.chars", "r.chars_per_sec")
 
 
+def merge_active(folder: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` of :func:`request_states` with ``last_only``: the listing of active samples.
+
+    Batch n writes the listing after it as the table ``folder``/n: the listing of batch n - 1
+    without the samples of this batch, and those of them that go on. A batch that is run again
+    reads and writes the same tables, so it changes nothing. Listings before the last two are
+    of no more use.
+    """
+
+    def merge(states: DataFrame, batch: int) -> None:
+        spark = states.sparkSession
+        now = materialize(states, "active-changes")
+        going = now.where("NOT finished").select("sample_index", "chars", "chars_per_sec")
+        if batch > 0:
+            known = spark.read.schema(going.schema).parquet(f"{folder}/{batch - 1}")
+            going = known.join(now.select("sample_index"), "sample_index", "left_anti").unionByName(going)
+        going.write.mode("overwrite").parquet(f"{folder}/{batch}")
+
+    return merge
+
+
 def active_requests(rates: DataFrame, finished: DataFrame) -> DataFrame:
     """Characters and rate of each sample that has ticks and is not finished."""
     latest = rates.groupBy("sample_index").agg(
