@@ -9,11 +9,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.plans import plan_text
 from tokentide.functions.tokenizers import WORDS, Chars, Pattern
 from tokentide.operators import compare, corpus, split
 from tokentide.operators.align import TokenizerSet, align, dataset_paths
 from tokentide.operators.counting import count_tokens
-from tokentide.operators.ordering import exact_quantiles, with_position
+from tokentide.operators import ordering
+from tokentide.operators.ordering import exact_quantiles, nth_smallest, with_position, with_running_total
 from tokentide.operators.profile import category_frequency, head_and_tail, token_histogram, token_profile
 from tokentide.sources.tables import tag_inputs
 
@@ -114,6 +116,59 @@ def test_exact_quantiles_equal_numpy(rows):
     assert by_measure[("k", 0.5)] == np.median([k for _, k in data])
 
 
+def test_quantiles_of_all_magnitudes(rows):
+    random.seed(11)
+    values = [random.choice([-1, 1]) * 10.0 ** random.uniform(-320, 308) for _ in range(1500)]
+    values += [0.0, -0.0, math.inf, -math.inf, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308]
+    # Neighbouring doubles, of which no two may fall together.
+    step = 1.0
+    for _ in range(300):
+        values.append(step)
+        step = math.nextafter(step, 2)
+    values += [2.0**53 + 2 * n for n in range(200)] + [7.25] * 500
+    random.shuffle(values)
+    ordered = sorted(values)
+    probes = [i / (len(values) - 1) for i in random.sample(range(len(values)), 60)] + [0.0, 1.0]
+    found = {r["quantile"]: r.value for r in exact_quantiles(rows([(v,) for v in values], "x double"), {"x": (F.col("x"), probes)}).collect()}
+    for probe in probes:
+        exact = probe * (len(values) - 1)
+        low, high = ordered[math.floor(exact)], ordered[math.ceil(exact)]
+        assert found[probe] == (low if low == high else low + (high - low) * (exact - math.floor(exact)))
+
+
+def test_quantiles_sort_buckets_only(spark):
+    sorts = []
+    plan = plan_text(ordering._buckets(spark.range(10).selectExpr("0 AS m", "id AS bucket", "id * 1.0D AS value"), ["m"]))
+    sorts = [line for line in plan.splitlines() if "Sort " in line or "Sort[" in line or "+- Sort" in line]
+    assert sorts and all("value" not in line for line in sorts) and "rangepartitioning" not in plan
+    found = exact_quantiles(spark.range(1000).selectExpr("id * 1.0D AS x"), {"x": (F.col("x"), [0.5])})
+    assert "Sort" not in plan_text(found) and "Scan parquet" not in plan_text(found)
+
+
+@pytest.mark.parametrize("low, high", [(0, 50), (-70, 70), (-(2**62), 2**62), (2**40, 2**40 + 10**6)])
+def test_nth_smallest(rows, low, high):
+    random.seed(high)
+    values = [random.randrange(low, high) for _ in range(800)] + [low] * 5 + [None] * 20
+    random.shuffle(values)
+    frame, ordered = rows([(v,) for v in values], "id long").repartition(3), sorted(v for v in values if v is not None)
+    for n in (1, 2, 400, 805):
+        assert nth_smallest(frame, "id", n) == ordered[n - 1]
+    assert nth_smallest(frame, "id", 806) is None and nth_smallest(frame, "id", 0) is None
+    assert nth_smallest(frame.where("id IS NULL"), "id", 1) is None
+
+
+def test_running_totals(rows):
+    random.seed(2)
+    data = [("hot" if random.random() < 0.6 else None, i, random.randrange(5)) for i in range(1000)]
+    expected, sums = {}, {}
+    for group, i, n in data:
+        expected[i] = sums.get(group, 0)
+        sums[group] = expected[i] + n
+    random.shuffle(data)
+    frame = rows(data, "g string, i int, n int").repartition(5)
+    assert {r.i: r.before for r in with_running_total(frame, ["i"], F.col("n"), ["g"]).collect()} == expected
+
+
 def test_quantiles_of_known_values_and_nan_last(rows):
     frame = rows([(1.0,), (2.0,), (4.0,), (9.0,)], "x double")
     found = exact_quantiles(frame, {"x": (F.col("x"), [0.1, 0.25, 0.5])}).collect()

@@ -21,7 +21,7 @@ from tokentide.sinks.results import write_results
 from tokentide.sinks.tables import counted_path, read_band, write_split
 from tokentide.sources.samples import as_samples, first_samples, read_samples
 from tokentide.sources.tables import read_counts, tag_inputs, with_row_id
-from tokentide.sources.text_files import normal_extensions, normal_path, read_text_files
+from tokentide.sources.text_files import FILE_BYTES, _packed, list_tree, normal_extensions, normal_path, read_text_files
 
 
 def test_row_ids_across_part_files(spark, tmp_path):
@@ -89,6 +89,59 @@ def test_tree_plan_does_not_grow_with_the_tree(spark, tmp_path):
     assert len(plan_text(frame)) < 20_000
 
 
+def test_only_regular_files_and_no_excluded_folder(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a")
+    os.mkfifo(tmp_path / "pipe.txt")
+    (tmp_path / "out" / "deep").mkdir(parents=True)
+    os.mkfifo(tmp_path / "out" / "deep" / "pipe.txt")
+    (tmp_path / "out" / "b.txt").write_text("b")
+    (tmp_path / "_c").mkdir()
+    (tmp_path / "_c" / "c.txt").write_text("c")
+    assert {r.path for r in list_tree(spark, str(tmp_path), ["out"]).collect()} == {"a.txt", "_c/c.txt"}
+    assert {r.path for r in list_tree(spark, str(tmp_path)).collect()} == {"a.txt", "out/b.txt", "_c/c.txt"}
+    assert {r.text for r in read_text_files(spark, str(tmp_path), excludes=["out"]).collect()} == {"a", "c"}
+    assert {r.text for r in read_text_files(spark, str(tmp_path), hidden=False).collect()} == {"a", "b"}
+
+
+def test_a_root_that_hides_names_is_not_read_as_if_whole(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a")
+    (tmp_path / "_b.txt").write_text("b")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tree.link./in", f"file://{tmp_path}")
+    with pytest.raises(ValueError, match="hidden=False"):
+        read_text_files(spark, "viewfs://tree/in")
+    assert [tuple(r) for r in read_text_files(spark, "viewfs://tree/in", hidden=False).collect()] == [("a.txt", "a")]
+
+
+def test_tasks_read_like_amounts(spark, rows):
+    sizes = [1] * 300 + [40 << 20] + [1 << 20] * 100 + [0] * 50
+    listed = rows([(f"f{i:04}", size) for i, size in enumerate(sizes)], "path string, size long")
+    total = sum(sizes) + FILE_BYTES * len(sizes)
+    packed = _packed(listed, total, 8)
+    held = {r._task: (r.bytes, r.files) for r in packed.groupBy("_task").agg(F.sum("size").alias("bytes"), F.count("*").alias("files")).collect()}
+    assert sum(files for _, files in held.values()) == len(sizes) and set(held) <= set(range(8))
+    assert all(got <= total / 8 + (40 << 20) for got, _ in held.values())
+    even = _packed(rows([(f"f{i:04}", 1 << 20) for i in range(640)], "path string, size long"), 640 * ((1 << 20) + FILE_BYTES), 8)
+    assert [r["count"] for r in even.groupBy("_task").count().collect()] == [80] * 8
+    placed = packed.repartitionById(8, F.col("_task")).withColumn("at", F.spark_partition_id())
+    assert placed.where("at != _task").count() == 0
+
+
+def test_row_ids_of_a_thousand_files(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(3000).select(F.col("id"), F.pmod("id", F.lit(7)).alias("n")).repartitionByRange(1000, "id").sortWithinPartitions("id").write.parquet(path)
+    found = with_row_id(spark.read.parquet(path))
+    plan = plan_text(found)
+    assert "SinglePartition" not in plan and "Window" not in plan
+    assert found.where("row_id != id").count() == 0 and found.count() == 3000
+    # A join that is not broadcast gives the same.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert with_row_id(spark.read.parquet(path)).where("row_id != id").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_invalid_utf8_names_the_file(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
     with pytest.raises(Exception, match="not valid UTF-8: bad.txt"):

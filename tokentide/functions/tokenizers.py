@@ -1,4 +1,4 @@
-"""Tokenizers as column functions: native expressions, and tokenizer JSON files.
+"""Tokenizers as column functions: characters, bytes and patterns, all native expressions.
 
 A tokenizer has a ``name`` and a method ``count(text: Column) -> Column`` giving an
 integer column. Anything with these two can be passed to the operators.
@@ -6,16 +6,10 @@ integer column. Anything with these two can be passed to the operators.
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass, field
-from functools import lru_cache
+from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
-from pyspark import SparkFiles
-from pyspark.sql import Column, SparkSession, functions as F
-
-from tokentide.session import ship_package
+from pyspark.sql import Column, functions as F
 
 
 class Tokenizer(Protocol):

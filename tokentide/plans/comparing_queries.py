@@ -124,7 +124,7 @@ SELECT tokenizer, label, quantile, round(d[lo] + (d[hi] - d[lo]) * (exact - floo
   round(r[lo] + (r[hi] - r[lo]) * (exact - floor(exact)), 6) AS ratio FROM placed"""
 )
 def compare_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(compare.quantiles(items(spark, sf_dir), COMPARED), "difference", "ratio")
+    return _rounded(compare.quantiles(materialize(items(spark, sf_dir)), COMPARED), "difference", "ratio")
 
 
 @query(

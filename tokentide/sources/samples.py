@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tokentide.functions.answers import as_set
-from tokentide.operators.ordering import with_position
+from tokentide.operators.ordering import nth_smallest
 from tokentide.schema import require_type
 from tokentide.sources.tables import with_row_id
 
@@ -55,8 +55,10 @@ def of_type(samples: DataFrame, problem_type: str = "all") -> DataFrame:
 def first_samples(samples: DataFrame, count: int) -> DataFrame:
     """The first ``count`` samples in row order, of samples that may be filtered.
 
-    Row ids alone are placed and chosen; prompts join them without being gathered.
+    Row ids alone are counted for the last id that is taken; all ids up to it are a filter
+    that reaches the scan. Rows that repeat that id come with it.
     """
-    placed = with_position(samples.select("row_id"), ["row_id"])
-    chosen = placed.where(F.col("position") < count).select("row_id")
-    return samples.join(chosen, "row_id", "left_semi")
+    if count < 1:
+        return samples.limit(0)
+    last = nth_smallest(samples, "row_id", count)
+    return samples if last is None else samples.where(F.col("row_id") <= last)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tokentide.operators.ordering import with_running_total
 from tokentide.schema import checked_count, checked_label, require_absent, require_type
 from tokentide.session import materialize
 
@@ -23,40 +24,26 @@ def read_table(
     return table if partitions is None else table.repartition(partitions, *key)
 
 
-# One (hash, offset) of 16 bytes per file is broadcast; beyond so many files use a carried key.
-MOST_FILES = 20_000_000
-
-
 def with_row_id(table: DataFrame, name: str = "row_id") -> DataFrame:
     """Add the 0-based position of each row of a parquet scan in file order.
 
     The position is the row's index in its own file plus the rows of the files before
-    it by path. Counting rows per file reads no column data, and only one number per
-    file goes through the running sum. Files are matched by a 64-bit hash of their path,
-    whose uniqueness is checked.
+    it by path. Counting rows per file reads no column data; the counts are summed over
+    sorted blocks of files, so no task holds all of them, and are joined by the path, as
+    Spark's own size check chooses.
     """
     require_absent(table, [name])
-    file, index = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
-    counts = materialize(
-        table.select(F.col("_metadata.file_path").alias("_path"))
-        .groupBy("_path")
-        .agg(F.count(F.lit(1)).alias("_rows")),
-        "file-rows",
-    )
-    files, hashes = counts.agg(F.count(F.lit(1)), F.count_distinct(F.xxhash64("_path"))).first()
-    if files != hashes:
-        raise ValueError("two file paths have the same hash; use a carried key")
-    if files > MOST_FILES:
-        raise ValueError(f"{files} files are too many to number; use a carried key")
-    before = W.orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.xxhash64("_path").alias("_file"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    path = F.col("_metadata.file_path")
+    counts = materialize(table.select(path.alias("_path")).groupBy("_path").agg(F.count(F.lit(1)).alias("_rows")), "file-rows")
+    # Written, so that its size is known where it is joined.
+    offsets = materialize(
+        with_running_total(counts, ["_path"], F.col("_rows"), name="_before").select("_path", "_before"), "file-offsets"
     )
     return (
-        table.select("*", file.alias("_file"), index.alias("_index"))
-        .join(F.broadcast(offsets), "_file")
+        table.select("*", path.alias("_path"), F.col("_metadata.row_index").alias("_index"))
+        .join(offsets, "_path", "left")
         .withColumn(name, F.col("_before") + F.col("_index"))
-        .drop("_file", "_index", "_before")
+        .drop("_path", "_index", "_before")
     )
 
 
