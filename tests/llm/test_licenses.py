@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from tests.plans import plan_text
+from tokentide.llm import license_blocks, licenses
 from tokentide.llm.license_blocks import block_templates
 from tokentide.llm.licenses import scan_licenses
 
@@ -153,3 +158,88 @@ def test_reserved_rights_block_inheritance(rows):
         "a/b/LICENSE": ("reserved", "file", True),
         "a/b/z.py": ("reserved", "a/b", True),
     }
+
+
+def plain_units(text, holder):
+    """Blocks of a text by the rules that ``block_units`` states, line by line."""
+    text = re.sub("\r\n?", "\n", text)
+    lines = text.split("\n")
+    comment, cue = re.compile(license_blocks.COMMENT), re.compile(license_blocks.BLOCK_CUE)
+
+    def paragraphs(lines):
+        # Lines without a letter or digit part paragraphs; a text begins and ends with one of its own.
+        parts, own = [], []
+        for at, line in enumerate(lines):
+            if 0 < at < len(lines) - 1 and not any(c.isalnum() for c in line):
+                parts.append(own)
+                own = []
+            else:
+                own.append(line)
+        return ["\n".join(part) for part in [*parts, own]]
+
+    runs, run = [], []
+    for line in [*lines, None]:
+        if line is not None and comment.match(line):
+            run.append(line)
+        elif run:
+            runs.append("\n".join(run))
+            run = []
+    blocks = [*runs, *paragraphs(lines)]
+    for run in runs:
+        blocks += paragraphs(run.split("\n"))
+    for at, line in enumerate(lines):
+        if cue.search(line):
+            before = max(at - 1, 0)
+            blocks += ["\n".join(lines[first : first + n]) for first, n in ((before, 2), (at, 2), (before, 3))]
+    return [block for block in blocks if cue.search(block)] + ([text] if holder else [])
+
+
+def plain_license(path, text, least=0.6):
+    """The licence of a file of its own: the best cosine of its lines, then of its blocks, then reserved rights."""
+
+    def best(units, templates):
+        names, weights, idf, other = licenses.template_weights(templates)
+        found = [(0.0, "")]
+        for unit in units:
+            counts = Counter(re.findall("[a-z0-9]+", unit.lower()))
+            own = {term: n * idf.get(term, other) for term, n in counts.items()}
+            length = math.sqrt(sum(w * w for w in own.values()))
+            for name, weight in zip(names, weights):
+                dot = sum(w * weight.get(term, 0.0) for term, w in own.items())
+                found.append((round(dot / length, 6) if length else 0.0, name))
+        return max(found)
+
+    holder = re.search(licenses.LICENCE_FILE, path) is not None
+    lines = [line for line in re.split("\r\n|\r|\n", text) if re.search(licenses.CUE, line)]
+    told = best([*lines, *([text] if holder else [])], licenses.TEMPLATES)
+    if told[0] < 1:
+        blocks = best(plain_units(text, holder), license_blocks.block_templates())
+        told = blocks if blocks[0] > told[0] else told
+    if told[0] >= least:
+        return told[1], told[0]
+    return ("reserved", None) if re.search(licenses.RESERVED, text) else (None, None)
+
+
+def test_every_document_equals_a_plain_scan(spark):
+    """All documents of a table, headers and whole licence files written into some of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    headers = [t for own in license_blocks.block_templates().values() for t in own if len(t) < 3000]
+    wrapped = ["\n".join(f"# {line}" for line in re.findall(r"(?s).{1,60}(?:\s|$)", header.replace("\n", " "))) for header in headers]
+    rows = []
+    for i, r in enumerate(docs.select("doc_id", "source", "text").collect()):
+        text = r.text or ""
+        if i % 10 == 3:
+            text = f"{wrapped[i % len(wrapped)]}\n\n{text}"
+        elif i % 10 == 6:
+            text = f"{text}\n{headers[i % len(headers)]}"
+        rows.append((r.doc_id, f"d{r.doc_id}/" + ("LICENSE" if i % 25 == 0 else "x.txt"), text))
+    frame = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    found = {r.doc_id: r for r in scan_licenses(frame, reserved=True).collect()}
+    own = 0
+    for key, path, text in rows:
+        name, score = plain_license(path, text)
+        told = found[key]
+        # Every file has a directory of its own, so nothing is inherited.
+        assert told.license == name and (score is None or abs(told.license_score - score) < 2e-6), (key, path)
+        own += name is not None
+    assert own > 200 and sum(r.license == "reserved" for r in found.values()) > 0

@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tokentide.llm.frames import carried, column
-from tokentide.llm.license_blocks import block_templates, found_in_blocks
+from tokentide.llm.license_blocks import BLOCK_CUE, block_templates, found_in_blocks
 from tokentide.session import materialize
 
 # Names of licences and the notices that public licence texts ask for.
@@ -119,8 +119,11 @@ def _own(files: DataFrame, templates: Mapping[str, Sequence[str]], least: float)
 
 def _with_blocks(files: DataFrame, lines: DataFrame, blocks: Mapping[str, Sequence[str]], least: float) -> DataFrame:
     """The better of a file's notice line and its blocks; the line where they are equal."""
-    open_ = files.join(lines.where("score >= 1"), ["_key", "_hash"], "left_anti").dropDuplicates(["_key", "_hash"])
-    found = found_in_blocks(open_, template_weights(blocks), F.col("_path").rlike(LICENCE_FILE), least)
+    holder = F.col("_path").rlike(LICENCE_FILE)
+    # A block is a piece of its text, so a text without a cue has none; few have, and only those are moved.
+    cued = files.where(holder | F.col("_text").rlike(BLOCK_CUE))
+    open_ = cued.join(lines.where("score >= 1"), ["_key", "_hash"], "left_anti").dropDuplicates(["_key", "_hash"])
+    found = found_in_blocks(open_, template_weights(blocks), holder, least)
     both = lines.withColumn("line", F.lit(1)).unionByName(found.withColumn("line", F.lit(0)))
     best = both.groupBy("_key", "_hash").agg(F.max(F.struct("score", "line", "own")).alias("best"))
     return best.select("_key", "_hash", "best.own", "best.score")

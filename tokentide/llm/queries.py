@@ -178,28 +178,32 @@ dots AS (
   SELECT c.doc_id, c.id, t.template, any_value(t.name) AS name, sum(c.weight * t.weight) AS dot
   FROM counted c JOIN t USING (term) GROUP BY c.doc_id, c.id, t.template),
 scored AS (SELECT doc_id, name, round(dot / length, 6) AS score FROM dots JOIN lengths USING (doc_id, id)),
-own AS (
+close AS (
   SELECT doc_id, name, score FROM scored WHERE score >= 0.6
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name DESC) = 1),
+own AS (
+  SELECT * FROM close
+  UNION ALL SELECT doc_id, '{licenses.RESERVED_NAME}', NULL FROM files ANTI JOIN close USING (doc_id)
+  WHERE regexp_matches(text, '{licenses.RESERVED}')),
 granted AS (
   SELECT dir, name, score FROM own JOIN files USING (doc_id) WHERE holder
-  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, name DESC) = 1),
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC NULLS LAST, name DESC) = 1),
 inherited AS (
   SELECT f.doc_id, g.dir, g.name, g.score FROM files f JOIN granted g ON f.dir = g.dir OR starts_with(f.dir, g.dir || '/')
   QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(g.dir) DESC) = 1)
 SELECT f.doc_id, f.path, coalesce(o.name, i.name) AS license,
        CASE WHEN o.name IS NOT NULL THEN 'file' ELSE i.dir END AS license_from,
-       coalesce(o.score, i.score) AS license_score
+       CASE WHEN o.name IS NOT NULL THEN o.score ELSE i.score END AS license_score
 FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN inherited i USING (doc_id)
 """
 
 
 @query(_license_sql())
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of all documents as files of a tree, their own or inherited."""
+    """Licences of all documents as files of a tree, their own or inherited, or that rights are reserved."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     files = docs.select("doc_id", document_path().alias("path"), "text")
-    scanned = licenses.scan_licenses(files)
+    scanned = licenses.scan_licenses(files, reserved=True)
     return scanned.select("doc_id", "path", "license", "license_from", "license_score")
 
 
