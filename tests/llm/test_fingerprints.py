@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokentide.llm import fingerprints as prints
+from tokentide.llm.queries import op10_fingerprints
 
 FIELDS = {"text": "string", "next": "string"}
 
@@ -75,10 +79,83 @@ def test_edits_locate_paragraphs():
 
 
 def test_pieces_cover_paragraphs_without_cutting_letters():
-    for text in (text_of(4).replace("\n", " "), "é" * 5000, "中文" * 3000, "z" * 5000, "", "short"):
+    for text in (text_of(4).replace("\n", " "), "é" * 5000, "中文" * 3000, "z" * 5000, "a" + "中" * 2000, "", "short"):
         data = text.encode()
         ends = prints.piece_ends(data)
         assert ends[-1] == len(data) and ends == sorted(set(ends))
         starts = [0, *ends[:-1]]
         assert "".join(data[a:b].decode() for a, b in zip(starts, ends, strict=True)) == text
         assert max((b - a for a, b in zip(starts, ends, strict=True)), default=0) <= prints.LONGEST + 3
+
+
+def plain_pieces(data):
+    """The pieces of a paragraph, byte by byte."""
+    ends = []
+    factors = [int(f) for f in prints._FACTORS]
+    for end in range(8, len(data)):
+        mixed = sum(data[end - 8 + at] * factors[at] for at in range(8)) % 2**32
+        mixed = (mixed ^ mixed >> 15) * 2246822519 % 2**32
+        if mixed < 2**32 // prints.PIECE and data[end] & 0xC0 != 0x80:
+            ends.append(end)
+    forced = []
+    for start, stop in zip([0, *ends], [*ends, len(data)]):
+        for at in range(start + prints.LONGEST, stop, prints.LONGEST):
+            while at < stop and data[at] & 0xC0 == 0x80:
+                at += 1
+            forced += [at] * (at < stop)
+    edges = [0, *sorted({*ends, *forced}), len(data)]
+    return [data[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def plain_sum(piece):
+    value = sum((byte + 1) * pow(prints.BASE, at, 2**64) for at, byte in enumerate(piece)) % 2**64
+    value ^= len(piece) * 0xD6E8FEB86659FD93 % 2**64
+    value ^= value >> 32
+    return f"{value * 0xD6E8FEB86659FD93 % 2**64 >> 40:06x}"
+
+
+def plain_print(text):
+    digest = lambda kind, data: hashlib.blake2b(data, digest_size=16, person=kind).digest()
+    sections, leaves = [[]], []
+    for paragraph in text.encode().split(b"\n"):
+        own = [plain_sum(piece) for piece in plain_pieces(paragraph)]
+        leaves += own
+        mark = digest(b"paragraph", paragraph)
+        sections[-1].append((mark, mark.hex()[:16] + ":" + "".join(own)))
+        if mark[0] % prints.SECTION == 0:
+            sections.append([])
+    sections = sections if sections[-1] else sections[:-1]
+    root = digest(b"root", b"".join(digest(b"section", b"".join(m for m, _ in section)) for section in sections)).hex()
+    return root + "|" + "|".join("/".join(told for _, told in section) for section in sections), Counter(leaves)
+
+
+def plain_likeness(left, right):
+    if left[0][:32] == right[0][:32]:
+        return 1.0
+    return min(2 * (left[1] & right[1]).total() / (left[1].total() + right[1].total()), 1 - 1e-9)
+
+
+def test_fingerprints_equal_a_plain_tree():
+    texts = ["", "\n", "\n\n", "a\n", "\nab", "é" * 2000, "z" * 3000 + "\n" + "中文" * 900, "a" + "中" * 2000, "é" + "𝄞" * 999, "a" * 384 + "\n" + "b" * 385, "x" * 8, "x" * 9, text_of(5, 9)]
+    texts += ["".join(random.Random(n).choices("ab\né𝄞 ", k=400)) for n in range(20)]
+    for text in texts:
+        assert prints.fingerprint(text) == plain_print(text)[0]
+
+
+def test_query_equals_brute_force(spark):
+    """All columns of the query over a whole table."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    texts = [r.text or "" for r in docs]
+    made = [plain_print(text) for text in texts]
+    found = {r.doc_id: r for r in op10_fingerprints(spark, folder).collect()}
+    assert len(found) == len(docs)
+    for at, row in enumerate(docs):
+        text, following = texts[at], texts[(at + 1) % len(texts)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        other, told = plain_print(edited), found[row.doc_id]
+        assert told.n_chars == len(text) and told.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert told.fingerprint == made[at][0] and told.edited_fingerprint == other[0]
+        assert told.near_edited == pytest.approx(plain_likeness(made[at], other))
+        assert told.near_next == pytest.approx(plain_likeness(made[at], made[(at + 1) % len(texts)]))

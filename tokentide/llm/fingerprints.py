@@ -4,6 +4,9 @@ Paragraphs are the lines of a text. A paragraph is cut into pieces where a hash
 last bytes says so, and paragraphs are gathered into sections the same way, so an edit
 moves only the cuts beside it. A fingerprint is the root digest followed by the digests
 of the tree, so equal roots mean equal texts and differing branches locate edits.
+
+Paragraphs, sections and the root have digests; pieces, which only tell how alike two texts
+are, have polynomial sums, worked out for all pieces of a text at once.
 """
 
 from __future__ import annotations
@@ -24,95 +27,134 @@ PIECE, SECTION = 24, 8
 # Text without such a position, as repeated marks are, is cut after so many bytes.
 LONGEST = 16 * PIECE
 DIGITS = 6  # hex digits of a piece's digest within a fingerprint
+MARK = 16  # hex digits of a paragraph's digest within a fingerprint
 _SPAN = 8  # bytes that decide about a cut
 _FACTORS = np.random.default_rng(20).integers(1, 1 << 31, _SPAN, dtype=np.uint32) | np.uint32(1)
+BASE = 0x9E3779B97F4A7C15
+# Pieces are no longer than the longest and the rest of a letter.
+_POWERS = np.array([pow(BASE, at, 1 << 64) for at in range(LONGEST + 4)], np.uint64)
 
 
-def piece_ends(data: bytes, piece: int = PIECE) -> list[int]:
-    """Offsets behind each piece of a paragraph, never inside a letter; the last is its length."""
-    size = len(data)
+def _cuts(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, piece: int) -> np.ndarray:
+    """Offsets inside paragraphs at which a new piece begins, never inside a letter."""
+    size = len(values)
     if size <= _SPAN:
-        return [size]
-    values = np.frombuffer(data, np.uint8).astype(np.uint32)
-    mixed = np.zeros(size - _SPAN + 1, np.uint32)
+        return np.empty(0, np.int64)
+    wide = values.astype(np.uint32)
+    mixed = np.zeros(size - _SPAN, np.uint32)
     for at, factor in enumerate(_FACTORS):
-        mixed += values[at : size - _SPAN + 1 + at] * factor
+        mixed += wide[at : size - _SPAN + at] * factor
     mixed ^= mixed >> np.uint32(15)
     mixed *= np.uint32(2246822519)
-    ends = np.flatnonzero((mixed >> np.uint32(8)) % np.uint32(piece) == 0) + _SPAN
-    ends = ends[ends < size]
+    ends = np.flatnonzero(mixed < np.uint32((1 << 32) // piece)) + _SPAN
+    own = np.searchsorted(starts, ends - 1, side="right") - 1
+    # The bytes that decide lie in the paragraph, and something of it follows.
+    ends = ends[(ends - starts[own] >= _SPAN) & (ends < stops[own])]
     ends = ends[(values[ends] & 0xC0) != 0x80]
-    starts = np.concatenate(([0], ends))
-    gaps = np.diff(np.concatenate((starts, [size])))
-    if gaps.max() > LONGEST:
-        forced = [np.arange(start + LONGEST, start + gap, LONGEST) for start, gap in zip(starts, gaps, strict=True)]
-        more = np.concatenate(forced)
-        ends = np.unique(np.concatenate((ends, more[(values[more] & 0xC0) != 0x80]))).astype(int)
-    return [*ends.tolist(), size]
+    begins = np.sort(np.concatenate((starts, ends)))
+    gaps = np.diff(np.append(begins, size))
+    forced = []
+    for at in np.flatnonzero(gaps > LONGEST):
+        stop = stops[np.searchsorted(starts, begins[at], side="right") - 1]
+        more = np.arange(begins[at] + LONGEST, min(begins[at] + gaps[at], stop), LONGEST)
+        for _ in range(3):  # to the end of a letter
+            more = more[more < stop]
+            more = more + ((values[more] & 0xC0) == 0x80)
+        forced.append(more[more < stop])
+    return np.unique(np.concatenate((ends, *forced))) if forced else ends
+
+
+def _pieces(data: bytes, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of the paragraphs of a text, and the starts of all their pieces."""
+    values = np.frombuffer(data, np.uint8)
+    breaks = np.flatnonzero(values == 10)
+    starts, stops = np.concatenate(([0], breaks + 1)), np.append(breaks, len(data))
+    return starts, stops, np.sort(np.concatenate((starts, _cuts(values, starts, stops, piece))))
+
+
+def piece_ends(data: bytes, piece: int = PIECE) -> list[int]:
+    """Offsets behind each piece of a paragraph, never inside a letter; the last is its length."""
+    return [*_pieces(data, piece)[2][1:].tolist(), len(data)]
+
+
+def piece_sums(data: bytes, begins: np.ndarray) -> np.ndarray:
+    """A number below 2^24 of each piece: its bytes as a polynomial, mixed with its length."""
+    size = len(data)
+    values = np.frombuffer(data, np.uint8).astype(np.uint64)
+    gaps = np.diff(begins, append=size)
+    place = np.arange(size) - np.repeat(begins, gaps)
+    line_end = values == 10
+    terms = (values + np.uint64(1)) * _POWERS[np.minimum(place, len(_POWERS) - 1)]
+    terms[line_end] = 0  # between paragraphs, in none
+    sums = np.add.reduceat(np.append(terms, np.uint64(0)), begins)
+    ended = np.append(begins[1:] - 1, size - 1)
+    lengths = gaps - ((gaps > 0) & line_end[np.maximum(ended, 0)] if size else 0)
+    sums ^= lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    sums ^= sums >> np.uint64(32)
+    sums *= np.uint64(0xD6E8FEB86659FD93)
+    return (sums >> np.uint64(40)).astype(np.uint32)
 
 
 def _digest(kind: bytes, data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16, person=kind).digest()
 
 
-def tree(text: str) -> list[list[tuple[bytes, list[bytes]]]]:
-    """Sections of a text, each a list of paragraphs (digest, piece digests)."""
-    sections: list[list[tuple[bytes, list[bytes]]]] = [[]]
-    for paragraph in text.encode().split(b"\n"):
-        pieces, start = [], 0
-        for end in piece_ends(paragraph):
-            pieces.append(_digest(b"piece", paragraph[start:end]))
-            start = end
-        digest = _digest(b"paragraph", b"".join(pieces))
-        sections[-1].append((digest, pieces))
+def tree(text: str) -> list[list[tuple[bytes, str]]]:
+    """Sections of a text, each a list of paragraphs (digest, hex digits of the pieces)."""
+    data = text.encode()
+    starts, stops, begins = _pieces(data)
+    digits = piece_sums(data, begins).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes().hex()
+    edges = (np.append(np.searchsorted(begins, starts), len(begins)) * DIGITS).tolist()
+    sections: list[list[tuple[bytes, str]]] = [[]]
+    for at, (start, stop) in enumerate(zip(starts.tolist(), stops.tolist())):
+        digest = _digest(b"paragraph", data[start:stop])
+        sections[-1].append((digest, digits[edges[at] : edges[at + 1]]))
         if digest[0] % SECTION == 0:
             sections.append([])
     return sections if sections[-1] else sections[:-1]
 
 
 def fingerprint(text: str) -> str:
-    """Root (32 hex digits), then sections after ``|``, their paragraphs between ``/``, pieces as hex digits.
+    """Root (32 hex digits), then sections after ``|``, their paragraphs between ``/``: digest, ``:``, pieces.
 
-    Digests within the tree are shortened to ``DIGITS`` digits for comparison; the root is
-    made of the full ones, so it alone decides equality.
+    Digests of paragraphs are shortened to ``MARK`` digits within the tree, and pieces have
+    ``DIGITS`` each; the root is made of the full digests, so it alone decides equality.
     """
     sections = tree(text)
     digests = [_digest(b"section", b"".join(digest for digest, _ in section)) for section in sections]
-    told = [
-        "/".join("".join([piece.hex()[:DIGITS] for piece in pieces]) for _, pieces in section) for section in sections
-    ]
+    told = ["/".join([f"{digest.hex()[:MARK]}:{pieces}" for digest, pieces in section]) for section in sections]
     return _digest(b"root", b"".join(digests)).hex() + "|" + "|".join(told)
 
 
-def _leaves(print_: str) -> list[str]:
-    body = print_.split("|", 1)[1].replace("|", "").replace("/", "")
-    return [body[at : at + DIGITS] for at in range(0, len(body), DIGITS)]
+def _paragraphs(print_: str) -> list[str]:
+    return print_.split("|", 1)[1].replace("|", "/").split("/")
 
 
-def likeness(left: str, right: str) -> float:
-    """Twice the shared pieces over all pieces of both trees, 0 to 1; 1 only for equal roots.
+def _leaves(print_: str) -> np.ndarray:
+    """The numbers of all pieces."""
+    octets = bytes.fromhex("".join([paragraph[MARK + 1 :] for paragraph in _paragraphs(print_)]))
+    parts = np.frombuffer(octets, np.uint8).reshape(-1, DIGITS // 2).astype(np.uint32)
+    return parts[:, 0] << np.uint32(16) | parts[:, 1] << np.uint32(8) | parts[:, 2]
 
-    Whole sections that agree are matched at once, then pieces of the rest, repeats counted.
-    """
+
+def likeness(left: str, right: str) -> float:
+    """Twice the shared pieces over all pieces of both trees, repeats counted, 0 to 1; 1 only for equal roots."""
     if left[:32] == right[:32]:
         return 1.0
-    ours, theirs = Counter(left.split("|")[1:]), Counter(right.split("|")[1:])
-    same = ours & theirs
-    shared = sum(len(_leaves("|" + section)) * n for section, n in same.items())
-    rest = [Counter(_leaves("|" + "|".join((side - same).elements()))) for side in (ours, theirs)]
-    total = 2 * shared + rest[0].total() + rest[1].total()
-    shared += (rest[0] & rest[1]).total()
-    return min(2 * shared / total, 1 - 1e-9)
+    ours, theirs = _leaves(left), _leaves(right)
+    distinct, at = np.unique(np.concatenate((ours, theirs)), return_inverse=True)
+    counts = [np.bincount(side, minlength=len(distinct)) for side in (at[: len(ours)], at[len(ours) :])]
+    shared = int(np.minimum(*counts).sum())
+    return min(2 * shared / (len(ours) + len(theirs)), 1 - 1e-9)
 
 
 def edits(left: str, right: str) -> list[int]:
-    """Indexes of the paragraphs of ``right`` that no paragraph of ``left`` equals, repeats counted."""
-    paragraphs = lambda print_: print_.split("|", 1)[1].replace("|", "/").split("/")
-    known = Counter(paragraphs(left))
+    """Indexes of the paragraphs of ``right`` that no paragraph of ``left`` equals by its digest, repeats counted."""
+    known = Counter(paragraph[:MARK] for paragraph in _paragraphs(left))
     changed = []
-    for at, paragraph in enumerate(paragraphs(right)):
-        if known[paragraph]:
-            known[paragraph] -= 1
+    for at, paragraph in enumerate(_paragraphs(right)):
+        if known[paragraph[:MARK]]:
+            known[paragraph[:MARK]] -= 1
         else:
             changed.append(at)
     return changed
