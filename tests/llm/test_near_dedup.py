@@ -114,3 +114,36 @@ def test_components_of_chains_stars_and_loops(rows):
     wanted = {n: 0 for n in range(1, 301)} | {1000 + i: 1000 for i in range(1, 200)} | {2000 + i: 2000 for i in range(1, 50)}
     assert found == wanted
     assert components(rows([], "a long, b long")).count() == 0
+
+
+def test_permutations_and_signatures():
+    chance = np.random.default_rng(5)
+    values = chance.permutation(1 << 18).astype(np.uint32)
+    for factors in (near_dedup.SCATTER, near_dedup.TURNED):
+        turned = near_dedup._permuted(values.copy(), np.empty_like(values), *factors)
+        assert len(np.unique(turned)) == len(values)
+
+    def plain(x, first, second):
+        x ^= x >> 16
+        x = x * first % 2**32
+        x ^= x >> 15
+        x = x * second % 2**32
+        return x ^ x >> 16
+
+    shingles = chance.integers(0, 1 << 63, 200, dtype=np.uint64)
+    at = [plain(int(s) >> 32, *near_dedup.SCATTER) for s in shingles]
+    expected = [min(plain((x + k) % 2**32, *near_dedup.TURNED) for x in at) for k in range(240)]
+    assert near_dedup.signature(shingles).tolist() == expected
+    # Coordinates agree as often as the sets do.
+    one, two = shingles, np.concatenate((shingles[:150], chance.integers(0, 1 << 63, 50, dtype=np.uint64)))
+    agree = (near_dedup.signature(one, 4096) == near_dedup.signature(two, 4096)).mean()
+    assert abs(agree - 150 / 250) < 0.1
+
+
+def test_disjoint_sets_of_millions_share_no_band():
+    chance = np.random.default_rng(6)
+    one, two = chance.integers(0, 1 << 63, (2, 3_000_000), dtype=np.uint64)
+    left, right = near_dedup.signature(one), near_dedup.signature(two)
+    assert not (near_dedup.bands(left) == near_dedup.bands(right)).any() and (left == right).mean() < 0.02
+    differing = np.unpackbits((near_dedup.sketch(one[:200_000]) ^ near_dedup.sketch(two[:200_000])).view(np.uint8)).sum()
+    assert differing > 2 * near_dedup.DIFFERENT

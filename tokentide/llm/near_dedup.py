@@ -1,7 +1,7 @@
 """Near-duplicate documents by circulant MinHash, confirmed on full shingle sets.
 
-Two permutations make the whole signature: the first scatters the shingles over a ring,
-the second, shifted by k, gives coordinate k its minimum. Coordinates are banded; documents
+Two permutations make the whole signature: the first scatters the shingles over a ring of
+2^32 places, the second, shifted by k, gives coordinate k its minimum. Coordinates are banded; documents
 that share a band are candidates, and a link needs a Jaccard similarity of full sets.
 
 Documents with equal sets are one class, and one document stands for it. In each bucket
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,9 @@ from tokentide.session import materialize, ship_package
 
 WORDS = 5  # words of a shingle
 BANDS, ROWS = 48, 5  # a pair at 0.75 shares no band with probability 2e-6
-RING = 1 << 20
+# Odd factors of the two permutations of a ring of 2^32 places; values that are worked on at once.
+SCATTER, TURNED = (0x7FEB352D, 0x846CA68B), (0x21F0AAAD, 0xD35A2D97)
+CHUNK = 1 << 14
 PERCENT = 75
 # Where groups stay apart, one bit of so many coordinates tells which pairs need a full look.
 # Of two sets at 0.75 an eighth of the bits differs on average, 256; the limit lies more than
@@ -66,22 +67,33 @@ class Shingler:
         return np.unique(mixed)
 
 
-@cache
-def _rings(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The scattering permutation, and every window of ``size`` of the circulated one."""
-    chance = np.random.default_rng(7)
-    scatter = chance.permutation(RING).astype(np.int64)
-    turned = chance.permutation(RING).astype(np.int32)
-    return scatter, np.lib.stride_tricks.sliding_window_view(np.concatenate((turned, turned[: size - 1])), size)
+def _permuted(values: np.ndarray, spare: np.ndarray, first: int, second: int) -> np.ndarray:
+    """A permutation of the ring by two odd factors, in place: no two places get the same number."""
+    for shift, factor in ((16, first), (15, second), (16, 1)):
+        np.right_shift(values, np.uint32(shift), out=spare)
+        np.bitwise_xor(values, spare, out=values)
+        if factor > 1:
+            np.multiply(values, np.uint32(factor), out=values)
+    return values
 
 
 def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
-    """Coordinates 0 to size - 1: the minimum over the set of the second permutation shifted by k."""
-    scatter, windows = _rings(size)
-    at = scatter[(shingles >> np.uint64(44)).astype(np.int64)]
-    least = windows[at[:512]].min(axis=0)
-    for start in range(512, len(at), 512):
-        least = np.minimum(least, windows[at[start : start + 512]].min(axis=0))
+    """Coordinates 0 to size - 1: the minimum over the set of the second permutation shifted by k.
+
+    The ring has 2^32 places, so that sets of many million shingles still leave most of it
+    empty and disjoint sets seldom share a coordinate.
+    """
+    at = (shingles >> np.uint64(32)).astype(np.uint32)
+    at = _permuted(at, np.empty_like(at), *SCATTER)
+    turns = np.arange(size, dtype=np.uint32)
+    least = np.full(size, (1 << 32) - 1, np.uint32)
+    rows = max(1, CHUNK // size)
+    values, spare = np.empty((2, min(rows, len(at)), size), np.uint32)
+    for start in range(0, len(at), rows):
+        part = at[start : start + rows, None]
+        own, free = values[: len(part)], spare[: len(part)]
+        np.add(part, turns, out=own)  # past the last place the ring begins again
+        np.minimum(least, _permuted(own, free, *TURNED).min(axis=0), out=least)
     return least
 
 
