@@ -73,3 +73,41 @@ def test_tree_bounds_hold():
         own = vectors[tree.order[tree.start[node] : tree.end[node]]]
         assert (np.sqrt(((own - tree.centre[node]) ** 2).sum(axis=1)) <= tree.radius[node] + 1e-9).all()
         assert tree.left[node] >= 0 or len(own) <= 16
+
+
+def test_far_shards_are_not_asked(spark, rows):
+    """On clustered data few queries travel, and every pair that is left out scores below the query's bar."""
+    chance = np.random.default_rng(3)
+    centres = np.eye(16) * 4
+    data = [(i, (centres[i % 16] + 0.05 * chance.normal(size=16)).tolist()) for i in range(3200)]
+    frame = rows(data, "id long, vector array<double>")
+    good = frame.selectExpr("id", "16 AS width", "transform(vector, x -> floor(256 * x) * 1D) AS vector", "id % 10 = 0 AS asks")
+    own = top_k.deal(good, 200)
+    home = own.groupBy("width", "shard").applyInPandas(top_k._at_home(5), f"{top_k._FOUND}, width int, shard long, {top_k._BALL}")
+    kth = {}
+    for row in home.where("shard IS NULL").collect():
+        kth.setdefault(row.query_id, []).append(row.score)
+    least = {query: float(min(found)) if len(found) == 5 else float("-inf") for query, found in kth.items()}
+    bars = rows(sorted(least.items()), "id long, least double")
+    asked = own.where("asks").join(bars, "id").select("width", "shard", "id", "vector", "least")
+    balls = home.where("shard IS NOT NULL").drop("query_id", "vec_id", "score")
+    sent = {(r.id, r.shard) for r in top_k.reached(asked, balls, 100).collect()}
+    placed = own.collect()
+    shards = {r.shard for r in placed}
+    pairs = 320 * (len(shards) - 1)
+    assert len(placed) == 3200 and len(shards) >= 16 and balls.count() == len(shards)
+    assert 0 < len(least) == 320 and len(sent) < pairs / 3
+    vectors = np.array([r.vector for r in placed])
+    homes = {r.id: r.shard for r in placed}
+    for row in placed:
+        if row.asks:
+            scores = vectors @ np.array(row.vector)
+            good_in = {homes[p.id] for p, score in zip(placed, scores, strict=True) if score > least[row.id] and p.id != row.id}
+            assert good_in - {row.shard} <= {shard for query, shard in sent if query == row.id}
+
+
+def test_equal_vectors_are_cut_into_shards(rows):
+    data = [(i, [1.0, 2.0]) for i in range(1000)]
+    frame = rows(data, "id long, vector array<double>").selectExpr("id", "2 AS width", "vector", "false AS asks")
+    sizes = [r["count"] for r in top_k.deal(frame, 100).groupBy("shard").count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) < 200

@@ -1,9 +1,10 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Candidates are dealt to shards, each with a ball tree in its task. A query first searches
-one shard, its own; the k-th score found there is shared with its searches of all other
-shards, which skip every node whose upper bound, centre product plus radius times query
-length, is below it. Queries travel in blocks, so a task holds one shard and one block.
+Candidates are dealt to shards by the two pivots nearest to them, so a shard is a small ball of
+the space, and each shard has a ball tree in its task. A query first searches one shard, its own;
+the k-th score found there is shared with all others. It then travels only to the shards whose
+ball, centre product plus radius times query length, reaches that score, and skips every
+node of their trees that does not.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tokentide.llm.frames import column
+from tokentide.llm.frames import column, slices
 from tokentide.session import materialize, ship_package
 
 LEAF = 128  # candidates in a leaf of a tree
+PIVOTS = 256  # vectors that divide the space into shards, at most
 EXACT = float(1 << 53)  # integers below this are exact as doubles
 
 
@@ -161,20 +164,151 @@ def _stack(column_: pd.Series, width: int) -> np.ndarray:
     return np.concatenate([np.asarray(row, float) for row in column_]).reshape(-1, width) if len(column_) else np.zeros((0, width))
 
 
-def _group_search(k: int):
-    """Searches one (shard, block): candidates are rows without ``least``, queries those with it."""
+_FOUND = "query_id long, vec_id long, score long"
+_BALL = "centre array<double>, radius double, reach double"
+_SENT = {"width": "int32", "shard": "int64", "id": "int64", "vector": "object", "least": "float64"}
+
+
+def _assign(pivots: list[list[float]]):
+    """Adds the numbers of the two pivots of the same length nearest to a vector, -1 for none."""
+    of_width: dict[int, list[int]] = {}
+    for at, pivot in enumerate(pivots):
+        of_width.setdefault(len(pivot), []).append(at)
+    stacks = {width: np.array([pivots[at] for at in own]) for width, own in of_width.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            widths = batch.column("width").to_numpy()
+            near = np.full((2, batch.num_rows), -1, np.int32)
+            vectors = batch.column("vector")
+            for width in np.unique(widths).tolist():
+                own = np.array(of_width.get(width, []), np.int32)
+                here = np.flatnonzero(widths == width)
+                if not len(own):
+                    continue
+                rows = vectors.take(pa.array(here)).flatten().to_numpy().reshape(-1, width)
+                # Least |x - p|^2 without the part that is the same for all pivots.
+                away = (stacks[width] ** 2).sum(axis=1) - 2 * rows @ stacks[width].T
+                order = np.argsort(away, axis=1, kind="stable")[:, :2]
+                near[: order.shape[1], here] = own[order].T
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in ("id", "width", "vector", "asks")), pa.array(near[0]), pa.array(near[1])],
+                ["id", "width", "vector", "asks", "first", "second"],
+            )
+
+    return run
+
+
+def deal(good: DataFrame, shard_rows: int, pivots: int = PIVOTS) -> DataFrame:
+    """(id, width, vector, asks, shard): rows dealt to shards of about ``shard_rows`` by place in space.
+
+    Four pivots for each ``shard_rows`` rows, ``pivots`` at most, are the vectors with the smallest digests.
+    Rows with the same two nearest pivots are a cell; cells of one first pivot share shards, and a
+    cell beyond ``shard_rows`` is cut by digests of its ids. There are at most (pivots + 1)^2 cells
+    whatever the number of rows, so their table is broadcast.
+    """
+    total = good.count()
+    count = min(pivots, max(1, 4 * -(-total // shard_rows)))
+    drawn = good.select("vector", F.xxhash64("id", "vector").alias("digest")).orderBy("digest", "vector").limit(count)
+    assign = _assign([row["vector"] for row in drawn.collect()])
+    schema = "id long, width int, vector array<double>, asks boolean, first int, second int"
+    placed = materialize(good.mapInArrow(assign, schema), "vectors")
+    cells = placed.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
+    small = F.when(F.col("n") <= shard_rows, F.col("n")).otherwise(0)
+    of_first = W.partitionBy("first")
+    before = F.sum(small).over(of_first.orderBy("second").rowsBetween(W.unboundedPreceding, -1))
+    bins = F.greatest(F.lit(1), F.ceil(F.sum(small).over(of_first) / shard_rows))
+    bin_ = F.floor(F.coalesce(before, F.lit(0)) * bins / F.greatest(F.lit(1), F.sum(small).over(of_first)))
+    cut = F.when(F.col("n") > shard_rows, F.ceil(F.col("n") / shard_rows)).cast("long")
+    base = (F.col("first") + 1).cast("long") * (1 << 40)
+    own = F.when(cut.isNull(), bin_).otherwise((F.col("second") + 2).cast("long") * (1 << 28))
+    cells = cells.select("first", "second", cut.alias("cut"), (base + own).cast("long").alias("base"))
+    cells = materialize(cells, "cells")
+    part = F.coalesce(F.pmod(F.xxhash64("id", F.lit(1)), F.col("cut")), F.lit(0))
+    shard = (F.col("base") + part).alias("shard")
+    return placed.join(F.broadcast(cells), ["first", "second"]).select("id", "width", "vector", "asks", shard)
+
+
+def _stacked(frame: pd.DataFrame) -> np.ndarray:
+    return _stack(frame["vector"], len(frame["vector"].iloc[0]))
+
+
+def _at_home(k: int):
+    """Searches a shard for the queries that lie in it, and tells its ball in a row of its own."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        shard = frame[~frame["is_query"]]
-        block = frame[frame["is_query"]]
+        vectors, ids = _stacked(frame), frame["id"].to_numpy(np.int64)
+        tree = build(vectors)
+        asks = frame["asks"].to_numpy(bool)
+        found = search(tree, vectors, ids, vectors[asks], ids[asks], np.full(asks.sum(), -np.inf), k)
+        ball = {
+            "width": frame["width"].iloc[:1].to_numpy(),
+            "shard": frame["shard"].iloc[:1].to_numpy(),
+            "centre": [tree.centre[0]],
+            "radius": tree.radius[:1].astype(float),
+            "reach": [np.abs(vectors).max() * np.sqrt(vectors.shape[1])],
+        }
+        told = pd.concat([found.astype("Int64"), pd.DataFrame(ball)], ignore_index=True)
+        return told.astype({"width": "Int32", "shard": "Int64"}).assign(centre=[None] * len(found) + ball["centre"])
+
+    return run
+
+
+def _reached(frame: pd.DataFrame) -> pd.DataFrame:
+    """The (query, shard) pairs of a block of queries and a block of balls that a score may lie in."""
+    balls, queries = frame[frame["radius"].notna()], frame[frame["radius"].isna()]
+    if not len(balls) or not len(queries):
+        return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in _SENT.items()})
+    asked = _stacked(queries)
+    width = asked.shape[1]
+    lengths = np.sqrt((asked**2).sum(axis=1))[:, None]
+    slack = 1 + lengths * balls["reach"].to_numpy(float) * 1e-9  # rounding must not hide a candidate
+    bounds = asked @ _stack(balls["centre"], width).T + lengths * balls["radius"].to_numpy(float) + slack
+    home = queries["shard"].to_numpy(np.int64)[:, None] == balls["shard"].to_numpy(np.int64)
+    rows, shards = np.nonzero((bounds >= queries["least"].to_numpy(float)[:, None]) & ~home)
+    told = queries.iloc[rows]
+    return pd.DataFrame(
+        {
+            "width": width,
+            "shard": balls["shard"].to_numpy(np.int64)[shards],
+            "id": told["id"].to_numpy(),
+            "vector": told["vector"].to_numpy(),
+            "least": told["least"].to_numpy(float),
+        }
+    ).astype(_SENT)
+
+
+def reached(asked: DataFrame, balls: DataFrame, block_rows: int) -> DataFrame:
+    """(width, shard, id, vector, least): each query and the other shards whose balls reach its bar.
+
+    ``asked`` has (width, shard, id, vector, least), shard being the query's own, and ``balls``
+    (width, shard, centre, radius, reach). Blocks of queries meet blocks of balls, of
+    ``block_rows`` each, so no candidate moves before its shard is known to be wanted.
+    """
+    asking, count = asked.count(), balls.count()
+    queries, shards = max(1, -(-asking // block_rows)), max(1, -(-count // block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda key, n: F.pmod(F.xxhash64(key, F.lit(2)), F.lit(n)).cast("int")
+    none = {name: F.lit(None).cast(kind) for name, kind in (part.split() for part in _BALL.split(", "))}
+    blocks = asked.withColumns({**none, "block": own("id", queries)}).withColumn("balls", every(shards))
+    nobody = {"id": F.lit(None).cast("long"), "vector": F.lit(None).cast("array<double>"), "least": F.lit(None).cast("double")}
+    told = balls.withColumns({**nobody, "balls": own("shard", shards)}).withColumn("block", every(queries))
+    return blocks.unionByName(told).groupBy("width", "block", "balls").applyInPandas(
+        _reached, "width int, shard long, id long, vector array<double>, least double"
+    )
+
+
+def _away(k: int):
+    """Searches one shard for one block of queries: candidates are rows without ``least``."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["least"].notna()
+        shard, block = frame[~asks], frame[asks]
         if not len(shard) or not len(block):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        width = len(shard["vector"].iloc[0])
-        vectors, ids = _stack(shard["vector"], width), shard["id"].to_numpy(np.int64)
-        queries = _stack(block["vector"], width)
-        return search(
-            build(vectors), vectors, ids, queries, block["id"].to_numpy(np.int64), block["least"].to_numpy(float), k
-        )
+            return pd.DataFrame({name: pd.Series(dtype="int64") for name in ("query_id", "vec_id", "score")})
+        vectors, ids = _stacked(shard), shard["id"].to_numpy(np.int64)
+        wanted = block["id"].to_numpy(np.int64)
+        return search(build(vectors), vectors, ids, _stacked(block), wanted, block["least"].to_numpy(float), k)
 
     return run
 
@@ -202,45 +336,40 @@ def top_k(
     of their own, as are equal vectors. A score beyond a long stops at its ends. Other
     columns are left out. An empty table gives an empty result.
     """
-    spark = ship_package(vectors.sparkSession)
+    ship_package(vectors.sparkSession)
     good = vectors.where(column(key).isNotNull() & usable(column(vector)) & (F.size(column(vector)) > 0)).select(
-        column(key).cast("long").alias("id"), scaled(column(vector), scale).alias("vector"), queries.alias("asks")
+        column(key).cast("long").alias("id"),
+        F.size(column(vector)).alias("width"),
+        scaled(column(vector), scale).alias("vector"),
+        F.coalesce(queries, F.lit(False)).alias("asks"),
     )
-    rows = materialize(good.withColumn("width", F.size("vector")), "vectors")
-    total, asking = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asking // block_rows))
-    seeded = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    own = rows.withColumns({"shard": seeded(1, shards), "block": seeded(2, blocks)})
-    schema = "query_id long, vec_id long, score long"
+    own = deal(good, shard_rows)
+    home = own.groupBy("width", "shard").applyInPandas(_at_home(k), f"{_FOUND}, width int, shard long, {_BALL}")
+    home = materialize(home, "top-k-own")
+    at_home = home.where("shard IS NULL").select("query_id", "vec_id", "score")
+    balls = home.where("shard IS NOT NULL").drop("query_id", "vec_id", "score")
     none = F.lit(float("-inf"))
-
-    def pairs(candidates: DataFrame, asked: DataFrame) -> DataFrame:
-        """Searches of each block in each shard it is sent to."""
-        both = candidates.select("width", "shard", "block", "id", "vector", F.lit(False).alias("is_query"), none.alias("least"))
-        asked = asked.select("width", "shard", "block", "id", "vector", F.lit(True).alias("is_query"), "least")
-        return both.unionByName(asked).groupBy("width", "shard", "block").applyInPandas(_group_search(k), schema)
-
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asked = own.where("asks")
-    one = F.lit(0)
-    at_home = materialize(
-        pairs(own.withColumn("block", one), asked.withColumns({"block": one, "least": none})), "top-k-own"
-    )
     bound = at_home.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).otherwise(none).alias("least")
     )
-    away = (
-        asked.withColumnRenamed("shard", "home")
-        .join(bound, F.col("id") == F.col("query_id"), "left")
-        .withColumn("least", F.coalesce("least", none))
-        .withColumn("shard", every_shard)
-        .where("shard != home")
+    asked = own.where("asks").join(bound, F.col("id") == F.col("query_id"), "left")
+    asked = asked.select("width", "shard", "id", "vector", F.coalesce("least", none).alias("least"))
+    sent = materialize(reached(asked, balls, block_rows), "top-k-sent")
+
+    # A shard that many queries want is searched in blocks of them; only wanted shards move.
+    wanted = sent.groupBy("width", "shard").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    wanted = materialize(wanted, "top-k-wanted")
+    block = F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int")
+    parts = ["width", "shard"]
+    searching = sent.join(wanted, parts).select(*parts, block.alias("block"), "id", "vector", "least")
+    searched = own.join(wanted, parts).select(
+        *parts, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "vector", F.lit(None).cast("double").alias("least")
     )
-    found = at_home.unionByName(pairs(own.withColumn("block", every_block), away)) if shards > 1 else at_home
+    away = searched.unionByName(searching).groupBy("width", "shard", "block").applyInPandas(_away(k), _FOUND)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        found.withColumn("rank", F.row_number().over(best))
+        at_home.unionByName(away)
+        .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", F.col("vec_id"), "score")
     )
