@@ -147,3 +147,22 @@ def test_disjoint_sets_of_millions_share_no_band():
     assert not (near_dedup.bands(left) == near_dedup.bands(right)).any() and (left == right).mean() < 0.02
     differing = np.unpackbits((near_dedup.sketch(one[:200_000]) ^ near_dedup.sketch(two[:200_000])).view(np.uint8)).sum()
     assert differing > 2 * near_dedup.DIFFERENT
+
+
+def test_split_buckets_equal_brute_force(rows, planted, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CROWD", 0)
+    found = near_dedup.near_groups(rows(planted, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_force(planted)
+
+
+def test_crowded_bucket_gives_few_pairs(rows):
+    """Of all pairs of a bucket, those far from alike seldom meet, and those at 0.75 do."""
+    chance = np.random.default_rng(6)
+    common = chance.integers(0, 1 << 63, 100, np.uint64)
+    apart = [np.unique(np.concatenate([common, chance.integers(0, 1 << 63, 200, np.uint64)])) for _ in range(300)]
+    base = chance.integers(0, 1 << 63, 300, np.uint64)
+    near = [np.concatenate([base[:300 - 42 * side], chance.integers(0, 1 << 63, 42, np.uint64)]) if side else base for side in (0, 1)]
+    keys = [near_dedup.splits(near_dedup.signature(own, near_dedup.BITS)).tolist() for own in [*apart, *near]]
+    held = rows([(1, node, 300, node, -1) for node in range(302)], "bucket long, node long, n long, root long, main long")
+    found = {(r.a, r.b) for r in near_dedup.split_pairs(held, rows(list(enumerate(keys)), "node long, splits array<long>")).collect()}
+    assert (300, 301) in found and len(found) < 302 * 301 / 2 / 50

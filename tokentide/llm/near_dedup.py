@@ -7,8 +7,9 @@ that share a band are candidates, and a link needs a Jaccard similarity of full
 Documents with equal sets are one class, and one document stands for it. In each bucket
 every class is first compared with its leader, which joins large groups without
 expanding them into pairs; only classes of a bucket that are still apart are then compared
-with each other, where long sketches do not tell them apart. So the work does not grow with
-the square of a group's size, and every pair that shares a bucket is decided.
+with each other, where long sketches do not tell them apart; a bucket with many of them is
+first split by further coordinates. So the work does not grow with the square of a group's
+size, and every pair that shares a bucket is decided.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ PERCENT = 75
 # Of two sets at 0.75 an eighth of the bits differs on average, 256; the limit lies more than
 # five deviations above, which a pair that must be linked passes with probability 1e-7.
 BITS, DIFFERENT = 2048, 340
+# A bucket with more classes than this outside its largest component is split by keys of so many
+# further coordinates each; a pair at 0.75 shares none of the keys with probability 5e-8, one at
+# 0.3 shares one with probability 0.01.
+CROWD, SPLITS, SPLIT_ROWS = 256, 160, 8
 _NO_ID = -(1 << 63)
 
 
@@ -108,7 +113,20 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """The last bit of ``BITS`` coordinates, packed into longs."""
-    return np.packbits(signature(shingles, BITS).astype(np.uint8) & 1).view(np.int64)
+    return _last_bits(signature(shingles, BITS))
+
+
+def _last_bits(coordinates: np.ndarray) -> np.ndarray:
+    return np.packbits(coordinates.astype(np.uint8) & 1).view(np.int64)
+
+
+def splits(coordinates: np.ndarray) -> np.ndarray:
+    """Keys of ``SPLIT_ROWS`` coordinates each, from those that no band uses."""
+    keys = np.zeros(SPLITS, np.uint64)
+    for row in coordinates[BANDS * ROWS :][: SPLITS * SPLIT_ROWS].astype(np.uint64).reshape(SPLITS, SPLIT_ROWS).T:
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
 
 
 def _shingler() -> Shingler:
@@ -145,8 +163,34 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingle = _shingler()
     for batch in slices(batches):
-        bits = [sketch(shingle(text)) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.list_(pa.int64()))], ["node", "bits"])
+        long = [signature(shingle(text), BITS) for text in batch.column("text").to_pylist()]
+        arrays = [pa.array([part(own) for own in long], pa.list_(pa.int64())) for part in (_last_bits, splits)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *arrays], ["node", "bits", "splits"])
+
+
+def _distance() -> Column:
+    """In how many bits the sketches of s and r differ."""
+    distance = F.lit(0)
+    for i in range(BITS // 64):
+        distance = distance + F.bit_count(F.col(f"s.s{i}").bitwiseXOR(F.col(f"r.s{i}")))
+    return distance
+
+
+def _apart() -> Column:
+    """Whether s and r of one bucket lie in components of their own, each pair in one order alone."""
+    once = (F.col("r.root") == F.col("r.main")) | (F.col("s.node") < F.col("r.node"))
+    return (F.col("s.bucket") == F.col("r.bucket")) & (F.col("s.root") != F.col("r.root")) & once & _alike(F.col("s.n"), F.col("r.n"))
+
+
+def split_pairs(apart: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b) of classes of a bucket that are apart and share one of ``keys`` (node, splits) too."""
+    placed = apart.join(keys, "node").select(
+        "bucket", "node", "n", "root", "main", F.posexplode("splits").alias("at", "split")
+    )
+    s, r = placed.where("root != main").alias("s"), placed.alias("r")
+    same = (F.col("s.at") == F.col("r.at")) & (F.col("s.split") == F.col("r.split"))
+    pairs = s.join(r, _apart() & same)
+    return pairs.select(F.least("s.node", "r.node").alias("a"), F.greatest("s.node", "r.node").alias("b")).distinct()
 
 
 def _alike(left: Column, right: Column) -> Column:
@@ -244,31 +288,31 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots:
     labelled = crowded.select("bucket", "band", "node", "n").join(found, "node", "left")
     labelled = materialize(labelled.withColumn("root", F.coalesce("root", "node")), "labelled")
     parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = materialize(mixed.where("parts > 1").select("bucket", F.col("main.root").alias("main")), "mixed-buckets")
+    mixed = parts.groupBy("bucket").agg(
+        F.max(F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total")
+    )
+    outside = F.col("total") - F.col("main.size")
+    mixed = mixed.where("parts > 1").select("bucket", F.col("main.root").alias("main"), (outside > CROWD).alias("crowd"))
+    mixed = materialize(mixed, "mixed-buckets")
     apart = materialize(labelled.join(mixed, "bucket"), "apart")
     asked = apart.select("node").distinct()
     sketched = materialize(
-        texts.join(asked, "node", "left_semi").mapInArrow(_sketches, "node long, bits array<long>"), "sketches"
+        texts.join(asked, "node", "left_semi").mapInArrow(_sketches, "node long, bits array<long>, splits array<long>"),
+        "sketches",
     )
     words = [F.col("bits")[i].alias(f"s{i}") for i in range(BITS // 64)]
     # 31 bits of each band key tell the first band that two classes share.
     keys = features.select(F.col("row").alias("node"), F.transform("bands", lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"))
-    apart = materialize(apart.join(sketched.select("node", *words), "node").join(keys, "node"), "apart-sketches")
-    s, r = apart.where("root != main").alias("s"), apart.alias("r")
-    distance = F.lit(0)
-    for i in range(BITS // 64):
-        distance = distance + F.bit_count(F.col(f"s.s{i}").bitwiseXOR(F.col(f"r.s{i}")))
+    few = apart.where("NOT crowd").join(sketched.select("node", *words), "node").join(keys, "node")
+    few = materialize(few, "apart-sketches")
+    s, r = few.where("root != main").alias("s"), few.alias("r")
     same = F.zip_with("s.keys", "r.keys", lambda one, other: one == other)
-    close = (
-        (F.col("s.bucket") == F.col("r.bucket"))
-        & (F.col("s.root") != F.col("r.root"))
-        & ((F.col("r.root") == F.col("r.main")) | (F.col("s.node") < F.col("r.node")))
-        & _alike(F.col("s.n"), F.col("r.n"))
-        & (distance <= DIFFERENT)
-        & (F.array_position(same, True) == F.col("s.band") + 1)
-    )
-    pairs = s.join(r, close).select(F.least("s.node", "r.node").alias("a"), F.greatest("s.node", "r.node").alias("b"))
+    pairs = s.join(r, _apart() & (_distance() <= DIFFERENT) & (F.array_position(same, True) == F.col("s.band") + 1))
+    pairs = pairs.select(F.least("s.node", "r.node").alias("a"), F.greatest("s.node", "r.node").alias("b"))
+    met = materialize(split_pairs(apart.where("crowd"), sketched.select("node", "splits")), "split-pairs")
+    side = lambda node, name: sketched.select(F.col("node").alias(node), *words).alias(name)
+    both = met.join(side("a", "s"), "a").join(side("b", "r"), "b")
+    pairs = pairs.union(both.where(_distance() <= DIFFERENT).select("a", "b"))
     fresh = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_links(fresh, texts))
     found = components(links)
