@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from math import isqrt
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,15 @@ def test_word_count(rows):
     frame = rows([(t,) for t in texts], "t string")
     found = [r.n for r in frame.select(mix.word_count(F.col("t")).alias("n")).collect()]
     assert found == [len((t or "").encode().split()) for t in texts]
+
+
+def test_rows_without_id_are_dealt_by_their_texts(rows):
+    data = [(None, "a", f"w{i} " * (1 + i % 5)) for i in range(300)] + [(i, "b", "x y") for i in range(20)]
+    frame = rows(data, "doc_id long, source string, text string")
+    found = mix.mix(frame, (5, 2, 1), texts=True, block=2)
+    once = sorted((str(r.doc_id), r.text, r.taken, tuple(r.texts)) for r in found.collect())
+    again = mix.mix(frame.repartition(6), (5, 2, 1), texts=True, block=2).collect()
+    assert once == sorted((str(r.doc_id), r.text, r.taken, tuple(r.texts)) for r in again)
+    shards = isqrt(len(data)) + 1
+    dealt = frame.where("doc_id IS NULL").groupBy((mix._number(F.md5("text")) % shards).alias("shard")).count()
+    assert dealt.count() > shards / 2 and all(sum(len(t.split()) for t in texts) == taken for _, _, taken, texts in once)

@@ -192,13 +192,14 @@ def mix(
     beyond ``most`` times its own stay unfilled.
 
     A null text has no words and is never taken. A null source is a source, last in order.
-    Null ids come first in their shard; repeated rows stand beside each other in the stream
-    and each gets its share. Ties between quotients go to the earlier source or shard. An
+    Rows without id are dealt to shards by their texts and come first there; repeated rows
+    stand beside each other in the stream and each gets its share; texts of one id and size
+    follow their hashes. Ties between quotients go to the earlier source or shard. An
     empty table gives an empty result. Input columns named like added ones are replaced.
     ``docs`` is read twice: write it before if it is costly to compute.
     """
     shards = isqrt(docs.count()) + 1
-    key_text = F.coalesce(column(key).cast("string"), F.lit(""))
+    key_text = F.coalesce(column(key).cast("string"), F.md5(F.coalesce(column(text), F.lit(""))))
     # A key with an order: "0" before each name puts null, "1", last.
     src = F.when(column(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), column(source).cast("string")))
     added = [*ADDED, *(["texts"] if texts else [])]
@@ -209,10 +210,11 @@ def mix(
         src.alias("_src"),
         (_number(key_text) % shards).alias("_shard"),
         word_count(column(text)).alias("size"),
+        F.xxhash64(column(text)).alias("_tie"),
         *([column(text).alias("_text")] if texts else []),
     )
     info = _shards(rows.select("_src", "_shard", "size"), weights, share, most, block, seed)
-    in_shard = W.partitionBy("_src", "_shard").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, -1)
+    in_shard = W.partitionBy("_src", "_shard").orderBy("_key", "size", "_tie").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.join(info, ["_src", "_shard"]).withColumn(
         "_from", F.col("_before") + F.coalesce(F.sum("size").over(in_shard), F.lit(0))
     )
