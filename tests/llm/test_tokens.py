@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import public_tokenizers
@@ -64,6 +65,25 @@ def test_encode_and_decode_frames(rows, library):
     assert bpe.encode(frame.select("text"), WORD, decoded=False).columns == ["text", "ids"]
 
 
+def test_decoding_leaves_out_what_no_token_is(rows, library):
+    ids = [[320, None, 400], [-1, 10**6, 320], [], None, [320] * 100_000, [49406, 320, 49407]]
+    frame = rows([(i, row, "old") for i, row in enumerate(ids)], "doc_id long, ids array<int>, Decoded string")
+    found = bpe.decode(frame, WORD)
+    assert found.columns == ["doc_id", "ids", "decoded"]
+    for row in found.collect():
+        known = [number for number in ids[row.doc_id] or [] if number is not None and 0 <= number < 49408]
+        assert row.decoded == library[WORD].decode(known, skip_special_tokens=False)
+    assert bpe.decode(frame.where("false"), WORD).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["single_word", "lstrip", "rstrip", "normalized"])
+def test_special_strings_with_rules_are_refused(rule):
+    config = json.load(open(WORD))
+    config["added_tokens"][0][rule] = True
+    with pytest.raises(ValueError, match="rules of their own"):
+        bpe.WordBpe(json.dumps(config).encode())
+
+
 def test_counts_through_the_cache(spark, rows, library):
     cache = scratch_path(spark, "cache-test")
     data = [(i, text, 1) for i, text in enumerate([*ODD, None, *ODD[:5]])]

@@ -113,6 +113,11 @@ class WordBpe:
         parts = [step["type"] for step in pre.get("pretokenizers", [])]
         if steps != ["NFC", "Replace", "Lowercase"] or parts != ["Split", "ByteLevel"] or config["decoder"]:
             raise ValueError(f"not a word-end tokenizer file: {steps}, {parts}")
+        # Special strings are cut out of the raw text as they stand; other rules are refused.
+        ruled = ("single_word", "lstrip", "rstrip", "normalized")
+        odd = [token["content"] for token in config["added_tokens"] if any(token.get(rule) for rule in ruled)]
+        if odd:
+            raise ValueError(f"special strings with rules of their own: {odd[:5]}")
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocabulary: dict[str, int] = model["vocab"]
         pairs = [tuple(pair.split(" ") if isinstance(pair, str) else pair) for pair in model["merges"]]
@@ -123,8 +128,7 @@ class WordBpe:
         self._special = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
         )
-        names = {number: token for token, number in {**self.vocabulary, **self.special}.items()}
-        self.names = [names.get(number, "") for number in range(max(names) + 1)]
+        self.names = {number: token for token, number in {**self.vocabulary, **self.special}.items()}
         self.known, self.words = Memory(), Memory()
 
     def word(self, word: str) -> list[int]:
@@ -185,8 +189,11 @@ class WordBpe:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """Tokens joined by one space, special ones included, as a file without decoder asks."""
-        return " ".join(map(self.names.__getitem__, ids))
+        """Tokens joined by one space, special ones included, as a file without decoder asks.
+
+        An id that the vocabulary does not have, null included, stands for nothing.
+        """
+        return " ".join([name for name in map(self.names.get, ids) if name is not None])
 
 
 def _shared(data: bytes, version: str) -> WordBpe:
@@ -220,14 +227,24 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", decoded: bool =
 
 
 def decode(frame: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
-    """``frame`` with the decoded text of its ids; null ids give an empty text."""
+    """``frame`` with decoded, the text of its ids, which replaces a column of that name.
+
+    A null array and an empty one give an empty text; null ids and ids that the vocabulary
+    does not have are left out. An empty table gives an empty result. No shuffle.
+    """
     spark = ship_package(frame.sparkSession)
     data, _, version = read_tokenizer(tokenizer)
     shared = spark.sparkContext.broadcast(data)
 
-    @F.pandas_udf("string")
-    def text(column):
+    away, back = carried(frame, ["decoded"])
+    rows = frame.select(*away, column(ids).cast("array<int>").alias("_ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _shared(shared.value, version)
-        return column.map(lambda row: "" if row is None else bpe.decode(list(row)))
+        for batch in slices(batches):
+            texts = [bpe.decode(row or []) for row in batch.column("_ids").to_pylist()]
+            arrays = [*batch.columns[:-1], pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "decoded"])
 
-    return frame.withColumn("decoded", text(F.coalesce(column(ids), F.array().cast("array<int>"))))
+    found = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("decoded", T.StringType())]))
+    return found.select(*back, "decoded")
