@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +66,106 @@ def test_learning_ignores_null_labels_and_texts(rows):
     frame = rows([("abc abc", "x"), (None, "y"), ("def", None), ("", "z")], "text string, lang string")
     assert language.learn(frame).languages == ["x"]
     assert language.learn(frame.where("false")).languages == []
+
+
+def test_many_labels_are_refused(rows):
+    frame = rows([(f"abc{i}", f"l{i}") for i in range(12)], "text string, lang string")
+    assert len(language.learn(frame, most=12).languages) == 12
+    with pytest.raises(ValueError, match="more than 11 labels"):
+        language.learn(frame, most=11)
+
+
+def plain_words(text):
+    """Words of letters and marks, each as its trigram buckets."""
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    words = []
+    for word in kept.split(" "):
+        codes = [0, *map(ord, word), 0]
+        own = []
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            mixed = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+            mixed ^= mixed >> 15
+            own.append(((mixed * 0x2C1B3C6D) % 2**32 >> 8) % language.BUCKETS)
+        if word:
+            words.append(own)
+    return words
+
+
+def plain_learn(docs):
+    """Log likelihoods by language and bucket, counted in dictionaries."""
+    counts = {}
+    for text, lang in docs:
+        for word in plain_words(text or "") if lang is not None else []:
+            for bucket in word:
+                own = counts.setdefault(lang, {})
+                own[bucket] = own.get(bucket, 0) + 1
+    total = {lang: sum(own.values()) for lang, own in counts.items()}
+    return {
+        lang: lambda bucket, own=own, all_=total[lang]: math.log(0.99 * own.get(bucket, 0) / all_ + 0.01 / language.BUCKETS)
+        for lang, own in sorted(counts.items())
+    }
+
+
+def plain_mixture(logs, text):
+    """Proportions of the language set of the best penalised likelihood, word by word."""
+    words = [[sum(map(log, word)) for log in logs.values()] for word in plain_words(text)]
+    n, m = len(logs), len(words)
+
+    def rounds(share, steps):
+        for _ in range(steps):
+            sums = [0.0] * n
+            for word in words:
+                top = max(word)
+                parts = [s * math.exp(w - top) for s, w in zip(share, word, strict=True)]
+                for at, part in enumerate(parts):
+                    sums[at] += part / max(sum(parts), 1e-30)
+            share = [value / m for value in sums]
+        return share
+
+    def likelihood(share):
+        tops = [max(word) for word in words]
+        inner = [sum(s * math.exp(w - top) for s, w in zip(share, word, strict=True)) for word, top in zip(words, tops, strict=True)]
+        return sum(math.log(max(value, 1e-30)) + top for value, top in zip(inner, tops, strict=True))
+
+    full = rounds([1 / n] * n, language.FULL_STEPS)
+    single = [sum(word[at] for word in words) for at in range(n)]
+    best, chosen = max(single), [float(at == single.index(max(single))) for at in range(n)]
+    if (1 - max(full)) * m <= 1:
+        return chosen
+    order = sorted(range(n), key=lambda at: -full[at])
+    for size in range(2, n + 1):
+        start = [full[at] + 1e-6 if at in order[:size] else 0.0 for at in range(n)]
+        share = rounds([value / sum(start) for value in start], language.STEPS)
+        score = likelihood(share) - (size - 1) / 2 * math.log(m)
+        if score <= best:
+            break
+        best, chosen = score, share
+    return chosen
+
+
+def test_query_equals_plain_inference(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    teaching = [(d.text, d.lang) for d in docs if zlib.crc32(str(d.doc_id).encode()) % 4 != 2]
+    logs = plain_learn(teaching)
+    found = {r.doc_id: r for r in queries()["op5_language"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(found) == len(docs)
+    for doc in docs:
+        row = found[doc.doc_id]
+        if not any(unicodedata.category(c)[0] == "L" for c in doc.text or ""):
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        share = plain_mixture(logs, doc.text)
+        top = max(share)
+        assert abs(row.score - top) < 1e-3
+        assert abs(share[list(logs).index(row.lang_pred)] - top) < 1e-3
+
+
+def test_mixtures_equal_plain_inference(model):
+    logs = {lang: (lambda bucket, at=at: float(model.logs[bucket, at])) for at, lang in enumerate(model.languages)}
+    texts = [
+        "the cat and the house of the man das ist ein Haus und der Mann ist hier",
+        "le chat est dans la maison avec les enfants the weather is good today",
+        "das Haus", "x", "the thing", "el perro y la casa der Hund und das Haus the dog and the house " * 3,
+    ]
+    for text, row in zip(texts, language.mixtures(model, texts), strict=True):
+        assert np.abs(row - np.array(plain_mixture(logs, text))).max() < 1e-3

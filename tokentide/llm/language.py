@@ -28,6 +28,8 @@ UNDETERMINED = "und"
 # Share of a language's mass spread evenly over all buckets, the same for every language.
 FLOOR = 0.01
 FULL_STEPS, STEPS = 10, 6
+# Labels that a model may have: 64 MB of likelihoods in a worker.
+MOST_LANGUAGES = 256
 # Words of a slice that are inferred at once, which bounds memory for long texts.
 SLICE_CHARS = 1 << 19
 
@@ -98,8 +100,15 @@ class Model:
     logs: np.ndarray
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Trigram likelihoods from every row with a text and a label; other columns are not read."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_LANGUAGES) -> Model:
+    """Trigram likelihoods from every row with a text and a label; other columns are not read.
+
+    Rows without a text or a label teach nothing, and a label whose texts have no letter is
+    not learned. Repeated rows count each time; an empty table gives a model without
+    languages. A model has ``BUCKETS`` entries a language, and it is the one thing that
+    passes through the driver: more than ``most`` labels are refused, as labels so many are
+    no languages.
+    """
     spark = ship_package(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +133,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     labelled = docs.where(column(text).isNotNull() & column(lang).isNotNull()).select(
         column(text).alias("text"), column(lang).cast("string").alias("lang")
     )
+    if labelled.select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} labels in {lang}")
     counted = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
     names, buckets, numbers = (table.column(name).to_numpy() for name in ("lang", "bucket", "n"))
@@ -151,7 +162,11 @@ def _likelihood(likely: np.ndarray, top: np.ndarray, starts: np.ndarray, counts:
 
 
 def mixtures(model: Model, texts: list[str]) -> np.ndarray:
-    """Proportions of the selected languages, one row per text; zeros for a text without letters."""
+    """Proportions of the selected languages, one row per text; zeros for a text without letters.
+
+    Where the likeliest language leaves the others a word or less of the whole mixture, sets
+    of several languages are not tried: the penalty of one is about what a word can gain.
+    """
     shares = np.zeros((len(texts), len(model.languages)), np.float32)
     if not model.languages:
         return shares
@@ -202,7 +217,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     the first of them and score its share. Ties go to the earlier name. A null text, or
     one without letters, is ``und`` with score 0, and so is every text if nothing was
     learned. Repeated rows each get a row; an empty table gives an empty result; input
-    columns named like added ones are replaced. No shuffle.
+    columns named like added ones are replaced. Mixtures are tried only where they explain
+    more than one word, as told in ``mixtures``. No shuffle.
     """
     spark = ship_package(docs.sparkSession)
     shared = spark.sparkContext.broadcast((model.languages, model.logs))
