@@ -93,6 +93,30 @@ def test_typed_parts(rows):
     ]
 
 
+def test_a_conversation_of_a_third_of_the_table(spark):
+    """Running sums and blocks keep a turn's cost the same in a conversation of 40,000 turns."""
+    turns = spark.range(120_000).selectExpr(
+        "if(id < 40000, -7, id DIV 4) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role",
+        "concat('é<|', id, '|> ', repeat('word ', 1 + id % 30)) AS text",
+    )
+    made = chat.format_chats(turns.withColumn("parts", chat.text_part(F.col("text"))))
+    loss = F.transform(chat.read_spans(F.col("formatted"), F.col("spans"), block=4096), chat.part_texts)
+    found = made.where("conv_id = -7").select("formatted", "spans", loss.alias("loss")).first()
+    own = [(i, f"é<|{i}|> " + "word " * (1 + i % 30)) for i in range(40_000)]
+    assert found.loss == [text for i, text in own if i % 2]
+    for span, text in zip(found.spans, found.loss, strict=True):
+        assert found.formatted[span.start : span.start + span.length] == text.replace("<|", "<\\|")
+    assert made.count() == 20_001
+
+
+def test_spans_are_cut_at_any_block(rows):
+    data = [(1, i, "assistant" if i % 2 else "user", text * 3) for i, text in enumerate(ATTACKS)]
+    made = formatted(rows, data)
+    for block in (1, 2, 7, 64, 1 << 16):
+        loss = F.transform(chat.read_spans(F.col("formatted"), F.col("spans"), block=block), chat.part_texts)
+        assert made.select(loss.alias("loss")).first().loss == [text for _, i, _, text in data if i in range(1, 99, 2)]
+
+
 def test_unknown_kind_fails(rows):
     import pytest
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tokentide.llm.frames import column
 
@@ -106,28 +106,19 @@ def format_chats(
             attached.alias("attached"),
         ).alias("_turn"),
     )
-    gathered = rendered.groupBy("_conversation").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
+    # Running sums place the turns, so that long conversations cost no more a turn than short ones.
     tail = END + "\n"
-    length = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(tail)
-    placed = F.aggregate(
-        F.col("_turns"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda state, t: F.struct(
-            (state["at"] + length(t)).alias("at"),
-            F.when(
-                t["learned"],
-                F.concat(
-                    state["spans"],
-                    F.array(
-                        F.struct(
-                            (state["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length")
-                        )
-                    ),
-                ),
-            )
-            .otherwise(state["spans"])
-            .alias("spans"),
-        ),
+    length = F.length("_turn.head") + F.length("_turn.body") + len(tail)
+    fields = ["turn", "head", "body", "learned", "attached"]
+    in_order = W.partitionBy("_conversation").orderBy(*[F.col(f"_turn.{name}") for name in fields])
+    before = F.coalesce(F.sum(length).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = rendered.select(
+        "_conversation", F.struct(before.alias("at"), *[F.col(f"_turn.{name}") for name in fields[1:]]).alias("_turn")
+    )
+    gathered = placed.groupBy("_conversation").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
+    spans = F.transform(
+        F.filter("_turns", lambda t: t["learned"]),
+        lambda t: F.struct((t["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length")),
     )
     attachments = F.flatten(
         F.transform(
@@ -143,7 +134,7 @@ def format_chats(
     return gathered.select(
         F.col("_conversation").alias(conversation),
         F.array_join(F.transform("_turns", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), "").alias("formatted"),
-        placed["spans"].alias("spans"),
+        spans.alias("spans"),
         attachments.alias("attachments"),
     ).withColumn(
         "tokens",
@@ -168,6 +159,23 @@ def part_texts(body: Column) -> Column:
     return F.array_join(F.transform(read_parts(body), lambda part: F.coalesce(part["text"], F.lit(""))), "")
 
 
+def read_spans(formatted: Column, spans: Column, block: int = 1 << 16) -> Column:
+    """The pieces of a formatted conversation that its spans name, each cut from the blocks it lies in.
+
+    A place in a text is found by counting from its beginning, which for all spans of a long
+    conversation would be the square of its length.
+    """
+    blocks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+
+    def cut(own: Column, span: Column) -> Column:
+        first, last = (F.floor(at / block).cast("int") for at in (span["start"], span["start"] + span["length"]))
+        inside = F.array_join(F.slice(own, first + 1, last - first + 1), "")
+        return F.substr(inside, span["start"] % block + 1, span["length"])
+
+    # An array of one, so that the blocks are made once and not for each span.
+    return F.flatten(F.transform(F.array(blocks), lambda own: F.transform(spans, lambda span: cut(own, span))))
+
+
 def read_turns(formatted: Column) -> Column:
     """Turns (role, body) read from a formatted conversation; body is still formatted."""
     split = F.split(formatted, r"<\|im_start\|>", -1)

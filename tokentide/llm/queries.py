@@ -256,12 +256,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     formatted = chat_format.format_chats(turns.withColumn("parts", chat_format.text_part(F.col("text"))))
-    body = lambda span: F.substr(F.col("formatted"), span["start"] + 1, span["length"])
+    learned = chat_format.read_spans(F.col("formatted"), F.col("spans"))
     read = formatted.select(
         "conv_id",
         "formatted",
         chat_format.read_turns(F.col("formatted")).alias("turns"),
-        F.array_join(F.transform("spans", lambda span: chat_format.part_texts(body(span))), "").alias("loss"),
+        F.array_join(F.transform(learned, chat_format.part_texts), "").alias("loss"),
     )
     told = F.transform(
         "turns", lambda t: F.concat(t["role"], F.lit("\n"), chat_format.part_texts(t["body"]), F.lit("\n"))
