@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import glob
 import gzip
 import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tokentide.llm import warc
+from tokentide.llm.frames import range_of
 from tokentide.session import scratch_path
 
 LONG = "é" * 600
@@ -93,3 +96,30 @@ def test_empty_table_and_damage(spark, rows):
         cut.write(data[:-5])
     with pytest.raises(Exception, match="cut off"):
         warc.read_warc(spark, folder).collect()
+
+
+def test_shards_hold_equal_bytes_and_are_bounded(spark, rows):
+    sizes = [(i, 40_000 if i < 20 else 100) for i in range(2000)]
+    narrow = rows([*sizes, (None, 5000), (5, 30_000), (5, 1000)], "id long, size long")
+    total = 20 * 40_000 + 1980 * 100 + 36_000
+    bounds = warc._bounds(narrow, 50_000, 1 << 16)
+    assert bounds == warc._bounds(narrow.repartition(9), 50_000, 1 << 16) and bounds == sorted(set(bounds))
+    before, wanted = 5000, set()
+    summed = {i: s for i, s in sizes} | {5: 71_000}
+    shard = 0
+    for i in sorted(summed):
+        if before // 50_000 > shard:
+            wanted, shard = wanted | {i}, before // 50_000
+        before += summed[i]
+    assert before == total and bounds == sorted(wanted)
+    assert len(warc._bounds(narrow, 1000, 8)) < 8
+    assert warc._bounds(narrow, 1 << 30, 8) == [] == warc._bounds(narrow.where("false"), 1, 8)
+
+
+def test_many_bounds_are_one_literal(spark):
+    bounds = list(range(-50_000, 50_000, 3))
+    frame = spark.createDataFrame([(v,) for v in (-50_001, -50_000, -1, 0, 1, 49_999, 60_000, None)], "v long")
+    found = frame.select("v", range_of(F.col("v"), bounds).alias("n")).collect()
+    assert all(r.n == bisect.bisect_right(bounds, r.v) for r in found if r.v is not None)
+    assert [r.n for r in found if r.v is None] == [0] or [r.n for r in found if r.v is None] == [None]
+    assert frame.select(range_of(F.col("v"), []).alias("n")).distinct().first().n == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,9 +37,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 
 def range_of(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most ``value``: 64 of them are compared after a coarse step."""
-    step = 64
+    """How many of the sorted bounds are at most ``value``: a coarse step, then those of one step.
+
+    The bounds are one literal text each time, since a plan of a literal per bound is slow to build.
+    """
+    step = isqrt(len(bounds)) + 1
     number = lambda part, low: F.size(F.filter(part, lambda bound: bound <= low))
-    array = lambda values: F.array(*map(F.lit, values)).cast("array<long>")
+
+    def array(values: list[int]) -> Column:
+        listed = F.split(F.lit(",".join(map(str, values))), ",") if values else F.array()
+        return listed.cast("array<long>")
+
     coarse = number(array(bounds[step - 1 :: step]), value) * step
     return coarse + number(F.slice(array(bounds), coarse + 1, F.lit(step)), value)

@@ -1,7 +1,7 @@
 """Writing pages as sharded WARC archives, and reading archives back.
 
-Records are dealt to ranges of the page id whose bounds are exact quantiles, so shards and
-files depend on the data alone. A task streams its range in order, makes each record's
+Records are dealt to ranges of the page id that hold about equally many bytes of payload, by
+exact running totals, so shards and files depend on the data alone. A task streams its range in order, makes each record's
 headers and digests anew, and begins another file when one has reached its compressed size.
 Files are written under temporary names and renamed when complete; the manifest, written
 last, names the files that count, so what a lost task left behind is never read.
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokentide.llm.frames import column, range_of, slices
-from tokentide.operators.ordering import exact_quantiles
+from tokentide.operators.ordering import with_running_total
 from tokentide.session import materialize, ship_package
 
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string, first_id long, last_id long"
@@ -85,6 +85,22 @@ class _File:
         return (self.name, shard, self.records, self.bytes, self.digest.hexdigest(), *self.ids)
 
 
+def _bounds(narrow: DataFrame, shard_bytes: int, most_shards: int) -> list[int]:
+    """Ids that begin a shard: those at which the payloads before them fill another ``shard_bytes``.
+
+    There are less than ``most_shards``: beyond so many, shards become larger instead. Sizes
+    are summed by id first, so the bounds do not depend on the order of rows that repeat an id.
+    """
+    total = narrow.agg(F.sum("size")).first()[0] or 0
+    if total <= shard_bytes:
+        return []
+    each = max(shard_bytes, -(-total // most_shards))
+    sizes = narrow.groupBy("id").agg(F.sum("size").alias("size"))
+    placed = with_running_total(materialize(sizes, "sizes"), ["id"], F.col("size"), name="before")
+    begun = placed.groupBy(F.floor(F.col("before") / each).alias("shard")).agg(F.min("id").alias("id"))
+    return sorted(row["id"] for row in begun.where("shard > 0 AND id IS NOT NULL").collect())
+
+
 def write_warc(
     pages: DataFrame,
     folder: str,
@@ -96,6 +112,7 @@ def write_warc(
     least: int = 1000,
     date: str = "1970-01-01T00:00:00Z",
     level: int = 4,
+    most_shards: int = 1 << 16,
 ) -> DataFrame:
     """Write every page to ``folder``/data and return the manifest, one row per file.
 
@@ -105,7 +122,8 @@ def write_warc(
     Rows that repeat an id keep a record each, in the order of url and payload; with equal
     payloads the first is the response. A row without id comes first and revisits like any
     other, but nothing revisits it. An empty table writes no file and an empty manifest.
-    Other columns are left out. ``folder`` must be one that all executors share.
+    Other columns are left out. A shard holds some ``shard_bytes`` of payload, more where there
+    would be over ``most_shards``, and the rows of one id are in one. ``folder`` must be one that all executors share.
     """
     spark = ship_package(pages.sparkSession)
     rows = pages.select(
@@ -114,13 +132,7 @@ def write_warc(
         F.coalesce(column(payload), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.unhex(F.sha1("payload")))
     narrow = materialize(rows.select("id", "digest", F.octet_length("payload").cast("long").alias("size")), "payloads")
-    total = narrow.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    bounds: list[int] = []
-    if shards > 1:
-        wanted = [at / shards for at in range(1, shards)]
-        found = exact_quantiles(narrow, {"id": (F.col("id"), wanted)}).select("value").collect()
-        bounds = sorted({int(row["value"]) for row in found})
+    bounds = _bounds(narrow, shard_bytes, most_shards)
     large = narrow.where(F.col("size") >= least)
     shared = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     # Written, so that the join below reads plain shuffles, of which Spark can split a hot payload.
