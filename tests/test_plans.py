@@ -14,6 +14,8 @@ from tokentide.operators.align import TokenizerSet
 from tokentide.operators.counting import count_tokens, count_with_all
 from tokentide.operators.evaluate import parse_responses, score_responses
 from tokentide.operators.profile import category_frequency, token_profile
+from tokentide.plans import evaluating_queries, stream_queries
+from tokentide.session import scratch_path
 from tokentide.sources.samples import as_samples, of_type
 from tokentide.sources.tables import read_counts, read_table
 
@@ -75,3 +77,45 @@ def test_comparison_totals_scan_once(spark, table):
 
 def test_frequency_reads_one_column(spark, table):
     assert all(columns == {"problem_type"} for columns in scanned(plan_text(category_frequency(spark.read.parquet(table), "problem_type"))))
+
+
+def copies(rows, folder, count):
+    """A folder of tables with ``count`` documents and conversations, in several splits."""
+    texts = [(n, f"text {n}", "fr" if n % 2 else "de", "web") for n in range(count)]
+    rows(texts, "doc_id long, text string, lang string, source string").repartition(6).write.parquet(f"{folder}/documents.parquet")
+    turns = [(n, turn, "user", f"turn {turn} of {n}") for n in range(count // 4) for turn in range(4)]
+    rows(turns, "conv_id long, turn long, role string, text string").repartition(6).write.parquet(f"{folder}/conversations.parquet")
+    return str(folder)
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of one file each, as those of a large table."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def files_of(spark, path):
+    return spark.read.parquet(path).inputFiles()
+
+
+def test_batches_of_a_stream_are_written_by_all_tasks(spark, rows, tmp_path, small_splits):
+    """Each micro-batch is one number's rows, whatever their number, and no task has a whole one."""
+    table = spark.createDataFrame([(n, 0 if n < 80 else 1 if n == 80 else 2) for n in range(120)], "n long, b long").repartition(6)
+    stream = stream_queries._as_stream(table, "parts", F.col("b"))
+    found = {}
+    stream_queries._drain_batches(
+        stream, "parts", "append", lambda frame, number: found.update({number: (frame.select("b").distinct().collect(), frame.rdd.getNumPartitions())})
+    )
+    assert [[row.b for row in found[number][0]] for number in range(3)] == [[0], [1], [2]]
+    assert found[0][1] > 1
+
+
+def test_first_rows_come_from_more_files_for_more_splits(spark, rows, tmp_path, small_splits, monkeypatch):
+    folder, paths = copies(rows, tmp_path, 200), []
+    monkeypatch.setattr(evaluating_queries, "scratch_path", lambda spark, label: paths.append(scratch_path(spark, label)) or paths[-1])
+    found = evaluating_queries.first_rows(spark, folder).orderBy("row_id").collect()
+    assert [(row.row_id, row.problem_type) for row in found] == [(n, "fr" if n % 2 else "de") for n in range(150)]
+    assert len(files_of(spark, paths[0])) > 4

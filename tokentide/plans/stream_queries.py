@@ -73,10 +73,15 @@ def _as_stream(table: DataFrame, label: str, batch: Column | None = None) -> Dat
     spark = table.sparkSession
     path = scratch_path(spark, label)
     held = materialize(table.withColumn("_batch", F.lit(0) if batch is None else batch), f"{label}-rows")
-    # A task writes one file, and a micro-batch takes one; files are taken in the order they were written.
+    # A micro-batch takes as many files as tasks write at most, in the order they were written. Tasks
+    # without rows write none, so empty files stand for theirs.
+    files = max(1, held.rdd.getNumPartitions())
     for number in range(BATCHES):
-        held.where(F.col("_batch") == number).drop("_batch").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        held.where(F.col("_batch") == number).drop("_batch").write.mode("append").parquet(path)
+        written = len(spark.read.schema(table.schema).parquet(path).inputFiles())
+        for _ in range(written, (number + 1) * files if number < BATCHES - 1 else 0):
+            held.where(F.lit(False)).drop("_batch").write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _third(table: DataFrame, name: str) -> Column:
