@@ -14,6 +14,9 @@ from tokentide.sinks.results import write_results
 from tokentide.sources.samples import as_samples, first_samples, of_type, read_samples
 
 
+FILES = 4  # files that each split of a table is written to
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_samples(samples(spark, sf_dir), row_id="doc_id")
 
@@ -37,7 +40,10 @@ def load_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first samples of a table of several files, cut by their position in it."""
     path = scratch_path(spark, "samples")
-    samples(spark, sf_dir).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(path)
+    table = samples(spark, sf_dir)
+    # Four files for each split of the input, so that a file grows with the split and not with the table.
+    files = FILES * max(1, table.rdd.getNumPartitions())
+    table.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(path)
     return _joined(read_samples(spark, path, max_samples=150), "truth").select("row_id", "truth", "problem_type")
 
 
