@@ -166,3 +166,15 @@ def test_crowded_bucket_gives_few_pairs(rows):
     held = rows([(1, node, 300, node, -1) for node in range(302)], "bucket long, node long, n long, root long, main long")
     found = {(r.a, r.b) for r in near_dedup.split_pairs(held, rows(list(enumerate(keys)), "node long, splits array<long>")).collect()}
     assert (300, 301) in found and len(found) < 302 * 301 / 2 / 50
+
+
+def test_large_group_of_near_copies_gives_few_pairs(rows, monkeypatch):
+    """Copies that are not like the leader but like others join in rounds, not by all pairs."""
+    dice = random.Random(8)
+    base, compared = [f"w{dice.randrange(10_000)}" for _ in range(80)], []
+    data = [(i, " ".join(changed(dice, base, 0.022))) for i in range(300)]
+    confirm = near_dedup._links
+    monkeypatch.setattr(near_dedup, "_links", lambda pairs, texts: compared.append(pairs.count()) or confirm(pairs, texts))
+    found = near_dedup.near_groups(rows(data, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_force(data)
+    assert sum(compared) < 6 * len(data), compared

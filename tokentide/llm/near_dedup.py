@@ -6,8 +6,9 @@ that share a band are candidates, and a link needs a Jaccard similarity of full
 
 Documents with equal sets are one class, and one document stands for it. In each bucket
 every class is first compared with its leader, which joins large groups without
-expanding them into pairs; only classes of a bucket that are still apart are then compared
-with each other, where long sketches do not tell them apart; a bucket with many of them is
+expanding them into pairs. While large buckets stay mixed, what lies outside of their largest
+component is compared with the nearest of some of its members, more in each round. Only classes
+of a bucket that are still apart are then compared with each other, where long sketches do not tell them apart; a bucket with many of them is
 first split by further coordinates. So the work does not grow with the square of a group's
 size, and every pair that shares a bucket is decided.
 """
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tokentide.llm.components import components
 from tokentide.llm.frames import column, slices
@@ -41,6 +42,9 @@ BITS, DIFFERENT = 2048, 340
 # further coordinates each; a pair at 0.75 shares none of the keys with probability 5e-8, one at
 # 0.3 shares one with probability 0.01.
 CROWD, SPLITS, SPLIT_ROWS = 256, 160, 8
+# Members of a large component that what is left outside is compared with, round by round, while
+# the pairs of mixed buckets are more than so many times their rows.
+MEMBERS, FEW = (16, 64, 256), 4
 _NO_ID = -(1 << 63)
 
 
@@ -222,6 +226,42 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "confirmed")
 
 
+def _split(crowded: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of buckets that hold several components, and those buckets (bucket, main, total, outside)."""
+    labelled = crowded.select("bucket", "band", "node", "n").join(found, "node", "left")
+    labelled = materialize(labelled.withColumn("root", F.coalesce("root", "node")), "labelled")
+    parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("bucket").agg(
+        F.max(F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total")
+    )
+    outside = (F.col("total") - F.col("main.size")).alias("outside")
+    mixed = mixed.where("parts > 1").select("bucket", F.col("main.root").alias("main"), "total", outside)
+    mixed = materialize(mixed, "mixed-buckets")
+    rows = labelled.join(mixed, "bucket").withColumn("crowd", F.col("outside") > CROWD)
+    return materialize(rows, "apart"), mixed
+
+
+def nearest_pairs(apart: DataFrame, company: DataFrame, keys: DataFrame, tried: DataFrame, low: int, high: int) -> DataFrame:
+    """(a, b) of each class outside a bucket's largest component and the nearest of some of its members.
+
+    Asked are members ``low`` + 1 to ``high`` of one bucket, most company first, without pairs of
+    ``tried``; the nearest shares most bands. So there are as many pairs as classes and components.
+    """
+    order = W.partitionBy("bucket").orderBy(F.desc("company"), "node")
+    members = apart.where("root = main").join(company, "node").withColumn("place", F.row_number().over(order))
+    members = members.where((F.col("place") > low) & (F.col("place") <= high))
+    members = members.select("bucket", F.col("node").alias("member"), F.col("n").alias("member_n"))
+    asking = apart.where("root != main").groupBy("node", "n", "main").agg(F.max(F.struct("total", "bucket"))["bucket"].alias("bucket"))
+    met = asking.join(members, "bucket").where(_alike(F.col("n"), F.col("member_n")))
+    met = met.select("main", "node", "member", F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b"))
+    both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = met.join(both, ["a", "b"], "left_anti").join(keys, "node")
+    met = met.join(keys.select(F.col("node").alias("member"), F.col("keys").alias("others")), "member")
+    shared = F.size(F.filter(F.zip_with("keys", "others", lambda one, other: one == other), lambda same: same))
+    best = met.groupBy("node", "main").agg(F.max(F.struct(shared.alias("shared"), -F.col("member"), "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``, by an integer key.
 
@@ -283,26 +323,29 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots:
     links = _links(tried, texts)
     found = components(links)
 
-    # Second round: all pairs of a bucket that are still apart, at least one of them outside
+    # 31 bits of each band key tell which bands two classes share.
+    keys = features.select(F.col("row").alias("node"), F.transform("bands", lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"))
+    # Further rounds, while large buckets would give many pairs: what lies outside of a bucket's
+    # largest component is compared with the nearest of some of its members, more in each round.
+    places, low = crowded.count(), 0
+    for high in (*MEMBERS, None):
+        apart, mixed = _split(crowded, found)
+        many = mixed.agg(F.sum(F.col("outside") * F.col("total"))).first()[0] or 0
+        if high is None or many <= FEW * places:
+            break
+        nearest = nearest_pairs(apart, company, keys, tried, low, high)
+        fresh = materialize(nearest, "nearest")
+        links, tried, low = links.union(_links(fresh, texts)), tried.union(fresh), high
+        found = components(links)
+
+    # Last round: all pairs of a bucket that are still apart, at least one of them outside
     # the bucket's largest component.
-    labelled = crowded.select("bucket", "band", "node", "n").join(found, "node", "left")
-    labelled = materialize(labelled.withColumn("root", F.coalesce("root", "node")), "labelled")
-    parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("bucket").agg(
-        F.max(F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total")
-    )
-    outside = F.col("total") - F.col("main.size")
-    mixed = mixed.where("parts > 1").select("bucket", F.col("main.root").alias("main"), (outside > CROWD).alias("crowd"))
-    mixed = materialize(mixed, "mixed-buckets")
-    apart = materialize(labelled.join(mixed, "bucket"), "apart")
     asked = apart.select("node").distinct()
     sketched = materialize(
         texts.join(asked, "node", "left_semi").mapInArrow(_sketches, "node long, bits array<long>, splits array<long>"),
         "sketches",
     )
     words = [F.col("bits")[i].alias(f"s{i}") for i in range(BITS // 64)]
-    # 31 bits of each band key tell the first band that two classes share.
-    keys = features.select(F.col("row").alias("node"), F.transform("bands", lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"))
     few = apart.where("NOT crowd").join(sketched.select("node", *words), "node").join(keys, "node")
     few = materialize(few, "apart-sketches")
     s, r = few.where("root != main").alias("s"), few.alias("r")
@@ -313,7 +356,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots:
     side = lambda node, name: sketched.select(F.col("node").alias(node), *words).alias(name)
     both = met.join(side("a", "s"), "a").join(side("b", "r"), "b")
     pairs = pairs.union(both.where(_distance() <= DIFFERENT).select("a", "b"))
-    fresh = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fresh = materialize(pairs.distinct().join(both, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_links(fresh, texts))
     found = components(links)
 
