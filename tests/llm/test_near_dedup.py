@@ -168,13 +168,12 @@ def test_crowded_bucket_gives_few_pairs(rows):
     assert (300, 301) in found and len(found) < 302 * 301 / 2 / 50
 
 
-def test_large_group_of_near_copies_gives_few_pairs(rows, monkeypatch):
-    """Copies that are not like the leader but like others join in rounds, not by all pairs."""
-    dice = random.Random(8)
-    base, compared = [f"w{dice.randrange(10_000)}" for _ in range(80)], []
-    data = [(i, " ".join(changed(dice, base, 0.022))) for i in range(300)]
-    confirm = near_dedup._links
-    monkeypatch.setattr(near_dedup, "_links", lambda pairs, texts: compared.append(pairs.count()) or confirm(pairs, texts))
-    found = near_dedup.near_groups(rows(data, "doc_id long, text string")).collect()
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_force(data)
-    assert sum(compared) < 6 * len(data), compared
+def test_classes_outside_meet_one_member_each(rows):
+    """Of 200 members and 20 classes outside come 20 pairs, each with the nearest member asked and not tried."""
+    held = [(1, node, 100, 0 if node < 200 else node, 0, 220) for node in range(220)]
+    apart = rows(held, "bucket long, node long, n long, root long, main long, total long")
+    company = rows([(node, 1000 - node) for node in range(220)], "node long, company long")
+    keys = [(n, [1, 1, 1, 1] if n == 5 else [1, 1, 1, 0] if n == 6 else [n, 0, 0, 0] if n < 200 else [1, 1, 1, 1]) for n in range(220)]
+    keys, tried = rows(keys, "node long, keys array<int>"), rows([(5, 200), (201, 5)], "a long, b long")
+    found = near_dedup.nearest_pairs(apart, company, keys, tried, 0, 16).collect()
+    assert sorted((r.a, r.b) for r in found) == sorted([(6, 200), (6, 201), *[(5, n) for n in range(202, 220)]])
