@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tokentide.llm import near_dedup
@@ -177,3 +178,45 @@ def test_classes_outside_meet_one_member_each(rows):
     keys, tried = rows(keys, "node long, keys array<int>"), rows([(5, 200), (201, 5)], "a long, b long")
     found = near_dedup.nearest_pairs(apart, company, keys, tried, 0, 16).collect()
     assert sorted((r.a, r.b) for r in found) == sorted([(6, 200), (6, 201), *[(5, n) for n in range(202, 220)]])
+
+
+@pytest.mark.parametrize("crowd", [near_dedup.CROWD, 0])
+def test_copies_just_below_the_limit_give_few_pairs(rows, monkeypatch, crowd):
+    """Copies of one text that lie at about 0.7 of each other come out as pairs only where they are linked."""
+    dice = random.Random(7)
+    base = [f"w{dice.randrange(10_000)}" for _ in range(400)]
+    data = [(i, " ".join(changed(dice, base, dice.choice([0.004, 0.036, 0.04, 0.044])))) for i in range(160)]
+    written, write = {}, near_dedup.materialize
+
+    def counting(frame, label="table"):
+        kept = write(frame, label)
+        written[label] = written.get(label, 0) + kept.count()
+        return kept
+
+    monkeypatch.setattr(near_dedup, "materialize", counting)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    found = near_dedup.near_groups(rows(data, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_force(data)
+    assert len({r.component_id for r in found}) > 30 and written["pairs"] + written.get("nearest", 0) < 4 * len(data)
+
+
+def test_differences_from_a_leader_decide_exactly(rows):
+    chance = np.random.default_rng(8)
+    words = [[f"{chance.integers(50)}" for _ in range(60)] for _ in range(2)]
+    texts = [" ".join(words[0][:60 - i] + words[1][:i]) for i in range(0, 60, 3)]
+    sets = [near_dedup.Shingler()(text) for text in texts]
+    batch = pa.RecordBatch.from_pylist([{"a": 0, "b": i, "text_a": texts[0], "text_b": text} for i, text in enumerate(texts)])
+    told = [row for part in near_dedup._led([batch]) for row in part.to_pylist()]
+    like = [len(np.intersect1d(sets[0], one)) / len(np.union1d(sets[0], one)) for one in sets]
+    assert [row["b"] for row in told] == [i for i, share in enumerate(like) if share >= 0.5]
+    for row in told:
+        assert row["linked"] == (like[row["b"]] >= 0.75)
+        assert sorted(row["differ"]) == sorted(np.setxor1d(sets[0], sets[row["b"]]).view(np.int64).tolist())
+
+
+def test_leaders_of_what_is_left(rows):
+    """Each class meets the one of most company among those it shares most buckets with."""
+    places = rows([(b, node, 100 if node < 9 else 10) for b in (1, 2) for node in range(10)] + [(3, 4, 100), (3, 5, 100)], "bucket long, node long, n long")
+    company = rows([(node, 50 - node) for node in range(10)], "node long, company long")
+    found = sorted((r.a, r.b) for r in near_dedup.led_pairs(places, company).collect())
+    assert found == [(0, n) for n in range(1, 9)]

@@ -6,17 +6,18 @@ that share a band are candidates, and a link needs a Jaccard similarity of full
 
 Documents with equal sets are one class, and one document stands for it. In each bucket
 every class is first compared with its leader, which joins large groups without
-expanding them into pairs. While large buckets stay mixed, what lies outside of their largest
-component is compared with the nearest of some of its members, more in each round. Only classes
-of a bucket that are still apart are then compared with each other, where long sketches do not tell them apart; a bucket with many of them is
-first split by further coordinates. So the work does not grow with the square of a group's
-size, and every pair that shares a bucket is decided.
+expanding them into pairs. Where large buckets stay mixed, what lies outside of their largest
+component is compared with the nearest of some of its members and with a leader of its own. Only
+classes of a bucket that are still apart are then compared with each other; a bucket with many of them is
+first split by further coordinates. Two copies of one leader are decided where they meet, by how
+each differs from it; other pairs only come out where long sketches do not tell them apart. So
+the rows made do not grow with the square of a group's size, and every pair that shares a bucket is decided.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,11 @@ BITS, DIFFERENT = 2048, 340
 # further coordinates each; a pair at 0.75 shares none of the keys with probability 5e-8, one at
 # 0.3 shares one with probability 0.01.
 CROWD, SPLITS, SPLIT_ROWS = 256, 160, 8
-# Members of a large component that what is left outside is compared with, round by round, while
-# the pairs of mixed buckets are more than so many times their rows.
-MEMBERS, FEW = (16, 64, 256), 4
+# Members of a large component that what is left outside is compared with, where the pairs of mixed
+# buckets are more than so many times their rows.
+MEMBERS, FEW = 16, 4
+# How a class differs from its leader is kept of those at 0.5 and more, up to so many shingles.
+DIFFERS = 512
 _NO_ID = -(1 << 63)
 
 
@@ -186,15 +189,31 @@ def _apart() -> Column:
     return (F.col("s.bucket") == F.col("r.bucket")) & (F.col("s.root") != F.col("r.root")) & once & _alike(F.col("s.n"), F.col("r.n"))
 
 
-def split_pairs(apart: DataFrame, keys: DataFrame) -> DataFrame:
-    """(a, b) of classes of a bucket that are apart and share one of ``keys`` (node, splits) too."""
-    placed = apart.join(keys, "node").select(
-        "bucket", "node", "n", "root", "main", F.posexplode("splits").alias("at", "split")
-    )
-    s, r = placed.where("root != main").alias("s"), placed.alias("r")
+def _may_link() -> Column:
+    """Whether s and r may be linked, by their sketches; exact where one leader's copies meet.
+
+    ``differ`` holds the shingles that only one of a class and its leader ``lead`` has. Two sets
+    differ in what only one of their ``differ`` holds. Leaders themselves were tried before.
+    """
+    unlike = F.size("s.differ") + F.size("r.differ") - 2 * F.size(F.array_intersect("s.differ", "r.differ"))
+    both = F.col("s.n") + F.col("r.n")
+    exact = 100 * (both - unlike) >= PERCENT * (both + unlike)
+    led = F.coalesce((F.col("s.lead") == F.col("r.node")) | (F.col("r.lead") == F.col("s.node")), F.lit(False))
+    return (_distance() <= DIFFERENT) & ~led & F.when(F.col("s.lead") == F.col("r.lead"), exact).otherwise(True)
+
+
+def split_pairs(apart: DataFrame, keys: DataFrame, linked: Callable[[], Column] | None = None) -> DataFrame:
+    """(a, b) of classes that are apart in their buckets and share one of ``keys`` (node, splits).
+
+    ``linked`` is a further condition on s and r, which hold all columns of ``keys``.
+    """
+    nodes = apart.select("node", "n", "root").distinct()
+    placed = nodes.join(keys, "node").select("*", F.posexplode("splits").alias("at", "split")).drop("splits")
+    s, r = placed.alias("s"), placed.alias("r")
     same = (F.col("s.at") == F.col("r.at")) & (F.col("s.split") == F.col("r.split"))
-    pairs = s.join(r, _apart() & same)
-    return pairs.select(F.least("s.node", "r.node").alias("a"), F.greatest("s.node", "r.node").alias("b")).distinct()
+    ordered = (F.col("s.root") != F.col("r.root")) & (F.col("s.node") < F.col("r.node")) & _alike(F.col("s.n"), F.col("r.n"))
+    pairs = s.join(r, same & ordered & linked() if linked else same & ordered)
+    return pairs.select(F.col("s.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def _alike(left: Column, right: Column) -> Column:
@@ -219,11 +238,60 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()) for values in arrays], ["a", "b"])
 
 
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each pair's full sets are similar enough, and the shingles that only one of them has.
+
+    Pairs below a similarity of 0.5 are left out; more than ``DIFFERS`` shingles are null.
+    """
+    shingle, held, first = _shingler(), None, np.empty(0, np.uint64)
+    for batch in slices(batches):
+        told = []
+        columns = (batch.column(name).to_pylist() for name in ("a", "b", "text_a", "text_b"))
+        for a, b, text_a, text_b in zip(*columns, strict=True):
+            if a != held:
+                held, first = a, shingle(text_a)
+            second = shingle(text_b)
+            differ = np.setxor1d(first, second, assume_unique=True)
+            both = len(first) + len(second)
+            if 3 * len(differ) <= both:
+                linked = 100 * (both - len(differ)) >= PERCENT * (both + len(differ))
+                told.append((a, b, linked, differ.view(np.int64) if len(differ) <= DIFFERS else None))
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+        arrays = list(zip(*told, strict=True)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(arrays, types, strict=True)], ["a", "b", "linked", "differ"])
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed pairs of ``pairs`` (a, b), each decided on whole texts."""
-    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "confirmed")
+    return materialize(_with_texts(pairs, texts).mapInArrow(_confirm, "a long, b long"), "confirmed")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links, from those found so far."""
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
+def led_pairs(places: DataFrame, company: DataFrame) -> DataFrame:
+    """(a, b) of each class and the leader it shares most buckets with, of a size that allows the link.
+
+    A bucket is led by the class with the most company over all its buckets: the text that copies vary.
+    """
+    leaders = places.join(company, "node").groupBy("bucket").agg(
+        F.max(F.struct("company", -F.col("node"), "node", "n")).alias("leader")
+    )
+    leaders = materialize(
+        leaders.select("bucket", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")), "leaders"
+    )
+    led = places.join(leaders, "bucket")
+    led = led.where((F.col("node") != F.col("leader")) & _alike(F.col("n"), F.col("leader_n")))
+    counted = led.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("buckets"))
+    best = counted.groupBy("node").agg(F.max(F.struct("buckets", -F.col("leader"))).alias("best"))
+    return best.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b"))
 
 
 def _split(crowded: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -306,60 +374,47 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots:
     )
     texts = materialize(rows.join(needed, match).select("node", "text"), "texts")
 
-    # First round: each class and the leader it shares most buckets with. A bucket is led by
-    # the class with the most company over all its buckets: the text that copies vary.
+    # First round: each class and the leader it shares most buckets with.
     company = materialize(crowded.groupBy("node").agg(F.sum("size").alias("company")), "company")
-    leaders = crowded.join(company, "node").groupBy("bucket").agg(
-        F.max(F.struct("company", -F.col("node"), "node", "n")).alias("leader")
-    )
-    leaders = materialize(
-        leaders.select("bucket", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")), "leaders"
-    )
-    led = crowded.join(leaders, "bucket")
-    led = led.where((F.col("node") != F.col("leader")) & _alike(F.col("n"), F.col("leader_n")))
-    counted = led.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("buckets"))
-    best = counted.groupBy("node").agg(F.max(F.struct("buckets", -F.col("leader"))).alias("best"))
-    tried = materialize(best.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b")), "tried")
-    links = _links(tried, texts)
-    found = components(links)
+    tried = materialize(led_pairs(crowded, company), "tried")
+    led = _with_texts(tried, texts).mapInArrow(_led, "a long, b long, linked boolean, differ array<long>")
+    led = materialize(led, "led")
+    found = components(led.where("linked").select("a", "b"))
 
     # 31 bits of each band key tell which bands two classes share.
     keys = features.select(F.col("row").alias("node"), F.transform("bands", lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"))
-    # Further rounds, while large buckets would give many pairs: what lies outside of a bucket's
-    # largest component is compared with the nearest of some of its members, more in each round.
-    places, low = crowded.count(), 0
-    for high in (*MEMBERS, None):
-        apart, mixed = _split(crowded, found)
-        many = mixed.agg(F.sum(F.col("outside") * F.col("total"))).first()[0] or 0
-        if high is None or many <= FEW * places:
-            break
-        nearest = nearest_pairs(apart, company, keys, tried, low, high)
-        fresh = materialize(nearest, "nearest")
-        links, tried, low = links.union(_links(fresh, texts)), tried.union(fresh), high
-        found = components(links)
+    # Second round, where large buckets would give many pairs: what lies outside of a bucket's largest
+    # component is compared with the nearest of some of its members, and with a leader among its own.
+    apart, mixed = _split(crowded, found)
+    many = mixed.agg(F.sum(F.col("outside") * F.col("total"))).first()[0] or 0
+    if many > FEW * crowded.count():
+        nearest = nearest_pairs(apart, company, keys, tried, 0, MEMBERS)
+        own = led_pairs(apart.where("root != main").select("bucket", "node", "n"), company)
+        fresh = materialize(nearest.union(own).distinct(), "nearest")
+        links, tried = _links(fresh, texts), tried.union(fresh)
+        if not links.isEmpty():
+            found = _joined(found, links)
+            apart, _ = _split(crowded, found)
 
     # Last round: all pairs of a bucket that are still apart, at least one of them outside
     # the bucket's largest component.
     asked = apart.select("node").distinct()
-    sketched = materialize(
-        texts.join(asked, "node", "left_semi").mapInArrow(_sketches, "node long, bits array<long>, splits array<long>"),
-        "sketches",
-    )
+    sketched = texts.join(asked, "node", "left_semi").mapInArrow(_sketches, "node long, bits array<long>, splits array<long>")
+    known = led.where("differ IS NOT NULL").select(F.col("b").alias("node"), F.col("a").alias("lead"), "differ")
     words = [F.col("bits")[i].alias(f"s{i}") for i in range(BITS // 64)]
-    few = apart.where("NOT crowd").join(sketched.select("node", *words), "node").join(keys, "node")
+    sketched = materialize(sketched.join(known, "node", "left").select("node", "splits", "lead", "differ", *words), "sketches")
+    few = apart.where("NOT crowd").join(sketched.drop("splits"), "node").join(keys, "node")
     few = materialize(few, "apart-sketches")
     s, r = few.where("root != main").alias("s"), few.alias("r")
     same = F.zip_with("s.keys", "r.keys", lambda one, other: one == other)
-    pairs = s.join(r, _apart() & (_distance() <= DIFFERENT) & (F.array_position(same, True) == F.col("s.band") + 1))
+    pairs = s.join(r, _apart() & (F.array_position(same, True) == F.col("s.band") + 1) & _may_link())
     pairs = pairs.select(F.least("s.node", "r.node").alias("a"), F.greatest("s.node", "r.node").alias("b"))
-    met = materialize(split_pairs(apart.where("crowd"), sketched.select("node", "splits")), "split-pairs")
-    side = lambda node, name: sketched.select(F.col("node").alias(node), *words).alias(name)
-    both = met.join(side("a", "s"), "a").join(side("b", "r"), "b")
-    pairs = pairs.union(both.where(_distance() <= DIFFERENT).select("a", "b"))
+    pairs = pairs.union(split_pairs(apart.where("crowd"), sketched, _may_link))
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     fresh = materialize(pairs.distinct().join(both, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_links(fresh, texts))
-    found = components(links)
+    links = _links(fresh, texts)
+    if not links.isEmpty():
+        found = _joined(found, links)
 
     joined = nodes.select("node", "class", "doc").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     joined = materialize(joined, "joined")
