@@ -6,7 +6,7 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tokentide.plans.jobs import evaluate_line_stream, evaluate_lines
 from tokentide.plans.stream_queries import _drain, _drain_batches, _flat
@@ -14,10 +14,10 @@ from tokentide.session import scratch_path, state_settings
 from tokentide.sinks.results import once_per_sample, untimed_responses
 from tokentide.sources.samples import as_samples
 from tokentide.streaming.assemble import (
-    _see, as_responses, assemble, assemble_stream, ticks_from_lines, unplaced_lines,
+    _Assembler, _see, as_responses, assemble, assemble_stream, ticks_from_lines, unplaced_lines,
 )
 from tokentide.streaming.rates import (
-    active_requests, active_states, live_rate, live_rate_stream, merge_active, request_states, unplaced_ticks,
+    _Requests, active_requests, active_states, live_rate, live_rate_stream, merge_active, request_states, unplaced_ticks,
 )
 from tokentide.streaming.totals import running_totals
 
@@ -431,3 +431,66 @@ def test_running_totals(rows):
     assert tuple(row) == (3, 6, 7, "#2 ERR", 4)
     nothing = running_totals(rows([], schema)).first()
     assert (nothing.completed, nothing.average_tokens, nothing.last_finished) == (0, 0, None)
+
+
+class Store:
+    """A state store of one key that counts the calls made to it."""
+
+    def __init__(self):
+        self.calls, self.held = 0, {}
+
+    def variable(self, name, *schemas):
+        store = self
+
+        class Variable:
+            def __getattr__(self, call):
+                store.calls += 1
+                held = store.held
+                return {
+                    "get": lambda: iter(held.get(name, [])) if name == "pieces" else held.get(name),
+                    "exists": lambda: name in held,
+                    "update": lambda value: held.update({name: value}),
+                    "appendList": lambda rows: held.setdefault(name, []).extend(rows),
+                    "clear": lambda: held.pop(name, None),
+                    "iterator": lambda: iter(held.get(name, {}).items()),
+                    "updateValue": lambda key, value: held.setdefault(name, {}).update({key: value}),
+                    "removeKey": lambda key: held[name].pop(key),
+                }[call]
+
+        return Variable()
+
+    getListState = getValueState = getMapState = variable
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+
+class Times:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_sample_takes_few_calls_to_the_state_store():
+    """Rows go to the state without data frames, and a sample that comes whole writes no pieces."""
+    line = Row("seq", "done", "bad", "content", "reasoning", "usage", "millis")
+    lines = [line(0, False, False, "a", "", None, 5), line(1, False, False, "b", "r", [1, 2, 3, None, None, None], None), line(2, True, False, "", "", None, 7)]
+    whole, parted = Store(), Store()
+    processor = _Assembler(1000)
+    processor.init(whole)
+    (told,) = processor.handleInputRows((1,), iter(lines), Times())
+    assert (told.content, told.reasoning, told.total_tokens, told.error) == ("ab", "r", 3, None)
+    assert whole.calls <= 3 and "pieces" not in whole.held
+    processor.init(parted)
+    assert not list(processor.handleInputRows((1,), iter([lines[2], lines[0]]), Times())) and parted.calls <= 4
+    assert list(processor.handleInputRows((1,), iter(lines[1:]), Times())) == [told] and parted.calls <= 8
+    assert "pieces" not in parted.held
+
+
+def test_a_request_takes_few_calls_to_the_state_store():
+    tick = Row("micros", "seq", "delta", "finished")
+    store, processor = Store(), _Requests(5_000_000, 1000, False)
+    processor.init(store)
+    told = list(processor.handleInputRows((1,), iter([tick(1_000_000, 1, 5, False), tick(0, 0, 5, False), tick(2_000_000, 2, 0, True)]), Times()))
+    assert [(r.chars, r.chars_per_sec) for r in told] == [(5, 0), (10, 10), (10, 10)] and store.calls == 1 and not store.held
+    list(processor.handleInputRows((1,), iter([tick(3_000_000, 3, 5, False)]), Times()))
+    assert store.calls <= 5

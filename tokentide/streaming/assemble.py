@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokentide.functions.chat import (
@@ -172,7 +172,11 @@ def _see(seen: list[int], seq: int) -> bool:
 
 
 class _Assembler(StatefulProcessor):
-    """Pieces of text of a sample as a list that is only appended to, beside a head of a few numbers."""
+    """Pieces of text of a sample as a list that is only appended to, beside a head of a few numbers.
+
+    Each call to the state store takes longer than a line, so there are few: pieces that complete
+    a sample are told without being written.
+    """
 
     def __init__(self, idle_ms: int) -> None:
         self.idle_ms = idle_ms
@@ -182,58 +186,58 @@ class _Assembler(StatefulProcessor):
         self.pieces = handle.getListState("pieces", _PIECE)
         self.head = handle.getValueState("head", _HEAD)
 
-    def _told(self, key: tuple, head: tuple) -> pd.DataFrame:
+    def _told(self, key: tuple, head: tuple, pieces: Iterable[tuple]) -> Row:
         """The sample as far as its lines have come."""
         _, end, bad, _, usage, _, _ = head
         good = bad is None or (end is not None and bad > end)
-        kept = sorted(piece for piece in self.pieces.get() if end is None or piece[0] < end) if good else []
+        kept = sorted(piece for piece in pieces if end is None or piece[0] < end) if good else []
         row = {
             "sample_index": key[0],
             "content": "".join(content for _, content, _ in kept) if good else None,
             "reasoning": "".join(reasoning for _, _, reasoning in kept) or None if good else None,
         }
         row.update(dict(zip(USAGE_FIELDS, usage if usage and good else [None] * len(USAGE_FIELDS))))
-        frame = pd.DataFrame([{**row, "error": None if good else BAD_USAGE}])
-        return frame.astype({name: "Int64" for name in USAGE_FIELDS})
+        return Row(**row, error=None if good else BAD_USAGE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = self.head.exists()
-        seen, end, bad, usage_seq, usage, finished, latest = self.head.get() if known else ([], None, None, None, [], False, 0)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = self.head.get()
+        known = held is not None
+        seen, end, bad, usage_seq, usage, finished, latest = held if known else ([], None, None, None, [], False, 0)
         seen, usage, new = list(seen), list(usage or []), []
         latest = max(latest, timerValues.getCurrentWatermarkInMs())
-        for batch in rows:
+        for row in rows:
             # A line without a time is a line like others; it only tells nothing of the time.
-            latest = max(latest, int(batch["millis"].fillna(0).max()))
-            for row in batch.itertuples(index=False) if not finished else ():
-                seq = int(row.seq)
-                if not _see(seen, seq):
-                    continue
-                if row.done:
-                    end = seq if end is None else min(end, seq)
-                if row.bad:
-                    bad = seq if bad is None else min(bad, seq)
-                if row.content or row.reasoning:
-                    new.append((seq, row.content, row.reasoning))
-                if row.usage is not None and (usage_seq is None or seq > usage_seq) and (end is None or seq < end):
-                    usage_seq, usage = seq, [int(number) for number in row.usage]
-        if new:
-            self.pieces.appendList(new)
+            latest = max(latest, row.millis or 0)
+            seq = row.seq
+            if finished or not _see(seen, seq):
+                continue
+            if row.done:
+                end = seq if end is None else min(end, seq)
+            if row.bad:
+                bad = seq if bad is None else min(bad, seq)
+            if row.content or row.reasoning:
+                new.append((seq, row.content, row.reasoning))
+            if row.usage is not None and (usage_seq is None or seq > usage_seq) and (end is None or seq < end):
+                usage_seq, usage = seq, list(row.usage)
         head = (seen, end, bad, usage_seq, usage, finished, latest)
         if not finished and end is not None and seen[:1] == [0] and seen[1] > end:
-            yield self._told(key, head)
-            self.pieces.clear()
+            yield self._told(key, head, [*self.pieces.get(), *new] if known else new)
+            if known:
+                self.pieces.clear()
             head = ([], None, None, None, [], True, latest)
+        elif new:
+            self.pieces.appendList(new)
         self.head.update(head)
         if not known:
             self.handle.registerTimer(latest + self.idle_ms)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         head = self.head.get()
         if head[-1] + self.idle_ms > expiredTimerInfo.getExpiryTimeInMs():
             self.handle.registerTimer(head[-1] + self.idle_ms)  # lines have come since it was set
             return
         if not head[-2]:
-            yield self._told(key, head)
+            yield self._told(key, head, self.pieces.get())
         self.pieces.clear()
         self.head.clear()
 
@@ -262,7 +266,7 @@ def assemble_stream(lines: DataFrame, late: str = "10 minutes", idle: str = "1 h
         .withColumn("millis", F.unix_millis("ts"))
         .drop("ts")
         .groupBy("sample_index")
-        .transformWithStateInPandas(
+        .transformWithState(
             _Assembler(int(pd.Timedelta(idle).total_seconds() * 1000)), _OUTPUT, "append", "EventTime"
         )
     )

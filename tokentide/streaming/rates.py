@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokentide.session import materialize, ship_package
@@ -141,6 +141,9 @@ _OUTPUT = (
 )
 
 
+_told_row = Row(*[field.split()[0] for field in _OUTPUT.split(", ")])
+
+
 class _Requests(StatefulProcessor):
     """The ticks of a request's last window by their time, beside its characters and rate.
 
@@ -155,16 +158,16 @@ class _Requests(StatefulProcessor):
         self.ring = handle.getMapState("ring", "micros long", "chars long, ticks long")
         self.head = handle.getValueState("head", "chars long, rate long, latest long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = self.head.exists()
-        chars, rate, latest = self.head.get() if known else (0, 0, 0)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        saved = self.head.get()
+        known = saved is not None
+        chars, rate, latest = saved if known else (0, 0, 0)
         before = {at[0]: tuple(value) for at, value in self.ring.iterator()} if known else {}
         ring = dict(sorted(before.items()))  # stays in the order of time, as ticks never go back
         held, ticks = (sum(value[i] for value in ring.values()) for i in (0, 1))
-        new = pd.concat(list(rows)).sort_values(["micros", "seq"])
+        new = sorted((row.micros, row.seq, row.delta, row.finished) for row in rows)
         told, alive = [], known
-        columns = (new[name].tolist() for name in ("micros", "seq", "delta", "finished"))
-        for micros, seq, delta, finished in zip(*columns):
+        for micros, seq, delta, finished in new:
             if delta > 0:
                 alive = True
                 now = max(micros, latest)
@@ -190,11 +193,11 @@ class _Requests(StatefulProcessor):
                 if before.get(at) != value:
                     self.ring.updateValue((at,), value)
             self.head.update((chars, rate, latest))
-            if not list(self.handle.listTimers()):
+            if not known:  # a known request has its timer
                 self.handle.registerTimer(max(latest // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
         elif known:
             self._forget()
-        yield pd.DataFrame(told[-1:] if self.last_only else told, columns=[field.split()[0] for field in _OUTPUT.split(", ")])
+        yield from (_told_row(*one) for one in (told[-1:] if self.last_only else told))
 
     def _forget(self) -> None:
         for timer in list(self.handle.listTimers()):
@@ -202,7 +205,7 @@ class _Requests(StatefulProcessor):
         self.ring.clear()
         self.head.clear()
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         chars, rate, latest = self.head.get()
         if latest // 1000 + self.idle_ms > expiredTimerInfo.getExpiryTimeInMs():
             self.handle.registerTimer(latest // 1000 + self.idle_ms)  # ticks have come since it was set
@@ -210,7 +213,7 @@ class _Requests(StatefulProcessor):
         self.ring.clear()
         self.head.clear()
         if self.last_only:
-            yield pd.DataFrame([(key[0], None, latest, chars, rate, 0, True)], columns=[field.split()[0] for field in _OUTPUT.split(", ")])
+            yield _told_row(key[0], None, latest, chars, rate, 0, True)
 
 
 def request_states(
@@ -241,7 +244,7 @@ def request_states(
         .withWatermark("ts", late)
         .select("sample_index", "seq", "ts", F.unix_micros("ts").alias("micros"), "delta", "finished")
         .groupBy("sample_index")
-        .transformWithStateInPandas(processor, _OUTPUT, "append" if not last_only else "update", "EventTime")
+        .transformWithState(processor, _OUTPUT, "append" if not last_only else "update", "EventTime")
     )
 
 
