@@ -32,3 +32,16 @@ def rows(spark):
         return spark.createDataFrame(data, schema)
 
     return build
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Ids of the shuffles that have files on disk, without those from before the test."""
+
+    def ids():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        names = [path.rsplit("/", 1)[-1].split("_") for path in manager.getAllFiles().mkString("\n").split("\n")]
+        return {int(name[1]) for name in names if name[0] == "shuffle"}
+
+    before = max(ids(), default=-1)
+    return lambda: {one for one in ids() if one > before}

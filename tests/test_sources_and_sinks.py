@@ -284,3 +284,11 @@ def test_materialize_uses_the_named_folder(spark):
     assert frame.count() == 5
     if folder:
         assert scratch_path(spark, "x").startswith(folder.rstrip("/"))
+
+
+def test_materialize_leaves_no_shuffle_files(spark, shuffled):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    frame = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffled() and spark.conf.get(key, None) == before
+    assert sorted(tuple(r) for r in frame.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]

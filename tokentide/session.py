@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,9 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+# The shuffle files of a query go with its end, not when the driver happens to collect its garbage.
+WRITE_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def start(app_name: str = "tokentide", **settings: str) -> SparkSession:
     """A session with the settings above; keyword names use ``__`` for dots."""
@@ -55,10 +58,9 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 @contextmanager
-def state_settings(spark: SparkSession) -> Iterator[None]:
-    """The settings of stateful streams while they start; a started query keeps them."""
-    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
-    for key, value in STATE_SETTINGS.items():
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -67,6 +69,11 @@ def state_settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def state_settings(spark: SparkSession) -> AbstractContextManager[None]:
+    """The settings of stateful streams while they start; a started query keeps them."""
+    return _settings(spark, STATE_SETTINGS)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -93,7 +100,9 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
     Cuts the lineage and freezes values that depend on task layout, and keeps
     column pruning for whatever reads the result, which a row checkpoint would not.
+    What the write shuffled is removed at once, as nothing reads it again.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _settings(df.sparkSession, WRITE_SETTINGS):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
