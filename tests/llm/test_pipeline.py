@@ -9,6 +9,7 @@ import corpus_pipeline
 import pytest
 
 from tests.llm.test_near_dedup import brute_force
+from tokentide.llm import components, near_dedup
 from tokentide.llm.bpe import WordBpe
 from tokentide.session import materialize
 
@@ -87,3 +88,21 @@ def test_ids_are_decoded(spark, documents):
     bpe = WordBpe(open(corpus_pipeline.TOKENIZER, "rb").read())
     assert len(coded) == documents.count()
     assert all(r.decoded_sha256 == hashlib.sha256(bpe.decode(list(r.ids)).encode()).hexdigest() for r in coded)
+
+
+def test_near_duplicate_stage_removes_what_its_writes_shuffled(spark, rows, shuffled, monkeypatch):
+    left, write = [], near_dedup.materialize
+
+    def watched(frame, label="table"):
+        before = shuffled()
+        kept = write(frame, label)
+        left.append(shuffled() - before)
+        return kept
+
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "materialize", watched)
+    base = [f"w{i}" for i in range(60)]
+    data = [(i, " ".join([*base, *(f"x{i}-{n}" for n in range(1 + i % 5))])) for i in range(40)]
+    stage = corpus_pipeline.drop_near_duplicates(spark, rows(data, "doc_id long, text string"), "")
+    assert len(left) > 20 and not any(left)
+    assert [r.doc_id for r in stage.collect()] == [0]
