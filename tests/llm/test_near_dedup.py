@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tokentide.llm import near_dedup
-from tokentide.llm.components import components
+from tokentide.llm import components as graph, near_dedup
+from tokentide.llm.components import components, ends
 
 
 def shingles(text):
@@ -220,3 +220,21 @@ def test_leaders_of_what_is_left(rows):
     company = rows([(node, 50 - node) for node in range(10)], "node long, company long")
     found = sorted((r.a, r.b) for r in near_dedup.led_pairs(places, company).collect())
     assert found == [(0, n) for n in range(1, 9)]
+
+
+def test_pointers_lead_to_their_ends(rows):
+    chain = [(i, i + 1) for i in range(20)]
+    star = [(100 + i, 500) for i in range(30)]
+    held = [*chain, *star, (500, 900), (901, 900)]
+    found = {r.node: r.root for r in ends(rows(held, "node long, root long")).collect()}
+    assert found == {n: 20 for n in range(20)} | {100 + i: 900 for i in range(30)} | {500: 900, 901: 900}
+    assert ends(rows([], "node long, root long")).count() == 0
+
+
+def test_stars_are_told_at_once(rows, monkeypatch):
+    """Links that form stars take one round, not one more that finds no change; repeated links stay one."""
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda frame, label="table": written.append(label) or write(frame, label))
+    star = [(hub * 100, hub * 100 + i) for hub in range(3) for i in range(1, 40)] * 2
+    found = sorted((r.node, r.root) for r in components(rows(star, "a long, b long")).collect())
+    assert found == sorted({(node, root) for root, node in star}) and len(written) == 4

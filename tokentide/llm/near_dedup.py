@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tokentide.llm.components import components
+from tokentide.llm.components import components, ends
 from tokentide.llm.frames import column, slices
 from tokentide.llm.token_counts import LONGEST, Memory
 from tokentide.llm.worker import kept
@@ -167,12 +167,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _short(key: Column) -> Column:
+    """31 bits of a band key, which tell whether two classes share the band."""
+    return key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingle = _shingler()
+    parts = (_last_bits, splits, lambda own: bands(own[: BANDS * ROWS]))
     for batch in slices(batches):
         long = [signature(shingle(text), BITS) for text in batch.column("text").to_pylist()]
-        arrays = [pa.array([part(own) for own in long], pa.list_(pa.int64())) for part in (_last_bits, splits)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), *arrays], ["node", "bits", "splits"])
+        arrays = [pa.array([part(own) for own in long], pa.list_(pa.int64())) for part in parts]
+        given = [batch.column(name) for name in ("node", "lead", "differ")]
+        yield pa.RecordBatch.from_arrays([*given, *arrays], ["node", "lead", "differ", "bits", "splits", "bands"])
 
 
 def _distance() -> Column:
@@ -203,17 +210,17 @@ def _may_link() -> Column:
 
 
 def split_pairs(apart: DataFrame, keys: DataFrame, linked: Callable[[], Column] | None = None) -> DataFrame:
-    """(a, b) of classes that are apart in their buckets and share one of ``keys`` (node, splits).
+    """(a, b) of classes that are apart in their buckets and share one of ``keys`` (node, splits), for each they share.
 
     ``linked`` is a further condition on s and r, which hold all columns of ``keys``.
     """
-    nodes = apart.select("node", "n", "root").distinct()
+    nodes = apart.groupBy("node").agg(F.min("n").alias("n"), F.min("root").alias("root"))  # they are the same in all buckets
     placed = nodes.join(keys, "node").select("*", F.posexplode("splits").alias("at", "split")).drop("splits")
     s, r = placed.alias("s"), placed.alias("r")
     same = (F.col("s.at") == F.col("r.at")) & (F.col("s.split") == F.col("r.split"))
     ordered = (F.col("s.root") != F.col("r.root")) & (F.col("s.node") < F.col("r.node")) & _alike(F.col("s.n"), F.col("r.n"))
     pairs = s.join(r, same & ordered & linked() if linked else same & ordered)
-    return pairs.select(F.col("s.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    return pairs.select(F.col("s.node").alias("a"), F.col("r.node").alias("b"))
 
 
 def _alike(left: Column, right: Column) -> Column:
@@ -289,9 +296,10 @@ def led_pairs(places: DataFrame, company: DataFrame) -> DataFrame:
     )
     led = places.join(leaders, "bucket")
     led = led.where((F.col("node") != F.col("leader")) & _alike(F.col("n"), F.col("leader_n")))
-    counted = led.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("buckets"))
-    best = counted.groupBy("node").agg(F.max(F.struct("buckets", -F.col("leader"))).alias("best"))
-    return best.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b"))
+    met = led.groupBy("node").agg(F.collect_list("leader").alias("met"))  # no more than a class has bands
+    buckets = lambda leader: F.size(F.filter("met", lambda other: other == leader))
+    best = F.array_max(F.transform(F.array_distinct("met"), lambda leader: F.struct(buckets(leader).alias("buckets"), (-leader).alias("leader"))))
+    return met.select((-best["leader"]).alias("a"), F.col("node").alias("b"))
 
 
 def _split(crowded: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -313,21 +321,24 @@ def nearest_pairs(apart: DataFrame, company: DataFrame, keys: DataFrame, tried:
     """(a, b) of each class outside a bucket's largest component and the nearest of some of its members.
 
     Asked are members ``low`` + 1 to ``high`` of one bucket, most company first, without pairs of
-    ``tried``; the nearest shares most bands. So there are as many pairs as classes and components.
+    ``tried``; the nearest shares most bands. So there are as many pairs as classes and components; two classes may
+    ask for each other.
     """
     order = W.partitionBy("bucket").orderBy(F.desc("company"), "node")
-    members = apart.where("root = main").join(company, "node").withColumn("place", F.row_number().over(order))
-    members = members.where((F.col("place") > low) & (F.col("place") <= high))
-    members = members.select("bucket", F.col("node").alias("member"), F.col("n").alias("member_n"))
-    asking = apart.where("root != main").groupBy("node", "n", "main").agg(F.max(F.struct("total", "bucket"))["bucket"].alias("bucket"))
+    members = apart.where("root = main").join(company, "node").join(keys, "node")
+    members = members.withColumn("place", F.row_number().over(order)).where((F.col("place") > low) & (F.col("place") <= high))
+    members = members.select("bucket", F.col("node").alias("member"), F.col("n").alias("member_n"), F.col("keys").alias("others"))
+    asking = apart.where("root != main").join(keys, "node").groupBy("node", "n", "main")
+    asking = asking.agg(F.max(F.struct("total", "bucket"))["bucket"].alias("bucket"), F.first("keys").alias("keys"))
     met = asking.join(members, "bucket").where(_alike(F.col("n"), F.col("member_n")))
-    met = met.select("main", "node", "member", F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b"))
-    both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    met = met.join(both, ["a", "b"], "left_anti").join(keys, "node")
-    met = met.join(keys.select(F.col("node").alias("member"), F.col("keys").alias("others")), "member")
     shared = F.size(F.filter(F.zip_with("keys", "others", lambda one, other: one == other), lambda same: same))
-    best = met.groupBy("node", "main").agg(F.max(F.struct(shared.alias("shared"), -F.col("member"), "a", "b")).alias("best"))
-    return best.select("best.a", "best.b").distinct()
+    met = met.select(
+        "main", "node", "member", shared.alias("shared"), F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")
+    )
+    both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = met.join(both, ["a", "b"], "left_anti")
+    best = met.groupBy("node", "main").agg(F.max(F.struct("shared", -F.col("member"), "a", "b")).alias("best"))
+    return best.select("best.a", "best.b")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots: bool = False) -> DataFrame:
@@ -356,33 +367,34 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots:
     classes = materialize(
         held.groupBy("class").agg(
             F.min("doc_id").alias("doc"),
-            F.min(F.struct("row", "doc_id", "text_hash")).alias("first"),
+            F.min(F.struct("row", "doc_id", "text_hash", "n", "bands")).alias("first"),
         ),
         "classes",
-    ).select("class", "doc", "first.row", "first.doc_id", "first.text_hash")
-    nodes = classes.select(F.col("row").alias("node"), "doc_id", "text_hash", "class", "doc")
+    ).select("class", "doc", F.col("first.row").alias("node"), "first.doc_id", "first.text_hash", "first.n", "first.bands")
+    nodes = classes.select("node", "doc_id", "text_hash", "class", "doc")
 
     # Every class in its buckets; buckets of one class are done.
-    shown = held.join(classes.select("row"), "row", "left_semi")
-    places = shown.select(F.col("row").alias("node"), "n", F.posexplode("bands").alias("band", "bucket"))
+    places = classes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     shared = materialize(shared.where("size > 1"), "shared-buckets")
     crowded = materialize(places.join(shared, "bucket"), "crowded")
-    needed = crowded.select("node").distinct().join(nodes, "node")
+    company = crowded.groupBy("node").agg(F.sum("size").alias("company")).join(nodes.drop("class", "doc"), "node")
+    company = materialize(company, "company")
+    needed = company.select("node", "doc_id", "text_hash")
     match = (F.coalesce(rows["doc_id"], F.lit(_NO_ID)) == F.coalesce(needed["doc_id"], F.lit(_NO_ID))) & (
         rows["text_hash"] == needed["text_hash"]
     )
     texts = materialize(rows.join(needed, match).select("node", "text"), "texts")
 
     # First round: each class and the leader it shares most buckets with.
-    company = materialize(crowded.groupBy("node").agg(F.sum("size").alias("company")), "company")
+    company = company.select("node", "company")
     tried = materialize(led_pairs(crowded, company), "tried")
     led = _with_texts(tried, texts).mapInArrow(_led, "a long, b long, linked boolean, differ array<long>")
     led = materialize(led, "led")
-    found = components(led.where("linked").select("a", "b"))
+    # A leader has more company, or as much and the smaller number: leaders of leaders come to an end.
+    found = ends(led.where("linked").select(F.col("b").alias("node"), F.col("a").alias("root")))
 
-    # 31 bits of each band key tell which bands two classes share.
-    keys = features.select(F.col("row").alias("node"), F.transform("bands", lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"))
+    keys = classes.select("node", F.transform("bands", _short).alias("keys"))
     # Second round, where large buckets would give many pairs: what lies outside of a bucket's largest
     # component is compared with the nearest of some of its members, and with a leader among its own.
     apart, mixed = _split(crowded, found)
@@ -394,22 +406,26 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots:
         links, tried = _links(fresh, texts), tried.union(fresh)
         if not links.isEmpty():
             found = _joined(found, links)
-            apart, _ = _split(crowded, found)
+            apart, _ = _split(apart, found)  # buckets of one component stay so
 
     # Last round: all pairs of a bucket that are still apart, at least one of them outside
     # the bucket's largest component.
     asked = apart.select("node").distinct()
-    sketched = texts.join(asked, "node", "left_semi").mapInArrow(_sketches, "node long, bits array<long>, splits array<long>")
     known = led.where("differ IS NOT NULL").select(F.col("b").alias("node"), F.col("a").alias("lead"), "differ")
+    sketched = texts.join(asked, "node", "left_semi").join(known, "node", "left").select("node", "lead", "differ", "text")
+    sketched = sketched.mapInArrow(
+        _sketches, "node long, lead long, differ array<long>, bits array<long>, splits array<long>, bands array<long>"
+    )
     words = [F.col("bits")[i].alias(f"s{i}") for i in range(BITS // 64)]
-    sketched = materialize(sketched.join(known, "node", "left").select("node", "splits", "lead", "differ", *words), "sketches")
-    few = apart.where("NOT crowd").join(sketched.drop("splits"), "node").join(keys, "node")
+    short = F.transform("bands", _short).alias("keys")
+    sketched = materialize(sketched.select("node", "splits", "lead", "differ", short, *words), "sketches")
+    few = apart.where("NOT crowd").join(sketched.drop("splits"), "node")
     few = materialize(few, "apart-sketches")
     s, r = few.where("root != main").alias("s"), few.alias("r")
     same = F.zip_with("s.keys", "r.keys", lambda one, other: one == other)
     pairs = s.join(r, _apart() & (F.array_position(same, True) == F.col("s.band") + 1) & _may_link())
     pairs = pairs.select(F.least("s.node", "r.node").alias("a"), F.greatest("s.node", "r.node").alias("b"))
-    pairs = pairs.union(split_pairs(apart.where("crowd"), sketched, _may_link))
+    pairs = pairs.union(split_pairs(apart.where("crowd"), sketched.drop("keys"), _may_link))
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     fresh = materialize(pairs.distinct().join(both, ["a", "b"], "left_anti"), "pairs")
     links = _links(fresh, texts)
