@@ -238,3 +238,12 @@ def test_stars_are_told_at_once(rows, monkeypatch):
     star = [(hub * 100, hub * 100 + i) for hub in range(3) for i in range(1, 40)] * 2
     found = sorted((r.node, r.root) for r in components(rows(star, "a long, b long")).collect())
     assert found == sorted({(node, root) for root, node in star}) and len(written) == 4
+
+
+def test_repeated_rows_of_copies_stay_as_many(rows):
+    """Rows that repeat id and text repeat the pairs of their classes, not the rows of the result."""
+    dice = random.Random(11)
+    base = [f"w{dice.randrange(10_000)}" for _ in range(200)]
+    data = [(i, " ".join(changed(dice, base, 0.01))) for i in range(8)] * 3 + [(None, " ".join(base))] * 4
+    found = near_dedup.near_groups(rows(data, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_force(data)

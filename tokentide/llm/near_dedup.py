@@ -392,7 +392,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots:
     led = _with_texts(tried, texts).mapInArrow(_led, "a long, b long, linked boolean, differ array<long>")
     led = materialize(led, "led")
     # A leader has more company, or as much and the smaller number: leaders of leaders come to an end.
-    found = ends(led.where("linked").select(F.col("b").alias("node"), F.col("a").alias("root")))
+    # Repeated rows of an id and text repeat its pairs.
+    found = ends(led.where("linked").select(F.col("b").alias("node"), F.col("a").alias("root")).distinct())
 
     keys = classes.select("node", F.transform("bands", _short).alias("keys"))
     # Second round, where large buckets would give many pairs: what lies outside of a bucket's largest
@@ -411,7 +412,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", roots:
     # Last round: all pairs of a bucket that are still apart, at least one of them outside
     # the bucket's largest component.
     asked = apart.select("node").distinct()
-    known = led.where("differ IS NOT NULL").select(F.col("b").alias("node"), F.col("a").alias("lead"), "differ")
+    known = led.where("differ IS NOT NULL").select(F.col("b").alias("node"), F.col("a").alias("lead"), "differ").dropDuplicates(["node"])
     sketched = texts.join(asked, "node", "left_semi").join(known, "node", "left").select("node", "lead", "differ", "text")
     sketched = sketched.mapInArrow(
         _sketches, "node long, lead long, differ array<long>, bits array<long>, splits array<long>, bands array<long>"
